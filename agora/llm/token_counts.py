@@ -2,7 +2,8 @@
 
 ``Vocabulary`` proves, once for a vocabulary file, which of its strings the library encodes alone as exactly one
 token. A text is cut into pre-tokens; those found among the proven strings are counted directly, and only the rest
-are merged by the library, each distinct one once while it stays in a bounded cache.
+are merged by the library, each distinct one once while it stays in a bounded cache. ``UnitTable`` does so for chunks
+of texts with numpy: whatever a worker has encoded before is found again by its hash.
 """
 
 from __future__ import annotations
@@ -18,17 +19,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import by_chunk, text_of
+from agora.llm.runtime import by_chunk, offsets_of, small_batches, text_of
+from agora.llm.textkernel import SPACE, Rolling, mix
 
 #: Merged pre-tokens that a Python worker remembers; beyond it the cache starts anew (only speed depends on it).
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
+#: Slots of a worker's unit table, half of which fill before it starts anew (only speed depends on it).
+UNIT_SLOTS = 1 << 21
 #: The white space and the pre-token pattern of byte-level BPE files that split by the usual pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SHAPE = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
+#: Of those white characters, the ones beyond ASCII, for RE2.
+WIDE_WHITE = "\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 PRETOKEN = SHAPE.format(L=r"\p{L}", N=r"\p{N}", W=WHITE)
 #: Texts of code points below this one are cut by the standard library's faster engine with listed classes.
 LATIN = 0x250
@@ -73,6 +80,7 @@ class Vocabulary:
         self.pattern = regex.compile(PRETOKEN)
         self.whole = self.prove(spec["model"]["vocab"])
         self.merged: dict[str, bytes] = {}
+        self.merger = self.prove_merger(spec["model"]["vocab"], spec["model"]["merges"])
         space = next(c for c, b in byte_letters().items() if b == 32)
         self.spaced = np.zeros(1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]), bool)
         self.spaced[[i for token, i in spec["model"]["vocab"].items() if token.startswith(space)]] = True
@@ -97,6 +105,32 @@ class Vocabulary:
         encoded = self.library.encode_batch_fast(names, add_special_tokens=False)
         return {text: self.packed(got.ids) for text, got in zip(names, encoded, strict=True) if got.ids == [texts[text]]}
 
+    def prove_merger(self, vocab: dict[str, int], merges: list) -> "tiktoken.Encoding | None":
+        """A faster merger with the same results, or None where that can't be proven.
+
+        It merges whichever neighbours make the token of least id. If ids follow the order of the merges and every
+        token's bytes alone merge into that token, then neighbours that cover just a token's bytes have come about as
+        they would alone, so that they are the pair of its own merge: both mergers take the same steps.
+        """
+        pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in merges]
+        rank = {pair: k for k, pair in enumerate(pairs)}
+        letters = byte_letters()
+        plain = [x for x in vocab if x not in self.special]
+        if sorted(vocab[x] for x in plain) != list(range(len(plain))) or len(plain) != 256 + len(pairs) or any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
+            return None
+        for token in plain:
+            at = list(token)
+            while len(at) > 1:
+                k = min((rank.get(pair, len(rank)), n) for n, pair in enumerate(zip(at, at[1:], strict=False)))
+                if k[0] == len(rank):
+                    return None
+                at[k[1] : k[1] + 2] = [at[k[1]] + at[k[1] + 1]]
+        ranks = {bytes(letters[c] for c in x): vocab[x] for x in plain}
+        self.sizes = np.zeros(1 + max(ranks.values()), np.int64)
+        for x, k in ranks.items():
+            self.sizes[k] = len(x)
+        return tiktoken.Encoding("proven", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
     def pretokens(self, text: str) -> list[str]:
         pattern = self.pattern if BEYOND_LATIN.search(text) else LATIN_PRETOKEN
         if self.cut is None or not any(s in text for s in self.special):
@@ -149,13 +183,161 @@ class Vocabulary:
         return [len(pre) - len(odd) + sum(len(special[x] if x in special else merged[x]) // 4 for x in odd) for pre, odd in zip(cut, rest, strict=True)]
 
 
-_loaded: dict[str, Vocabulary] = {}
+class UnitTable:
+    """Ids of coarse units, looked up by 64-bit hash for a whole chunk of texts at once.
+
+    A unit is a run of non-white bytes with the single space before it, or a stretch of white space; every unit edge is
+    a pre-token edge, so that a text's ids are its units' ids in a row. The proven whole tokens are entered first; a unit
+    seen for the first time is cut into pre-tokens and encoded by ``Vocabulary``. Texts with special strings or with
+    white space beyond ASCII, where unit edges may not hold, go to ``Vocabulary`` whole.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, slots: int = UNIT_SLOTS):
+        self.vocabulary, self.slots = vocabulary, slots
+        self.odd = "|".join(re.escape(x) for x in vocabulary.special)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.at = np.zeros(self.slots, np.int64)
+        self.size = np.zeros(self.slots, np.int32)
+        self.ids, self.used, self.filled = np.zeros(1 << 16, "<u4"), 0, 0
+        texts = pa.array(self.vocabulary.whole)
+        data, starts = np.frombuffer(texts.buffers()[2], np.uint8), offsets_of(texts)
+        self.enter(self.hashes(data, starts[:-1], starts[1:]), list(self.vocabulary.whole.values()))
+
+    @staticmethod
+    def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = mix(Rolling(data.astype(np.uint64) + np.uint64(1)).of(starts, ends) + (ends - starts).astype(np.uint64))
+        h[h == 0] = 1
+        return h
+
+    @staticmethod
+    def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, each unit's start (and the end of all), the index of each text's first unit."""
+        ends = offsets_of(texts)
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+        bounds = ends - ends[0]
+        if not len(data):
+            return data, np.zeros(1, np.int64), np.zeros(len(bounds), np.int64)
+        white = SPACE[data]
+        head, tail = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        head[bounds[:-1][bounds[:-1] < len(data)]] = True
+        tail[bounds[1:][bounds[1:] > 0] - 1] = True
+        before, after = np.zeros_like(white), np.zeros_like(white)
+        before[1:], after[:-1] = white[:-1], white[1:]
+        spaced = np.zeros_like(white)
+        spaced[1:] = data[:-1] == 0x20
+        mark = head | (white & (~before | (~after & ~tail))) | (~white & before & ~spaced)
+        starts = np.flatnonzero(mark)
+        return data, np.append(starts, len(data)), np.searchsorted(starts, bounds)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or that of the first free one after it."""
+        mask = np.uint64(self.slots - 1)
+        at = (h & mask).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (self.slots - 1)
+            k = self.keys[at[open_]]
+            open_ = open_[(k != h[open_]) & (k != 0)]
+        return at
+
+    def enter(self, h: np.ndarray, ids: list[bytes]) -> None:
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        at = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: int(at[0])], np.zeros(2 * self.used - int(at[0]), "<u4")])
+        self.ids[int(at[0]) : self.used] = np.frombuffer(b"".join(ids), "<u4")
+        left = np.arange(len(h))
+        while len(left):
+            slot = self.slot(h[left])
+            _, first = np.unique(slot, return_index=True)
+            mine = left[first]
+            self.keys[slot[first]], self.at[slot[first]], self.size[slot[first]] = h[mine], at[mine], size[mine]
+            left = np.delete(left, first)
+        self.filled += len(h)
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each unit of ``texts``, and the index of each text's first unit."""
+        data, edges, first = self.units(texts)
+        starts, ends = edges[:-1], edges[1:]
+        h = self.hashes(data, starts, ends)
+        slot = self.slot(h)
+        new = np.flatnonzero(self.keys[slot] == 0)
+        if len(new):
+            fresh, where = np.unique(h[new], return_index=True)
+            if 2 * (self.filled + len(fresh)) > self.slots and self.filled:
+                self.clear()
+                return self.find(texts)
+            while 2 * len(fresh) > self.slots:
+                self.slots *= 2
+                self.clear()
+            raw = data.tobytes()
+            spans = np.stack([starts[new[where]], ends[new[where]]], axis=1)
+            spaced = (data[spans[:, 0]] == 0x20) & (spans[:, 1] - spans[:, 0] > 1) & ~SPACE[data[np.minimum(spans[:, 0] + 1, len(data) - 1)]]
+            for own in (np.flatnonzero(spaced), np.flatnonzero(~spaced)):
+                for k in range(0, len(own), 20_000):
+                    part = own[k : k + 20_000]
+                    self.enter(fresh[part], self.merge([raw[a:b] for a, b in spans[part].tolist()], bool(spaced[part[0]])))
+            slot = self.slot(h)
+        return slot, first
+
+    def merge(self, units: list[bytes], spaced: bool) -> list[bytes]:
+        """The ids of each unit; spaced ones are cut apart again in whatever text they stand."""
+        if spaced and self.vocabulary.merger is not None:
+            ids = self.vocabulary.merger.encode_to_numpy(b"".join(units).decode(), disallowed_special=())
+            ends = np.concatenate([[0], np.cumsum(self.vocabulary.sizes[ids])])
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in units])])
+            at = np.searchsorted(ends, edges)
+            if np.array_equal(ends[at], edges):
+                packed = ids.astype("<u4").tobytes()
+                return [packed[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return list(self.vocabulary.encode([x.decode() for x in units]))
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        odd = pc.match_substring_regex(texts, f"[{WIDE_WHITE}]" + (f"|{self.odd}" if self.odd else ""))
+        return ~np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        plain = self.plain(texts)
+        out = np.zeros(len(texts), np.int64)
+        if plain.any():
+            slot, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
+            sums = np.concatenate([[0], np.cumsum(self.size[slot])])
+            out[plain] = np.diff(sums[first])
+        if not plain.all():
+            out[~plain] = self.vocabulary.count(texts.filter(pa.array(~plain)).to_pylist())
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        plain = self.plain(texts)
+        ids, ends, k = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
+        if plain.any():
+            slot, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
+            size = self.size[slot].astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(size)])
+            ids = self.ids[np.repeat(self.at[slot] - sums[:-1], size) + np.arange(sums[-1])]
+            ends = sums[first]
+        for i, easy in enumerate(plain):
+            if easy:
+                yield ids[ends[k] : ends[k + 1]]
+                k += 1
+            else:
+                yield np.frombuffer(next(iter(self.vocabulary.encode([texts[i].as_py()]))), "<u4")
+
+
+_loaded: dict[str, UnitTable] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def unit_table(path: str) -> UnitTable:
     """One per Python worker and file."""
     if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
+        _loaded[path] = UnitTable(Vocabulary(path))
     return _loaded[path]
 
 
@@ -165,12 +347,12 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512) -> DataFram
     Nulls and empty texts have 0 bytes and 0 tokens; a null doc_id and repeated rows are passed on; other columns
     are ignored. ``vocab_path`` is a file that every executor has (a tokenizer package installed with Python).
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_of(chunk, "text")
-        counts = vocabulary(vocab_path).count(texts.to_pylist())
-        return pa.RecordBatch.from_arrays([chunk.column(0).cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
+        return pa.RecordBatch.from_arrays([chunk.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(unit_table(vocab_path).count(texts))], names=schema.names)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_chunk("text", work), schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
