@@ -24,6 +24,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.substring_dedup import dedup
+
+    found = dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.simhash import near_duplicates
 
