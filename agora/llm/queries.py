@@ -18,6 +18,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.line_dedup import dedup
+
+    found = dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), bound=1)
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.token_counts import count_tokens
 

@@ -72,12 +72,13 @@ class Words:
         return mix(Rolling(self.data.astype(np.uint64) + np.uint64(1), base).of(self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
 
 
-def words(texts: pa.Array) -> Words:
+def words(texts: pa.Array, between: np.ndarray = SPACE) -> Words:
+    """The runs of bytes that are not ``between``, of each text."""
     ends = offsets_of(texts)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
     bounds = ends - ends[0]
-    solid = ~SPACE[data]
+    solid = ~between[data]
     if not len(solid):
         return Words(data, bounds, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64))
     before, after = np.empty_like(solid), np.empty_like(solid)
