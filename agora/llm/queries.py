@@ -25,6 +25,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.token_counts import count_tokens
 
