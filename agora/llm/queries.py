@@ -54,12 +54,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.warc import archive, deduplicate, records
+
+    return records(spark, deduplicate(spark, archive(read_table(spark, sf_dir, "pages"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
