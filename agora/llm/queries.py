@@ -34,12 +34,38 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.sentencepieces import decode, segment
+
+    model = vocabulary_path("piece_bpe_32k.model")
+    found = segment(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model, n=3)
+    best = F.col("nbest")[0]["ids"]
+    digests = found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"),
+        F.floor(F.octet_length(best) / 4).cast("long").alias("n_pieces"),
+        F.col("nbest.score").alias("scores"),
+        F.transform("nbest", lambda x: F.crc32(x["ids"])).alias("ids_crc32"),
+        best.alias("ids"),
+    )
+    back = F.sha2("decoded", 256) == F.col("text_sha256")
+    return decode(digests, model).select("doc_id", "n_pieces", "scores", "ids_crc32", back.alias("round_trip"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.quality_rules import fit, judge
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judge(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.substring_dedup import dedup
 

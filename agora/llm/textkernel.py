@@ -90,6 +90,36 @@ def words(texts: pa.Array, between: np.ndarray = SPACE) -> Words:
     return Words(data, bounds, starts, stops, np.searchsorted(starts, bounds))
 
 
+class HashSlots:
+    """A set of nonzero 64-bit keys by open addressing; callers keep values by slot."""
+
+    def __init__(self, size: int):
+        self.size, self.filled = size, 0
+        self.keys = np.zeros(size, np.uint64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each key's slot, or that of the first free one after it."""
+        at = (h & np.uint64(self.size - 1)).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (self.size - 1)
+            k = self.keys[at[open_]]
+            open_ = open_[(k != h[open_]) & (k != 0)]
+        return at
+
+    def claim(self, h: np.ndarray) -> np.ndarray:
+        """Enters distinct new keys; their slots."""
+        out, left = np.zeros(len(h), np.int64), np.arange(len(h))
+        while len(left):
+            slot = self.find(h[left])
+            _, first = np.unique(slot, return_index=True)
+            self.keys[slot[first]] = h[left[first]]
+            out[left[first]] = slot[first]
+            left = np.delete(left, first)
+        self.filled += len(h)
+        return out
+
+
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 joined by the pairs (a, b): each node's least reachable node."""
     label = np.arange(n)

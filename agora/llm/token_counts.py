@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agora.llm.runtime import by_chunk, offsets_of, small_batches, text_of
-from agora.llm.textkernel import SPACE, Rolling, mix
+from agora.llm.textkernel import SPACE, HashSlots, Rolling, mix
 
 #: Merged pre-tokens that a Python worker remembers; beyond it the cache starts anew (only speed depends on it).
 CACHE_ENTRIES = 200_000
@@ -198,10 +198,10 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
+        self.index = HashSlots(self.slots)
         self.at = np.zeros(self.slots, np.int64)
         self.size = np.zeros(self.slots, np.int32)
-        self.ids, self.used, self.filled = np.zeros(1 << 16, "<u4"), 0, 0
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         texts = pa.array(self.vocabulary.whole)
         data, starts = np.frombuffer(texts.buffers()[2], np.uint8), offsets_of(texts)
         self.enter(self.hashes(data, starts[:-1], starts[1:]), list(self.vocabulary.whole.values()))
@@ -233,17 +233,6 @@ class UnitTable:
         starts = np.flatnonzero(mark)
         return data, np.append(starts, len(data)), np.searchsorted(starts, bounds)
 
-    def slot(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's slot, or that of the first free one after it."""
-        mask = np.uint64(self.slots - 1)
-        at = (h & mask).astype(np.int64)
-        open_ = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & (self.slots - 1)
-            k = self.keys[at[open_]]
-            open_ = open_[(k != h[open_]) & (k != 0)]
-        return at
-
     def enter(self, h: np.ndarray, ids: list[bytes]) -> None:
         size = np.array([len(x) // 4 for x in ids], np.int64)
         at = self.used + np.cumsum(size) - size
@@ -251,28 +240,22 @@ class UnitTable:
         if self.used > len(self.ids):
             self.ids = np.concatenate([self.ids[: int(at[0])], np.zeros(2 * self.used - int(at[0]), "<u4")])
         self.ids[int(at[0]) : self.used] = np.frombuffer(b"".join(ids), "<u4")
-        left = np.arange(len(h))
-        while len(left):
-            slot = self.slot(h[left])
-            _, first = np.unique(slot, return_index=True)
-            mine = left[first]
-            self.keys[slot[first]], self.at[slot[first]], self.size[slot[first]] = h[mine], at[mine], size[mine]
-            left = np.delete(left, first)
-        self.filled += len(h)
+        slot = self.index.claim(h)
+        self.at[slot], self.size[slot] = at, size
 
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each unit of ``texts``, and the index of each text's first unit."""
         data, edges, first = self.units(texts)
         starts, ends = edges[:-1], edges[1:]
         h = self.hashes(data, starts, ends)
-        slot = self.slot(h)
-        new = np.flatnonzero(self.keys[slot] == 0)
+        slot = self.index.find(h)
+        new = np.flatnonzero(self.index.keys[slot] == 0)
         if len(new):
             fresh, where = np.unique(h[new], return_index=True)
-            if 2 * (self.filled + len(fresh)) > self.slots and self.filled:
+            if 2 * (self.index.filled + len(fresh)) > self.slots and self.index.filled > len(self.vocabulary.whole):
                 self.clear()
                 return self.find(texts)
-            while 2 * len(fresh) > self.slots:
+            while 2 * (self.index.filled + len(fresh)) > self.slots:
                 self.slots *= 2
                 self.clear()
             raw = data.tobytes()
@@ -282,7 +265,7 @@ class UnitTable:
                 for k in range(0, len(own), 20_000):
                     part = own[k : k + 20_000]
                     self.enter(fresh[part], self.merge([raw[a:b] for a, b in spans[part].tolist()], bool(spaced[part[0]])))
-            slot = self.slot(h)
+            slot = self.index.find(h)
         return slot, first
 
     def merge(self, units: list[bytes], spaced: bool) -> list[bytes]:
