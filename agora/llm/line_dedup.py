@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, offsets_of, small_batches, table, text_of
+from agora.llm.runtime import chunks, offsets_of, prefilter_joins, small_batches, table, text_of
 from agora.llm.substring_dedup import keyed
 from agora.llm.textkernel import BASES, Rolling, mix, powers
 
@@ -101,8 +101,8 @@ def all_lines(rows: DataFrame, min_chars: int) -> DataFrame:
         for chunk in chunks(batches, "text"):
             lines = Lines(text_of(chunk, "text"))
             lines.keep(lines.size >= min_chars)
-            ids = chunk.take(pa.array(lines.doc))
-            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines.number.astype(np.int32)), signed(lines.whole()), listed(lines.shared_keys(2))], names=["id", "row_key", "line", "h", "keys"])
+            doc = pa.array(lines.doc)
+            yield pa.RecordBatch.from_arrays([chunk.column(0).take(doc), chunk.column(1).take(doc), pa.array(lines.number.astype(np.int32)), signed(lines.whole()), listed(lines.shared_keys(2))], names=["id", "row_key", "line", "h", "keys"])
 
     return rows.select("id", "row_key", "text").mapInArrow(run, "id long, row_key int, line int, h long, keys array<long>")
 
@@ -178,7 +178,8 @@ def decisions(rows: DataFrame, bound: int, min_chars: int, parts: int = PARTS) -
     if bound:
         suspects = sharing(distinct.select("h", "keys")).withColumnRenamed("h", "suspect")
         at = firsts.join(suspects, F.col("h_") == F.col("suspect"), "left_semi").groupBy(F.col("first.id").alias("id_"), F.col("first.row_key").alias("key_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("h_").alias("h"))).alias("lines"))
-        docs = known.select("id", "row_key", "text").join(table(at, "suspects"), (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
+        at = table(at, "suspects").where(F.size("lines") > 0).hint("merge")
+        docs = known.select("id", "row_key", "text").join(at, (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
         # Rows repeated as a whole give their lines repeatedly.
         texts = table(texts_of(docs).dropDuplicates(["h"]), "texts")
         alike = sharing(part_keys(texts, parts)).withColumnRenamed("h", "suspect")
@@ -208,8 +209,9 @@ def dedup(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS) -> DataFr
     if bound not in (0, 1):
         raise ValueError("the bound is 0 or 1 edits")
     small_batches(docs.sparkSession)
+    prefilter_joins(docs.sparkSession)
     rows = keyed(docs)
-    joined = rows.join(decisions(rows, bound, min_chars), (F.col("id") == F.col("of_id")) & (F.col("row_key") == F.col("of_key")), "left")
+    joined = rows.join(decisions(rows, bound, min_chars).hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("row_key") == F.col("of_key")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")

@@ -56,6 +56,16 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8_000_000) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def prefilter_joins(spark: SparkSession) -> None:
+    """Lets Spark filter the rows of a shuffled join's large side by a Bloom filter of the other side's keys.
+
+    Spark bounds the filter's bits, so that what is broadcast doesn't grow with the data.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", True)
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
