@@ -60,8 +60,8 @@ def named_windows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             doc, pos, half, around = anchors(words(text_of(chunk, "text")), length)
-            rows = chunk.take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(pos.astype(np.int32)), pa.array(half.view(np.int64)), pa.array(around.view(np.int64))], names=["id", "row_key", "pos", "half", "around"])
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([chunk.column(0).take(doc), chunk.column(1).take(doc), pa.array(pos.astype(np.int32)), pa.array(half.view(np.int64)), pa.array(around.view(np.int64))], names=["id", "row_key", "pos", "half", "around"])
 
     return docs.select("id", "row_key", "text").mapInArrow(run, ANCHORS)
 
@@ -83,8 +83,7 @@ def full_windows(texts: DataFrame, length: int) -> DataFrame:
             start = np.flatnonzero(np.cumsum(marks) > 0)
             h = mix(Rolling(w.hashes()).of(start, start + length))
             doc = np.searchsorted(w.first, start, side="right") - 1
-            rows = chunk.take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "row_key", "start", "h"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(doc)), chunk.column(1).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "row_key", "start", "h"])
 
     return texts.select("id", "row_key", "text", "spots").mapInArrow(run, "id long, row_key int, start int, h long")
 
