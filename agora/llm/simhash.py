@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 
 from agora.llm.components import components
 from agora.llm.runtime import chunks, small_batches, table, text_of
-from agora.llm.textkernel import spanning
+from agora.llm.textkernel import mix, spanning
 
 BLOCKS = 6
 #: Fingerprints of a shard that one tree holds at most, on average.
@@ -122,13 +122,17 @@ class Forest:
             at, node = np.repeat(at, size), self.child[inside]
 
 
-def links(rows: pa.Table, radius: int) -> pa.RecordBatch:
-    """A spanning forest of the links within whole shards; rows: unit, tree boolean, query boolean, fp, node."""
+def links(rows: pa.Table, radius: int, pairs: bool) -> pa.RecordBatch:
+    """A spanning forest of the links within whole shards; rows: unit, tree boolean, query boolean, fp, node.
+
+    With ``pairs``, each node's link to the first other node within the radius instead.
+    """
     fp = rows.column("fp").to_numpy().view(np.uint64)
     ident = rows.column("node").to_numpy()
     _, unit = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
     tree, query = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("tree", "query"))
     a = b = np.zeros(0, np.int64)
+    first = np.full(len(fp), len(fp))
     if len(tree) and len(query):
         units = int(unit.max()) + 1
         forest = Forest(fp[tree], unit[tree])
@@ -137,12 +141,17 @@ def links(rows: pa.Table, radius: int) -> pa.RecordBatch:
             part = query[k : k + PIECE]
             for at, node in forest.within(fp[part], unit[part], radius):
                 x, y = part[at], tree[node]
+                if pairs:
+                    x, y = x[x != y], y[x != y]
+                    np.minimum.at(first, x, y)
+                    np.minimum.at(first, y, x)
+                    continue
                 a, b = np.concatenate([a, x[x != y]]), np.concatenate([b, y[x != y]])
                 if len(a) > 4 * len(fp) + 100_000:
                     label = spanning(a, b, len(fp))
                     a = np.flatnonzero(label != np.arange(len(fp)))
                     b = label[a]
-    label = spanning(a, b, len(fp))
+    label = np.where(first < len(fp), first, np.arange(len(fp))) if pairs else spanning(a, b, len(fp))
     a = np.flatnonzero(label != np.arange(len(fp)))
     return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[label[a]])], names=["a", "b"])
 
@@ -170,11 +179,15 @@ def whole_units(batches: Iterator[pa.RecordBatch], limit: int = FOREST) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFrame:
-    """a, b: a spanning forest of the fingerprints (fp, node long, both distinct) that differ in at most ``radius`` bits."""
+def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE, pairs: bool = False) -> DataFrame:
+    """a, b: links of fingerprints (fp, node long, each fp once in a ``kind``) that differ in at most ``radius`` bits.
+
+    They are a spanning forest of each shard's links or, with ``pairs``, for each node of a shard one that is linked itself.
+    """
     spark = nodes.sparkSession
-    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k)).alias("key")) for k, m in enumerate(choices(radius))]))
-    dealt = nodes.select("fp", "node", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
+    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k), "kind").alias("key")) for k, m in enumerate(choices(radius))]))
+    nodes = nodes if "kind" in nodes.columns else nodes.withColumn("kind", F.lit(0))
+    dealt = nodes.select("fp", "node", "kind", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
     shared = table(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("shard"), F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "shards")
     inside = dealt.join(shared, F.col("key") == F.col("shard")).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
@@ -189,7 +202,7 @@ def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_units(batches):
-            yield links(rows, radius)
+            yield links(rows, radius, pairs)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
@@ -207,3 +220,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     roots = components(table(near_links(nodes, radius), "links"))
     named = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.col("fp").alias("print"), F.coalesce("root", "node").alias("component_id"))
     return own.join(table(named, "named"), F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "component_id")
+
+
+def profiles(docs: DataFrame, shingle: int, prints: int, sketch: int) -> DataFrame:
+    """doc_id, prints (fingerprints of the set of words under so many hash functions) and sketch (the least hashes of the
+    set of word shingles, in order) of every row."""
+    small_batches(docs.sparkSession)
+
+    def profile(raw: bytes) -> tuple[list[int], np.ndarray]:
+        own = np.array([xxh64_intdigest(w) for w in set(raw.translate(LOWER).split())], np.uint64)
+        found = [majority(mix(own + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(1, prints + 1)]
+        return found, np.unique(hashes(raw, shingle) >> np.uint64(1))[:sketch]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            made = [profile(x.as_buffer().to_pybytes()) for x in text_of(chunk, "text")]
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * prints), pa.array(np.array([x[0] for x in made], np.uint64).ravel().view(np.int64)))
+            edges = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in made])]).astype(np.int32))
+            sketches = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[1] for x in made]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), fps, sketches], names=["doc_id", "prints", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prints array<long>, sketch array<long>")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 4, prints: int = 4, sketch: int = 256) -> DataFrame:
+    """doc_id, component_id for every row of ``docs`` with an id: groups of documents whose shingle sets are alike.
+
+    Candidates are documents with a fingerprint of their word sets within ``radius`` bits, under any of ``prints`` hash
+    functions: one changed word moves such a set far less than it moves the shingles. A candidate pair links if its
+    shingle sets have a Jaccard similarity of ``threshold`` or more, exact for sets of up to ``sketch`` shingles and
+    estimated from so many least hashes beyond. Null and empty texts are alike. Of each node only one candidate per shard
+    is verified, so that groups meet through their first members and no group's pairs are listed.
+    """
+    own = table(profiles(docs.where("doc_id is not null"), shingle, prints, sketch), "profiles")
+    nodes = table(own.groupBy("prints", "sketch").agg(F.min("doc_id").alias("node")), "nodes")
+    each = nodes.select("node", F.posexplode("prints").alias("kind", "fp"))
+    heads = table(each.groupBy("kind", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "heads")
+    equal = each.join(heads.where("first < last").select(F.col("kind").alias("kind_"), F.col("fp").alias("fp_"), "first"), (F.col("kind") == F.col("kind_")) & (F.col("fp") == F.col("fp_")) & (F.col("node") > F.col("first")))
+    near = near_links(heads.select("kind", "fp", F.col("first").alias("node")), radius, pairs=True)
+    pairs = equal.select(F.col("node").alias("x"), F.col("first").alias("y")).union(near)
+    pairs = table(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+    mine = nodes.select(F.col("node").alias("mine"), F.col("sketch").alias("sketch_a"))
+    other = nodes.select(F.col("node").alias("other"), F.col("sketch").alias("sketch_b"))
+    least = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, sketch)
+    common = F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "least")
+    alike = F.coalesce(F.size(common) >= threshold * F.size("least"), F.lit(False))
+    verified = pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).withColumn("least", least).where(alike).select("a", "b")
+    roots = components(table(verified, "links")).withColumnRenamed("node", "member")
+    named = nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("prints").alias("prints_"), F.col("sketch").alias("sketch_"), F.coalesce("root", "node").alias("component_id"))
+    return own.join(table(named, "named"), (F.col("prints") == F.col("prints_")) & (F.col("sketch") == F.col("sketch_"))).select("doc_id", "component_id")
