@@ -1,13 +1,14 @@
 """WARC archives and the resolution of repeated payloads to revisit records.
 
-Archives are written by Spark's text writer, one record a row, each ended by the two line breaks that the format asks for;
-so the writer's commit protocol covers lost executors. They are read back by the lengths their headers give. To
+Archives are written by Spark's text writer, one record a row, each ended by the two line breaks that the format asks for, and each file
+compressed as a whole; so the writer's commit protocol covers lost executors. They are read back by the lengths their headers give. To
 deduplicate, only headers are shuffled, by payload digest; each repeat then joins the record that stays, and new archives
 are written with fresh headers.
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -69,14 +70,13 @@ def record(kind: Column, page_id: Column, url: Column, date: Column, digest: Col
 def write(records: DataFrame, name: str) -> str:
     """Writes the column ``record`` as archives of a new folder in the shared one."""
     path = f"{shared_folder(records.sparkSession).rstrip('/')}/agora-{name}-{uuid.uuid4().hex}"
-    records.select("record").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    records.select("record").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
     return path
 
 
 def parse(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
     """Headers and block of each record of an archive, by the lengths that the headers give."""
-    at = 0
-    whole = bytes(content)
+    at, whole = 0, bytes(content)
     while at < len(whole):
         end = whole.index(b"\r\n\r\n", at)
         version, *lines = whole[at:end].decode().split(CRLF)
@@ -103,7 +103,7 @@ def read(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for head, block in parse(memoryview(content.as_buffer())):
+                for head, block in parse(memoryview(gzip.decompress(content.as_buffer()))):
                     http, body = payload_of(block)
                     refers = head.get("WARC-Refers-To")
                     page = head.get("X-Page-ID")
