@@ -151,3 +151,10 @@ def uuid5(namespace: str, name: ColumnOrName) -> Column:
     nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int")
     variant = F.lower(F.hex(nibble.bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def related_addresses(text: ColumnOrName) -> Column:
+    """Addresses of a JSON array of strings, or the text itself as the only one; none for null or blank."""
+    listed = F.from_json(col(text), "array<string>")
+    plain = F.array(F.trim(col(text)))
+    return F.when(col(text).isNull() | (F.trim(col(text)) == ""), F.array().cast("array<string>")).when(F.trim(col(text)).startswith("["), F.coalesce(listed, plain)).otherwise(plain)
