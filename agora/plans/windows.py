@@ -38,7 +38,7 @@ def win05(c: Civic) -> DataFrame:
     return ops.spread_sample(rows, ["speaker_id"], "id", "text_score").select("speaker_id", "id", F.col("bucket").cast("long").alias("bucket"))
 
 
-@query("win06_item_ends", "SELECT id, COALESCE(LEAD(start_time) OVER (PARTITION BY meeting_id ORDER BY start_time, id), 9999.0) AS end_at FROM {agenda_items} WHERE start_time IS NOT NULL")
+@query("win06_item_ends", "SELECT id, COALESCE(LEAD(start_time) OVER (PARTITION BY meeting_id ORDER BY start_time, id), CAST(9999.0 AS DOUBLE)) AS end_at FROM {agenda_items} WHERE start_time IS NOT NULL")
 def win06(c: Civic) -> DataFrame:
     return ops.item_ends(c.agenda_items.withColumn("video_end", F.lit(9999.0)), "video_end").select("id", "end_at")
 

@@ -37,15 +37,15 @@ VIEWS: dict[str, str] = {
     "segments": """
         SELECT event_id AS id, event_id % 200 AS meeting_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id % 100 END AS person_id,
           CASE WHEN user_id % 10 = 0 THEN 'Speaker ' || CAST(user_id AS STRING) WHEN user_id % 10 = 1 THEN 'Unknown' ELSE 'Person ' || CAST(user_id AS STRING) END AS speaker_name,
-          FLOOR(event_id / 200) * 12.0 AS start_time, FLOOR(event_id / 200) * 12.0 + value AS end_time, event_type || ' by ' || CAST(user_id AS STRING) AS text,
+          CAST(FLOOR(event_id / 200) * 12 AS DOUBLE) AS start_time, CAST(FLOOR(event_id / 200) * 12 AS DOUBLE) + value AS end_time, event_type || ' by ' || CAST(user_id AS STRING) AS text,
           CASE WHEN event_id % 3 = 0 THEN event_id % 200 + 200 * (event_id % 7) END AS agenda_item_id, user_id AS speaker_id
         FROM {events}""",
     "agenda_items": """
         SELECT p_partkey AS id, p_partkey % 200 AS meeting_id, CAST(FLOOR(p_partkey / 200) AS BIGINT) AS place, p_name AS title,
           CASE p_size % 10 WHEN 0 THEN 'Zoning Bylaw' WHEN 1 THEN 'Parks and Recreation' WHEN 2 THEN 'Street Lighting' WHEN 3 THEN 'Transit' WHEN 4 THEN 'Budget'
             WHEN 5 THEN NULL WHEN 6 THEN 'Fire Protection' WHEN 7 THEN 'Committee Reports' WHEN 8 THEN 'Delegations' ELSE 'Rezoning' END AS category,
-          CASE WHEN p_size % 7 = 0 THEN NULL ELSE FLOOR(p_partkey / 200) * 60.0 END AS start_time,
-          CASE WHEN p_size % 7 = 0 THEN NULL ELSE FLOOR(p_partkey / 200) * 60.0 + 70.0 END AS end_time,
+          CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(FLOOR(p_partkey / 200) * 60 AS DOUBLE) END AS start_time,
+          CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(FLOOR(p_partkey / 200) * 60 + 70 AS DOUBLE) END AS end_time,
           CASE WHEN p_size % 5 = 0 THEN p_retailprice END AS financial_cost, p_size % 6 = 0 AS is_controversial, p_partkey % 50 AS matter_id
         FROM {part}""",
     "matters": """
