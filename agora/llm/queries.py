@@ -103,4 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from agora.llm.sql import ORACLE
+
+    return {name: text.strip() for name, text in ORACLE.items()}
