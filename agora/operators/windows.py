@@ -24,9 +24,9 @@ def item_ends(items: DataFrame, meeting_end: str) -> DataFrame:
 
 
 def interpolated(items: DataFrame, least: float = 2.0) -> DataFrame:
-    """Starts between anchored ones by linear interpolation over places; before the first anchor and after the last, null.
+    """Starts between anchored ones by linear interpolation over places; before the first anchor, null.
 
-    A start is at least ``least`` seconds after the anchor before it.
+    A start is at least ``least`` seconds after the anchor before it, and just so long after the last one.
     """
     order = Window.partitionBy("meeting_id").orderBy("place")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)

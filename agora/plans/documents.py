@@ -21,12 +21,10 @@ def doc02(c: Civic) -> DataFrame:
     return docs.exploded(c.documents, "doc_id", "text", docs.packed_paragraphs)
 
 
-MARKDOWN = F.concat(F.lit("Preamble of "), F.col("p_name"), F.lit("\n## First "), F.col("p_brand"), F.lit("\nbody one\n## Second\nbody two "), F.col("p_type"))
-
-
 @query("doc05_markdown_sections", "SELECT id, place, title, body FROM (SELECT p_partkey AS id, 0 AS place, 'Introduction' AS title, 'Preamble of ' || p_name AS body FROM {part} UNION ALL SELECT p_partkey, 1, 'First ' || p_brand, 'body one' FROM {part} UNION ALL SELECT p_partkey, 2, 'Second', 'body two ' || p_type FROM {part})")
 def doc05(c: Civic) -> DataFrame:
-    return c.part.select(F.col("p_partkey").alias("id"), F.posexplode(docs.markdown_sections(MARKDOWN)).alias("place", "s")).select("id", "place", "s.title", "s.body")
+    markdown = F.concat(F.lit("Preamble of "), F.col("p_name"), F.lit("\n## First "), F.col("p_brand"), F.lit("\nbody one\n## Second\nbody two "), F.col("p_type"))
+    return c.part.select(F.col("p_partkey").alias("id"), F.posexplode(docs.markdown_sections(markdown)).alias("place", "s")).select("id", "place", "s.title", "s.body")
 
 
 @query("doc06_innermost_ranges", """
