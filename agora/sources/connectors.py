@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Encodings in the order in which they are tried; the last fits any bytes.
-ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
+#: Bytes that Windows-1252 leaves undefined; where it differs from Latin-1, character by character.
+UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+DIFFERENT = [b for b in range(0x80, 0xA0) if b not in UNDEFINED]
 
 
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 if valid, else Windows-1252 where all its bytes are defined, else Latin-1."""
-    undefined = F.hex(content).rlike("^(..)*(81|8D|8F|90|9D)")
-    return F.when(F.is_valid_utf8(content), content.cast("string")).when(undefined, F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.decode(content, "ISO-8859-1")
+    undefined = latin.rlike("[" + "".join(map(chr, UNDEFINED)) + "]")
+    windows = F.translate(latin, "".join(map(chr, DIFFERENT)), bytes(DIFFERENT).decode("windows-1252"))
+    return F.when(F.is_valid_utf8(content), content.cast("string")).when(undefined, latin).otherwise(windows)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
