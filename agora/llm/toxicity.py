@@ -8,6 +8,7 @@ summed up per document, and a logistic regression on those sums, fitted on docum
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,13 @@ from agora.llm.runtime import chunks, small_batches, text_of
 from agora.llm.textkernel import Rolling, Words, mix, words
 
 #: Labelled rows that a model is fitted on at most: toxic, others, and the characters of each of them.
-TOXIC_ROWS, OTHER_ROWS, ROW_CHARS = 2500, 5000, 100_000
+TOXIC_ROWS, OTHER_ROWS, ROW_CHARS = 2000, 3000, 60_000
 #: Words of a chain; longer texts are several chains.
 CHAIN = 64
 #: Chains that the field learns from at most, and its passes over them.
 CHAINS, PASSES = 16_000, 6
+#: Share of words that it learns from by their place alone, so that it knows how seldom an unknown word is toxic.
+UNKNOWN = 0.15
 FEATURES = 1 << 18
 #: A word of toxic documents is toxic if so large a share of them has it, and so many times the share of the others.
 SHARE, LIFT = 0.005, 8.0
@@ -99,9 +102,12 @@ def marginals(model: Model, features: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def sums(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per document: constant, summed and counted marginals, the largest, and their density."""
+    """Per document: constant, summed squares and count of the marginals, the largest, and their density.
+
+    Squares keep the many words of a long text that are hardly toxic from adding up.
+    """
     doc = np.repeat(np.arange(len(counts)), counts)
-    total = np.bincount(doc, weights=p, minlength=len(counts))
+    total = np.bincount(doc, weights=p * p, minlength=len(counts))
     hits = np.bincount(doc, weights=p >= 0.5, minlength=len(counts))
     most = np.zeros(len(counts))
     some = counts > 0
@@ -127,11 +133,12 @@ def learn_field(features: np.ndarray, y: np.ndarray, counts: np.ndarray, seed: i
             cols = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
             at = first[part][rows] + cols
             e, truth = np.zeros((len(part), int(own.max()))), np.zeros((len(part), int(own.max())))
-            e[rows, cols], truth[rows, cols] = evidence(model, features[at]), y[at]
+            known = rng.random(len(at)) >= UNKNOWN
+            e[rows, cols], truth[rows, cols] = model.weights[features[at]].sum(axis=1) * known + model.weights[-1], y[at]
             a, b = messages(e, own, model.moves, model.start)
             p = sigmoid(a + b)
             error = (truth - p)[rows, cols]
-            pull = np.bincount(features[at].ravel(), weights=np.repeat(error, features.shape[1]), minlength=FEATURES)
+            pull = np.bincount(features[at].ravel(), weights=np.repeat(error * known, features.shape[1]), minlength=FEATURES)
             pull[-1] = error.sum()
             pull -= 1e-3 * model.weights * (pull != 0)
             past += pull * pull
@@ -184,7 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (whole.view(np.int64), *np.ascontiguousarray(features.T))]
             yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), *lists], names=["doc_id", "y", "word", "f0", "f1", "f2"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, word array<long>, f0 array<int>, f1 array<int>, f2 array<int>").toArrow()
+    rows = chosen.mapInArrow(run, "doc_id long, y int, word array<long>, f0 array<int>, f1 array<int>, f2 array<int>")
+
+    names = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("word", pa.list_(pa.int64())), *((f"f{k}", pa.list_(pa.int32())) for k in range(3))])
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(pa.Table.from_batches(batches, names)))])], names=["model"])
+
+    # One task learns from the bounded sample; the driver gets the model alone.
+    found = rows.repartition(1).mapInArrow(teach, "model binary").first()
+    return pickle.loads(found["model"]) if found else learn(names.empty_table())
+
+
+def learn(rows: pa.Table) -> Model:
+    """The model of documents given as doc_id, y, word hashes and feature numbers."""
     rows = rows.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     y = rows.column("y").to_numpy()
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, np.zeros(5))
@@ -193,21 +213,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
     counts = rows.column("word").combine_chunks().value_lengths().to_numpy().astype(np.int64)
-    word, features = flat("word"), np.stack([flat(f"f{k}") for k in range(3)], axis=1)
     # Two thirds of the documents teach the field, the others the curve.
     teach = mix(rows.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(3) != 0
     if len(np.unique(y[teach])) < 2 or len(np.unique(y[~teach])) < 2:
         teach = np.ones(len(y), bool)
-    doc = np.repeat(np.arange(len(counts)), counts)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     of = teach[doc]
-    kinds, index = np.unique(word, return_inverse=True)
+    kinds, index = np.unique(flat("word"), return_inverse=True)
+    index = index.astype(np.int32)
     seen = np.unique(index[of] * np.int64(len(counts)) + doc[of])
     kind, owner = seen // len(counts), seen % len(counts)
     with_ = [np.bincount(kind[y[owner] == k], minlength=len(kinds)) for k in (0, 1)]
     n = [int((teach & (y == k)).sum()) for k in (0, 1)]
     toxic = (with_[1] >= max(3, SHARE * n[1])) & (with_[1] / n[1] >= LIFT * (with_[0] + 0.5) / n[0])
-    truth = (toxic[index] & (y[doc] == 1)).astype(np.float64)
-    model = learn_field(features[of], truth[of], counts[teach])
+    truth = toxic[index] & (y[doc] == 1)
+    del seen, kind, owner, kinds, index
+    features = np.stack([flat(f"f{k}") for k in range(3)], axis=1)
+    model = learn_field(features[of], truth[of].astype(np.float64), counts[teach])
     check = ~teach if not teach.all() else teach
     seen_by = np.repeat(check, counts)
     model.curve = logistic(sums(marginals(model, features[seen_by], counts[check]), counts[check]), y[check].astype(np.float64))
