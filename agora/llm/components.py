@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.runtime import table
+from agora.llm.runtime import release, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         several = stars.where("lo < most").select(F.col("hi").alias("of"), F.col("lo").alias("least"))
         rest = edges.join(several, F.col("hi") == F.col("of")).where("lo > least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        edges = table(stars.select("hi", "lo").union(rest).distinct(), "edges")
-    up = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        joined = table(stars.select("hi", "lo").union(rest).distinct(), "edges")
+        release(edges, stars)
+        edges = joined
+    release(edges)
+    up, before = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")), stars
     while True:
         over = up.select(F.col("node").alias("via"), F.col("root").alias("higher"))
         jumped = table(up.join(over, F.col("root") == F.col("via"), "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "roots")
-        up = jumped.select("node", "root")
+        release(before)
+        up, before = jumped.select("node", "root"), jumped
         if jumped.where("moved").isEmpty():
             return nodes_with_roots(up)
 

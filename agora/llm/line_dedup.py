@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, offsets_of, prefilter_joins, small_batches, table, text_of
+from agora.llm.runtime import chunks, offsets_of, prefilter_joins, release, small_batches, table, text_of
 from agora.llm.substring_dedup import keyed
 from agora.llm.textkernel import BASES, Rolling, mix, powers
 
@@ -148,7 +148,9 @@ def sharing(keys: DataFrame) -> DataFrame:
     """h of the distinct lines with a key that another line has, too."""
     each = keys.select("h", F.explode("keys").alias("key"))
     shared = table(each.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select(F.col("key").alias("shared")), "keys")
-    return table(each.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct(), "sharing")
+    found = table(each.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct(), "sharing")
+    release(shared)
+    return found
 
 
 def nearest_earlier(variants: DataFrame) -> DataFrame:
@@ -174,9 +176,11 @@ def decisions(rows: DataFrame, bound: int, min_chars: int, parts: int = PARTS) -
     place = F.struct("id", "line", "row_key")
     distinct = table(lines.groupBy("h").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
     firsts = distinct.select(F.col("h").alias("h_"), "first")
-    near = None
+    near, read = None, [lines, distinct]
     if bound:
-        suspects = sharing(distinct.select("h", "keys")).withColumnRenamed("h", "suspect")
+        suspects = sharing(distinct.select("h", "keys"))
+        read.append(suspects)
+        suspects = suspects.withColumnRenamed("h", "suspect")
         at = firsts.join(suspects, F.col("h_") == F.col("suspect"), "left_semi").groupBy(F.col("first.id").alias("id_"), F.col("first.row_key").alias("key_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("h_").alias("h"))).alias("lines"))
         at = table(at, "suspects").where(F.size("lines") > 0).hint("merge")
         docs = known.select("id", "row_key", "text").join(at, (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
@@ -190,12 +194,16 @@ def decisions(rows: DataFrame, bound: int, min_chars: int, parts: int = PARTS) -
         other = texts.select(F.col("h").alias("other"), F.col("text").alias("text_b"))
         verified = pairs.join(mine, F.col("h") == F.col("mine")).join(other, F.col("partner") == F.col("other")).where(F.levenshtein("text_a", "text_b", bound).between(0, bound))
         near = table(verified.select(F.col("h").alias("near")).distinct(), "near")
+        release(pairs)
+        read += [texts, near]
     if near is None:
         verdicts = firsts.withColumn("goes", F.lit(False))
     else:
         verdicts = firsts.join(near, F.col("h_") == F.col("near"), "left").select("h_", "first", F.col("near").isNotNull().alias("goes"))
     gone = lines.join(table(verdicts, "verdicts"), F.col("h") == F.col("h_")).where(F.col("goes") | (place != F.col("first")))
-    return table(gone.groupBy(F.col("id").alias("of_id"), F.col("row_key").alias("of_key")).agg(F.collect_set("line").alias("dropped")), "dropped")
+    dropped = table(gone.groupBy(F.col("id").alias("of_id"), F.col("row_key").alias("of_key")).agg(F.collect_set("line").alias("dropped")), "dropped")
+    release(*read)
+    return dropped
 
 
 def dedup(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, small_batches, table, text_of
+from agora.llm.runtime import chunks, release, small_batches, table, text_of
 from agora.llm.textkernel import Rolling, Words, mix, words
 
 ANCHORS = "id long, row_key int, pos int, half long, around long"
@@ -103,14 +103,18 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     spots = named.join(alive, (F.col("half") == F.col("half_")) & (F.col("around") == F.col("around_")))
     first = F.col("least") == F.col("id")
     spots = table(spots.groupBy("id", "row_key").agg(F.collect_set(F.when(first, F.col("pos"))).alias("spots"), F.collect_set(F.when(~first, F.col("pos"))).alias("covered")), "spots")
+    release(named, around, alive)
     open_ = spots.where(F.size("spots") > 0).select(F.col("id").alias("id_"), F.col("row_key").alias("key_"), "spots")
     texts = known.select("id", "row_key", "text").join(open_, (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
     full = table(full_windows(texts, length), "full")
     least = table(full.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("h_"), "least"), "least")
     starts = full.join(least, (F.col("h") == F.col("h_")) & (F.col("id") > F.col("least"))).groupBy("id", "row_key").agg(F.collect_set("start").alias("starts"))
     starts = table(starts.select(F.col("id").alias("id_"), F.col("row_key").alias("key_"), "starts"), "starts")
+    release(full, least)
     both = spots.where(F.size("covered") > 0).select("id", "row_key", "covered").join(starts, (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")), "full_outer")
-    return table(both.select(F.coalesce("id", "id_").alias("of_id"), F.coalesce("row_key", "key_").alias("of_key"), "covered", "starts"), "repeats")
+    found = table(both.select(F.coalesce("id", "id_").alias("of_id"), F.coalesce("row_key", "key_").alias("of_key"), "covered", "starts"), "repeats")
+    release(spots, starts)
+    return found
 
 
 def removed_words(w: Words, covered: pa.ListArray, starts: pa.ListArray, length: int) -> np.ndarray:
