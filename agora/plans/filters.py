@@ -89,7 +89,7 @@ def flt15b(c: Civic) -> DataFrame:
 
 
 @query("flt16_recent_motions", """
-    SELECT m.id, SUM(CASE WHEN v.vote IN ('Yes', 'In Favour') THEN 1 ELSE 0 END) AS yes, SUM(CASE WHEN v.vote IN ('No', 'Opposed') THEN 1 ELSE 0 END) AS no
+    SELECT m.id, COUNT(*) FILTER (v.vote IN ('Yes', 'In Favour')) AS yes, COUNT(*) FILTER (v.vote IN ('No', 'Opposed')) AS no
     FROM (SELECT m.id FROM {motions} m JOIN {meetings} g ON g.id = m.meeting_id WHERE m.disposition <> 'Procedural' ORDER BY g.meeting_date DESC, m.id DESC LIMIT 15) m
     LEFT JOIN {votes} v ON v.motion_id = m.id GROUP BY m.id""")
 def flt16(c: Civic) -> DataFrame:

@@ -71,7 +71,7 @@ def prf02(c: Civic) -> DataFrame:
     return ops.ranked(ops.key_votes(c.votes, c.motions), 10).select("motion_id", "person_id", "detection", "score", F.col("place").cast("long").alias("place"))
 
 
-@query("mth01_key_vote_score", "SELECT motion_id, CASE ABS(yes - no) WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0.0 END AS closeness FROM (SELECT motion_id, COUNT(*) FILTER (vote = 'Yes') AS yes, COUNT(*) FILTER (vote = 'No') AS no FROM {votes} GROUP BY motion_id)")
+@query("mth01_key_vote_score", "SELECT motion_id, CAST(CASE ABS(yes - no) WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS closeness FROM (SELECT motion_id, COUNT(*) FILTER (vote = 'Yes') AS yes, COUNT(*) FILTER (vote = 'No') AS no FROM {votes} GROUP BY motion_id)")
 def mth01(c: Civic) -> DataFrame:
     margin = F.abs(F.count_if(F.col("vote") == "Yes") - F.count_if(F.col("vote") == "No"))
     return c.votes.groupBy("motion_id").agg(F.when(margin == 0, 1.0).when(margin == 1, 0.75).when(margin == 2, 0.5).otherwise(0.0).alias("closeness"))

@@ -58,14 +58,14 @@ def win08(c: Civic) -> DataFrame:
 
 
 @query("rem23_turns", """
-    SELECT meeting_id, turn, ANY_VALUE(speaker_id) AS speaker_id, MIN(start_time) AS start_time, MAX(end_time) AS end_time, COUNT(*) AS segments FROM (
+    SELECT meeting_id, CAST(turn AS BIGINT) AS turn, ANY_VALUE(speaker_id) AS speaker_id, MIN(start_time) AS start_time, MAX(end_time) AS end_time, COUNT(*) AS segments FROM (
       SELECT *, SUM(fresh) OVER (PARTITION BY meeting_id ORDER BY start_time, id) AS turn FROM (SELECT *, CASE WHEN LAG(speaker_id) OVER (PARTITION BY meeting_id ORDER BY start_time, id) IS NOT DISTINCT FROM speaker_id THEN 0 ELSE 1 END AS fresh FROM {segments}))
     GROUP BY meeting_id, turn""")
 def rem23(c: Civic) -> DataFrame:
     return ops.turns(c.segments)
 
 
-@query("ext01_event_sessions", "SELECT event_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - LAG(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM {events})")
+@query("ext01_event_sessions", "SELECT event_id, CAST(SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - LAG(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM {events})")
 def ext01(c: Civic) -> DataFrame:
     return ops.sessions(c.events, "user_id", "ts", 7200).select("event_id", "session")
 
