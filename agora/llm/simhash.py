@@ -1,7 +1,7 @@
 """SimHash near-duplicates: BK-trees over shards of fingerprints.
 
-Two fingerprints with few differing bits agree in whole blocks: of ``BLOCKS`` blocks at most ``radius`` can differ, so
-that ``BLOCKS - radius`` agree. Each fingerprint therefore goes to one shard for every choice of so many blocks, with the
+Two fingerprints with few differing bits agree in whole blocks: of ``radius + AGREE`` blocks at most ``radius`` can differ,
+so that ``AGREE`` agree. Each fingerprint therefore goes to one shard for every choice of so many blocks, with the
 bits it has there; a BK-tree indexes each shard, children keyed by their integer Hamming distance to the parent, and every
 fingerprint of the shard follows only the edges within the radius. Shards of more than ``PIECE`` fingerprints are cut
 into pieces: each pair of pieces is a task of its own, to which one piece's tree and the other's queries are sent. What a
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from agora.llm.components import components
-from agora.llm.runtime import chunks, small_batches, table, text_of
+from agora.llm.runtime import chunks, release, small_batches, table, text_of
 from agora.llm.textkernel import mix, spanning
 
-BLOCKS = 6
+#: Blocks that two fingerprints within the radius surely agree in, of as many more as the radius has bits.
+AGREE = 2
 #: Fingerprints of a shard that one tree holds at most, on average.
 PIECE = 2048
 #: Rows of whole shards that a task indexes at once.
@@ -70,8 +71,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def choices(radius: int, blocks: int = BLOCKS) -> list[int]:
+def choices(radius: int, blocks: int | None = None) -> list[int]:
     """The masks of every choice of so many blocks that two fingerprints within the radius agree in one choice."""
+    blocks = blocks or radius + AGREE
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
     picked = [sum(c) for c in combinations(masks, blocks - radius)]
@@ -182,15 +184,19 @@ def whole_units(batches: Iterator[pa.RecordBatch], limit: int = FOREST) -> Itera
 def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE, pairs: bool = False) -> DataFrame:
     """a, b: links of fingerprints (fp, node long, each fp once in a ``kind``) that differ in at most ``radius`` bits.
 
-    They are a spanning forest of each shard's links or, with ``pairs``, for each node of a shard one that is linked itself.
+    They are a spanning forest of each shard's links or, with ``pairs``, for each node of a shard one that it links with. Then
+    a node of a shard of several pieces, which so many fingerprints share only if they are near copies of few texts, is
+    compared with its own piece and the first one alone; each shard deals its pieces anew.
     """
     spark = nodes.sparkSession
     keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k), "kind").alias("key")) for k, m in enumerate(choices(radius))]))
     nodes = nodes if "kind" in nodes.columns else nodes.withColumn("kind", F.lit(0))
     dealt = nodes.select("fp", "node", "kind", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
     shared = table(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("shard"), F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "shards")
-    inside = dealt.join(shared, F.col("key") == F.col("shard")).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("pieces")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    inside = dealt.join(shared, F.col("key") == F.col("shard")).withColumn("mine", F.pmod(F.xxhash64("fp", "key"), F.col("pieces")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    first = F.when(F.col("mine") == 0, every).otherwise(F.array(F.lit(0), F.col("mine")))
+    other = F.explode(first if pairs else every)
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     units = inside.withColumn("other", other).select(
         F.xxhash64("key", low, high).alias("unit"),
@@ -223,27 +229,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def profiles(docs: DataFrame, shingle: int, prints: int, sketch: int) -> DataFrame:
-    """doc_id, prints (fingerprints of the set of words under so many hash functions) and sketch (the least hashes of the
-    set of word shingles, in order) of every row."""
+    """doc_id, prints (fingerprints of the set of words under so many hash functions) and sketch (the least hashes, of 31 bits,
+    of the set of word shingles, in order) of every row."""
     small_batches(docs.sparkSession)
 
     def profile(raw: bytes) -> tuple[list[int], np.ndarray]:
         own = np.array([xxh64_intdigest(w) for w in set(raw.translate(LOWER).split())], np.uint64)
         found = [majority(mix(own + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(1, prints + 1)]
-        return found, np.unique(hashes(raw, shingle) >> np.uint64(1))[:sketch]
+        return found, np.unique(hashes(raw, shingle) >> np.uint64(33))[:sketch].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             made = [profile(x.as_buffer().to_pybytes()) for x in text_of(chunk, "text")]
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * prints), pa.array(np.array([x[0] for x in made], np.uint64).ravel().view(np.int64)))
             edges = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in made])]).astype(np.int32))
-            sketches = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[1] for x in made]).view(np.int64)))
+            sketches = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[1] for x in made])))
             yield pa.RecordBatch.from_arrays([chunk.column(0), fps, sketches], names=["doc_id", "prints", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prints array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prints array<long>, sketch array<int>")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 4, prints: int = 4, sketch: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 3, prints: int = 6, sketch: int = 512) -> DataFrame:
     """doc_id, component_id for every row of ``docs`` with an id: groups of documents whose shingle sets are alike.
 
     Candidates are documents with a fingerprint of their word sets within ``radius`` bits, under any of ``prints`` hash
@@ -252,20 +258,26 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     estimated from so many least hashes beyond. Null and empty texts are alike. Of each node only one candidate per shard
     is verified, so that groups meet through their first members and no group's pairs are listed.
     """
-    own = table(profiles(docs.where("doc_id is not null"), shingle, prints, sketch), "profiles")
-    nodes = table(own.groupBy("prints", "sketch").agg(F.min("doc_id").alias("node")), "nodes")
+    same = F.xxhash64("prints", "sketch")
+    own = table(profiles(docs.where("doc_id is not null"), shingle, prints, sketch).withColumn("same", same), "profiles")
+    nodes = table(own.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "nodes")
     each = nodes.select("node", F.posexplode("prints").alias("kind", "fp"))
     heads = table(each.groupBy("kind", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "heads")
     equal = each.join(heads.where("first < last").select(F.col("kind").alias("kind_"), F.col("fp").alias("fp_"), "first"), (F.col("kind") == F.col("kind_")) & (F.col("fp") == F.col("fp_")) & (F.col("node") > F.col("first")))
     near = near_links(heads.select("kind", "fp", F.col("first").alias("node")), radius, pairs=True)
     pairs = equal.select(F.col("node").alias("x"), F.col("first").alias("y")).union(near)
     pairs = table(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
-    mine = nodes.select(F.col("node").alias("mine"), F.col("sketch").alias("sketch_a"))
-    other = nodes.select(F.col("node").alias("other"), F.col("sketch").alias("sketch_b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    sketches = table(own.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").select("doc_id", "same", "sketch").join(nodes.select(F.col("same").alias("same_"), "node"), (F.col("same") == F.col("same_")) & (F.col("doc_id") == F.col("node"))).groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    mine = sketches.select(F.col("node").alias("mine"), F.col("sketch").alias("sketch_a"))
+    other = sketches.select(F.col("node").alias("other"), F.col("sketch").alias("sketch_b"))
     least = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, sketch)
     common = F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "least")
     alike = F.coalesce(F.size(common) >= threshold * F.size("least"), F.lit(False))
-    verified = pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).withColumn("least", least).where(alike).select("a", "b")
-    roots = components(table(verified, "links")).withColumnRenamed("node", "member")
-    named = nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("prints").alias("prints_"), F.col("sketch").alias("sketch_"), F.coalesce("root", "node").alias("component_id"))
-    return own.join(table(named, "named"), (F.col("prints") == F.col("prints_")) & (F.col("sketch") == F.col("sketch_"))).select("doc_id", "component_id")
+    verified = table(pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).withColumn("least", least).where(alike).select("a", "b"), "links")
+    release(heads, pairs, sketches)
+    roots = components(verified).withColumnRenamed("node", "member")
+    named = table(nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("same").alias("same_"), F.coalesce("root", "node").alias("component_id")), "named")
+    found = table(own.select("doc_id", "same").join(named, F.col("same") == F.col("same_")).select("doc_id", "component_id"), "alike")
+    release(own, nodes, verified, named)
+    return found
