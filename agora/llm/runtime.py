@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds at once in numpy form (a longer single text is held alone).
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:

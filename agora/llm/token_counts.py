@@ -30,7 +30,7 @@ from agora.llm.textkernel import SPACE, HashSlots, Rolling, mix
 #: Merged pre-tokens that a Python worker remembers; beyond it the cache starts anew (only speed depends on it).
 CACHE_ENTRIES = 200_000
 #: Slots of a worker's unit table, half of which fill before it starts anew (only speed depends on it).
-UNIT_SLOTS = 1 << 21
+UNIT_SLOTS = 1 << 20
 #: The white space and the pre-token pattern of byte-level BPE files that split by the usual pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SHAPE = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
