@@ -23,7 +23,7 @@ from agora.llm.textkernel import Rolling, mix, words
 #: Labelled rows that a list is learned from at most, and thresholds tried per statistic.
 ROWS, STEPS = 20_000, 64
 #: A rule must be right so often on the rows that prune it, and cover so many of them.
-PRECISION, LEAST = 0.8, 3
+PRECISION, LEAST = 0.95, 3
 RULES, CONDITIONS = 12, 4
 #: The characters that count as symbols, and the words of a repeated window.
 SYMBOLS, WINDOW = b"#*$%&|<>", 8
@@ -104,7 +104,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def features() -> dict[str, Column]:
-    """The statistics that rules are about; a text without words has 0 of each."""
+    """The statistics that rules are about, of equal gain the earlier first; a text without words has 0 of each."""
 
     def share(of: str, by: str) -> Column:
         return F.coalesce(F.try_divide(F.col(of).cast("double"), F.col(by).cast("double")), F.lit(0.0))
@@ -115,9 +115,9 @@ def features() -> dict[str, Column]:
         "symbols_per_word": share("n_symbols", "n_words"),
         "marks_per_word": share("n_marks", "n_words"),
         "capitals": share("n_upper", "word_chars"),
+        "same_as_before": share("n_again", "n_words"),
         "repeats": share("n_repeat_words", "n_words"),
         "distinct": share("n_distinct", "n_words"),
-        "same_as_before": share("n_again", "n_words"),
         "repeated_lines": F.col("n_dup_lines").cast("double"),
     }
 
@@ -164,6 +164,11 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, limits: dict[str, np.ndarray
                     best, gain = Condition(name, above, float(limits[name][k])), float(g[k])
         if best is None:
             break
+        # Half-way to the nearest value beyond, so that a rule doesn't cling to what the rows left happen to show.
+        own = x[best.feature][on]
+        low, high = own[own <= best.limit], own[own > best.limit]
+        if len(low) and len(high):
+            best = Condition(best.feature, best.above, float((low.max() + high.min()) / 2))
         rule += (best,)
         on &= best.holds(x)
     return rule
@@ -180,17 +185,25 @@ def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
 
 
+def thresholds(values: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Quantiles of all values and of the bad rows', and the values at which either kind ends."""
+    steps = np.linspace(0, 1, STEPS + 1)
+    out = [np.quantile(v, steps) for v in (values, values[bad]) if len(v)]
+    for a, b in ((values[bad], values[~bad]), (values[~bad], values[bad])):
+        if len(a) and len(b):
+            below = b[b < a.min()]
+            out += [[a.max()], [below.max()] if len(below) else []]
+    return np.unique(np.concatenate([np.asarray(v, float) for v in out])) if out else np.zeros(1)
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 11) -> list[Rule]:
     """Rules for bad rows, in order."""
     rng = np.random.default_rng(seed)
-    limits = {name: np.unique(np.quantile(v, np.linspace(0, 1, STEPS + 1))) if len(v) else np.zeros(1) for name, v in x.items()}
-    bad_part = {name: np.unique(np.quantile(v[bad], np.linspace(0, 1, STEPS + 1))) for name, v in x.items()} if bad.any() else limits
-    limits = {name: np.union1d(limits[name], bad_part[name]) for name in x}
     left, rules = np.arange(len(bad)), []
     while len(rules) < RULES and bad[left].any():
         turn = rng.permutation(len(left)) % 3 > 0
         teach, test = left[turn], left[~turn]
-        rule = grow({k: v[teach] for k, v in x.items()}, bad[teach], limits)
+        rule = grow({k: v[teach] for k, v in x.items()}, bad[teach], {k: thresholds(v[teach], bad[teach]) for k, v in x.items()})
         if not rule:
             break
         rule = prune(rule, {k: v[test] for k, v in x.items()}, bad[test])
