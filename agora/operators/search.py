@@ -183,7 +183,7 @@ def centroid_audit(vectors: DataFrame, group: str) -> DataFrame:
     each = vectors.select("vec_id", F.col(group).alias("g"), F.posexplode("embedding").alias("d", "x"))
     sums = each.groupBy("g", "d").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
     total = sums.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("v"), F.max("n").alias("n")).select(F.col("g").alias("c"), F.col("v.s").alias("sum"), "n")
-    pairs = vectors.crossJoin(F.broadcast(total))  # vectors times the few groups
+    pairs = vectors.crossJoin(total)  # vectors times the few groups
     own = F.col(group) == F.col("c")
     rest = F.when(own, F.zip_with("sum", "embedding", lambda s, x: s - x.cast("double"))).otherwise(F.col("sum"))
     scored = pairs.where(~(own & (F.col("n") < 2))).withColumn("rest", rest).withColumn("similarity", cosine("embedding", "rest"))
