@@ -11,6 +11,7 @@ since their total grows with the corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from agora.llm.components import components
 from agora.llm.runtime import chunks, release, small_batches, table, text_of
-from agora.llm.textkernel import mix, spanning
+from agora.llm.textkernel import spanning
 
 #: Blocks that two fingerprints within the radius surely agree in, of as many more as the radius has bits.
 AGREE = 2
@@ -124,17 +125,13 @@ class Forest:
             at, node = np.repeat(at, size), self.child[inside]
 
 
-def links(rows: pa.Table, radius: int, pairs: bool) -> pa.RecordBatch:
-    """A spanning forest of the links within whole shards; rows: unit, tree boolean, query boolean, fp, node.
-
-    With ``pairs``, each node's link to the first other node within the radius instead.
-    """
+def links(rows: pa.Table, radius: int) -> pa.RecordBatch:
+    """A spanning forest of the links within whole shards; rows: unit, tree boolean, query boolean, fp, node."""
     fp = rows.column("fp").to_numpy().view(np.uint64)
     ident = rows.column("node").to_numpy()
     _, unit = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
     tree, query = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("tree", "query"))
     a = b = np.zeros(0, np.int64)
-    first = np.full(len(fp), len(fp))
     if len(tree) and len(query):
         units = int(unit.max()) + 1
         forest = Forest(fp[tree], unit[tree])
@@ -143,17 +140,12 @@ def links(rows: pa.Table, radius: int, pairs: bool) -> pa.RecordBatch:
             part = query[k : k + PIECE]
             for at, node in forest.within(fp[part], unit[part], radius):
                 x, y = part[at], tree[node]
-                if pairs:
-                    x, y = x[x != y], y[x != y]
-                    np.minimum.at(first, x, y)
-                    np.minimum.at(first, y, x)
-                    continue
                 a, b = np.concatenate([a, x[x != y]]), np.concatenate([b, y[x != y]])
                 if len(a) > 4 * len(fp) + 100_000:
                     label = spanning(a, b, len(fp))
                     a = np.flatnonzero(label != np.arange(len(fp)))
                     b = label[a]
-    label = np.where(first < len(fp), first, np.arange(len(fp))) if pairs else spanning(a, b, len(fp))
+    label = spanning(a, b, len(fp))
     a = np.flatnonzero(label != np.arange(len(fp)))
     return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[label[a]])], names=["a", "b"])
 
@@ -181,24 +173,17 @@ def whole_units(batches: Iterator[pa.RecordBatch], limit: int = FOREST) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE, pairs: bool = False) -> DataFrame:
-    """a, b: links of fingerprints (fp, node long, each fp once in a ``kind``) that differ in at most ``radius`` bits.
-
-    They are a spanning forest of each shard's links or, with ``pairs``, for each node of a shard one that it links with. Then
-    a node of a shard of several pieces, which so many fingerprints share only if they are near copies of few texts, is
-    compared with its own piece and the first one alone; each shard deals its pieces anew.
-    """
+def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFrame:
+    """a, b: a spanning forest of each shard's links of fingerprints (fp, node long, each fp once) that differ in at most
+    ``radius`` bits."""
     spark = nodes.sparkSession
-    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k), "kind").alias("key")) for k, m in enumerate(choices(radius))]))
-    nodes = nodes if "kind" in nodes.columns else nodes.withColumn("kind", F.lit(0))
-    dealt = nodes.select("fp", "node", "kind", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
+    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k)).alias("key")) for k, m in enumerate(choices(radius))]))
+    dealt = nodes.select("fp", "node", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
     shared = table(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("shard"), F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "shards")
     inside = dealt.join(shared, F.col("key") == F.col("shard")).withColumn("mine", F.pmod(F.xxhash64("fp", "key"), F.col("pieces")).cast("int"))
     every = F.sequence(F.lit(0), F.col("pieces") - 1)
-    first = F.when(F.col("mine") == 0, every).otherwise(F.array(F.lit(0), F.col("mine")))
-    other = F.explode(first if pairs else every)
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    units = inside.withColumn("other", other).select(
+    units = inside.withColumn("other", F.explode(every)).select(
         F.xxhash64("key", low, high).alias("unit"),
         (F.col("mine") == low).alias("tree"),
         (F.col("mine") == high).alias("query"),
@@ -208,7 +193,7 @@ def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE, pairs: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_units(batches):
-            yield links(rows, radius, pairs)
+            yield links(rows, radius)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
@@ -228,56 +213,223 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return own.join(table(named, "named"), F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "component_id")
 
 
-def profiles(docs: DataFrame, shingle: int, prints: int, sketch: int) -> DataFrame:
-    """doc_id, prints (fingerprints of the set of words under so many hash functions) and sketch (the least hashes, of 31 bits,
-    of the set of word shingles, in order) of every row."""
+def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
+    return np.unique(hashes(raw, shingle))
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, least: int = 8, most: int = 200_000) -> np.ndarray:
+    """Shingles that come often in a sample of the documents, rarest first. They only set the order of ``prefixes``, so that
+    the bounds cost no pair."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            found = np.concatenate([shingle_set(x.as_buffer().to_pybytes(), shingle) for x in text_of(chunk, "text")])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // sample))) == 0).select("doc_id", "text")
+    found = part.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    return found.column("h").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def needed(size: int, threshold: float) -> int:
+    """Shingles that a set of so many shares at least with any set that is alike."""
+    return math.ceil(threshold * size - 1e-9)
+
+
+def parities(own: np.ndarray) -> bytes:
+    """How many shingles fall on each bit, odd or even, with four to eight bits a shingle. Bits that differ between two sets
+    are at most as many as the shingles that only one of them has."""
+    bits = 64 << max(0, math.ceil(math.log2(max(len(own), 1) / 16)))
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """The parities on so many 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width), axis=0)
+
+
+def hopeful(own: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the others may be alike, by sizes and parities: no pair that is alike is ruled out."""
+    apart = np.bitwise_count(others ^ own).sum(axis=1, dtype=np.int64)
+    close = np.minimum(sizes, size) >= threshold * np.maximum(sizes, size) - 1e-9
+    return close & (apart <= (1 - threshold) / (1 + threshold) * (sizes + size) + 1e-6)
+
+
+def hopeful_rows(rows: pa.Table, threshold: float) -> list[pa.RecordBatch]:
+    """The rows of whole units that may be alike with one of another component there; rows: unit, tree boolean, query boolean,
+    node, root, size, bits."""
+    rows = rows.combine_chunks()
+    unit, root, size, tree, query = (rows.column(c).to_numpy() for c in ("unit", "root", "size", "tree", "query"))
+    bits = rows.column("bits").to_pylist()
+    width = np.array([len(x) // 8 for x in bits])
+    keep = np.zeros(len(unit), bool)
+    cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        for w in np.unique(width[lo:hi]).tolist():
+            at = lo + np.flatnonzero((width[lo:hi] == w) | (width[lo:hi] == 2 * w))  # sizes further apart are never alike
+            if len(at) < 2:
+                continue
+            maps = np.stack([folded(bits[k], w) for k in at])
+            for k in np.flatnonzero(width[at] == w):
+                i = at[k]
+                ok = hopeful(maps[k], size[i], maps, size[at], threshold) & (root[at] != root[i]) & ((tree[i] & query[at]) | (query[i] & tree[at]))
+                keep[at[ok]] = True
+                keep[i] |= ok.any()
+    return rows.select(["unit", "tree", "query", "node", "root"]).filter(pa.array(keep)).to_batches()
+
+
+def prefixes(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """doc_id, same (a hash of the shingle set), size, bits (parities) and prefix of every row: of the set, common shingles last, so many that
+    any two sets that are alike have one of their prefixes' shingles in common."""
+    common = common_shingles(docs, shingle)
+    order = np.argsort(common)
+    common = common[order]
     small_batches(docs.sparkSession)
 
-    def profile(raw: bytes) -> tuple[list[int], np.ndarray]:
-        own = np.array([xxh64_intdigest(w) for w in set(raw.translate(LOWER).split())], np.uint64)
-        found = [majority(mix(own + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(1, prints + 1)]
-        return found, np.unique(hashes(raw, shingle) >> np.uint64(33))[:sketch].astype(np.int32)
+    def prefix(own: np.ndarray) -> np.ndarray:
+        length = len(own) - needed(len(own), threshold) + 1 if len(own) else 0
+        at = np.searchsorted(common, own)
+        often = np.zeros(len(own), bool)
+        inside = at < len(common)
+        often[inside] = common[at[inside]] == own[inside]
+        return np.concatenate([own[~often], own[often][np.argsort(order[at[often]])]])[:length]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            sets = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in text_of(chunk, "text")]
+            same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            size = pa.array(np.array([len(x) for x in sets], np.int32))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(same), size, pa.array([parities(x) for x in sets], pa.binary()), lists([prefix(x) for x in sets])], names=["doc_id", "same", "size", "bits", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, same long, size int, bits binary, prefix array<long>")
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32))
+    return pa.ListArray.from_arrays(edges, pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, set: all shingles of the documents that ``nodes`` (node, same) names."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
-            made = [profile(x.as_buffer().to_pybytes()) for x in text_of(chunk, "text")]
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * prints), pa.array(np.array([x[0] for x in made], np.uint64).ravel().view(np.int64)))
-            edges = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in made])]).astype(np.int32))
-            sketches = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[1] for x in made])))
-            yield pa.RecordBatch.from_arrays([chunk.column(0), fps, sketches], names=["doc_id", "prints", "sketch"])
+            sets = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in text_of(chunk, "text")]
+            same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(same), lists(sets)], names=["doc_id", "same_", "set"])
+
+    made = docs.join(nodes.select(F.col("node").alias("asked")), F.col("doc_id") == F.col("asked"), "left_semi").mapInArrow(run, "doc_id long, same_ long, set array<long>")
+    return made.join(nodes, (F.col("doc_id") == F.col("node")) & (F.col("same_") == F.col("same"))).groupBy("node").agg(F.first("set").alias("set"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prints array<long>, sketch array<int>")
 
+def cross_links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
+    """Links of alike sets of different components in whole units; rows: unit, tree boolean, query boolean, node, root, set.
 
-def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 3, prints: int = 6, sketch: int = 512) -> DataFrame:
+    A pair that links found before in the unit connect already isn't compared.
+    """
+    rows = rows.combine_chunks()
+    unit, node, root, tree, query = (rows.column(c).to_numpy() for c in ("unit", "node", "root", "tree", "query"))
+    column = rows.column("set").combine_chunks()
+    size = column.value_lengths().to_numpy().astype(np.int64)
+    values, ends = column.flatten().to_numpy(), np.cumsum(size)
+    a: list[int] = []
+    b: list[int] = []
+    cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi - lo < 2:
+            continue
+        begin = ends[lo] - size[lo]
+        _, word = np.unique(values[begin : ends[hi - 1]], return_inverse=True)
+        starts, n, label = ends[lo:hi] - size[lo:hi] - begin, size[lo:hi], root[lo:hi].copy()
+        mark = np.zeros(int(word.max()) + 1, np.int32)
+        later, asked = np.arange(hi - lo), query[lo:hi]
+        both = tree[lo:hi] & asked
+        for i in np.flatnonzero(tree[lo:hi]):
+            open_ = asked & (label != label[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9) & ~(both & both[i] & (later < i))
+            if not open_.any():
+                continue
+            own = word[starts[i] : starts[i] + n[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[word], starts)
+            mark[own] = 0
+            for j in np.flatnonzero(open_ & (shared >= threshold * (n + n[i] - shared) - 1e-9)):
+                if label[j] != label[i]:
+                    a.append(node[lo + i])
+                    b.append(node[lo + j])
+                    label[label == label[j]] = label[i]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, piece: int = 512) -> DataFrame:
     """doc_id, component_id for every row of ``docs`` with an id: groups of documents whose shingle sets are alike.
 
-    Candidates are documents with a fingerprint of their word sets within ``radius`` bits, under any of ``prints`` hash
-    functions: one changed word moves such a set far less than it moves the shingles. A candidate pair links if its
-    shingle sets have a Jaccard similarity of ``threshold`` or more, exact for sets of up to ``sketch`` shingles and
-    estimated from so many least hashes beyond. Null and empty texts are alike. Of each node only one candidate per shard
-    is verified, so that groups meet through their first members and no group's pairs are listed.
+    Documents link if their sets of word shingles have a Jaccard similarity of ``threshold`` or more, counted on whole sets.
+    Null and empty texts are alike. Two such sets share a shingle of their prefixes, so that the documents of each prefix
+    shingle are compared: first all with the least one, then, where these links leave several components, every pair of
+    different components, in units of two pieces of the shingle's documents. Whole sets go only to the pairs and units that
+    sizes and parities don't rule out. Of documents already connected no pair is listed.
     """
-    same = F.xxhash64("prints", "sketch")
-    own = table(profiles(docs.where("doc_id is not null"), shingle, prints, sketch).withColumn("same", same), "profiles")
-    nodes = table(own.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")), "nodes")
-    each = nodes.select("node", F.posexplode("prints").alias("kind", "fp"))
-    heads = table(each.groupBy("kind", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "heads")
-    equal = each.join(heads.where("first < last").select(F.col("kind").alias("kind_"), F.col("fp").alias("fp_"), "first"), (F.col("kind") == F.col("kind_")) & (F.col("fp") == F.col("fp_")) & (F.col("node") > F.col("first")))
-    near = near_links(heads.select("kind", "fp", F.col("first").alias("node")), radius, pairs=True)
-    pairs = equal.select(F.col("node").alias("x"), F.col("first").alias("y")).union(near)
-    pairs = table(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    sketches = table(own.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").select("doc_id", "same", "sketch").join(nodes.select(F.col("same").alias("same_"), "node"), (F.col("same") == F.col("same_")) & (F.col("doc_id") == F.col("node"))).groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
-    mine = sketches.select(F.col("node").alias("mine"), F.col("sketch").alias("sketch_a"))
-    other = sketches.select(F.col("node").alias("other"), F.col("sketch").alias("sketch_b"))
-    least = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, sketch)
-    common = F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "least")
-    alike = F.coalesce(F.size(common) >= threshold * F.size("least"), F.lit(False))
-    verified = table(pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).withColumn("least", least).where(alike).select("a", "b"), "links")
-    release(heads, pairs, sketches)
-    roots = components(verified).withColumnRenamed("node", "member")
-    named = table(nodes.join(roots, F.col("node") == F.col("member"), "left").select(F.col("same").alias("same_"), F.coalesce("root", "node").alias("component_id")), "named")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = table(prefixes(docs, shingle, threshold), "prefixes")
+    nodes = table(own.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "nodes")
+    each = nodes.select("node", "size", F.explode("prefix").alias("shingle"))
+    met = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    # Shingles with the same documents are one.
+    met = table(met.groupBy("n", "head", "last", "all").agg(F.min("shingle").alias("key")).select("key", "n", "head"), "met")
+    members = table(each.join(met, F.col("shingle") == F.col("key")).select("key", "n", "head", "node", "size"), "members")
+    maps = nodes.select(F.col("node").alias("member"), F.col("size").alias("size_"), "bits")
+
+    def whole_sets(asked: DataFrame) -> DataFrame:
+        return table(sets_of(docs, nodes.select("node", "same").join(asked, F.col("node") == F.col("asked"), "left_semi"), shingle), "sets")
+
+    close = F.least("size", "head.size") >= threshold * F.greatest("size", "head.size") - 1e-9
+    pairs = members.where((F.col("node") > F.col("head.node")) & close).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    mine = maps.select(F.col("member").alias("a_"), F.col("size_").alias("size_a"), F.col("bits").alias("bits_a"))
+    other = maps.select(F.col("member").alias("b_"), F.col("size_").alias("size_b"), F.col("bits").alias("bits_b"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                w = min(len(x), len(y)) // 8
+                keep.append(bool(hopeful(folded(x, w), n, folded(y, w)[None, :], np.array([m]), threshold)[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(mine, F.col("a") == F.col("a_")).join(other, F.col("b") == F.col("b_")).select("a", "b", "bits_a", "bits_b", "size_a", "size_b")
+    pairs = table(joined.mapInArrow(sift, "a long, b long"), "pairs")
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct())
+    mine, other = sets.select(F.col("node").alias("mine"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("other"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both >= threshold * (F.size("set_a") + F.size("set_b") - both) - 1e-9
+    stars = table(pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).where(alike).select("a", "b"), "stars")
+
+    roots = components(stars).withColumnRenamed("node", "member")
+    placed = table(members.where("n > 2").join(roots, F.col("node") == F.col("member"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("several"))
+    pieces = F.ceil(F.col("n") / piece).cast("int")
+    dealt = placed.join(several, F.col("key") == F.col("several"), "left_semi").withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(F.xxhash64("key", low, high).alias("unit"), (F.col("mine") == low).alias("tree"), (F.col("mine") == high).alias("query"), "node", "root")
+    units = units.join(maps, F.col("node") == F.col("member")).select("unit", "tree", "query", "node", "root", F.col("size_").alias("size"), "bits")
+
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_units(batches, 4 * piece):
+            yield from hopeful_rows(rows, threshold)
+
+    sifted = units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(rough, "unit long, tree boolean, query boolean, node long, root long")
+    units = table(sifted, "units")
+    rest = whole_sets(units.select(F.col("node").alias("asked")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_units(batches, piece):
+            yield cross_links(rows, threshold)
+
+    full = units.join(rest.select(F.col("node").alias("member"), "set"), F.col("node") == F.col("member")).drop("member")
+    crossed = table(full.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long"), "crossed")
+    joined = components(stars.union(crossed)).withColumnRenamed("node", "member")
+    named = table(nodes.join(joined, F.col("node") == F.col("member"), "left").select(F.col("same").alias("same_"), F.coalesce("root", "node").alias("component_id")), "named")
     found = table(own.select("doc_id", "same").join(named, F.col("same") == F.col("same_")).select("doc_id", "component_id"), "alike")
-    release(own, nodes, verified, named)
+    release(own, nodes, met, members, pairs, sets, stars, placed, units, rest, crossed, named)
     return found

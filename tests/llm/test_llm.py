@@ -247,6 +247,34 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(docs_of(spark, [])).count() == 0
 
 
+def alike_by_brute_force(rows):
+    """The component of each row's id; every pair is compared on whole sets of five-word shingles."""
+    sets = [set(zip(*[w[k:] for k in range(5)])) if len(w) > 5 else {tuple(w)} for w in (words(t.lower()) for _, t in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    a, b = np.array(pairs or np.zeros((0, 2), int)).T
+    label = spanning(a, b, len(rows))
+    return {rows[k][0]: rows[label[k]][0] for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("piece", [8, 512])
+def test_similar_documents_share_one_vocabulary(spark, piece):
+    """Permutations of one word list are near each other in words; each has copies among the others."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    bases = [rng.sample(vocabulary, 300) for _ in range(20)]
+    rows = []
+    for c in range(3):
+        for g, base in enumerate(bases):
+            own = list(base)
+            own[50 * c : 50 * c + c] = [f"n{c}"] * c
+            rows.append((20 * c + g, " ".join(own)))
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows += [(100 + k, passage + " " + " ".join(f"q{k // 2}x{j}" for j in range(4 + k % 2))) for k in range(40)]
+    wanted = alike_by_brute_force(rows)
+    assert len(set(wanted.values())) < 60
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows), piece=piece).collect()} == wanted
+
+
 # --- embeddings -----------------------------------------------------------------------------------------------------
 
 
