@@ -477,6 +477,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert 2003 in seen["best_fit_packing"]
 
 
+def test_pipeline_packs_every_row(spark):
+    docs = docs_of(spark, [(1, "some text"), (2, None), (3, ""), (4, "  "), (5, "\n")])
+    assert sorted(r.doc_id for r in corpus_pipeline.pack(spark, docs, "").collect()) == [1, 2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_run(spark, name):
     from tests.conftest import DATA
