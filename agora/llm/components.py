@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.runtime import release, table
+from agora.llm.runtime import release, same_table, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node points to its least neighbour below it, and its other neighbours below are joined to that one;
     once no node has two, the pointers form a forest, whose depth doubling halves. Rows are pre-aggregated before each
-    shuffle; no node's neighbours ever meet in one task. Null and self edges don't count; an empty table gives none.
+    shuffle; no node's neighbours ever meet in one task. Null and self edges don't count; an empty table gives none. The
+    result is a table of the shared folder, for the caller to release.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     known = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -29,16 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
         release(edges, stars)
         edges = joined
     release(edges)
-    up, before = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")), stars
+    roots = F.struct(F.col("lo").alias("node"), F.col("lo").alias("root"))
+    up = table(stars.select(F.inline(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("root")), roots))).groupBy("node").agg(F.min("root").alias("root")), "roots")
+    release(stars)
     while True:
         over = up.select(F.col("node").alias("via"), F.col("root").alias("higher"))
-        jumped = table(up.join(over, F.col("root") == F.col("via"), "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "roots")
-        release(before)
-        up, before = jumped.select("node", "root"), jumped
-        if jumped.where("moved").isEmpty():
-            return nodes_with_roots(up)
-
-
-def nodes_with_roots(up: DataFrame) -> DataFrame:
-    """Adds the roots themselves."""
-    return up.union(up.select(F.col("root").alias("node"), "root").distinct())
+        jumped = table(up.join(over, F.col("root") == F.col("via")).select("node", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")), "roots")
+        release(up)
+        up = jumped
+        if up.where("moved").isEmpty():
+            return same_table(up, up.drop("moved"))

@@ -2,14 +2,15 @@
 
 Lines are compared trimmed and with A-Z lower-cased. Two lines are within one edit if they are equal, if deleting one
 character of the longer gives the shorter, or if deleting the same position of both gives the same string. So every line
-emits itself and each of its one-character deletions as a hashed key; lines meet by equal keys, a minimum per key names the
-earliest, and Levenshtein's distance verifies the pair. Two exact filters spare most lines the full neighbourhood: lines
+emits itself and each of its one-character deletions as a hashed key of 124 bits; lines meet by equal keys, a minimum per
+key names the earliest, and Levenshtein's distance verifies the pair. Equal lines are those of one 128-bit BLAKE2 digest. Two exact filters spare most lines the full neighbourhood: lines
 within one edit share a half, and share all but one of ``PARTS`` parts, at a known place; lines that share none go no further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, offsets_of, prefilter_joins, release, small_batches, table, text_of
-from agora.llm.substring_dedup import keyed
-from agora.llm.textkernel import BASES, Rolling, mix, powers
+from agora.llm.runtime import chunks, keyed, offsets_of, release, table, text_of
+from agora.llm.textkernel import BLOCK, SHIFT, Rolling, mix, powers, reduced, runs, spread
 
 #: Lines with fewer characters are never dropped; without words to tell them apart they repeat by chance.
 MIN_CHARS = 20
@@ -40,7 +40,7 @@ class Lines:
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         bounds = heads[ends - ends[0]]
-        self.cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp).astype(np.uint64)
+        self.cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp).astype(np.uint32)
         breaks = np.flatnonzero(cp == 10)
         # A text's lines begin at its start and after each of its breaks; they end at each break and at its end.
         starts = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
@@ -53,7 +53,7 @@ class Lines:
         some = b > a
         self.start, self.end = starts.copy(), starts.copy()
         self.start[some], self.end[some] = solid[a[some]], solid[b[some] - 1] + 1
-        self.hash = Rolling(self.cp + np.uint64(1))
+        self.hash = Rolling(self.cp)
 
     def keep(self, mask: np.ndarray) -> None:
         self.doc, self.number, self.start, self.end = self.doc[mask], self.number[mask], self.start[mask], self.end[mask]
@@ -62,8 +62,9 @@ class Lines:
     def size(self) -> np.ndarray:
         return self.end - self.start
 
-    def whole(self) -> np.ndarray:
-        return mix(self.hash.of(self.start, self.end) + self.size.astype(np.uint64) * SIZE)
+    def digests(self) -> list[bytes]:
+        raw = self.cp.tobytes()
+        return [blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
 
     def shared_keys(self, parts: int) -> np.ndarray:
         """For lines of this size and of one more: hashes of all but one part, for each part."""
@@ -77,15 +78,20 @@ class Lines:
                 out.append(mix(mix(before + np.uint64((q + 1) * int(KIND) % (1 << 64))) + after * SIZE + size.astype(np.uint64)))
         return np.stack(out, axis=1)
 
-    def deletions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Line index, deleted position and hash of every one-character deletion."""
-        size = self.size
-        line = np.repeat(np.arange(len(size)), size)
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        cut = self.start[line] + at
-        before = self.hash.of(self.start[line], cut)
-        after = self.hash.of(cut + 1, self.end[line]) * powers(BASES[0], int(size.max()) + 1 if len(size) else 1)[at]
-        return line, at, mix(before + after + (size[line] - 1).astype(np.uint64) * SIZE)
+    def deletions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Line index and deleted position of every one-character deletion, so many at once that they fit in memory."""
+        for lo, hi in runs(self.size, BLOCK // 4):
+            line, at = np.repeat(np.arange(lo, hi), self.size[lo:hi]), spread(np.zeros(hi - lo, np.int64), self.size[lo:hi])
+            for k in range(0, len(line), BLOCK // 4):
+                yield line[k : k + BLOCK // 4], at[k : k + BLOCK // 4]
+
+    def without(self, line: np.ndarray, at: np.ndarray, h: Rolling) -> np.ndarray:
+        """Hashes of lines without the character at a position, or of whole lines where it is -1."""
+        start, end = self.start[line], self.end[line]
+        cut = np.where(at < 0, end, start + at)
+        rest = np.minimum(cut + 1, end)
+        a, b = (reduced(x + reduced(y * powers(base, int((cut - start).max(initial=0)) + 1)[cut - start])) for base, x, y in zip(h.bases, h.residues(start, cut), h.residues(rest, end), strict=True))
+        return mix(((a << SHIFT) | b) + ((end - start - (at >= 0)).astype(np.uint64) << np.uint64(40)))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -102,71 +108,94 @@ def all_lines(rows: DataFrame, min_chars: int) -> DataFrame:
             lines = Lines(text_of(chunk, "text"))
             lines.keep(lines.size >= min_chars)
             doc = pa.array(lines.doc)
-            yield pa.RecordBatch.from_arrays([chunk.column(0).take(doc), chunk.column(1).take(doc), pa.array(lines.number.astype(np.int32)), signed(lines.whole()), listed(lines.shared_keys(2))], names=["id", "row_key", "line", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0).take(doc), chunk.column(1).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.digests(), pa.binary()), listed(lines.shared_keys(2))], names=["id", "row_key", "line", "h", "keys"])
 
-    return rows.select("id", "row_key", "text").mapInArrow(run, "id long, row_key int, line int, h long, keys array<long>")
+    return rows.select("id", "row_key", "text").mapInArrow(run, "id long, row_key int, line int, h binary, keys array<long>")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """h and text of the lines whose numbers are in ``lines``."""
+    """n and text of the lines whose numbers are in ``lines``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
-            h, line = [], []
+            n, line = [], []
             for text, wanted in zip(text_of(chunk, "text").to_pylist(), chunk.column(1).to_pylist(), strict=True):
                 own = text.split("\n")
-                h += [x["h"] for x in wanted]
+                n += [x["n"] for x in wanted]
                 line += [own[x["line"]].strip(TRIM).translate(LOWER) for x in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string())], names=["h", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(line, pa.string())], names=["n", "text"])
 
-    return docs.select("text", "lines").mapInArrow(run, "h long, text string")
+    return docs.select("text", "lines").mapInArrow(run, "n long, text string")
 
 
 def part_keys(suspects: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             lines = Lines(text_of(chunk, "text"))
-            yield pa.RecordBatch.from_arrays([chunk.column(0), listed(lines.shared_keys(parts))], names=["h", "keys"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), listed(lines.shared_keys(parts))], names=["n", "keys"])
 
-    return suspects.select("h", "text").mapInArrow(run, "h long, keys array<long>")
+    return suspects.select("n", "text").mapInArrow(run, "n long, keys array<long>")
 
 
 def neighbourhood(suspects: DataFrame) -> DataFrame:
-    """variant, at (the deleted position, -1 for the line itself), h."""
+    """variant, check (its 124 bits), at (the deleted position, -1 for the line itself), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", 250_000):
             lines = Lines(text_of(chunk, "text"))
-            line, at, variant = lines.deletions()
-            line, at = np.concatenate([line, np.arange(chunk.num_rows)]), np.concatenate([at, np.full(chunk.num_rows, -1)])
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([variant, lines.whole()])), pa.array(at.astype(np.int32)), chunk.column(0).take(pa.array(line))], names=["variant", "at", "h"])
+            again = Rolling(lines.cp, 1)
+            every = np.arange(chunk.num_rows)
+            for line, at in ((every, np.full(len(every), -1)), *lines.deletions()):
+                yield pa.RecordBatch.from_arrays([signed(lines.without(line, at, lines.hash)), signed(lines.without(line, at, again)), pa.array(at.astype(np.int32)), chunk.column(0).take(pa.array(line))], names=["variant", "check", "at", "n"])
 
-    return suspects.select("h", "text").mapInArrow(run, "variant long, at int, h long")
+    return suspects.select("n", "text").mapInArrow(run, "variant long, check long, at int, n long")
 
 
 def sharing(keys: DataFrame) -> DataFrame:
-    """h of the distinct lines with a key that another line has, too."""
-    each = keys.select("h", F.explode("keys").alias("key"))
-    shared = table(each.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select(F.col("key").alias("shared")), "keys")
-    found = table(each.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct(), "sharing")
+    """n of the lines with a key that another line has, too."""
+    each = keys.select("n", F.explode("keys").alias("key"))
+    shared = table(each.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select(F.col("key").alias("shared")), "keys")
+    found = table(each.join(shared, F.col("key") == F.col("shared"), "left_semi").select("n").distinct(), "sharing")
     release(shared)
     return found
 
 
 def nearest_earlier(variants: DataFrame) -> DataFrame:
-    """h and partner: of the lines that meet ``h`` (with ``first``, its first place) in a variant, the earliest, if earlier.
+    """n and partner: of the lines that meet line ``n`` (with ``first``, its first place) in a variant, the earliest, if earlier.
 
     A variant is shared by lines of one length at most two edits apart: their number is bounded by that length times the
     alphabet, since only distinct lines come here.
     """
-    me = F.struct("first", "h")
-    of_variant = Window.partitionBy("variant")
-    same_place = Window.partitionBy("variant", "at")
+    me = F.struct("first", "n")
+    of_variant = Window.partitionBy("variant", "check")
+    same_place = Window.partitionBy("variant", "check", "at")
     itself = F.min(F.when(F.col("at") < 0, me)).over(of_variant)
     shorter = F.min(F.when(F.col("at") >= 0, me)).over(of_variant)
-    met = variants.repartition("variant").withColumn("itself", itself).withColumn("shorter", shorter).withColumn("there", F.min(me).over(same_place))
+    met = variants.repartition("variant", "check").withColumn("itself", itself).withColumn("shorter", shorter).withColumn("there", F.min(me).over(same_place))
     partner = F.when(F.col("at") < 0, F.col("shorter")).otherwise(F.least("itself", "there"))
-    return met.withColumn("partner", partner).where(F.col("partner.first") < F.col("first")).select("h", F.col("partner.h").alias("partner")).distinct()
+    return met.withColumn("partner", partner).where(F.col("partner.first") < F.col("first")).select("n", F.col("partner.n").alias("partner")).distinct()
+
+
+def near_lines(known: DataFrame, distinct: DataFrame, bound: int, parts: int) -> DataFrame:
+    """near: the distinct lines (n, first, keys) with another, earlier one within ``bound`` edits."""
+    firsts = distinct.select(F.col("n").alias("n_"), "first")
+    suspects = sharing(distinct.select("n", "keys"))
+    wanted = F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("n_").alias("n"))).alias("lines")
+    at = firsts.join(suspects, F.col("n_") == F.col("n"), "left_semi").groupBy(F.col("first.id").alias("id_"), F.col("first.row_key").alias("key_")).agg(wanted)
+    at = table(at, "suspects")
+    docs = known.select("id", "row_key", "text").join(at.where(F.size("lines") > 0).hint("merge"), (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
+    # Rows repeated as a whole give their lines repeatedly.
+    raw = table(texts_of(docs).dropDuplicates(["n"]), "texts")
+    alike = sharing(part_keys(raw, parts))
+    texts = table(raw.join(alike, "n", "left_semi").join(firsts, F.col("n") == F.col("n_")).select("n", "first", "text"), "texts")
+    variants = neighbourhood(texts).join(texts.select(F.col("n").alias("n_"), "first"), F.col("n") == F.col("n_")).select("variant", "check", "at", "n", "first")
+    pairs = table(nearest_earlier(variants), "pairs")
+    mine = texts.select(F.col("n").alias("mine"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("n").alias("other"), F.col("text").alias("text_b"))
+    verified = pairs.join(mine, F.col("n") == F.col("mine")).join(other, F.col("partner") == F.col("other")).where(F.levenshtein("text_a", "text_b", bound).between(0, bound))
+    near = table(verified.select(F.col("n").alias("near")).distinct(), "near")
+    release(suspects, at, raw, alike, texts, pairs)
+    return near
 
 
 def decisions(rows: DataFrame, bound: int, min_chars: int, parts: int = PARTS) -> DataFrame:
@@ -174,35 +203,19 @@ def decisions(rows: DataFrame, bound: int, min_chars: int, parts: int = PARTS) -
     known = rows.where("id is not null")
     lines = table(all_lines(known, min_chars), "lines")
     place = F.struct("id", "line", "row_key")
-    distinct = table(lines.groupBy("h").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
-    firsts = distinct.select(F.col("h").alias("h_"), "first")
-    near, read = None, [lines, distinct]
+    each = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
+    distinct = table(each.withColumn("n", F.monotonically_increasing_id()), "distinct")
+    firsts, read = distinct.select(F.col("h").alias("h_"), "first", "n"), [lines, distinct]
     if bound:
-        suspects = sharing(distinct.select("h", "keys"))
-        read.append(suspects)
-        suspects = suspects.withColumnRenamed("h", "suspect")
-        at = firsts.join(suspects, F.col("h_") == F.col("suspect"), "left_semi").groupBy(F.col("first.id").alias("id_"), F.col("first.row_key").alias("key_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("h_").alias("h"))).alias("lines"))
-        at = table(at, "suspects").where(F.size("lines") > 0).hint("merge")
-        docs = known.select("id", "row_key", "text").join(at, (F.col("id") == F.col("id_")) & (F.col("row_key") == F.col("key_")))
-        # Rows repeated as a whole give their lines repeatedly.
-        texts = table(texts_of(docs).dropDuplicates(["h"]), "texts")
-        alike = sharing(part_keys(texts, parts)).withColumnRenamed("h", "suspect")
-        texts = table(texts.join(alike, F.col("h") == F.col("suspect"), "left_semi").join(firsts, F.col("h") == F.col("h_")).select("h", "first", "text"), "texts")
-        variants = neighbourhood(texts).join(texts.select(F.col("h").alias("h_"), "first"), F.col("h") == F.col("h_")).select("variant", "at", "h", "first")
-        pairs = table(nearest_earlier(variants), "pairs")
-        mine = texts.select(F.col("h").alias("mine"), F.col("text").alias("text_a"))
-        other = texts.select(F.col("h").alias("other"), F.col("text").alias("text_b"))
-        verified = pairs.join(mine, F.col("h") == F.col("mine")).join(other, F.col("partner") == F.col("other")).where(F.levenshtein("text_a", "text_b", bound).between(0, bound))
-        near = table(verified.select(F.col("h").alias("near")).distinct(), "near")
-        release(pairs)
-        read += [texts, near]
-    if near is None:
-        verdicts = firsts.withColumn("goes", F.lit(False))
+        near = near_lines(known, distinct, bound, parts)
+        read.append(near)
+        verdicts = firsts.join(near, F.col("n") == F.col("near"), "left").select("h_", "first", F.col("near").isNotNull().alias("goes"))
     else:
-        verdicts = firsts.join(near, F.col("h_") == F.col("near"), "left").select("h_", "first", F.col("near").isNotNull().alias("goes"))
-    gone = lines.join(table(verdicts, "verdicts"), F.col("h") == F.col("h_")).where(F.col("goes") | (place != F.col("first")))
+        verdicts = firsts.select("h_", "first", F.lit(False).alias("goes"))
+    verdicts = table(verdicts, "verdicts")
+    gone = lines.join(verdicts, F.col("h") == F.col("h_")).where(F.col("goes") | (place != F.col("first")))
     dropped = table(gone.groupBy(F.col("id").alias("of_id"), F.col("row_key").alias("of_key")).agg(F.collect_set("line").alias("dropped")), "dropped")
-    release(*read)
+    release(*read, verdicts)
     return dropped
 
 
@@ -216,8 +229,6 @@ def dedup(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS) -> DataFr
     """
     if bound not in (0, 1):
         raise ValueError("the bound is 0 or 1 edits")
-    small_batches(docs.sparkSession)
-    prefilter_joins(docs.sparkSession)
     rows = keyed(docs)
     joined = rows.join(decisions(rows, bound, min_chars).hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("row_key") == F.col("of_key")), "left")
     lines = F.split("text", "\n", -1)

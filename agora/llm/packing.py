@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, small_batches, table, text_of
-from agora.llm.token_counts import unit_table
+from agora.llm.runtime import chunks, release, table, text_of
+from agora.llm.token_counts import pretoken_table
 
 #: Documents of a group at most, on average: what one task packs at once.
 GROUP = 8192
@@ -37,13 +37,12 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Every document's pieces with the CRC-32 of their ids. Null texts are empty; each row counts, repeated or not."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             rows = []
-            for doc_id, ids in zip(chunk.column(0).to_pylist(), unit_table(vocab_path).encode(text_of(chunk, "text")), strict=True):
+            for doc_id, ids in zip(chunk.column(0).to_pylist(), pretoken_table(vocab_path).encode(text_of(chunk, "text")), strict=True):
                 raw = ids.tobytes() + np.array([end_id], "<u4").tobytes()
                 rows += [(doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(ids) + 1, capacity))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -121,7 +120,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 2
     full = F.col("length") == capacity
     one = F.xxhash64("doc_id", "piece", "ids_crc32")
     ready = cut.where(full).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    open_, done = cut.where(~full), []
+    open_, done, read = cut.where(~full), [], [cut]
     for k in range(rounds + 1):
         n = open_.count()
         if not n:
@@ -130,10 +129,13 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 2
         last = k == rounds or groups == 1
         dealt = open_.withColumn("slot", F.pmod(F.xxhash64(one, F.lit(k)), F.lit(groups)).cast("long") + (k << 24))
         placed = table(dealt.groupBy("slot").applyInPandas(packer(capacity, last), PLACED), "packed")
+        read.append(placed)
         done.append(placed.where("done").select(*cut.columns, (F.col("bin") + (1 << 61)).alias("sequence_id"), F.col("at").alias("offset")))
         open_ = placed.where(~F.col("done")).select(*cut.columns)
         if last:
             break
     for part in done:
         ready = ready.unionByName(part)
-    return ready
+    packed = table(ready, "sequences")
+    release(*read)
+    return packed

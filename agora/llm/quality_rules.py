@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, small_batches, text_of
-from agora.llm.textkernel import Rolling, mix, words
+from agora.llm.runtime import chunks, in_rows, text_of
+from agora.llm.textkernel import exact_ids, window_ids, words
 
 #: Labelled rows that a list is learned from at most, and thresholds tried per statistic.
 ROWS, STEPS = 20_000, 64
@@ -50,20 +50,19 @@ def text_counts(texts: pa.Array) -> np.ndarray:
     data, bounds = w.data, w.bounds
     n, total = len(bounds) - 1, len(w.starts)
     doc = w.doc()
-    salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    hashes = w.hashes()
+    ids = exact_ids(data, w.starts, w.ends)
     at = np.arange(total)
     full = at + WINDOW <= w.first[1:][doc] if total else np.zeros(0, bool)
     start = at[full]
-    again, _ = repeated(mix(Rolling(hashes).of(start, start + WINDOW)) + salt[doc[start]])
+    again, _ = repeated(doc[start] * (total + 1) + window_ids(ids, start, WINDOW))
     marks = np.zeros(total + 1, np.int64)
     np.add.at(marks, start[again], 1)
     np.add.at(marks, start[again] + WINDOW, -1)
     inside = np.cumsum(marks)[:total] > 0
-    _, known = repeated(hashes + salt[doc])
+    _, known = repeated(doc * (total + 1) + ids)
     same = np.zeros(total, bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    same[1:] = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
     # Lines: stretches between breaks; only those with a word count.
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
@@ -71,8 +70,7 @@ def text_counts(texts: pa.Array) -> np.ndarray:
     line_doc = np.sort(np.concatenate([np.arange(n), np.searchsorted(bounds, breaks, side="right") - 1]), kind="stable")
     worded = np.searchsorted(w.starts, stops) > np.searchsorted(w.starts, starts)
     starts, stops, line_doc = starts[worded], stops[worded], line_doc[worded]
-    lines = mix(Rolling(data.astype(np.uint64) + np.uint64(1)).of(starts, stops) + (stops - starts).astype(np.uint64)) + salt[line_doc]
-    _, dup = repeated(lines)
+    _, dup = repeated(line_doc * (len(starts) + 1) + exact_ids(data, starts, stops))
     size = heads[w.ends] - heads[w.starts]
     columns = [
         w.counts,
@@ -91,8 +89,7 @@ def text_counts(texts: pa.Array) -> np.ndarray:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """row (the columns of ``docs``) and COUNTS for every row; null texts have none of anything."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    rows = in_rows(docs)
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

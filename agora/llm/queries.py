@@ -48,8 +48,8 @@ def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("nbest", lambda x: F.crc32(x["ids"])).alias("ids_crc32"),
         best.alias("ids"),
     )
-    back = F.sha2("decoded", 256) == F.col("text_sha256")
-    return decode(digests, model).select("doc_id", "n_pieces", "scores", "ids_crc32", back.alias("round_trip"))
+    back = F.sha2("decoded", 256) == F.col("row.text_sha256")
+    return decode(digests, model).select("row.doc_id", "row.n_pieces", "row.scores", "row.ids_crc32", back.alias("round_trip"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +93,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.runtime import remove
     from agora.llm.warc import archive, deduplicate, records
 
-    return records(spark, deduplicate(spark, archive(read_table(spark, sf_dir, "pages"))))
+    raw = archive(read_table(spark, sf_dir, "pages"))
+    resolved = deduplicate(spark, raw)
+    found = records(spark, resolved)
+    remove(spark, raw, resolved)
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds at once in numpy form (a longer single text is held alone).
 CHUNK_BYTES = 500_000
+#: Tables of the shared folder that this process wrote and hasn't deleted.
+_live: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,44 +39,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table of the shared folder and read back: columnar, compressed, pruned on reading."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/agora-{name}-{uuid.uuid4().hex}"
+    _live.add(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.agora_path = path
     return back
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that ``table`` wrote, once everything that reads them is written itself."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.agora_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def same_table(df: DataFrame, view: DataFrame) -> DataFrame:
+    """``view``, which reads the table ``df`` alone and is released like it."""
+    view.agora_path = df.agora_path
+    return view
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: int = 8_000_000) -> None:
-    """Bounds the Arrow batches that Python workers get: by rows, and by bytes where Spark knows that setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def remove(spark: SparkSession, *paths: str) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _live.discard(name)
 
 
-def prefilter_joins(spark: SparkSession) -> None:
-    """Lets Spark filter the rows of a shuffled join's large side by a Bloom filter of the other side's keys.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written in it: what is made of them must be written by then."""
+    before = set(_live)
+    yield
+    remove(spark, *(_live - before))
 
-    Spark bounds the filter's bits, so that what is broadcast doesn't grow with the data.
-    """
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", True)
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` wrote, once everything that reads them is written itself."""
+    for df in tables:
+        remove(df.sparkSession, df.agora_path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +82,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The text column with null as the empty text, in its 32-bit form."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.string())
+    """A text column, of the batch or else of its ``row``, with null as the empty text, in its 32-bit form."""
+    at = batch.schema.get_field_index(column)
+    found = batch.column(at) if at >= 0 else pc.struct_field(batch.column(batch.schema.get_field_index("row")), column)
+    return pc.fill_null(found, "").cast(pa.string())
+
+
+def in_rows(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` gathered in ``row``, whatever their names."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """row, id, text and row_key, which tells rows with one id but other texts apart."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.hash(docs["doc_id"], docs["text"]).alias("row_key"), docs["text"].alias("text"))
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:
@@ -94,8 +107,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        if not any(f.name == column for f in batch.schema):
-            raise KeyError(column)
         ends = offsets_of(text_of(batch, column))
         at = 0
         while at < batch.num_rows:
@@ -115,13 +126,3 @@ def by_chunk(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 yield made
 
     return run
-
-
-def row_key() -> F.Column:
-    """Tells apart rows that repeat a doc_id with another text; equal rows have equal keys."""
-    return F.xxhash64("doc_id", "text")
-
-
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key and text of the documents that have an id, always the same plan so that Spark shuffles it once."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()).withColumn("row_key", row_key())

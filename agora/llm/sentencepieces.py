@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, offsets_of, small_batches, text_of
-from agora.llm.textkernel import HashSlots, Rolling, mix
+from agora.llm.runtime import chunks, in_rows, offsets_of, text_of
+from agora.llm.textkernel import Memo
 
 #: Slots of a worker's table of parts, half of which fill before it starts anew (only speed depends on it).
 PART_SLOTS = 1 << 20
 MARK = "▁"
+#: Stands for that character where a text has it itself, which no text can contain.
+LITERAL = "\ud800"
 #: Fixed value: what a character without piece costs beyond the least score.
 UNKNOWN = 10.0
 
@@ -56,14 +58,12 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self.clear()
+        self.memo = Memo(PART_SLOTS, np.uint32, self.clear)
 
-    def clear(self) -> None:
-        self.index = HashSlots(PART_SLOTS)
-        self.entry = np.zeros(PART_SLOTS, np.int32)
+    def clear(self, memo: Memo) -> None:
         self.best: list[bytes] = []
         self.others: list[list[tuple[float, bytes]]] = []
-        self.score, self.loss, self.size = (np.zeros(PART_SLOTS // 2 + 1) for _ in range(3))
+        self.score, self.loss = (np.zeros(memo.room // 2) for _ in range(2))
 
     def search(self, part: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of a part with their scores, best first."""
@@ -86,7 +86,7 @@ class Pieces:
                     if total > best[j]:
                         best[j] = total
             if not single:
-                spelt = b"".join(self.packed[self.bytes[x]] for x in part[i].encode())
+                spelt = b"".join(self.packed[self.bytes[x]] for x in (MARK if part[i] == LITERAL else part[i]).encode())
                 into[i + 1].append((here + self.unknown, i, self.unknown, spelt))
                 best[i + 1] = max(best[i + 1], here + self.unknown)
         # Each open path stands for segmentations of its own, and its cost is that of the best of them: no more open paths
@@ -120,12 +120,12 @@ class Pieces:
         """Code points of all texts, each with the space that the model puts in front; each part's start, and the end of
         all; the index of each text's first part."""
         size = np.diff(offsets_of(texts)) > 0
-        spaced = [MARK + t.replace(" ", MARK) if t else "" for t in texts.to_pylist()]
-        cp = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32).astype(np.int64)
+        spaced = [MARK + t.replace(MARK, LITERAL).replace(" ", MARK) if t else "" for t in texts.to_pylist()]
+        cp = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in spaced])])
         if not len(cp):
             return cp, np.zeros(1, np.int64), np.zeros(len(bounds), np.int64)
-        pair = (cp[:-1] << 21) | cp[1:]
+        pair = (cp[:-1].astype(np.int64) << 21) | cp[1:]
         at = np.searchsorted(self.pairs, pair)
         mark = np.ones(len(cp), bool)
         mark[1:] = self.pairs[np.minimum(at, len(self.pairs) - 1)] != pair
@@ -136,32 +136,17 @@ class Pieces:
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The entry of each part, and the index of each text's first part."""
         cp, edges, first = self.parts(texts)
-        starts, ends = edges[:-1], edges[1:]
-        h = mix(Rolling(cp.astype(np.uint64) + np.uint64(1)).of(starts, ends) + (ends - starts).astype(np.uint64))
-        h[h == 0] = 1
-        slot = self.index.find(h)
-        new = np.flatnonzero(self.index.keys[slot] == 0)
-        if len(new):
-            fresh, where = np.unique(h[new], return_index=True)
-            if 2 * (self.index.filled + len(fresh)) > PART_SLOTS and self.index.filled:
-                self.clear()
-                return self.find(texts)
-            base = len(self.best)
-            if base + len(fresh) > len(self.score):
-                self.score, self.loss, self.size = (np.concatenate([x, np.zeros(base + len(fresh))]) for x in (self.score, self.loss, self.size))
-            text = cp.astype(np.uint32).tobytes().decode("utf-32-le")
-            for k, (a, b) in enumerate(zip(starts[new[where]].tolist(), ends[new[where]].tolist(), strict=True)):
+
+        def learn(starts: np.ndarray, ends: np.ndarray) -> None:
+            text = cp.tobytes().decode("utf-32-le", "surrogatepass")
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 found = self.search(text[a:b])
+                self.score[len(self.best)] = found[0][0]
+                self.loss[len(self.best)] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
                 self.best.append(found[0][1])
                 self.others.append(found[1:])
-                self.score[base + k] = found[0][0]
-                self.loss[base + k] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-            if 2 * (self.index.filled + len(fresh)) <= PART_SLOTS:
-                self.entry[self.index.claim(fresh)] = np.arange(base, base + len(fresh))
-                slot = self.index.find(h)
-            else:  # one text with more parts than the table holds
-                return base + np.searchsorted(fresh, h), first
-        return self.entry[slot], first
+
+        return self.memo.find(cp, edges[:-1], edges[1:], learn), first
 
     def segment(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
         """The N best of each text: score and ids, as little-endian unsigned 32-bit numbers."""
@@ -216,12 +201,12 @@ def pieces(path: str, n: int) -> Pieces:
 def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
     """row (the columns of ``docs``) and nbest, an array of up to ``n`` (score, ids), best first, for every row.
 
-    Scores are sums of the model's piece scores. ids are packed as little-endian unsigned 32-bit numbers; a character
-    without piece is spelt in byte pieces. Null and empty texts have one segmentation, of no pieces and score 0. Repeated
+    Scores are sums of the model's piece scores, in a BPE model the negative ranks of its merges, so that the best are those
+    of the least sum of ranks, not the model's own merging. ids are packed as little-endian unsigned 32-bit numbers; a
+    character without piece is spelt in byte pieces, and so is U+2581, which stands for the space in pieces. Null and empty texts have one segmentation, of no pieces and score 0. Repeated
     rows and null ids are passed on; equal scores keep the order in which the search meets them.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    rows = in_rows(docs)
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("nbest array<struct<score: double, ids: binary>>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +221,17 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Adds decoded, the text of the packed ``ids``, to every row; null ids give null, no ids the empty text."""
+    """row (the columns of ``encoded``) and decoded, the text of its packed ``ids``; null ids give null, no ids the empty text.
+
+    Ids of ``segment`` give back the text that it got. Repeated rows are decoded like others.
+    """
     rows = encoded.select(F.struct(*[encoded[c] for c in encoded.columns]).alias("row"), encoded["ids"].alias("ids"))
     schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(model_path, 1)
         for batch in batches:
-            model = pieces(model_path, 1)
             texts = [None if x is None else model.text(np.frombuffer(x, "<u4")).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "decoded")
+    return rows.mapInArrow(run, schema)

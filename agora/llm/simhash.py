@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from agora.llm.components import components
-from agora.llm.runtime import chunks, release, small_batches, table, text_of
+from agora.llm.runtime import chunks, release, table, text_of
 from agora.llm.textkernel import spanning
 
 #: Blocks that two fingerprints within the radius surely agree in, of as many more as the radius has bits.
@@ -62,7 +62,6 @@ def majority(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp, the 64 bits as a signed long; a null text has the fingerprint zero."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
@@ -176,7 +175,6 @@ def whole_units(batches: Iterator[pa.RecordBatch], limit: int = FOREST) -> Itera
 def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFrame:
     """a, b: a spanning forest of each shard's links of fingerprints (fp, node long, each fp once) that differ in at most
     ``radius`` bits."""
-    spark = nodes.sparkSession
     keys = F.explode(F.array(*[F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(k)).alias("key")) for k, m in enumerate(choices(radius))]))
     dealt = nodes.select("fp", "node", keys.alias("k")).select("fp", "node", F.col("k.key").alias("key"))
     shared = table(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("shard"), F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "shards")
@@ -195,8 +193,9 @@ def near_links(nodes: DataFrame, radius: int = 4, piece: int = PIECE) -> DataFra
         for rows in whole_units(batches):
             yield links(rows, radius)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
-    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
+    found = table(units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long"), "links")
+    release(shared)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -207,10 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     has none; they link nothing. Repeated doc_ids are returned as often as they come. Other columns are ignored.
     """
     own = table(fingerprints(docs, shingle), "fingerprints")
-    nodes = table(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "nodes").select("fp", F.col("first").alias("node"))
-    roots = components(table(near_links(nodes, radius), "links"))
+    kept = table(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = kept.select("fp", "node")
+    links_ = near_links(nodes, radius)
+    roots = components(links_)
     named = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.col("fp").alias("print"), F.coalesce("root", "node").alias("component_id"))
-    return own.join(table(named, "named"), F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "component_id")
+    named = table(named, "named")
+    found = table(own.join(named, F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "component_id"), "near")
+    release(own, kept, links_, named, roots)
+    return found
 
 
 def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
@@ -220,7 +224,6 @@ def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
 def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, least: int = 8, most: int = 200_000) -> np.ndarray:
     """Shingles that come often in a sample of the documents, rarest first. They only set the order of ``prefixes``, so that
     the bounds cost no pair."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
@@ -285,7 +288,6 @@ def prefixes(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     common = common_shingles(docs, shingle)
     order = np.argsort(common)
     common = common[order]
-    small_batches(docs.sparkSession)
 
     def prefix(own: np.ndarray) -> np.ndarray:
         length = len(own) - needed(len(own), threshold) + 1 if len(own) else 0
@@ -312,7 +314,6 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node, set: all shingles of the documents that ``nodes`` (node, same) names."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
@@ -405,7 +406,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     alike = both >= threshold * (F.size("set_a") + F.size("set_b") - both) - 1e-9
     stars = table(pairs.join(mine, F.col("a") == F.col("mine")).join(other, F.col("b") == F.col("other")).where(alike).select("a", "b"), "stars")
 
-    roots = components(stars).withColumnRenamed("node", "member")
+    starred = components(stars)
+    roots = starred.withColumnRenamed("node", "member")
     placed = table(members.where("n > 2").join(roots, F.col("node") == F.col("member"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("several"))
     pieces = F.ceil(F.col("n") / piece).cast("int")
@@ -428,8 +430,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
 
     full = units.join(rest.select(F.col("node").alias("member"), "set"), F.col("node") == F.col("member")).drop("member")
     crossed = table(full.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long"), "crossed")
-    joined = components(stars.union(crossed)).withColumnRenamed("node", "member")
-    named = table(nodes.join(joined, F.col("node") == F.col("member"), "left").select(F.col("same").alias("same_"), F.coalesce("root", "node").alias("component_id")), "named")
+    joined = components(stars.union(crossed))
+    named = table(nodes.join(joined.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.col("same").alias("same_"), F.coalesce("root", "node").alias("component_id")), "named")
     found = table(own.select("doc_id", "same").join(named, F.col("same") == F.col("same_")).select("doc_id", "component_id"), "alike")
-    release(own, nodes, met, members, pairs, sets, stars, placed, units, rest, crossed, named)
+    release(own, nodes, met, members, pairs, sets, stars, starred, placed, units, rest, crossed, named, joined)
     return found

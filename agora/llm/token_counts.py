@@ -2,8 +2,8 @@
 
 ``Vocabulary`` proves, once for a vocabulary file, which of its strings the library encodes alone as exactly one
 token. A text is cut into pre-tokens; those found among the proven strings are counted directly, and only the rest
-are merged by the library, each distinct one once while it stays in a bounded cache. ``UnitTable`` does so for chunks
-of texts with numpy: whatever a worker has encoded before is found again by its hash.
+are merged, each distinct one once while it stays in a bounded table. ``PreTokens`` does so for chunks of texts with
+numpy: it cuts by classes of code points, finds pre-tokens by hash and compares them byte by byte with what it knows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import by_chunk, offsets_of, small_batches, text_of
-from agora.llm.textkernel import SPACE, HashSlots, Rolling, mix
+from agora.llm.runtime import by_chunk, offsets_of, text_of
+from agora.llm.textkernel import Memo, spread, stretch_hashes
 
 #: Merged pre-tokens that a Python worker remembers; beyond it the cache starts anew (only speed depends on it).
 CACHE_ENTRIES = 200_000
-#: Slots of a worker's unit table, half of which fill before it starts anew (only speed depends on it).
-UNIT_SLOTS = 1 << 20
+#: Slots of a worker's table, half of which fill before it starts anew (only speed depends on it).
+SLOTS = 1 << 20
 #: The white space and the pre-token pattern of byte-level BPE files that split by the usual pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SHAPE = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
-#: Of those white characters, the ones beyond ASCII, for RE2.
-WIDE_WHITE = "\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 PRETOKEN = SHAPE.format(L=r"\p{L}", N=r"\p{N}", W=WHITE)
 #: Texts of code points below this one are cut by the standard library's faster engine with listed classes.
 LATIN = 0x250
@@ -183,114 +182,149 @@ class Vocabulary:
         return [len(pre) - len(odd) + sum(len(special[x] if x in special else merged[x]) // 4 for x in odd) for pre, odd in zip(cut, rest, strict=True)]
 
 
-class UnitTable:
-    """Ids of coarse units, looked up by 64-bit hash for a whole chunk of texts at once.
-
-    A unit is a run of non-white bytes with the single space before it, or a stretch of white space; every unit edge is
-    a pre-token edge, so that a text's ids are its units' ids in a row. The proven whole tokens are entered first; a unit
-    seen for the first time is cut into pre-tokens and encoded by ``Vocabulary``. Texts with special strings or with
-    white space beyond ASCII, where unit edges may not hold, go to ``Vocabulary`` whole.
+LETTER, NUMBER, BLANK = 1, 2, 3
+
+
+@cache
+def classes() -> np.ndarray:
+    """The class of every code point: letter, number, white space, or 0 for any other."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(chr(c) for c in range(0xD800)) + "\0" * 0x800 + "".join(chr(c) for c in range(0xE000, 0x110000))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, f"[{WHITE}]+")):
+        for found in regex.finditer(pattern, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def followed_by(cp: np.ndarray, at: np.ndarray, letters: str) -> np.ndarray:
+    """Whether ``letters`` come right after each place."""
+    out = np.ones(len(at), bool)
+    for k, c in enumerate(letters, 1):
+        out &= cp[np.minimum(at + k, len(cp) - 1)] == ord(c)
+        out &= at + k < len(cp)
+    return out
+
+
+def pretoken_edges(cp: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where the pattern's pre-tokens begin in texts of code points that begin at ``heads``."""
+    n = len(cp)
+    kind = classes()[cp]
+    head = np.zeros(n + 1, bool)
+    head[heads] = True
+    head[n] = True
+    begins = head[:n].copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    blank = kind == BLANK
+    # A run of white space is one pre-token but for its last character, if something follows it in the text; that one
+    # begins the next pre-token if it is a space.
+    before = np.zeros(n, bool)
+    before[:-1] = blank[:-1] & ~blank[1:] & ~head[1:n]
+    after_space = np.zeros(n, bool)
+    after_space[1:] = before[:-1] & (cp[:-1] == 32)
+    edge = (begins & ~after_space) | before
+    # An apostrophe that begins a pre-token takes certain letters along.
+    mark = np.flatnonzero(edge & (cp == 39))
+    within = np.searchsorted(np.append(heads, n), mark, side="right")
+    room = np.append(heads, n)[within] - mark - 1
+    for letters in ("s", "t", "re", "ve", "m", "ll", "d"):
+        at = mark[followed_by(cp, mark, letters) & (room >= len(letters))]
+        edge[at + 1] = False
+        end = at + 1 + len(letters)
+        end = end[end < n]
+        edge[end[(kind[end] == LETTER) & ~head[end]]] = True
+    return edge
+
+
+class PreTokens:
+    """Ids of pre-tokens, for a whole chunk of texts at once.
+
+    The proven whole tokens are entered first, each with its one id; a pre-token that isn't among them is merged when it
+    is seen for the first time. Texts with special strings go to ``Vocabulary`` whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary, slots: int = UNIT_SLOTS):
-        self.vocabulary, self.slots = vocabulary, slots
-        self.odd = "|".join(re.escape(x) for x in vocabulary.special)
-        self.clear()
+    def __init__(self, vocabulary: Vocabulary, slots: int = SLOTS):
+        self.vocabulary = vocabulary
+        self.memo = Memo(slots, np.uint8, self.proven)
 
-    def clear(self) -> None:
-        self.index = HashSlots(self.slots)
-        self.at = np.zeros(self.slots, np.int64)
-        self.size = np.zeros(self.slots, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+    def proven(self, memo: Memo) -> None:
+        self.ids, self.used, self.n = np.zeros(1 << 16, "<u4"), 0, 0
+        self.at, self.size = (np.zeros(memo.room // 2, np.int64) for _ in range(2))
         texts = pa.array(self.vocabulary.whole)
-        data, starts = np.frombuffer(texts.buffers()[2], np.uint8), offsets_of(texts)
-        self.enter(self.hashes(data, starts[:-1], starts[1:]), list(self.vocabulary.whole.values()))
-
-    @staticmethod
-    def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = mix(Rolling(data.astype(np.uint64) + np.uint64(1)).of(starts, ends) + (ends - starts).astype(np.uint64))
+        data, edges = np.frombuffer(texts.buffers()[2], np.uint8), offsets_of(texts)
+        h = stretch_hashes(data, edges[:-1], edges[1:], memo.turn)
         h[h == 0] = 1
-        return h
+        memo.enter(h, data, edges[:-1], edges[1:])
+        self.keep(list(self.vocabulary.whole.values()))
+
+    def keep(self, ids: list[bytes]) -> None:
+        """The ids of the next pre-tokens."""
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        new, before = slice(self.n, self.n + len(ids)), self.used
+        self.at[new], self.size[new] = before + np.cumsum(size) - size, size
+        self.used += int(size.sum())
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids[:before], np.zeros(2 * self.used - before, "<u4")])
+        self.ids[before : self.used] = np.frombuffer(b"".join(ids), "<u4")
+        self.n += len(ids)
 
     @staticmethod
-    def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes, each unit's start (and the end of all), the index of each text's first unit."""
+    def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, each pre-token's start (and the end of all), the index of each text's first pre-token."""
         ends = offsets_of(texts)
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
         bounds = ends - ends[0]
         if not len(data):
             return data, np.zeros(1, np.int64), np.zeros(len(bounds), np.int64)
-        white = SPACE[data]
-        head, tail = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        head[bounds[:-1][bounds[:-1] < len(data)]] = True
-        tail[bounds[1:][bounds[1:] > 0] - 1] = True
-        before, after = np.zeros_like(white), np.zeros_like(white)
-        before[1:], after[:-1] = white[:-1], white[1:]
-        spaced = np.zeros_like(white)
-        spaced[1:] = data[:-1] == 0x20
-        mark = head | (white & (~before | (~after & ~tail))) | (~white & before & ~spaced)
-        starts = np.flatnonzero(mark)
+        if data.max() < 128:
+            starts = np.flatnonzero(pretoken_edges(data, bounds[:-1][bounds[:-1] < len(data)]))
+        else:
+            cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            place = np.flatnonzero((data & 0xC0) != 0x80)
+            heads = np.searchsorted(place, bounds[:-1][bounds[:-1] < len(data)])
+            starts = place[pretoken_edges(cp, heads)]
         return data, np.append(starts, len(data)), np.searchsorted(starts, bounds)
 
-    def enter(self, h: np.ndarray, ids: list[bytes]) -> None:
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        at = self.used + np.cumsum(size) - size
-        self.used += int(size.sum())
-        if self.used > len(self.ids):
-            self.ids = np.concatenate([self.ids[: int(at[0])], np.zeros(2 * self.used - int(at[0]), "<u4")])
-        self.ids[int(at[0]) : self.used] = np.frombuffer(b"".join(ids), "<u4")
-        slot = self.index.claim(h)
-        self.at[slot], self.size[slot] = at, size
-
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of each unit of ``texts``, and the index of each text's first unit."""
-        data, edges, first = self.units(texts)
-        starts, ends = edges[:-1], edges[1:]
-        h = self.hashes(data, starts, ends)
-        slot = self.index.find(h)
-        new = np.flatnonzero(self.index.keys[slot] == 0)
-        if len(new):
-            fresh, where = np.unique(h[new], return_index=True)
-            if 2 * (self.index.filled + len(fresh)) > self.slots and self.index.filled > len(self.vocabulary.whole):
-                self.clear()
-                return self.find(texts)
-            while 2 * (self.index.filled + len(fresh)) > self.slots:
-                self.slots *= 2
-                self.clear()
+        """The number of each pre-token of ``texts``, and the index of each text's first one."""
+        data, edges, first = self.cut(texts)
+
+        def learn(starts: np.ndarray, ends: np.ndarray) -> None:
             raw = data.tobytes()
-            spans = np.stack([starts[new[where]], ends[new[where]]], axis=1)
-            spaced = (data[spans[:, 0]] == 0x20) & (spans[:, 1] - spans[:, 0] > 1) & ~SPACE[data[np.minimum(spans[:, 0] + 1, len(data) - 1)]]
-            for own in (np.flatnonzero(spaced), np.flatnonzero(~spaced)):
-                for k in range(0, len(own), 20_000):
-                    part = own[k : k + 20_000]
-                    self.enter(fresh[part], self.merge([raw[a:b] for a, b in spans[part].tolist()], bool(spaced[part[0]])))
-            slot = self.index.find(h)
-        return slot, first
-
-    def merge(self, units: list[bytes], spaced: bool) -> list[bytes]:
-        """The ids of each unit; spaced ones are cut apart again in whatever text they stand."""
-        if spaced and self.vocabulary.merger is not None:
-            ids = self.vocabulary.merger.encode_to_numpy(b"".join(units).decode(), disallowed_special=())
+            for lo in range(0, len(starts), 20_000):
+                self.keep(self.merge([raw[a:b] for a, b in zip(starts[lo : lo + 20_000].tolist(), ends[lo : lo + 20_000].tolist(), strict=True)]))
+
+        return self.memo.find(data, edges[:-1], edges[1:], learn), first
+
+    def merge(self, pretokens: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that aren't whole tokens; those behind a space are cut apart again wherever they stand."""
+        out: dict[int, bytes] = {}
+        if self.vocabulary.merger is not None:
+            spaced = [k for k, x in enumerate(pretokens) if x[0] == 32 and x.strip()]
+            ids = self.vocabulary.merger.encode_to_numpy(b"".join([pretokens[k] for k in spaced]).decode(), disallowed_special=())
             ends = np.concatenate([[0], np.cumsum(self.vocabulary.sizes[ids])])
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in units])])
+            edges = np.concatenate([[0], np.cumsum([len(pretokens[k]) for k in spaced])]).astype(np.int64)
             at = np.searchsorted(ends, edges)
             if np.array_equal(ends[at], edges):
                 packed = ids.astype("<u4").tobytes()
-                return [packed[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return list(self.vocabulary.encode([x.decode() for x in units]))
+                out = {k: packed[4 * a : 4 * b] for k, a, b in zip(spaced, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        rest = [k for k in range(len(pretokens)) if k not in out]
+        out.update(zip(rest, self.vocabulary.encode([pretokens[k].decode() for k in rest]), strict=True))
+        return [out[k] for k in range(len(pretokens))]
 
     def plain(self, texts: pa.Array) -> np.ndarray:
-        odd = pc.match_substring_regex(texts, f"[{WIDE_WHITE}]" + (f"|{self.odd}" if self.odd else ""))
-        return ~np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+        out = np.ones(len(texts), bool)
+        for special in self.vocabulary.special:
+            out &= ~np.asarray(pc.match_substring(texts, special).to_numpy(zero_copy_only=False), bool)
+        return out
 
     def count(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text."""
+        """Tokens of each text: one for each proven pre-token, the merged length for the others."""
         plain = self.plain(texts)
         out = np.zeros(len(texts), np.int64)
         if plain.any():
-            slot, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
-            sums = np.concatenate([[0], np.cumsum(self.size[slot])])
+            entry, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
+            sums = np.concatenate([[0], np.cumsum(self.size[entry])])
             out[plain] = np.diff(sums[first])
         if not plain.all():
             out[~plain] = self.vocabulary.count(texts.filter(pa.array(~plain)).to_pylist())
@@ -301,11 +335,10 @@ class UnitTable:
         plain = self.plain(texts)
         ids, ends, k = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
         if plain.any():
-            slot, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
-            size = self.size[slot].astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(size)])
-            ids = self.ids[np.repeat(self.at[slot] - sums[:-1], size) + np.arange(sums[-1])]
-            ends = sums[first]
+            entry, first = self.find(texts if plain.all() else texts.filter(pa.array(plain)))
+            size = self.size[entry]
+            ids = self.ids[spread(self.at[entry], size)]
+            ends = np.concatenate([[0], np.cumsum(size)])[first]
         for i, easy in enumerate(plain):
             if easy:
                 yield ids[ends[k] : ends[k + 1]]
@@ -314,14 +347,10 @@ class UnitTable:
                 yield np.frombuffer(next(iter(self.vocabulary.encode([texts[i].as_py()]))), "<u4")
 
 
-_loaded: dict[str, UnitTable] = {}
-
-
-def unit_table(path: str) -> UnitTable:
+@cache
+def pretoken_table(path: str) -> PreTokens:
     """One per Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = UnitTable(Vocabulary(path))
-    return _loaded[path]
+    return PreTokens(Vocabulary(path))
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512) -> DataFrame:
@@ -330,12 +359,11 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512) -> DataFram
     Nulls and empty texts have 0 bytes and 0 tokens; a null doc_id and repeated rows are passed on; other columns
     are ignored. ``vocab_path`` is a file that every executor has (a tokenizer package installed with Python).
     """
-    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def work(chunk: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_of(chunk, "text")
-        return pa.RecordBatch.from_arrays([chunk.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(unit_table(vocab_path).count(texts))], names=schema.names)
+        return pa.RecordBatch.from_arrays([chunk.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(pretoken_table(vocab_path).count(texts))], names=schema.names)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_chunk("text", work), schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

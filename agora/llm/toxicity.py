@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.llm.runtime import chunks, small_batches, text_of
-from agora.llm.textkernel import Rolling, Words, mix, words
+from agora.llm.runtime import chunks, in_rows, text_of
+from agora.llm.textkernel import Words, mix, stretch_hashes, words
 
 #: Labelled rows that a model is fitted on at most: toxic, others, and the characters of each of them.
 TOXIC_ROWS, OTHER_ROWS, ROW_CHARS = 2000, 3000, 60_000
-#: Words of a chain; longer texts are several chains.
-CHAIN = 64
-#: Chains that the field learns from at most, and its passes over them.
-CHAINS, PASSES = 16_000, 6
+#: Words of a block: what the field learns from, and the steps between which messages are carried through a text.
+BLOCK = 64
+#: Blocks that the field learns from at most, and its passes over them.
+BLOCKS, PASSES = 16_000, 6
 #: Share of words that it learns from by their place alone, so that it knows how seldom an unknown word is toxic.
 UNKNOWN = 0.15
 FEATURES = 1 << 18
@@ -52,38 +52,58 @@ class Model:
 def tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of letters and digits, their hashes, and the feature numbers of each (word, prefix, suffix)."""
     w = words(texts, BETWEEN)
-    rolling = Rolling(UPPER[w.data].astype(np.uint64) + np.uint64(1))
-    whole = mix(rolling.of(w.starts, w.ends) + (w.ends - w.starts).astype(np.uint64))
-    head = mix(rolling.of(w.starts, np.minimum(w.starts + 5, w.ends)) + np.uint64(101))
-    tail = mix(rolling.of(np.maximum(w.ends - 4, w.starts), w.ends) + np.uint64(211))
+    data = UPPER[w.data]
+    whole = stretch_hashes(data, w.starts, w.ends)
+    head = stretch_hashes(data, w.starts, np.minimum(w.starts + 5, w.ends)) + np.uint64(101)
+    tail = stretch_hashes(data, np.maximum(w.ends - 4, w.starts), w.ends) + np.uint64(211)
     size = np.uint64(FEATURES - 1)
     return w, whole, np.stack([(x % size).astype(np.int32) for x in (whole, head, tail)], axis=1)
 
 
-def chain_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words counted by text: each one's chain and place there, and the length of each chain."""
+def blocks_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words counted by text: each one's block and place there, the length of each block, the blocks of each text."""
     at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    chains = -(-counts // CHAIN)
-    chain = np.repeat(np.cumsum(chains) - chains, counts) + at // CHAIN
-    return chain, at % CHAIN, np.bincount(chain, minlength=int(chains.sum()))
+    n = -(-counts // BLOCK)
+    block = np.repeat(np.cumsum(n) - n, counts) + at // BLOCK
+    return block, at % BLOCK, np.bincount(block, minlength=int(n.sum())), n
 
 
-def messages(e: np.ndarray, length: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forward (with the place's own evidence) and backward log-odds; e: evidence by chain and place."""
+def messages(e: np.ndarray, length: np.ndarray, moves: np.ndarray, entry: np.ndarray | float, after: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the place's own evidence) and backward log-odds; e: evidence by block and place; entry: what each
+    block's first word has from before; after: what its last word has from behind."""
     n, width = e.shape
     a, b = np.empty_like(e), np.zeros_like(e)
     if not width:
         return a, b
-    a[:, 0] = e[:, 0] + start
+    a[:, 0] = e[:, 0] + entry
     for t in range(1, width):
-        a[:, t] = e[:, t] + np.logaddexp(moves[0, 1], a[:, t - 1] + moves[1, 1]) - np.logaddexp(moves[0, 0], a[:, t - 1] + moves[1, 0])
+        a[:, t] = e[:, t] + step(a[:, t - 1], moves)
+    b[:, width - 1] = after
     for t in range(width - 2, -1, -1):
-        after = e[:, t + 1] + b[:, t + 1]
-        back = np.logaddexp(moves[1, 0], moves[1, 1] + after) - np.logaddexp(moves[0, 0], moves[0, 1] + after)
-        b[:, t] = np.where(t + 1 < length, back, 0.0)
+        b[:, t] = np.where(t + 1 < length, step(e[:, t + 1] + b[:, t + 1], moves.T), after)
     return a, b
 
 
+def step(x: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log-odds after a move, from those before."""
+    return np.logaddexp(moves[0, 1], x + moves[1, 1]) - np.logaddexp(moves[0, 0], x + moves[1, 0])
+
+
+def transfers(e: np.ndarray, length: np.ndarray, moves: np.ndarray, first: np.ndarray, start: float) -> np.ndarray:
+    """For each block the product of its words' moves and evidence, scaled: a text's messages pass a block in one step."""
+    n, width = e.shape
+    move = np.exp(moves - moves.max())
+    opening = np.exp(np.array([[0.0, start]] * 2) - max(start, 0.0))
+    out = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    for t in range(width):
+        by = np.where(first[:, None, None], opening, move) if t == 0 else move
+        top = np.maximum(e[:, t], 0.0)
+        made = out @ by * np.exp(np.stack([-top, e[:, t] - top], axis=1))[:, None, :]
+        made /= made.max(axis=(1, 2), keepdims=True)
+        out = np.where((t < length)[:, None, None], made, out)
+    return out + 1e-300
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
 
@@ -93,12 +113,30 @@ def evidence(model: Model, features: np.ndarray) -> np.ndarray:
 
 
 def marginals(model: Model, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The probability of each word to be toxic."""
-    chain, place, length = chain_table(counts)
+    """The probability of each word to be toxic, by forward and backward messages through its whole text."""
+    block, place, length, n = blocks_of(counts)
     e = np.zeros((len(length), int(length.max()) if len(length) else 0))
-    e[chain, place] = evidence(model, features)
-    a, b = messages(e, length, model.moves, model.start)
-    return sigmoid((a + b)[chain, place])
+    e[block, place] = evidence(model, features)
+    head = np.zeros(len(length), bool)
+    head[(np.cumsum(n) - n)[n > 0]] = True
+    entry, after = np.where(head, model.start, 0.0), np.zeros(len(length))
+    through = transfers(e, length, model.moves, head, model.start) if (n > 1).any() else None
+    first, last = np.cumsum(n) - n, np.cumsum(n) - 1
+    ends = np.zeros(len(length))  # forward log-odds at each block's end
+    for k in range(int(n.max()) - 1 if len(n) else 0):
+        at = first[n > k + 1] + k
+        ends[at] = carried(ends[at - 1] if k else np.zeros(len(at)), through[at])
+        entry[at + 1] = step(ends[at], model.moves)
+        at = last[n > k + 1] - k
+        after[at - 1] = carried(after[at], through[at].transpose(0, 2, 1))
+    a, b = messages(e, length, model.moves, entry, after)
+    return sigmoid((a + b)[block, place])
+
+
+def carried(x: np.ndarray, through: np.ndarray) -> np.ndarray:
+    """Log-odds on the other side of blocks."""
+    p = np.stack([sigmoid(-x), sigmoid(x)], axis=1)[:, None, :] @ through
+    return np.log(p[:, 0, 1]) - np.log(p[:, 0, 0])
 
 
 def sums(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -118,11 +156,11 @@ def sums(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def learn_field(features: np.ndarray, y: np.ndarray, counts: np.ndarray, seed: int = 7) -> Model:
     """Weights by stochastic gradient ascent of the conditional likelihood, each step scaled by its past gradients."""
-    chain, place, length = chain_table(counts)
+    block, _, length, _ = blocks_of(counts)
     rng = np.random.default_rng(seed)
-    toxic = np.bincount(chain, weights=y, minlength=len(length)) > 0
-    picked = np.concatenate([rng.permutation(np.flatnonzero(toxic))[: CHAINS // 2], rng.permutation(np.flatnonzero(~toxic))[: CHAINS // 2]])
-    first = np.searchsorted(chain, np.arange(len(length)))
+    toxic = np.bincount(block, weights=y, minlength=len(length)) > 0
+    picked = np.concatenate([rng.permutation(np.flatnonzero(toxic))[: BLOCKS // 2], rng.permutation(np.flatnonzero(~toxic))[: BLOCKS // 2]])
+    first = np.searchsorted(block, np.arange(len(length)))
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, np.zeros(5))
     model.weights[-1] = -2.0
     past, past_moves, past_start = np.full(FEATURES, 1e-6), np.full((2, 2), 1e-6), 1e-6
@@ -252,9 +290,11 @@ def spans_of(w: Words, p: np.ndarray) -> pa.ListArray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """row (the columns of ``docs``), score, spans (array of start, end, marginal) for every row; nulls are empty texts."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    """row (the columns of ``docs``), score, spans (array of start, end, marginal) for every row.
+
+    Nulls are empty texts. Repeated rows and null ids are scored like others: a score depends on the text alone.
+    """
+    rows = in_rows(docs)
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("score double, spans array<struct<start: long, end: long, marginal: double>>")])
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 

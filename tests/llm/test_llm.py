@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agora.llm import embedding_dedup, line_dedup, packing, quality_rules, queries, sentencepieces, simhash, substring_dedup, token_counts, toxicity, warc
+from agora.llm import embedding_dedup, line_dedup, packing, quality_rules, queries, sentencepieces, simhash, substring_dedup, textkernel, token_counts, toxicity, warc
 from agora.llm.components import components
 from agora.llm.textkernel import spanning
 
@@ -57,6 +57,67 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# --- equality of long stretches -------------------------------------------------------------------------------------
+
+
+def twins(n):
+    """Two different strings of n symbols that polynomial hashes modulo a power of two can't tell apart."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 8192])
+def test_different_stretches_stay_apart(library, n):
+    a, b = twins(n)
+    table = token_counts.PreTokens(token_counts.Vocabulary(queries.vocabulary_path()), slots=1 << 17)
+    got = [x.tolist() for x in table.encode(pa.array([a, b]))]
+    assert got == [x.ids for x in library.encode_batch([a, b], add_special_tokens=False)]
+    assert [tuple(x[:5]) for x in quality_rules.text_counts(pa.array([f"{a}\n{b}", f"{a}\n{a}"])).tolist()] == [counts(f"{a}\n{b}"), counts(f"{a}\n{a}")]
+    model = sentencepieces.Pieces(queries.vocabulary_path("piece_bpe_32k.model"), 1)
+    assert [model.text(np.frombuffer(best[0][1], "<u4")).decode() for best in model.segment(pa.array([a, b]))] == [a, b]
+
+
+def test_dedup_keeps_what_only_hashes_alike(spark):
+    rows = [(2 * k + j, t) for k, n in enumerate((512, 1024, 4096, 8192)) for j, t in enumerate(twins(n))]
+    assert {r.n_dropped for r in line_dedup.dedup(docs_of(spark, rows)).collect()} == {0}
+    spread_out = [(i, " ".join(t)) for i, t in rows] + [(20 + i, " ".join(f"{w}{t}" for w in "xyz")) for i, t in rows]
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(docs_of(spark, [(30, "p " + rows[3][1]), *spread_out]), length=50).select("row.doc_id", "n_words", "n_removed").collect()}
+    first, wanted = {}, {}
+    texts = sorted([(30, "p " + rows[3][1]), *spread_out])
+    for i, t in texts:
+        w = words(t)
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone[k : k + 50] = True
+        wanted[i] = (len(w), int(gone.sum()))
+    assert found == wanted
+
+
+def test_memo_starts_anew_when_hashes_mislead(monkeypatch):
+    real = textkernel.stretch_hashes
+    monkeypatch.setattr(textkernel, "stretch_hashes", lambda d, a, b, turn=0: real(d, a, b, turn) if turn else np.ones(len(a), np.uint64))
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    seen = []
+    memo = textkernel.Memo(16, np.uint8, lambda m: seen.clear())
+    ids = memo.find(data, np.array([0, 3, 6]), np.array([3, 6, 9]), lambda a, b: seen.extend(a.tolist()))
+    assert memo.turn > 0 and len(seen) == 2 and ids[0] == ids[2] != ids[1]
+    again = textkernel.exact_ids(data, np.array([0, 3, 6]), np.array([3, 6, 9]))
+    assert again[0] == again[2] != again[1]
+
+
+def test_pretokens_are_cut_as_the_pattern_says():
+    rng = random.Random(6)
+    alphabet = "ab'std  \n\t,.1é\u3000 rvelm中²\u0301\x1c\x85"
+    texts = ["", "'", "''s", "I'vex", "x'tt 'tt \n'll'd''d", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    vocabulary = token_counts.Vocabulary(queries.vocabulary_path())
+    data, edges, first = token_counts.PreTokens.cut(pa.array(texts))
+    raw = data.tobytes()
+    for k, t in enumerate(texts):
+        own = edges[first[k] : first[k + 1] + 1].tolist()
+        assert [raw[a:b].decode() for a, b in zip(own, own[1:], strict=False)] == vocabulary.pretokens(t)
+
+
 # --- token counts, packing -------------------------------------------------------------------------------------------
 
 
@@ -71,7 +132,7 @@ ODD = ["", "  a  b\n\n c\t", "<|endoftext|> hi<|endoftext|>x", "a\xa0 b", "foo
 
 
 def test_units_encode_as_the_library_does(library):
-    table = token_counts.UnitTable(token_counts.Vocabulary(queries.vocabulary_path()), slots=1 << 17)
+    table = token_counts.PreTokens(token_counts.Vocabulary(queries.vocabulary_path()), slots=1 << 17)
     for _ in range(2):
         assert [x.tolist() for x in table.encode(pa.array(ODD))] == [x.ids for x in library.encode_batch(ODD, add_special_tokens=False)]
     assert table.count(pa.array(ODD)).tolist() == [len(x.ids) for x in library.encode_batch(ODD, add_special_tokens=False)]
@@ -128,6 +189,16 @@ def near(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
+def test_repeated_rows(spark):
+    """Rows repeated as a whole count as one document; each is returned."""
+    line = "a line that is long enough to count"
+    found = [(r.doc_id, r.kept) for r in line_dedup.dedup(docs_of(spark, [(1, line), (1, line), (2, line + "\nx"), (2, line + "\nx")])).select("row.doc_id", "kept").collect()]
+    assert sorted(found) == [(1, line), (1, line), (2, "x"), (2, "x")]
+    docs, labels = labelled(spark)
+    twice = toxicity.score(docs.where("doc_id < 40").unionByName(docs.where("doc_id < 40")), toxicity.fit(docs, labels)).groupBy("row.doc_id").agg(F.count("*").alias("n"), F.countDistinct("score").alias("s")).collect()
+    assert {(r.n, r.s) for r in twice} == {(2, 1)} and len(twice) == 40
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(18, 50))) for _ in range(30)]
@@ -302,6 +373,31 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cone", [0.0, 0.5, 0.8])
+def test_embedding_recall_in_a_cone(spark, cone):
+    """Vectors with a common direction, half of them planted near others at the threshold: the links that brute force finds."""
+    rng = np.random.default_rng(7)
+    n, d = 1500, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    shared = unit(rng.standard_normal((1, d)))
+    base = unit(np.sqrt(cone) * shared + np.sqrt(1 - cone) * unit(rng.standard_normal((n, d))))
+    noise = rng.standard_normal((n, d))
+    noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base)
+    e = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * noise])
+    close = unit(e) @ unit(e).T >= 0.95
+    np.fill_diagonal(close, False)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors, window=32, block=256).collect()}
+    found = sum(min(got[k], int(c)) for k, c in enumerate(close.sum(axis=1)))
+    assert all(got[k] <= c for k, c in enumerate(close.sum(axis=1))) and found >= 0.99 * close.sum()
+
+
+def test_embeddings_in_double_precision_and_repeated_ids(spark):
+    vectors = spark.createDataFrame([(1, [1e200, 1e199]), (2, [1e200, 1e199]), (3, [1.0, -1.0]), (3, [1e-3, -1e-3]), (4, [-1.0, 1.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(vectors).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)]
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +446,30 @@ def test_marginals_are_those_of_all_labellings():
     assert np.allclose(toxicity.sigmoid(a + b)[0], weight / total)
 
 
+def test_messages_pass_from_block_to_block(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES), rng.normal(size=(2, 2)), 0.7, np.zeros(5))
+    counts = np.array([0, 1, 7, 64, 65, 300, 0, 128])
+    features = rng.integers(0, toxicity.FEATURES, (int(counts.sum()), 3))
+    carried = toxicity.marginals(model, features, counts)
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    assert np.allclose(carried, toxicity.marginals(model, features, counts), atol=1e-12)
+
+
+def test_tokens_get_the_labels_of_words_that_toxic_documents_have(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs.where("doc_id < 400"), model).select("row.doc_id", "row.text", "spans", "score").collect()
+    planted = Counter(w for r in got for w in r.text.split() if w in ("vilest", "vilely", "rottenness"))
+    found = Counter(w for r in got for s in r.spans for w in r.text[s.start : s.end].split())
+    assert found <= planted and found.total() >= 0.8 * planted.total()
+    texts = pa.array([r.text for r in got])
+    w, _, features = toxicity.tokens(texts)
+    p = toxicity.marginals(model, features, w.counts)
+    by_hand = [toxicity.sigmoid(toxicity.sums(p[a:b], np.array([b - a])) @ model.curve).item() for a, b in zip(w.first, w.first[1:])]
+    assert np.allclose([r.score for r in got], by_hand)
+
+
 # --- SentencePiece --------------------------------------------------------------------------------------------------
 
 
@@ -378,9 +498,10 @@ def test_nbest_is_exact():
 
 def test_segmentation_round_trip(spark, texts):
     path = queries.vocabulary_path("piece_bpe_32k.model")
+    texts = [*texts, (800, "a ▁ b▁▁c"), (801, "▁"), (802, " ▁ ")]
     rows = sentencepieces.segment(docs_of(spark, texts), path).select(F.col("row.text").alias("text"), F.explode("nbest").alias("best")).select("text", "best.score", "best.ids")
     found = sentencepieces.decode(rows, path).collect()
-    assert len(found) >= len(texts) and all(r.decoded == (r.text or "") for r in found)
+    assert len(found) >= len(texts) and all(r.decoded == (r.row.text or "") for r in found)
     assert sentencepieces.segment(docs_of(spark, []), path).count() == 0
 
 
@@ -449,6 +570,19 @@ def test_warc(spark):
     assert warc.records(spark, warc.deduplicate(spark, warc.archive(pages.where("false")))).count() == 0
 
 
+def test_warc_repeated_pages_and_fresh_headers(spark):
+    big = "z" * 200
+    rows = [(5, "a", big), (5, "b", big), (7, "c", big), (7, "d", "other " * 40), (None, "e", big), (None, "f", big), (2, "g", "x\r\n\r\n" * 60 + "\r\n"), (3, "h", "x\r\n\r\n" * 60 + "\r\n"), (4, "i", "\r\n")]
+    path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    raw = warc.read(spark, path, payloads=True).collect()
+    assert sorted((r.url, bytes(r.payload).decode()) for r in raw) == sorted((u, h) for _, u, h in rows)
+    cut = warc.deduplicate(spark, path)
+    fresh = warc.read(spark, cut, payloads=False).collect()
+    assert len({r.record_id for r in raw} | {r.record_id for r in fresh}) == 2 * len(rows)
+    got = {r: n for r, n in Counter((r.page_id, r.record_type, r.refers_to) for r in warc.records(spark, cut).collect()).items()}
+    assert got == {(5, "response", None): 2, (7, "revisit", 5): 1, (7, "response", None): 1, (None, "response", None): 2, (2, "response", None): 1, (3, "revisit", 2): 1, (4, "response", None): 1}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
@@ -489,6 +623,22 @@ def test_registered_queries_run(spark, name):
     assert queries.queries()[name](spark, DATA).count() > 0
 
 
+def test_settings_and_shared_folder_are_left_as_they_were(spark):
+    import os
+
+    from agora.llm.runtime import shared_folder
+    from tests.conftest import DATA
+
+    folder = shared_folder(spark)
+    for name, query in (queries.queries() | {"pipeline": corpus_pipeline.run}).items():
+        settings = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")} if hasattr(spark.conf, "getAll") else None
+        before = {x for x in os.listdir(folder) if x.startswith("agora-")}
+        found = query(spark, DATA)
+        read = " ".join(found.inputFiles())
+        assert all(x in read for x in set(os.listdir(folder)) - before if x.startswith("agora-")), name
+        assert settings is None or settings == {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_give_the_rows_of_their_sql(spark, name):
     from pathlib import Path
