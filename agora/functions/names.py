@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -11,19 +12,19 @@ from pyspark.sql import functions as F
 from agora.functions.text import ColumnOrName, col
 
 #: What a list of names may hold beside names; honours before and after names.
-NOT_NAMES = ["unknown", "speaker", "the ", "staff", "council", "committee", "motion", "moved", "seconded", "public", "member of", "resident"]
+NOT_NAMES = [
+    "the mayor", "staff", "resident", "unknown", "speaker", "everyone", "all council", "public", "audience", "applicant", "consultant", "gallery", "various",
+    "multiple", "unidentified", "city staff", "town staff", "clerk", "recording secretary", "moderator", "presenter", "developer", "architect", "engineer", "planner",
+]
 HONOURS = ["mayor", "acting mayor", "councillor", "councilor", "chair", "director", "mr", "mrs", "ms", "dr"]
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 
 
 def valid_name(name: ColumnOrName) -> Column:
-    """A person's name: three characters or more, no digit, none of the words that lists also hold in front."""
+    """A person's name: three characters or more, no digit, and none of the words that lists also hold, alone or in front."""
     n = F.lower(F.trim(col(name)))
-    bad = F.lit(False)
-    for x in NOT_NAMES:
-        bad |= n.startswith(x)
-    return F.coalesce((F.length(n) >= 3) & ~n.rlike("\\d") & ~bad, F.lit(False))
+    return F.coalesce((F.length(n) >= 3) & ~n.rlike("\\p{Nd}") & ~n.rlike("^(?:" + "|".join(NOT_NAMES) + ")(?: |$)"), F.lit(False))
 
 
 def clean_name(name: ColumnOrName) -> Column:
@@ -33,14 +34,33 @@ def clean_name(name: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
+def plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def name_words(name: ColumnOrName) -> Column:
+    """The words of a name in lower case without marks; apostrophes and hyphens inside a word stay."""
+    bare = F.regexp_replace(F.translate(F.lower(col(name)), *plain_letters()), "\\p{M}", "")
+    return F.regexp_extract_all(bare, F.lit("([a-z]+(?:['’-][a-z]+)*)"), 1)
+
+
 def name_score(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """1 equal; .96 one edit in the first name; .94 one in the last; .92 an initial for the first name; else 0."""
-    x, y = F.lower(clean_name(a)), F.lower(clean_name(b))
-    first = lambda n: F.substring_index(n, " ", 1)
-    last = lambda n: F.substring_index(n, " ", -1)
-    near = lambda p, q: F.levenshtein(p, q, 1).between(0, 1)
-    initial = (F.length(first(x)) <= 2) & (F.substring(first(x), 1, 1) == F.substring(first(y), 1, 1)) | (F.length(first(y)) <= 2) & (F.substring(first(x), 1, 1) == F.substring(first(y), 1, 1))
-    return F.when(x == y, 1.0).when((last(x) == last(y)) & near(first(x), first(y)), 0.96).when((first(x) == first(y)) & near(last(x), last(y)), 0.94).when((last(x) == last(y)) & initial, 0.92).otherwise(0.0)
+    """How surely two spellings, of equally many words, two at least, are one name; 0 if they may be two.
+
+    1 equal; .96 one edit in the last word, of five letters or more; .94 one in the first, of four or more; .92 an initial
+    for the first. All other words are equal.
+    """
+    x, y = name_words(a), name_words(b)
+    n = F.size(x)
+    first, last = (lambda w: w[0]), (lambda w: F.element_at(w, -1))
+    same_rest, same_start = F.slice(x, F.lit(2), n) == F.slice(y, F.lit(2), n), F.slice(x, F.lit(1), n - 1) == F.slice(y, F.lit(1), n - 1)
+    near = lambda p, q, least: (F.least(F.length(p), F.length(q)) >= least) & F.levenshtein(p, q, 1).between(0, 1)
+    initial = (F.least(F.length(first(x)), F.length(first(y))) == 1) & (F.substring(first(x), 1, 1) == F.substring(first(y), 1, 1))
+    score = F.when(x == y, 1.0).when(same_rest & initial, 0.92).when(same_start & near(last(x), last(y), 5), 0.96).when(same_rest & near(first(x), first(y), 4), 0.94).otherwise(0.0)
+    return F.when((n >= 2) & (n == F.size(y)), score).otherwise(0.0)
 
 
 def number_words(text: str) -> str:

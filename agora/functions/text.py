@@ -23,9 +23,24 @@ RESULTS = {
     "DEFEATED": "failed", "FAILED": "failed", "NOT CARRIED": "failed", "FAILED FOR LACK OF A SECONDER": "failed", "FAILED FOR LACK OF SECONDER": "failed",
     "TABLED": "tabled", "WITHDRAWN": "withdrawn",
 }
+#: Street kinds in short and in full.
 STREETS = {"st": "street", "ave": "avenue", "rd": "road", "dr": "drive", "blvd": "boulevard", "cres": "crescent", "pl": "place", "crt": "court", "ln": "lane", "hwy": "highway", "pkwy": "parkway"}
 #: Words that a shortened slug doesn't end with.
-DANGLING = ["and", "or", "the", "of", "for", "to", "in", "on", "a", "an", "with", "at", "by", "from"]
+DANGLING = ["and", "or", "of", "the", "to", "for", "a", "an", "in", "on", "at", "with", "by", "from"]
+#: First words, and first two words, of a question.
+ASKING = ["who", "what", "when", "where", "why", "how", "is", "are", "was", "were", "do", "does", "did", "can", "could", "will", "would", "should", "has", "have", "tell me", "explain", "describe", "compare"]
+#: The pattern of a stage that a title ends with, and what is trimmed where it was.
+STAGE = (
+    r"(?i)\s*[-–—(]?\s*\b(?:(?:first|second|third|1st|2nd|3rd)(?:\s*(?:,|and|&)\s*(?:first|second|third|1st|2nd|3rd))*\s+readings?"
+    r"|readings?|adoption|final adoption|rescind(?:ing)? readings?|background report attached|all readings|for adoption)\b[^)]*\)?\s*$"
+)
+STAGE_ENDS = " -–—,"
+#: The pattern of an amount, and words that turn or bound a decision.
+AMOUNT = r"\$?\d[\d,]*(?:\.\d+)?%?"
+TURNING = [
+    "not", "no", "never", "without", "unless", "except", "against", "deny", "refuse", "reject", "approve", "adopt", "receive", "authorize", "include",
+    "exclude", "remove", "reduce", "increase", "amend", "delete", "retain", "proceed", "defer", "table", "refer", "rescind", "waive", "terminate",
+]
 
 
 def col(c: ColumnOrName) -> Column:
@@ -50,10 +65,12 @@ def slug(text: ColumnOrName, size: int = 80) -> Column:
 
 
 def slug_capped(text: ColumnOrName, size: int = 60) -> Column:
-    """A slug cut between words, without connectives left dangling."""
-    whole = slug(text, 10_000)
-    cut = F.when(F.length(whole) > size, F.regexp_replace(F.substring(whole, 1, size + 1), "-[^-]*$", "")).otherwise(whole)
-    return F.regexp_replace(cut, "(-(" + "|".join(DANGLING) + "))+$", "")
+    """A slug of at most so many characters: a longer one is cut between words and doesn't end with connectives."""
+    whole = slug(text, 1000)
+    head = F.substring(whole, 1, size)
+    cut = F.when(F.substring(whole, size + 1, 1) != "-", F.regexp_replace(head, "(?<=.)-[^-]*$", "")).otherwise(head)
+    cut = F.trim(F.regexp_replace(cut, "(-(" + "|".join(DANGLING) + "))+$", ""), F.lit("-"))
+    return F.when(F.length(whole) <= size, whole).otherwise(cut)
 
 
 def motion_result(result: ColumnOrName) -> Column:
@@ -73,10 +90,14 @@ def question_key(text: ColumnOrName) -> Column:
 
 
 def intent(text: ColumnOrName) -> Column:
-    """question or keyword: by question mark, first word, or more than six words."""
+    """question or keyword: a question ends with its mark, begins with an asking word, or has four words or more."""
     t = F.lower(F.trim(col(text)))
-    asks = t.endswith("?") | t.rlike("^(who|what|when|where|why|how|which|did|does|do|is|are|was|were|has|have|can|should|will)\\b")
-    return F.when(asks | (F.size(F.split(t, "\\s+")) > 6), "question").otherwise("keyword")
+    phrases = [x for x in ASKING if " " in x]
+    words = F.split(t, "\\s+")
+    asks = t.endswith("?") | words[0].isin([x for x in ASKING if " " not in x]) | (F.size(words) >= 4)
+    for x in phrases:
+        asks |= (t == x) | t.startswith(f"{x} ")
+    return F.when(asks, "question").otherwise("keyword")
 
 
 def bylaw_numbers(text: ColumnOrName) -> Column:
@@ -104,11 +125,12 @@ def address(text: ColumnOrName) -> Column:
 
 
 def strip_stage(title: ColumnOrName) -> Column:
-    """A title without the reading or stage it ends with, up to three times."""
-    out = col(title)
+    """A title without the readings or stages that it ends with, up to three; none goes that would leave under six characters."""
+    out = F.trim(F.coalesce(col(title), F.lit("")))
     for _ in range(3):
-        out = F.regexp_replace(out, r"(?i)\s*[-–,:(]*\s*(first|second|third|final|1st|2nd|3rd)?\s*(reading|adoption|public hearing)s?\)?\s*$", "")
-    return F.trim(out)
+        less = F.trim(F.regexp_replace(out, STAGE, ""), F.lit(STAGE_ENDS))
+        out = F.when(F.length(less) < 6, out).otherwise(less)
+    return out
 
 
 def one_edit(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -130,9 +152,10 @@ def clock(seconds: ColumnOrName) -> Column:
 
 
 def natural_key(text: ColumnOrName) -> Column:
-    """Sorts numbers inside text by value."""
+    """Sorts numbers inside text by value: the length of a run of digits comes before it."""
     parts = F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^\\d"), F.lpad(F.regexp_replace(x, "^0+(?=\\d)", ""), 12, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, "^0+(?=\\d)", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^\\d"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 6, "0"), bare(x))).otherwise(x)), "")
 
 
 def token_estimate(text: ColumnOrName) -> Column:
@@ -140,9 +163,17 @@ def token_estimate(text: ColumnOrName) -> Column:
     return F.floor(words * 1.3).cast("long")
 
 
+def motion_words(text: ColumnOrName) -> Column:
+    """Lower case, all else but letters a-z and digits as one space; THAT is parted from the Council or Committee it ran into."""
+    apart = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?i)\bTHAT(?=(?:Council|Committee)\b)", "THAT ")
+    return F.trim(F.regexp_replace(F.lower(apart), "[^a-z0-9]+", " "))
+
+
 def polarity(text: ColumnOrName) -> Column:
-    """Numbers and negating words of a motion, in order: what two wordings must share."""
-    return F.array_join(F.array_sort(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+|\bnot\b|\bdeny\b|\bdefeat\b|\brescind\b)"), 1)), " ")
+    """Amounts of a motion in order, a bar, and its turning words by alphabet: what two wordings of it must share."""
+    amounts = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(f"({AMOUNT})"), 1)
+    turning = F.array_sort(F.filter(F.split(motion_words(text), " "), lambda w: w.isin(TURNING)))
+    return F.concat_ws(" ", F.array_join(amounts, " "), F.lit("|"), F.array_join(turning, " "))
 
 
 def uuid5(namespace: str, name: ColumnOrName) -> Column:

@@ -17,49 +17,41 @@ SECTION, LEAST_SECTION = 8000, 150
 
 
 def chunk_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST_CHUNK) -> list[str]:
-    """Stretches of about ``size`` characters that begin ``overlap`` before the last one's end.
+    """Stretches of ``size`` characters, each beginning ``overlap`` before where the last one ended.
 
-    A stretch ends at its last line break or sentence end past seven tenths. The tail is stepped into like all else, so
-    that a short last stretch may only repeat the end of the one before.
+    A stretch that isn't the text's last ends at its last line break, or, without any, at its last sentence end, if that is
+    past seven tenths. The last one's end counts as if the text went on. Stretches of up to ``least`` characters go.
     """
     out, start = [], 0
     while start < len(text):
-        end = min(start + size, len(text))
+        end = start + size
         if end < len(text):
-            floor = start + int(size * 0.7)
-            cut = max(text.rfind("\n", floor, end), text.rfind(". ", floor, end) + 1)
-            if cut > floor:
-                end = cut
-        piece = text[start:end].strip()
-        if len(piece) > least:
-            out.append(piece)
-        start = max(end - overlap, start + 1)
-        if end == len(text) and start >= len(text) - overlap:
-            tail = text[start:].strip()
-            if end - start < size and len(tail) > least and tail != piece:
-                out.append(tail)
-            break
-    return out
+            mark = "\n" if text.find("\n", start, end) >= 0 else ". "
+            if text.rfind(mark, start, end) - start > size * 0.7:
+                end = text.rfind(mark, start, end) + 1
+        out.append(text[start:end].strip())
+        start = end - overlap
+    return [x for x in out if len(x) > least]
 
 
 def packed_paragraphs(text: str, size: int = SECTION, least: int = LEAST_SECTION) -> list[str]:
-    """Paragraphs side by side up to a size; a longer one is cut at lines, a longer line as it comes; short ends go."""
-    parts: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text):
-        if len(paragraph) <= size:
-            parts.append(paragraph)
-            continue
-        for line in paragraph.split("\n"):
-            parts += [line[k : k + size] for k in range(0, len(line), size)] or [""]
-    out, held = [], ""
-    for part in parts:
-        if held and len(held) + 2 + len(part) > size:
-            out.append(held)
-            held = part
+    """Paragraphs, or the lines of a text without a blank line, side by side up to a size; longer ones stay whole.
+
+    Each counts one character more than it has, but for the first of all but the first section. Short sections go.
+    """
+    parts = [p.strip() for p in re.split(r"\n\s*\n", text)]
+    if len(parts) == 1:
+        parts = [p.strip() for p in text.split("\n")]
+    packs: list[list[str]] = [[]]
+    room = size
+    for part in filter(None, parts):
+        if packs[-1] and len(part) + 1 > room:
+            packs.append([part])
+            room = size - len(part)
         else:
-            held = f"{held}\n\n{part}" if held else part
-    out.append(held)
-    return [x.strip() for x in out if len(x.strip()) >= least]
+            packs[-1].append(part)
+            room -= len(part) + 1
+    return [x for x in map("\n\n".join, packs) if len(x) >= least]
 
 
 def exploded(docs: DataFrame, key: str, column: str, split) -> DataFrame:
@@ -77,7 +69,7 @@ def markdown_sections(text: Column) -> Column:
     has = text.rlike("(?m)^## ")
     parts = F.split(F.concat(F.lit("\n"), text), "\n## ")
     first = F.struct(F.when(has, "Introduction").otherwise("Document Content").alias("title"), F.regexp_replace(parts[0], "^\\s+|\\s+$", "").alias("body"))
-    rest = F.transform(F.slice(parts, 2, 100_000), lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, "^[^\n]*\n?", ""), "^\\s+|\\s+$", "").alias("body")))
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, "^[^\n]*\n?", ""), "^\\s+|\\s+$", "").alias("body")))
     return F.filter(F.concat(F.array(first), rest), lambda s: s["body"] != "")
 
 

@@ -47,14 +47,17 @@ def turns(segments: DataFrame, gap: float | None = None) -> DataFrame:
     return numbered.groupBy("meeting_id", "turn").agg(F.first("speaker_id").alias("speaker_id"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("segments"))
 
 
-def spread_sample(rows: DataFrame, keys: Sequence[str], time: str, score: str, buckets: int = 4, each: int = 2, total: int = 8) -> DataFrame:
-    """The best rows of each group spread over its time: ``each`` of every equal span, filled up to ``total`` by score."""
-    group = Window.partitionBy(*keys)
-    low, high = F.min(time).over(group), F.max(time).over(group)
-    bucket = F.when(high > low, F.least(F.floor((F.col(time) - low) * buckets / (high - low)), F.lit(buckets - 1))).otherwise(0)
-    placed = rows.withColumn("bucket", bucket)
+def spread_sample(rows: DataFrame, keys: Sequence[str], day: str, score: str, low: str, high: str, buckets: int = 4, each: int = 2, total: int = 8) -> DataFrame:
+    """Up to ``total`` rows of each group, spread over its time from ``low`` to ``high`` (dates of the group).
+
+    The time is divided into equal parts, each of which gives its ``each`` best rows; the rest are the best of all others,
+    with those that have no day or lie outside. Adds bucket, null for these. A group of up to ``total`` rows stays whole.
+    """
+    part = F.greatest(F.datediff(high, low), F.lit(1)) / buckets
+    place = (F.datediff(day, low) / part).cast("int")
+    placed = rows.withColumn("bucket", F.when(place >= 0, F.least(place, F.lit(buckets - 1))))
     inside = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(F.col(score).desc(), "id"))
-    placed = placed.withColumn("_first", inside <= each)
+    placed = placed.withColumn("_first", F.col("bucket").isNotNull() & (inside <= each))
     return first_of(placed, keys, [F.col("_first").desc(), F.col(score).desc(), F.col("id")], total).drop("_first")
 
 

@@ -11,12 +11,26 @@ from agora.plans.registry import query
 from agora.sources.civic import Civic
 
 
-@query("doc01_chunks", None)
+@query("doc01_chunks", """
+    WITH RECURSIVE t AS (SELECT doc_id, text AS x, length(text) AS n FROM {documents} WHERE text <> ''),
+    c AS (SELECT doc_id, 0 AS start, 0 AS stop FROM t UNION ALL
+      SELECT doc_id, CASE WHEN stop = 0 THEN start ELSE stop - 200 END, CASE WHEN start + 1000 < n AND brk > 700 THEN start + brk + 1 ELSE start + 1000 END
+      FROM (SELECT doc_id, start, 0 AS stop, n, CASE WHEN contains(chunk, chr(10)) THEN length(regexp_extract(chunk, '(?s)^(.*)\\n', 1)) WHEN contains(chunk, '. ') THEN length(regexp_extract(chunk, '(?s)^(.*)\\. ', 1)) ELSE -1 END AS brk
+        FROM (SELECT c.doc_id, GREATEST(c.stop - 200, 0) AS start, t.n, substr(t.x, GREATEST(c.stop - 200, 0) + 1, 1000) AS chunk FROM c JOIN t ON t.doc_id = c.doc_id WHERE GREATEST(c.stop - 200, 0) < t.n AND (c.stop = 0 OR c.stop - 200 < t.n)))),
+    p AS (SELECT c.doc_id, c.start, regexp_replace(substr(t.x, c.start + 1, c.stop - c.start), '^\\s+|\\s+$', '', 'g') AS chunk FROM c JOIN t ON t.doc_id = c.doc_id WHERE c.stop > 0)
+    SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS place, chunk FROM p WHERE length(chunk) > 20""")
 def doc01(c: Civic) -> DataFrame:
     return docs.exploded(c.documents, "doc_id", "text", docs.chunk_text)
 
 
-@query("doc02_packed_paragraphs", None)
+@query("doc02_packed_paragraphs", """
+    WITH RECURSIVE parts AS (SELECT doc_id, CASE WHEN len(string_split_regex(text, '\\n\\s*\\n')) > 1 THEN string_split_regex(text, '\\n\\s*\\n') ELSE string_split(text, chr(10)) END AS ps FROM {documents} WHERE text <> ''),
+    p AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM parts),
+    f AS (SELECT doc_id, 0 AS k, 0 AS pack, 8000 AS room FROM p UNION ALL
+      SELECT f.doc_id, k + 1, CASE WHEN k > 0 AND length(ps[k + 1]) + 1 > room THEN pack + 1 ELSE pack END, CASE WHEN k > 0 AND length(ps[k + 1]) + 1 > room THEN 8000 - length(ps[k + 1]) ELSE room - length(ps[k + 1]) - 1 END
+      FROM f JOIN p ON p.doc_id = f.doc_id WHERE k < len(ps)),
+    s AS (SELECT f.doc_id, pack, string_agg(ps[k], chr(10) || chr(10) ORDER BY k) AS chunk FROM f JOIN p ON p.doc_id = f.doc_id WHERE k > 0 GROUP BY 1, 2)
+    SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pack) - 1 AS place, chunk FROM s WHERE length(chunk) >= 150""")
 def doc02(c: Civic) -> DataFrame:
     return docs.exploded(c.documents, "doc_id", "text", docs.packed_paragraphs)
 

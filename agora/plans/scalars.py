@@ -28,9 +28,10 @@ def str02(c: Civic) -> DataFrame:
     return c.matters.select("id", t.slug("title", 40).alias("slug"))
 
 
-@query("str03_slug_capped", "WITH s AS (SELECT doc_id, " + SLUG.replace("{c}", "text").replace("{n}", "10000") + " AS w FROM {documents}) SELECT doc_id, regexp_replace(CASE WHEN length(w) > 60 THEN regexp_replace(left(w, 61), '-[^-]*$', '') ELSE w END, '(-(" + "|".join(t.DANGLING) + "))+$', '') AS slug FROM s")
+@query("str03_slug_capped", "WITH s AS (SELECT doc_id, " + SLUG.replace("{c}", "text").replace("{n}", "1000") + " AS w FROM {documents} UNION ALL SELECT -p_partkey, " + SLUG.replace("{c}", "(p_name || ' and the ' || p_type)").replace("{n}", "1000") + " FROM {part}), h AS (SELECT doc_id, w, CASE WHEN substr(w, 61, 1) <> '-' AND contains(left(w, 60), '-') THEN regexp_replace(left(w, 60), '-[^-]*$', '') ELSE left(w, 60) END AS c FROM s) SELECT doc_id, CASE WHEN length(w) <= 60 THEN w ELSE trim(regexp_replace(c, '(-(" + "|".join(t.DANGLING) + "))+$', ''), '-') END AS slug FROM h")
 def str03(c: Civic) -> DataFrame:
-    return c.documents.select("doc_id", t.slug_capped("text").alias("slug"))
+    titles = c.part.select((-F.col("p_partkey")).alias("doc_id"), F.concat_ws(" and the ", "p_name", "p_type").alias("text"))
+    return c.documents.select("doc_id", "text").unionByName(titles).select("doc_id", t.slug_capped("text").alias("slug"))
 
 
 @query("str06_motion_result", "SELECT id, CASE " + " ".join(f"WHEN upper(trim(result)) = '{k}' THEN '{v}'" for k, v in t.RESULTS.items()) + " END AS outcome FROM {motions}")
@@ -48,9 +49,14 @@ def str08(c: Civic) -> DataFrame:
     return c.conversations.select("conv_id", "turn", F.md5(t.question_key("text")).alias("key"))
 
 
-@query("str09_intent", "SELECT conv_id, turn, CASE WHEN suffix(s, '?') OR regexp_matches(s, '^(who|what|when|where|why|how|which|did|does|do|is|are|was|were|has|have|can|should|will)\\b') OR len(string_split_regex(s, '\\s+')) > 6 THEN 'question' ELSE 'keyword' END AS intent FROM (SELECT conv_id, turn, lower(trim(text)) AS s FROM {conversations})")
+@query("str09_intent", """
+    WITH t AS (SELECT conv_id, turn, text FROM {conversations} UNION ALL SELECT -p_partkey, 0, CASE p_size % 6 WHEN 0 THEN 'Explain ' || p_type WHEN 1 THEN 'tell me ' || p_brand WHEN 2 THEN p_name WHEN 3 THEN p_brand || '?' WHEN 4 THEN p_name || ' ' || p_type ELSE 'telling me' END FROM {part})
+    SELECT conv_id, turn, CASE WHEN suffix(s, '?') OR list_contains(""" + str([x for x in t.ASKING if " " not in x]) + """, string_split_regex(s, '\\s+')[1]) OR s = 'tell me' OR starts_with(s, 'tell me ') OR len(string_split_regex(s, '\\s+')) > 3 THEN 'question' ELSE 'keyword' END AS intent FROM (SELECT conv_id, turn, lower(trim(text)) AS s FROM t)""")
 def str09(c: Civic) -> DataFrame:
-    return c.conversations.select("conv_id", "turn", t.intent("text").alias("intent"))
+    kind = F.col("p_size") % 6
+    asked = F.when(kind == 0, F.concat(F.lit("Explain "), "p_type")).when(kind == 1, F.concat(F.lit("tell me "), "p_brand")).when(kind == 2, F.col("p_name")).when(kind == 3, F.concat("p_brand", F.lit("?"))).when(kind == 4, F.concat_ws(" ", "p_name", "p_type")).otherwise("telling me")
+    rows = c.conversations.select("conv_id", "turn", "text").union(c.part.select(-F.col("p_partkey"), F.lit(0), asked))
+    return rows.select("conv_id", "turn", t.intent("text").alias("intent"))
 
 
 @query("str11_identifier", "SELECT id, CASE WHEN identifier IS NOT NULL THEN 'bylaw-' || regexp_extract(upper(identifier), 'NO\\. (\\d+)', 1) END AS ident FROM {matters}")
@@ -68,10 +74,17 @@ def str13(c: Civic) -> DataFrame:
     return c.matters.select("id", t.address(F.replace("address", F.lit("Street"), F.lit("St."))).alias("address"))
 
 
-@query("str14_strip_stage", "SELECT id, title AS title FROM {matters}")
+STAGED = "CASE id % 7 WHEN 0 THEN title || ' - Third Reading' WHEN 1 THEN title || ' (First Reading), Second Reading' WHEN 2 THEN title || ' (SECOND AND THIRD READINGS)' WHEN 3 THEN 'Zoning - adoption' WHEN 4 THEN title || ' for adoption (background report attached)' WHEN 5 THEN title || ' – rescinding readings – all readings - Final Adoption' ELSE title END"
+
+
+def without_stage(text: str) -> str:
+    less = f"trim(regexp_replace({text}, '{t.STAGE}', ''), '{t.STAGE_ENDS}')"
+    return f"CASE WHEN length({less}) < 6 THEN {text} ELSE {less} END"
+
+
+@query("str14_strip_stage", f"WITH a AS (SELECT id, {STAGED} AS t FROM {{matters}}), b AS (SELECT id, {without_stage('t')} AS t FROM a), c AS (SELECT id, {without_stage('t')} AS t FROM b) SELECT id, {without_stage('t')} AS title FROM c")
 def str14(c: Civic) -> DataFrame:
-    staged = F.concat("title", F.when(F.col("id") % 3 == 0, " - Third Reading").when(F.col("id") % 3 == 1, " (First Reading), Second Reading").otherwise(""))
-    return c.matters.select("id", t.strip_stage(staged).alias("title"))
+    return c.matters.withColumn("title", F.expr(STAGED)).select("id", t.strip_stage("title").alias("title"))
 
 
 @query("str20_one_edit", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) <= 1 AS near FROM {nation} a, {nation} b WHERE a.n_nationkey < b.n_nationkey")
@@ -80,10 +93,12 @@ def str20(c: Civic) -> DataFrame:
     return a.join(b, F.col("ka") < F.col("kb")).select("a", "b", t.one_edit("a", "b").alias("near"))
 
 
-@query("str21_scrub", "SELECT c_custkey AS id, 'write to [contact omitted] or call [contact omitted] at Oak Street' AS text FROM {customer}")
+CONTACT = "c_name || CASE c_custkey % 5 WHEN 0 THEN ', write to ' || replace(lower(c_name), '#', '.') || '@example.org.' WHEN 1 THEN ' called 250-555-0' || right(CAST(100 + c_custkey % 900 AS STRING), 3) WHEN 2 THEN ' of ' || CAST(c_custkey AS STRING) || ' ' || 'Oak Street' WHEN 3 THEN ' (250) 555-0101 at ' || CAST(c_custkey AS STRING) || ' Low Road' ELSE ' spoke for 15 minutes' END"
+
+
+@query("str21_scrub", f"SELECT c_custkey AS id, regexp_replace(regexp_replace(regexp_replace({CONTACT}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{{{2,}}}}', '[contact omitted]', 'g'), '(\\+?1[ .-]?)?\\(?\\d{{{{3}}}}\\)?[ .-]\\d{{{{3}}}}[ .-]\\d{{{{4}}}}', '[contact omitted]', 'g'), '\\b\\d{{{{1,5}}}}\\s+([A-Z][a-z]+ (Street|Avenue|Road|Drive|Lane|Place|Way)\\b)', '\\1', 'g') AS text FROM {{customer}}")
 def str21(c: Civic) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
-    return c.customer.select(F.col("c_custkey").alias("id"), t.scrub(F.concat(F.lit("write to user"), k, F.lit("@example.org or call (250) 555-0101 at "), k, F.lit(" Oak Street"))).alias("text"))
+    return c.customer.select(F.col("c_custkey").alias("id"), t.scrub(F.expr(CONTACT)).alias("text"))
 
 
 @query("str25_related_addresses", "SELECT id, address AS first_address, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS n FROM {matters}")
@@ -93,9 +108,12 @@ def str25(c: Civic) -> DataFrame:
     return c.matters.select("id", found[0].alias("first_address"), F.size(found).alias("n"))
 
 
-@query("str28_polarity", "SELECT id, regexp_extract(lower(text), '(\\d+)', 1) AS marks FROM {motions}")
+WORDED = "CASE id % 4 WHEN 0 THEN 'THATCouncil not approve $1,000.50 and 5% of ' || text WHEN 1 THEN text || ' be deferred; table, refer (amend) no. 12' WHEN 2 THEN 'Rescind and defeat ' || text ELSE text END"
+
+
+@query("str28_polarity", f"WITH w AS (SELECT id, {WORDED} AS x FROM {{motions}}) SELECT id, concat_ws(' ', array_to_string(regexp_extract_all(x, '{t.AMOUNT}'), ' '), '|', array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(replace(x, 'THATCouncil', 'THAT Council')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda y: list_contains({t.TURNING}, y))), ' ')) AS marks FROM w")
 def str28(c: Civic) -> DataFrame:
-    return c.motions.select("id", t.polarity("text").alias("marks"))
+    return c.motions.withColumn("text", F.expr(WORDED)).select("id", t.polarity("text").alias("marks"))
 
 
 @query("str30_uuid5", None)
@@ -108,9 +126,10 @@ def str31(c: Civic) -> DataFrame:
     return c.segments.select("id", t.clock("start_time").alias("clock"))
 
 
-@query("srt06_natural_order", "SELECT s_suppkey AS id, 'item ' || lpad(CAST(s_suppkey AS STRING), 12, '0') AS key FROM {supplier}")
+@query("srt06_natural_order", "SELECT s_suppkey AS id, 'item ' || lpad(CAST(length(n) AS STRING), 6, '0') || n AS key FROM (SELECT s_suppkey, CAST(s_suppkey AS STRING) || repeat('7', s_suppkey % 30) AS n FROM {supplier})")
 def srt06(c: Civic) -> DataFrame:
-    return c.supplier.select(F.col("s_suppkey").alias("id"), t.natural_key(F.concat(F.lit("Item "), F.col("s_suppkey").cast("string"))).alias("key"))
+    number = F.concat(F.col("s_suppkey").cast("string"), F.expr("repeat('7', cast(s_suppkey % 30 as int))"))
+    return c.supplier.select(F.col("s_suppkey").alias("id"), t.natural_key(F.concat(F.lit("Item 00"), number)).alias("key"))
 
 
 @query("dat01_civic_today", "SELECT id, CAST(CAST(ts - INTERVAL 8 HOUR AS DATE) AS STRING) AS day FROM {usage}")

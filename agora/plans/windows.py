@@ -30,12 +30,16 @@ def win04(c: Civic) -> DataFrame:
 
 
 @query("win05_spread_sample", """
-    WITH b AS (SELECT speaker_id, id, text_score, CASE WHEN hi > lo THEN LEAST(FLOOR((id - lo) * 4 / (hi - lo)), 3) ELSE 0 END AS bucket FROM (SELECT speaker_id, id, end_time - start_time AS text_score, MIN(id) OVER (PARTITION BY speaker_id) AS lo, MAX(id) OVER (PARTITION BY speaker_id) AS hi FROM {segments})),
-    f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY speaker_id, bucket ORDER BY text_score DESC, id) <= 2 AS first_ FROM b)
-    SELECT speaker_id, id, CAST(bucket AS BIGINT) AS bucket FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY speaker_id ORDER BY first_ DESC, text_score DESC, id) AS k FROM f) WHERE k <= 8""")
+    WITH t AS (SELECT person_id, MIN(start_date) AS low, MAX(COALESCE(end_date, DATE '2002-12-31')) AS high FROM {memberships} GROUP BY person_id),
+    r AS (SELECT s.person_id, s.id, s.end_time - s.start_time AS text_score, t.low, t.high, m.meeting_date AS day FROM {segments} s JOIN t ON t.person_id = s.person_id LEFT JOIN {meetings} m ON m.id = s.meeting_id + 200 * (s.id % 40)),
+    b AS (SELECT *, CASE WHEN trunc((day - low) / (GREATEST(high - low, 1) / 4)) >= 0 THEN LEAST(CAST(trunc((day - low) / (GREATEST(high - low, 1) / 4)) AS INT), 3) END AS bucket FROM r),
+    f AS (SELECT *, bucket IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY person_id, bucket ORDER BY text_score DESC, id) <= 2 AS first_ FROM b)
+    SELECT person_id, id, CAST(bucket AS BIGINT) AS bucket FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY first_ DESC, text_score DESC, id) AS k FROM f) WHERE k <= 8""")
 def win05(c: Civic) -> DataFrame:
-    rows = c.segments.select("speaker_id", "id", (F.col("end_time") - F.col("start_time")).alias("text_score"))
-    return ops.spread_sample(rows, ["speaker_id"], "id", "text_score").select("speaker_id", "id", F.col("bucket").cast("long").alias("bucket"))
+    tenure = c.memberships.groupBy("person_id").agg(F.min("start_date").alias("low"), F.max(F.coalesce("end_date", F.lit("2002-12-31").cast("date"))).alias("high"))
+    said = c.segments.join(tenure, "person_id").withColumn("_m", F.col("meeting_id") + 200 * (F.col("id") % 40))
+    rows = said.join(c.meetings.select(F.col("id").alias("_m"), F.col("meeting_date").alias("day")), "_m", "left").select("person_id", "id", (F.col("end_time") - F.col("start_time")).alias("text_score"), "low", "high", "day")
+    return ops.spread_sample(rows, ["person_id"], "day", "text_score", "low", "high").select("person_id", "id", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query("win06_item_ends", "SELECT id, COALESCE(LEAD(start_time) OVER (PARTITION BY meeting_id ORDER BY start_time, id), CAST(9999.0 AS DOUBLE)) AS end_at FROM {agenda_items} WHERE start_time IS NOT NULL")

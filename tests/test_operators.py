@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from agora.functions import dates, text
+from agora.functions import dates, names, text
 from agora.operators import documents, entities, filters, incremental, joins, search, windows
 from agora.operators import votes as voting
 
@@ -24,13 +24,15 @@ def test_topic_takes_the_first_that_fits(spark, category, wanted):
     assert spark.createDataFrame([(category,)], "c string").select(text.topic("c")).first()[0] == wanted
 
 
-@pytest.mark.parametrize("title, wanted", [("Amendment - Third Reading", "Amendment"), ("Bylaw 5 (First Reading), Second Reading", "Bylaw 5"), ("Plain", "Plain")])
+@pytest.mark.parametrize("title, wanted", [("Amendment - Third Reading", "Amendment"), ("Bylaw 5 (First Reading), Second Reading", "Bylaw 5"), ("Plain", "Plain"), ("Zoning - Adoption", "Zoning"), ("Rates - Adoption", "Rates - Adoption"), ("Bylaw 7 (SECOND AND THIRD READINGS)", "Bylaw 7"), ("Permit for adoption (background report attached)", "Permit")])
 def test_stage_is_stripped(spark, title, wanted):
     assert one(spark, text.strip_stage("t"), t=title) == wanted
 
 
 def test_slug_is_cut_between_words(spark):
     assert one(spark, text.slug_capped("t", 16), t="The Parks and the Trails of Town") == "the-parks"
+    assert one(spark, text.slug_capped("t", 60), t="Something to look for") == "something-to-look-for"
+    assert one(spark, text.slug_capped("t", 5), t="abcdefgh") == "abcde" and one(spark, text.slug_capped("t", 9), t="the parks of") == "the-parks"
 
 
 def test_uuid5_is_that_of_the_standard_library(spark):
@@ -52,19 +54,25 @@ def test_versions_compare_by_number(spark):
     assert one(spark, dates.older_version("v", "1.10"), v="1.9") and not one(spark, dates.older_version("v", "1.9"), v="1.10")
 
 
-@given(st.text(alphabet="ab. \n", max_size=300))
-@settings(max_examples=200, deadline=None)
-def test_chunks_cover_the_text(value):
-    parts = documents.chunk_text(value, size=40, overlap=10, least=0)
-    assert "".join(value.split()) == "" or all(p in value for p in parts)
-    for word in value.split():
-        assert any(word[:10] in p for p in parts)
+@pytest.mark.parametrize("length, wanted", [(20, []), (21, [21]), (150, [150]), (900, [900, 100]), (1000, [1000, 200]), (1001, [1000, 201]), (2500, [1000, 1000, 900, 100])])
+def test_chunk_lengths(length, wanted):
+    assert [len(x) for x in documents.chunk_text("x" * length)] == wanted
 
 
-@given(st.text(alphabet="abc \n", max_size=500))
-@settings(max_examples=200, deadline=None)
-def test_packed_paragraphs_are_bounded(value):
-    assert all(len(p) <= 50 for p in documents.packed_paragraphs(value, size=50, least=1))
+def test_chunks_end_at_breaks():
+    early = "a" * 100 + "\n" + "b" * 700 + ". " + "c" * 600
+    assert [len(x) for x in documents.chunk_text(early)] == [1000, 603]  # the line break is too early, the sentence end isn't tried
+    assert [len(x) for x in documents.chunk_text("a" * 800 + ". " + "b" * 600)] == [801, 801]
+    assert [len(x) for x in documents.chunk_text("a" * 800 + "\n" + "b" * 600)] == [800, 800]
+
+
+def test_packed_paragraphs():
+    pack = documents.packed_paragraphs
+    assert [len(x) for x in pack("a" * 9000 + "\n\n" + "b" * 200)] == [9000, 200]
+    assert pack("a" * 149) == [] and pack("a" * 150) == ["a" * 150]
+    assert [len(x) for x in pack("a" * 4000 + "\n" + "b" * 3998)] == [8000] and [len(x) for x in pack("a" * 4000 + "\n" + "b" * 3999)] == [4000, 3999]
+    assert [len(x) for x in pack("a" * 4000 + "\n\n \n" + "b" * 4000 + "\n\n" + "c" * 3999 + "\n\n" + "d" * 200)] == [4000, 8001, 200]
+    assert pack(" x\n\n\n" + "y" * 200) == ["x\n\n" + "y" * 200]
 
 
 def test_cover_density_counts_minimal_stretches():
@@ -146,3 +154,34 @@ def test_budget_of_zero_allows_nothing(spark):
     assert not any(r.allowed for r in incremental.within_budget(rows, "day", ["id"], 0).collect())
     with pytest.raises(ValueError):
         incremental.within_budget(rows, "day", ["id"], -1)
+
+
+@pytest.mark.parametrize("t, wanted", [("tree bylaw", "keyword"), ("parking on main", "keyword"), ("one two three four", "question"), ("Tell me", "question"), ("compare rates", "question"), ("isle", "keyword"), ("parks?", "question"), ("", "keyword")])
+def test_intent(spark, t, wanted):
+    assert one(spark, text.intent("t"), t=t) == wanted
+
+
+@pytest.mark.parametrize("a, b, wanted", [("Ann Leigh", "ANN LEIGH", 1.0), ("Anna Leigh", "Anna Leigk", 0.96), ("Anna Leigh", "Anne Leigh", 0.94), ("A. Leigh", "Ann Leigh", 0.92), ("Ann Lee", "Ann Lea", 0.0), ("Ann Leigh", "Anm Leigh", 0.0), ("Anna", "Anna", 0.0), ("Zoë Müller", "Zoe Muller", 1.0), ("An. Leigh", "Ann Leigh", 0.0), ("Anna May Leigh", "Anna Leigh", 0.0), ("Ann O'Brien-Day", "A O'Brien-Day", 0.92)])
+def test_name_scores(spark, a, b, wanted):
+    assert one(spark, names.name_score("a", "b"), a=a, b=b) == wanted == one(spark, names.name_score("b", "a"), a=a, b=b)
+
+
+@pytest.mark.parametrize("name, wanted", [("Stafford Low", True), ("Staff", False), ("staff member", False), ("Publicover", True), ("Al", False), ("Unit 4", False), ("Plannerson", True), (None, False)])
+def test_valid_names(spark, name, wanted):
+    assert spark.createDataFrame([(name,)], "n string").select(names.valid_name("n")).first()[0] == wanted
+
+
+def test_polarity(spark):
+    assert one(spark, text.polarity("t"), t="THATCouncil NOT approve $1,000.50, 5% and 12; amend no defeat") == "$1,000.50 5% 12 | amend approve no not"
+
+
+def test_natural_keys_hold_long_numbers(spark):
+    key = lambda t: one(spark, text.natural_key("t"), t=t)
+    assert key("x2") < key("x10") < key("x" + "9" * 15) < key("x1" + "0" * 15) and key("x007") == key("x7")
+
+
+def test_spread_sample_over_a_tenure(spark):
+    rows = [(1, k, f"2020-0{1 + k % 9}-15" if k < 9 else None, float(k)) for k in range(12)] + [(2, k, None, 1.0) for k in range(5)]
+    frame = spark.createDataFrame(rows, "g int, id int, d string, s double").selectExpr("g", "id", "cast(d as date) d", "s", "date'2019-01-01' low", "date'2022-12-31' high")
+    got = {(r.g, r.id): r.bucket for r in windows.spread_sample(frame, ["g"], "d", "s", "low", "high").collect()}
+    assert sorted(k for g, k in got if g == 1) == [4, 5, 6, 7, 8, 9, 10, 11] and got[1, 8] == 1 and got[1, 11] is None and sum(g == 2 for g, _ in got) == 5
