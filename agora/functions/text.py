@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def topic(category: ColumnOrName) -> Column:
     """The first topic of which the category has a substring; General without any, and for null."""
     text = F.lower(col(category))
@@ -126,11 +133,11 @@ def address(text: ColumnOrName) -> Column:
 
 def strip_stage(title: ColumnOrName) -> Column:
     """A title without the readings or stages that it ends with, up to three; none goes that would leave under six characters."""
-    out = F.trim(F.coalesce(col(title), F.lit("")))
-    for _ in range(3):
-        less = F.trim(F.regexp_replace(out, STAGE, ""), F.lit(STAGE_ENDS))
-        out = F.when(F.length(less) < 6, out).otherwise(less)
-    return out
+
+    def once(out: Column, _: Column) -> Column:
+        return let(F.trim(F.regexp_replace(out, STAGE, ""), F.lit(STAGE_ENDS)), lambda less: F.when(F.length(less) < 6, out).otherwise(less))
+
+    return F.aggregate(F.array(*[F.lit(k) for k in range(3)]), F.trim(F.coalesce(col(title), F.lit(""))), once)
 
 
 def one_edit(a: ColumnOrName, b: ColumnOrName) -> Column:

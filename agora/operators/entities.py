@@ -8,39 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import identifier
-from agora.operators.documents import ratio
-
-
-def title_matches(items: DataFrame, matters: DataFrame, block: str, least: float = 0.75, shortest: int = 10) -> DataFrame:
-    """Pairs of an item and a matter of one block whose titles are alike; different numbers rule a pair out."""
-    m = matters.select(F.col("id").alias("matter_id"), F.col("title").alias("_title"), F.col(block).alias("_block"))
-    pairs = items.join(m, F.col(block) == F.col("_block")).where((F.length("title") >= shortest) & (F.length("_title") >= shortest))
-    numbers = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)))
-    a, b = numbers(F.col("title")), numbers(F.col("_title"))
-    fit = (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
-    return pairs.where(fit).withColumn("similarity", ratio(F.lower("title"), F.lower("_title"))).where(F.col("similarity") >= least).select(F.col("id").alias("item_id"), "matter_id", "similarity")
-
-
-def match_cascade(items: DataFrame, matters: DataFrame) -> DataFrame:
-    """item_id, matter_id, reason, confidence of each item's first stage that finds exactly one or a best matter.
-
-    Stages: the same identifier (one matter 1.0; with the same address too 0.95), the same address and category (0.85),
-    an alike title of the same category. An item with an identifier that no matter has stops there, without a match.
-    """
-    m = matters.select(F.col("id").alias("matter_id"), identifier("identifier").alias("_ident"), F.col("address").alias("_address"), F.col("category").alias("_category"))
-    i = items.withColumn("_own", identifier("identifier"))
-    by_ident = i.join(m, F.col("_own") == F.col("_ident")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    same_place = F.col("address").eqNullSafe(F.col("_address"))
-    first = by_ident.where((F.col("_n") == 1) | same_place).select(F.col("id").alias("item_id"), "matter_id", F.lit("identifier").alias("reason"), F.when(F.col("_n") == 1, 1.0).otherwise(0.95).alias("confidence"), F.lit(1).alias("_stage"))
-    rest = i.where("_own is null")
-    placed = rest.join(m, (F.col("address") == F.col("_address")) & (F.col("category") == F.col("_category"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("_n = 1")
-    second = placed.select(F.col("id").alias("item_id"), "matter_id", F.lit("address").alias("reason"), F.lit(0.85).alias("confidence"), F.lit(2).alias("_stage"))
-    titled = title_matches(rest.select("id", "title", "category"), matters, "category")
-    third = titled.select("item_id", "matter_id", F.lit("title").alias("reason"), F.round("similarity", 4).alias("confidence"), F.lit(3).alias("_stage"))
-    best = first.unionByName(second).unionByName(third).groupBy("item_id").agg(F.min(F.struct("_stage", (-F.col("confidence")).alias("_c"), "matter_id", "reason", "confidence")).alias("b"))
-    return best.select("item_id", "b.matter_id", "b.reason", "b.confidence")
-
 
 def complete_link(links: DataFrame, forbidden: DataFrame, component: str, least: float) -> DataFrame:
     """component, cluster, member: groups merged along links (a, b, confidence), the surest first, unless a pair of the two

@@ -104,17 +104,6 @@ def src12(c: Civic) -> DataFrame:
     return c.pages.select("page_id", F.md5(docs.page_text(F.col("html"))).alias("digest"))
 
 
-@query("ent01_match_cascade", None)
-def ent01(c: Civic) -> DataFrame:
-    items = c.matters.select(F.col("id"), F.concat("title", F.lit(" update")).alias("title"), F.when(F.col("id") % 4 == 0, F.col("identifier")).alias("identifier"), "address", "category").where("id % 5 = 1 or id % 5 = 4")
-    return ent.match_cascade(items, c.matters.where("id < 1000"))
-
-
-@query("ent05_title_similarity", None)
-def ent05(c: Civic) -> DataFrame:
-    return ent.title_matches(c.matters.where("id % 20 = 3").select("id", "title", "category"), c.matters, "category").withColumn("similarity", F.round("similarity", 6))
-
-
 @query("ent07_complete_link", None)
 def ent07(c: Civic) -> DataFrame:
     pair = lambda df: df.select((F.col("l_orderkey") % 97).alias("component"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.round(F.col("l_discount") * 5 + 0.5, 2).alias("confidence")).where("a <> b").groupBy("component", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("confidence").alias("confidence")).select("component", F.col("x").alias("a"), F.col("y").alias("b"), "confidence")

@@ -115,13 +115,6 @@ def str04(c: Civic) -> DataFrame:
     return c.matters.select("id", nm.matter_slug(F.lit(None).cast("string"), title, "id").alias("slug"))
 
 
-@query("str10_compound_identifiers", "SELECT id, 'Bylaw No. ' || CAST(id AS STRING) || '|Bylaw No. ' || CAST(id + 1 AS STRING) || '|REZ ' || CAST(id AS STRING) AS parts FROM {matters}")
-def str10(c: Civic) -> DataFrame:
-    k = F.col("id")
-    raw = F.concat(F.lit("Bylaws No. "), k.cast("string"), F.lit("; "), (k + 1).cast("string"), F.lit(" and REZ "), k.cast("string"))
-    return c.matters.select("id", F.array_join(nm.compound_identifiers(raw), "|").alias("parts"))
-
-
 @query("str18_clean_names", "SELECT id, name AS name FROM {people}")
 def str18(c: Civic) -> DataFrame:
     return c.people.select("id", nm.clean_name(F.concat(F.lit("Acting Mayor  "), "name", F.lit(" (by phone)"))).alias("name"))

@@ -59,21 +59,6 @@ def str09(c: Civic) -> DataFrame:
     return rows.select("conv_id", "turn", t.intent("text").alias("intent"))
 
 
-@query("str11_identifier", "SELECT id, CASE WHEN identifier IS NOT NULL THEN 'bylaw-' || regexp_extract(upper(identifier), 'NO\\. (\\d+)', 1) END AS ident FROM {matters}")
-def str11(c: Civic) -> DataFrame:
-    return c.matters.select("id", t.identifier("identifier").alias("ident"))
-
-
-@query("str12_bylaw_numbers", "SELECT id, regexp_extract(lower(identifier), 'bylaw no\\. (\\d+)', 1) AS numbers FROM {matters} WHERE identifier IS NOT NULL")
-def str12(c: Civic) -> DataFrame:
-    return c.matters.where("identifier is not null").select("id", F.array_join(t.bylaw_numbers("identifier"), ",").alias("numbers"))
-
-
-@query("str13_address", "SELECT id, regexp_replace(lower(regexp_replace(replace(address, 'Street', 'St.'), '[.,]', ' ', 'g')), '\\s*\\bst\\b\\s*', ' street') AS address FROM {matters}")
-def str13(c: Civic) -> DataFrame:
-    return c.matters.select("id", t.address(F.replace("address", F.lit("Street"), F.lit("St."))).alias("address"))
-
-
 STAGED = "CASE id % 7 WHEN 0 THEN title || ' - Third Reading' WHEN 1 THEN title || ' (First Reading), Second Reading' WHEN 2 THEN title || ' (SECOND AND THIRD READINGS)' WHEN 3 THEN 'Zoning - adoption' WHEN 4 THEN title || ' for adoption (background report attached)' WHEN 5 THEN title || ' – rescinding readings – all readings - Final Adoption' ELSE title END"
 
 

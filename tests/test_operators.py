@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from agora.functions import dates, names, text
-from agora.operators import documents, entities, filters, incremental, joins, search, windows
+from agora.functions import dates, matters, names, text
+from agora.operators import documents, entities, filters, incremental, joins, matching, search, windows
 from agora.operators import votes as voting
 
 
@@ -185,3 +185,128 @@ def test_spread_sample_over_a_tenure(spark):
     frame = spark.createDataFrame(rows, "g int, id int, d string, s double").selectExpr("g", "id", "cast(d as date) d", "s", "date'2019-01-01' low", "date'2022-12-31' high")
     got = {(r.g, r.id): r.bucket for r in windows.spread_sample(frame, ["g"], "d", "s", "low", "high").collect()}
     assert sorted(k for g, k in got if g == 1) == [4, 5, 6, 7, 8, 9, 10, 11] and got[1, 8] == 1 and got[1, 11] is None and sum(g == 2 for g, _ in got) == 5
+
+
+# --- matters --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "raw, wanted",
+    [
+        ("Bylaw No. 1160; REZ 2025-01", ["Bylaw 1160", "REZ 2025-01"]),
+        ("1852; 2021; 12", ["Bylaw 1852", "2021"]),
+        ("BYLAW NOS. 2275, 2270 & 2271", ["Bylaw 2275", "Bylaw 2270", "Bylaw 2271"]),
+        ("TUP16-0006 (Renewal)", ["TUP 16-0006"]),
+        ("Planning Z17-0002", ["Z 17-0002"]),
+        ("Rezoning Application No. 2025/01;  Some   Other ", ["REZ 2025-01", "Some Other"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_identifiers(spark, raw, wanted):
+    assert spark.createDataFrame([(raw,)], "x string").select(matters.identifiers("x")).first()[0] == wanted
+
+
+def test_policies_and_entities(spark):
+    policy = lambda t: one(spark, matters.policy_identity("t"), t=t)
+    assert policy("Draft Parks & Trails Plan (approx. 20 min)") == "parks and trails plan" == policy("Adoption of the Parks & Trails Plan - Adoption")
+    assert policy("Parks Plan implementation") is None and policy("Draft Plan") is None and policy("Parks Plan 2024") == "parks plan 2024"
+    entity = lambda t: one(spark, matters.entity_in("t"), t=t)
+    assert entity("Westhills Aquatic Centre Supplementary Agreement") == "langford_aquatic_centre_ymca" and entity("1000m from the YMCA") is None
+
+
+MATTER = "id long, identifier string, title string, addresses array<string>, first_seen date, last_seen date, canonical_id long, hidden boolean, clusters array<string>, canonical boolean"
+
+
+def test_cascade(spark):
+    from datetime import date
+    from difflib import SequenceMatcher
+
+    def titled(matter_id, a, b):
+        r = SequenceMatcher(None, a, b).ratio()
+        return matter_id, f"title_similarity:{r:.2f}", round(r, 4)
+
+    known = [
+        {"id": 42, "title": "Noise Control Bylaw", "identifier": "Bylaw 1160"},
+        {"id": 43, "title": "Noise Control Bylaw", "identifier": "Bylaw 1161", "canonical_id": 42},
+        {"id": 205, "title": "Amenity Cost Charge and related bylaws", "identifier": "Bylaw 2275; Bylaw 2270; Bylaw 2271"},
+        {"id": 10, "title": "Smoke Control Bylaw No. 2280"},
+        {"id": 1607, "title": "Prepare notices to vary Bylaw No. 1000 for Centre Mountain", "identifier": "Bylaw No. 1000; Centre Mountain"},
+        {"id": 661, "title": "Second Readings Happy Valley Rd rezoning", "identifier": "BYLAW 1694"},
+        {"id": 1, "title": "Trees", "identifier": "Bylaw 1170", "addresses": ["1 Oak St"]},
+        {"id": 2, "title": "Trees", "identifier": "Bylaw 1170", "addresses": ["2 Oak Street"]},
+        {"id": 3, "title": "Dog Control Bylaw", "identifier": "Bylaw 1180"},
+        {"id": 4, "title": "Other", "identifier": "Bylaw 1180"},
+        {"id": 6, "identifier": "REZ 2025-01; TUP 2025-03", "title": "a"},
+        {"id": 7, "identifier": "REZ 2025-01", "title": "b"},
+        {"id": 5, "title": "Parks Master Plan", "first_seen": date(2023, 1, 1), "last_seen": date(2024, 1, 1)},
+        {"id": 8, "title": "Rezoning for 12 Low Hill Road", "addresses": ["12 Low Hill Rd"]},
+        {"id": 214, "title": "Aquatic Centre / YMCA Operating Agreement", "canonical": True},
+        {"id": 215, "title": "Aquatic Centre rent"},
+        {"id": 216, "title": "Starlight Stadium naming"},
+        {"id": 300, "title": "Street lighting on the hill"},
+        {"id": 301, "title": "Benches along the shore 7"},
+    ]
+    cases = [
+        ({"identifier": "Bylaw No. 1160", "title": "Noise Control"}, (42, "identifier_exact:Bylaw 1160", 1.0)),
+        ({"identifier": "Bylaw No. 1161", "title": "Noise Control"}, (None, "no_match", 0.0)),
+        ({"identifier": "Bylaw Nos. 2275, 2270 & 2271", "title": "Charges"}, (205, "identifier_exact:Bylaw 2275", 1.0)),
+        ({"identifier": "Bylaw 2275", "title": "Amenity Cost Charge and related bylaws"}, (None, "no_match", 0.0)),
+        ({"identifier": "Bylaw 2280", "title": "Adoption"}, (10, "identifier_exact:Bylaw 2280", 1.0)),
+        ({"identifier": "Bylaw 1000", "title": "Permit to vary Bylaw No. 1000 at 2181 Bear Mountain Parkway"}, (None, "no_match", 0.0)),
+        ({"identifier": "BYLAW 1694; BYLAW 1703", "title": "Rezoning 3690 & 3694 Happy Valley Rd to RS4"}, (661, "identifier_exact:Bylaw 1694", 1.0)),
+        ({"identifier": "Bylaw 1170", "title": "x", "addresses": ["2 oak st"]}, (2, "identifier_ambiguous_resolved_by_address", 0.95)),
+        ({"identifier": "Bylaw 1180", "title": "Dog Control Bylaws"}, (3, "identifier_ambiguous_resolved_by_title:0.97", 0.9)),
+        ({"identifier": "Bylaw 1180", "title": "Cats"}, (None, "no_match", 0.0)),
+        ({"identifier": "TUP 2025-03; REZ 2025-01", "title": "c"}, (6, "identifier_multi_overlap:2", 0.98)),
+        ({"title": "Draft Parks Master Plan"}, (5, "policy_exact_subject_and_year", 1.0)),
+        ({"title": "Draft Parks Master Plan", "day": date(2026, 1, 1)}, (None, "policy_review", 0.0)),
+        ({"title": "Draft Trails Master Plan"}, (None, "policy_new", 0.0)),
+        ({"title": "Rezoning application, 12 Low Hill Rd"}, (8, "address_category_match", 0.85)),
+        ({"title": "Rezoning of lots 7 and 9", "addresses": ["12 Low Hill Rd"]}, (None, "no_match", 0.0)),
+        ({"title": "Westhills Aquatic Centre Supplementary Agreement for 2025-2027"}, (214, "entity_cluster:langford_aquatic_centre_ymca", 0.92)),
+        ({"title": "Goudy Field lease"}, (216, "entity_cluster:starlight_stadium", 0.88)),
+        ({"title": "Street lighting on a hill - Third Reading"}, titled(300, "street lighting on a hill", "street lighting on the hill")),
+        ({"title": "Benches along the shore 8"}, (None, "no_match", 0.0)),
+        ({"title": "Benches along the shore 7 and 8"}, titled(301, "benches along the shore 7 and 8", "benches along the shore 7")),
+    ]
+    blank = {"identifier": None, "title": None, "addresses": [], "first_seen": None, "last_seen": None, "canonical_id": None, "hidden": False, "clusters": [], "canonical": False}
+    matters_ = spark.createDataFrame([tuple((blank | k)[c.split()[0]] for c in MATTER.split(", ")) for k in known], MATTER)
+    rows = [(k, *(({"identifier": None, "addresses": None, "day": date(2024, 5, 1)} | item)[c] for c in ("identifier", "title", "addresses", "day"))) for k, (item, _) in enumerate(cases)]
+    found = matching.match_cascade(spark.createDataFrame(rows, "id long, identifier string, title string, addresses array<string>, day date"), matters_).collect()
+    got = {r.item_id: (r.matter_id, r.reason, round(r.confidence, 4)) for r in found}
+    assert [got[k] for k in range(len(cases))] == [wanted for _, wanted in cases]
+
+
+def test_best_titles_are_those_of_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    base = [" ".join(rng.choice(["park", "lot", "road", "light", "tree", "hall", "fire", "bench"]) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    change = lambda t: "".join(c if rng.random() > 0.12 else rng.choice("abcx ") for c in t).strip()
+    left, right = [(k, change(rng.choice(base)) + rng.choice(["", " 7", " 8 9"])) for k in range(150)], [(k, change(t) + rng.choice(["", " 7", " 8"])) for k, t in enumerate(base * 2)]
+    wanted = {}
+    digits = lambda t: {w for w in t.split() if w.isdigit()}
+    for k, a in left:
+        best = (0.75, None)
+        for j, b in right:
+            p, q = digits(a), digits(b)
+            if len(a) < 10 or len(b) < 10 or p and q and not p <= q and not q <= p:
+                continue
+            r = SequenceMatcher(None, a, b).ratio()
+            if r > best[0] or r == best[0] and best[1] is None:
+                best = (r, j)
+        if best[1] is not None:
+            wanted[k] = (best[1], round(best[0], 9))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, title string")
+    got = {r.item_id: (r.matter_id, round(r.similarity, 9)) for r in matching.best_titles(frame(left), frame(right), piece=16).collect()}
+    assert len(wanted) > 50 and got == wanted
+
+
+@pytest.mark.parametrize(
+    "t, wanted",
+    [("Rezoning Bylaw 1234 Goldstream Avenue", []), ("Tax Rate Bylaw 2026", []), ("Bylaw No. 1925, 2020", ["1925"]), ("Bylaw Nos. 2181 & 2233 and 12 Oak Hill Road", ["2181", "2233"]), ("Standards Bylaw (No. 2255)", ["2255"]), ("Amendment No. 12", []), ("by-law #0113", ["113"])],
+)
+def test_referenced_bylaws(t, wanted):
+    assert matters.bylaws_referred_to(t, 2027)[0] == wanted
