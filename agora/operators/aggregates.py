@@ -113,16 +113,23 @@ def attendance(people: DataFrame, terms: DataFrame, meetings: DataFrame, members
     """
     day = F.lit(as_of).cast("date")
     held = meetings.where((F.col("meeting_date") <= day) & (F.coalesce(F.lower("status"), F.lit("")).isin("cancelled", "canceled") == F.lit(False))).where(F.col("has_agenda").eqNullSafe(True) | F.col("has_minutes").eqNullSafe(True) | F.col("has_transcript").eqNullSafe(True) | F.col("summary").isNotNull())
-    served = memberships.select("person_id", F.col("organization_id").alias("_o"), "start_date", "end_date")
-    active = (F.col("organization_id") == F.col("_o")) & (F.col("start_date").isNull() | (F.col("start_date") <= F.col("meeting_date"))) & (F.col("end_date").isNull() | (F.col("meeting_date") <= F.col("end_date")))
-    expected = held.select(F.col("id").alias("meeting_id"), "organization_id", "meeting_date").join(served, active).select("meeting_id", "meeting_date", "person_id").distinct()
-    states = records.groupBy(F.col("meeting_id").alias("_m"), F.col("person_id").alias("_p")).agg(F.when(F.min("state") == F.max("state"), F.min("state")).otherwise("unknown").alias("state"), F.bool_or("verified").alias("verified"))
-    per = expected.join(states, (F.col("meeting_id") == F.col("_m")) & (F.col("person_id") == F.col("_p")), "left").select("meeting_date", F.col("person_id").alias("_person"), F.coalesce("state", F.lit("unknown")).alias("state"), F.coalesce("verified", F.lit(False)).alias("verified"))
+    # Service without overlaps: what counts of a day's meetings counts once.
+    served = service_periods(memberships.withColumn("start_date", F.coalesce("start_date", F.lit("0001-01-01").cast("date"))), as_of).select(F.col("person_id").alias("_person"), F.col("organization_id").alias("_o"), F.col("start_date").alias("_s"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("_e"))
+    serving = lambda rows: rows.join(served, (F.col("organization_id") == F.col("_o")) & F.col("meeting_date").between(F.col("_s"), F.col("_e")))
     t = terms.select(F.col("id").cast("string").alias("_term"), F.col("start_date").alias("_from"), F.coalesce("end_date", day).alias("_to"))
-    dated = per.join(F.broadcast(t), F.col("meeting_date").between(F.col("_from"), F.col("_to")))  # terms: a few rows
-    rows = dated.select("_person", "_term", "state", "verified").unionByName(per.select("_person", F.lit("all").alias("_term"), "state", "verified"))
-    known = F.col("state").isin("present", "absent")
-    counts = rows.groupBy("_person", "_term").agg(F.count(F.lit(1)).alias("total"), n(F.col("state") == "present").alias("attended"), n(F.col("state") == "absent").alias("absent"), n(known & F.col("verified")).alias("verified"))
+
+    def by_term(rows: DataFrame) -> DataFrame:
+        dated = rows.join(F.broadcast(t), F.col("meeting_date").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")  # terms: a few rows
+        return dated.unionByName(rows.withColumn("_term", F.lit("all")))
+
+    # Members meet days with their numbers of meetings; only what was recorded is looked up by meeting.
+    daily = held.groupBy("organization_id", "meeting_date").agg(F.count(F.lit(1)).alias("_n"))
+    totals = by_term(serving(daily)).groupBy("_person", "_term").agg(F.sum("_n").alias("total"))
+    states = records.groupBy(F.col("meeting_id").alias("_m"), F.col("person_id").alias("_p")).agg(F.when(F.min("state") == F.max("state"), F.min("state")).otherwise("unknown").alias("state"), F.bool_or("verified").alias("verified"))
+    known = states.where(F.col("state").isin("present", "absent")).join(held.select(F.col("id").alias("_m"), "organization_id", "meeting_date"), "_m")
+    known = known.join(served, (F.col("_p") == F.col("_person")) & (F.col("organization_id") == F.col("_o")) & F.col("meeting_date").between(F.col("_s"), F.col("_e")))
+    seen = by_term(known.select("_person", "meeting_date", "state", F.coalesce("verified", F.lit(False)).alias("verified"))).groupBy(F.col("_person").alias("_q"), F.col("_term").alias("_u")).agg(n(F.col("state") == "present").alias("attended"), n(F.col("state") == "absent").alias("absent"), n(F.col("verified")).alias("verified"))
+    counts = totals.join(seen, (F.col("_person") == F.col("_q")) & (F.col("_term") == F.col("_u")), "left").fillna(0, ["attended", "absent", "verified"])
     periods = t.select(F.col("_term").alias("term")).unionByName(people.sparkSession.createDataFrame([("all",)], "term string"))
     matrix = people.select(F.col("id").alias("person_id")).crossJoin(F.broadcast(periods))  # people times a few terms
     out = matrix.join(counts, (F.col("person_id") == F.col("_person")) & (F.col("term") == F.col("_term")), "left").fillna(0, ["total", "attended", "absent", "verified"])

@@ -95,13 +95,14 @@ def fresh_answers(cache: DataFrame, last_ingest: DataFrame, now: str) -> DataFra
 def reconciled(events: DataFrame, meetings: DataFrame, days: int) -> DataFrame:
     """event_id, meeting_id, status: bound if exactly one meeting of the organisation lies within some days, else held or created.
 
-    Days go to buckets as wide as the window, and events ask three of them, so that the join is by equality.
+    Meetings are counted by day first, so that an event meets days and not meetings. Days go to buckets as wide as the
+    window, and events ask three of them, so that the join is by equality.
     """
     number = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
-    m = meetings.select(F.col("id").alias("meeting_id"), F.col("organization_id").alias("_o"), F.col("meeting_date").alias("_d"), number("meeting_date").alias("_b"))
+    m = meetings.groupBy(F.col("organization_id").alias("_o"), F.col("meeting_date").alias("_d")).agg(F.count("id").alias("_many"), F.min("id").alias("_first")).withColumn("_b", number("_d"))
     e = events.withColumn("_near", F.explode(F.array(*[number("event_date") + k for k in (-1, 0, 1)])))
     found = e.join(m, (F.col("organization_id") == F.col("_o")) & (F.col("_near") == F.col("_b")) & (F.abs(F.datediff("event_date", "_d")) <= days), "left")
-    g = found.groupBy("event_id").agg(F.count("meeting_id").alias("_n"), F.min("meeting_id").alias("_m"))
+    g = found.groupBy("event_id").agg(F.coalesce(F.sum("_many"), F.lit(0)).alias("_n"), F.min("_first").alias("_m"))
     return g.select("event_id", F.when(F.col("_n") == 1, F.col("_m")).alias("meeting_id"), F.when(F.col("_n") == 1, "bound").when(F.col("_n") > 1, "held").otherwise("created").alias("status"))
 
 

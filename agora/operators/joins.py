@@ -66,13 +66,6 @@ def cosine(a: str, b: str) -> Column:
     return F.when((norm > 0) & (F.size(a) == F.size(b)), dot / norm)
 
 
-def similar(queries: DataFrame, vectors: DataFrame, block: str, threshold: float) -> DataFrame:
-    """Pairs of a query and a vector of the same block with a cosine over the threshold."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"), F.col(block).alias("q_block"))
-    pairs = vectors.join(q, (F.col(block) == F.col("q_block")) & (F.col("vec_id") != F.col("q_id")))
-    return pairs.withColumn("similarity", cosine("q_embedding", "embedding")).where(F.col("similarity") > threshold).select("q_id", "vec_id", "similarity")
-
-
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, threshold: float | None = None) -> DataFrame:
     """The k vectors nearest to one query, ties by id; Spark keeps k rows per partition and merges them."""
     scored = vectors.withColumn("_q", F.array(*[F.lit(float(x)) for x in query])).withColumn("similarity", cosine("embedding", "_q")).drop("_q")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -134,6 +135,25 @@ def vector_match(vectors: DataFrame, query: Sequence[float], threshold: float, k
     return top_k(vectors, query, min(k, MOST), threshold).select("vec_id", "similarity")
 
 
+def vector_search_all(vectors: DataFrame, tables: Sequence[tuple[str, DataFrame, int]], query: Sequence[float], threshold: float) -> DataFrame:
+    """type, vec_id, similarity: the nearest rows of several tables (name, vec_ids, limit), each with a limit of its own."""
+    found = [vector_match(vectors.join(rows, "vec_id", "left_semi"), query, threshold, k).select(F.lit(name).alias("type"), "vec_id", "similarity") for name, rows, k in tables]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_page(arms: Sequence[tuple[str, DataFrame]], page: int, size: int, most: int, top: float = 0.1, span: float = 0.09) -> DataFrame:
+    """type, id, score of one page of several types' results (id, by), each cut to ``most`` and scored by its place.
+
+    Scores fall from ``top`` by ``span`` over each type's results, so that the windows hold at most ``most`` rows.
+    """
+    scored = []
+    for name, rows in arms:
+        best = rows.orderBy(F.col("by").desc(), "id").limit(most)
+        place, n = F.row_number().over(Window.orderBy(F.col("by").desc(), "id")), F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        scored.append(best.select(F.lit(name).alias("type"), "id", F.round(top - (place - 1) / n * span, 9).alias("score")))
+    return reduce(DataFrame.unionByName, scored).orderBy(F.col("score").desc(), "type", "id").offset((page - 1) * size).limit(size)
+
+
 def fused(text_arm: DataFrame, vector_arm: DataFrame, k: int, text_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
     """Reciprocal rank fusion of two arms (id, score), each cut to twice the results wanted: id, score.
 
@@ -188,12 +208,3 @@ def centroid_audit(vectors: DataFrame, group: str) -> DataFrame:
     rest = F.when(own, F.zip_with("sum", "embedding", lambda s, x: s - x.cast("double"))).otherwise(F.col("sum"))
     scored = pairs.where(~(own & (F.col("n") < 2))).withColumn("rest", rest).withColumn("similarity", cosine("embedding", "rest"))
     return scored.groupBy("vec_id").agg(F.max(F.when(own, F.col("similarity"))).alias("own"), F.max(F.when(~own, F.col("similarity"))).alias("other"))
-
-
-def nearest_links(vectors: DataFrame, block: str, year: str, k: int, threshold: float, years: int) -> DataFrame:
-    """a < b, similarity: each vector's k nearest of its block within some years, as unordered pairs."""
-    q = vectors.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_v"), F.col(block).alias("q_block"), F.col(year).alias("q_year"))
-    pairs = vectors.join(q, (F.col(block) == F.col("q_block")) & (F.col("vec_id") != F.col("q_id")) & (F.abs(F.col(year) - F.col("q_year")) <= years)).withColumn("similarity", cosine("q_v", "embedding")).where(F.col("similarity") >= threshold)
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), "vec_id"))
-    best = pairs.withColumn("place", place).where(F.col("place") <= k)
-    return best.select(F.least("q_id", "vec_id").alias("a"), F.greatest("q_id", "vec_id").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -42,11 +42,11 @@ def doc05(c: Civic) -> DataFrame:
 
 
 @query("doc06_innermost_ranges", """
-    WITH r AS (SELECT l_orderkey AS doc, l_partkey AS id, MIN(l_linenumber) AS first, MIN(l_linenumber) + MAX(l_suppkey) % 4 AS last FROM {lineitem} WHERE l_orderkey < 3000 GROUP BY 1, 2)
+    WITH r AS (SELECT l_orderkey AS doc, l_partkey AS id, MIN(l_linenumber) AS first, MIN(l_linenumber) + MAX(l_suppkey) % 4 AS last FROM {lineitem} GROUP BY 1, 2)
     SELECT doc, id FROM r WHERE NOT EXISTS (SELECT 1 FROM r i WHERE i.doc = r.doc AND i.id <> r.id AND r.first <= i.first AND i.last <= r.last AND (r.first < i.first OR i.last < r.last))""")
 def doc06(c: Civic) -> DataFrame:
     first = F.min("l_linenumber")
-    ranges = c.lineitem.where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("id")).agg(first.alias("first"), (first + F.max("l_suppkey") % 4).alias("last"))
+    ranges = c.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("id")).agg(first.alias("first"), (first + F.max("l_suppkey") % 4).alias("last"))
     return docs.outermost_dropped(ranges).select("doc", "id")
 
 
@@ -106,13 +106,14 @@ def src12(c: Civic) -> DataFrame:
 
 @query("ent07_complete_link", None)
 def ent07(c: Civic) -> DataFrame:
-    pair = lambda df: df.select((F.col("l_orderkey") % 97).alias("component"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.round(F.col("l_discount") * 5 + 0.5, 2).alias("confidence")).where("a <> b").groupBy("component", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("confidence").alias("confidence")).select("component", F.col("x").alias("a"), F.col("y").alias("b"), "confidence")
-    return ent.complete_link(pair(c.lineitem.where("l_linenumber < 4")), pair(c.lineitem.where("l_linenumber = 7")).limit(0).unionByName(pair(c.lineitem.where("l_linenumber = 7"))), "component", 0.85)
+    pairs = c.lineitem.select(F.floor(F.col("l_orderkey") / 8).alias("component"), (F.col("l_partkey") % 12).alias("x"), (F.col("l_suppkey") % 12).alias("y"), F.round(F.col("l_discount") * 5 + 0.5, 2).alias("confidence"), "l_returnflag").where("x <> y")
+    pair = lambda df: df.groupBy("component", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("confidence").alias("confidence"))
+    return ent.complete_link(pair(pairs.where("l_returnflag <> 'A'")), pair(pairs.where("l_returnflag = 'A'")), "component", 0.85)
 
 
-@query("ent09_unique_matches", "SELECT l.left_id, r.right_id FROM (SELECT title, MIN(id) AS left_id FROM {agenda_items} WHERE meeting_id < 20 GROUP BY title HAVING COUNT(*) = 1) l JOIN (SELECT p_name AS title, MIN(p_partkey) AS right_id FROM {part} WHERE p_size = 7 GROUP BY p_name HAVING COUNT(*) = 1) r ON r.title = l.title")
+@query("ent09_unique_matches", "SELECT l.left_id, r.right_id FROM (SELECT title, MIN(id) AS left_id FROM {agenda_items} GROUP BY title HAVING COUNT(*) = 1) l JOIN (SELECT p_name AS title, MIN(p_partkey) AS right_id FROM {part} GROUP BY p_name HAVING COUNT(*) = 1) r ON r.title = l.title")
 def ent09(c: Civic) -> DataFrame:
-    return ent.unique_matches(c.agenda_items.where("meeting_id < 20").select("id", "title"), c.part.where("p_size = 7").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["title"])
+    return ent.unique_matches(c.agenda_items.select("id", "title"), c.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["title"])
 
 
 @query("rem20_merged_matters", "SELECT canonical_root AS cluster, arg_min(id, (year, id)) AS canonical, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS merged, MIN(year) AS first_year, MAX(year) AS last_year FROM (SELECT *, id % 60 AS canonical_root FROM {matters}) GROUP BY 1")
@@ -128,13 +129,13 @@ def aln05(c: Civic) -> DataFrame:
 
 
 @query("aln07_best_speaker", """
-    WITH o AS (SELECT s.id, t.name AS speaker, s.end_time - s.start_time AS len, GREATEST(s.start_time, t.s) AS lo, LEAST(s.end_time, t.e) AS hi FROM {segments} s JOIN (SELECT meeting_id, 'turn ' || CAST(id % 5 AS STRING) AS name, start_time AS s, end_time AS e FROM {segments} WHERE id % 4 = 0) t ON t.meeting_id = s.meeting_id AND s.start_time < t.e AND s.end_time > t.s),
+    WITH o AS (SELECT s.id, t.name AS speaker, s.end_time - s.start_time AS len, GREATEST(s.start_time, t.s) AS lo, LEAST(s.end_time, t.e) AS hi FROM {segments} s JOIN (SELECT meeting_id, 'turn ' || CAST(id % 5 AS STRING) AS name, start_time AS s, end_time AS e FROM {segments}) t ON t.meeting_id = s.meeting_id AND s.start_time < t.e AND s.end_time > t.s),
     r AS (SELECT *, MAX(hi) OVER (PARTITION BY id, speaker ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
     p AS (SELECT id, speaker, ROUND(SUM(GREATEST(0, hi - GREATEST(lo, COALESCE(reach, lo)))) / MAX(len), 9) AS share FROM r GROUP BY id, speaker),
     k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY share DESC, speaker) AS k FROM p)
     SELECT id, MAX(speaker) FILTER (k = 1) AS speaker, ROUND(MAX(share), 6) AS coverage, ROUND(COALESCE(MAX(share) FILTER (k > 1), 0), 6) AS competing FROM k GROUP BY id""")
 def aln07(c: Civic) -> DataFrame:
-    turns = c.segments.where("id % 4 = 0").select("meeting_id", F.concat(F.lit("turn "), (F.col("id") % 5).cast("string")).alias("speaker"), "start_time", "end_time")
+    turns = c.segments.select("meeting_id", F.concat(F.lit("turn "), (F.col("id") % 5).cast("string")).alias("speaker"), "start_time", "end_time")
     return ent.best_speaker(c.segments, turns).withColumns({"coverage": F.round("coverage", 6), "competing": F.round("competing", 6)})
 
 

@@ -58,12 +58,12 @@ def stm04(c: Civic) -> DataFrame:
 
 
 @query("stm07_reconcile_calendar", """
-    WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 5 AS organization_id, CAST(o_orderdate AS DATE) AS event_date FROM {orders} WHERE o_orderkey % 10 = 1)
+    WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 5 AS organization_id, CAST(o_orderdate AS DATE) AS event_date FROM {orders})
     SELECT e.event_id, CASE WHEN COUNT(m.id) = 1 THEN MIN(m.id) END AS meeting_id, CASE WHEN COUNT(m.id) = 1 THEN 'bound' WHEN COUNT(m.id) > 1 THEN 'held' ELSE 'created' END AS status
-    FROM e LEFT JOIN (SELECT * FROM {meetings} WHERE id % 97 = 3) m ON m.organization_id = e.organization_id AND ABS(e.event_date - m.meeting_date) <= 14 GROUP BY e.event_id""")
+    FROM e LEFT JOIN {meetings} m ON m.organization_id = e.organization_id AND ABS(e.event_date - m.meeting_date) <= 14 GROUP BY e.event_id""")
 def stm07(c: Civic) -> DataFrame:
-    events = c.orders.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 5).alias("organization_id"), F.to_date("o_orderdate").alias("event_date"))
-    return ops.reconciled(events, c.meetings.where("id % 97 = 3"), 14)
+    events = c.orders.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 5).alias("organization_id"), F.to_date("o_orderdate").alias("event_date"))
+    return ops.reconciled(events, c.meetings, 14)
 
 
 @query("stm08_compare_and_swap", """
@@ -129,11 +129,11 @@ def rem27(c: Civic) -> DataFrame:
     return rows.where("not isnan(lat) and abs(lat) <= 85.051129").select(F.concat_ws(":", F.col("c_custkey").cast("string"), F.col("k").cast("string")).alias("key"), "lat")
 
 
-@query("rem29_election_results", "SELECT o_custkey % 20 AS office, o_orderkey AS candidate, ROUND(o_totalprice / SUM(o_totalprice) OVER (PARTITION BY o_custkey % 20) * 100, 4) AS share, ROUND(o_totalprice / MAX(o_totalprice) OVER (PARTITION BY o_custkey % 20) * 100, 4) AS bar, RANK() OVER (PARTITION BY o_custkey % 20 ORDER BY o_totalprice DESC) AS place FROM {orders} WHERE o_orderkey < 2000")
+@query("rem29_election_results", "SELECT o_custkey AS office, o_orderkey AS candidate, ROUND(o_totalprice / SUM(o_totalprice) OVER (PARTITION BY o_custkey) * 100, 4) AS share, ROUND(o_totalprice / MAX(o_totalprice) OVER (PARTITION BY o_custkey) * 100, 4) AS bar, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS place FROM {orders}")
 def rem29(c: Civic) -> DataFrame:
     w = Window.partitionBy("office")
     votes = F.col("o_totalprice")
-    rows = c.orders.where("o_orderkey < 2000").withColumn("office", F.col("o_custkey") % 20)
+    rows = c.orders.withColumn("office", F.col("o_custkey"))
     return rows.select("office", F.col("o_orderkey").alias("candidate"), F.round(votes / F.sum(votes).over(w) * 100, 4).alias("share"), F.round(votes / F.max(votes).over(w) * 100, 4).alias("bar"), F.rank().over(w.orderBy(votes.desc())).cast("long").alias("place"))
 
 

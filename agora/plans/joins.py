@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.text import topic
 from agora.operators import joins as ops
+from agora.operators import vectors
 from agora.plans.aggregates import topic_sql
 from agora.plans.registry import query
 from agora.sources.civic import Civic
@@ -69,9 +70,9 @@ def joi14(c: Civic) -> DataFrame:
     return ops.either(c.motions.select("id", "mover_id", "seconder_id"), ["mover_id", "seconder_id"], c.people.select(F.col("id").alias("person"), "name"), "person").select("id", "name")
 
 
-@query("joi15_vector_join", "SELECT q.vec_id AS q_id, e.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS similarity FROM {embeddings} q JOIN {embeddings} e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 10 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0.25")
+@query("joi15_vector_join", "SELECT q.vec_id AS q_id, e.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS similarity FROM {embeddings} q JOIN {embeddings} e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0.25")
 def joi15(c: Civic) -> DataFrame:
-    return ops.similar(c.embeddings.where("vec_id % 10 = 0"), c.embeddings, "label", 0.25).withColumn("similarity", F.round("similarity", 5))
+    return vectors.similar(c.embeddings, c.embeddings, "label", 0.25).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("joi16_within_radius", """
@@ -102,10 +103,10 @@ def joi19(c: Civic) -> DataFrame:
     return ops.canonical(c.matters.select("id", "canonical_id")).select("id", "root")
 
 
-@query("joi20_story_graph", "WITH e AS (SELECT id AS a, id % 50 AS b FROM {matters} WHERE hidden IS NULL) SELECT DISTINCT id, near FROM (SELECT o.id, e.b AS near FROM {matters} o JOIN e ON e.a = o.id UNION ALL SELECT o.id, e.a FROM {matters} o JOIN e ON e.b = o.id) WHERE id <> near AND id % 25 = 7")
+@query("joi20_story_graph", "WITH e AS (SELECT id AS a, id % 50 AS b FROM {matters} WHERE hidden IS NULL) SELECT DISTINCT id, near FROM (SELECT o.id, e.b AS near FROM {matters} o JOIN e ON e.a = o.id UNION ALL SELECT o.id, e.a FROM {matters} o JOIN e ON e.b = o.id) WHERE id <> near")
 def joi20(c: Civic) -> DataFrame:
     edges = c.matters.where("hidden is null").select(F.col("id").alias("a"), (F.col("id") % 50).alias("b"))
-    return ops.neighbours(edges, c.matters.where("id % 25 = 7"))
+    return ops.neighbours(edges, c.matters)
 
 
 @query("joi21_person_statements", "SELECT id FROM {segments} WHERE person_id = 21 OR (meeting_id, speaker_name) IN (SELECT meeting_id, speaker_name FROM {segments} WHERE person_id = 31)")

@@ -78,7 +78,7 @@ def ent10(c: Civic) -> DataFrame:
 
 @query("rem04_attachments", None)
 def rem04(c: Civic) -> DataFrame:
-    files = c.agenda_items.where("place < 3").select(F.col("id").alias("file_id"), "meeting_id", F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit("s"))).alias("title"))
+    files = c.agenda_items.select(F.col("id").alias("file_id"), "meeting_id", F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit("s"))).alias("title"))
     return ops.attachments(files, c.agenda_items)
 
 

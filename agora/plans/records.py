@@ -46,10 +46,10 @@ def joi02(c: Civic) -> DataFrame:
     return c.people.join(v, F.col("id") == F.col("v"), "left").join(m, F.col("id") == F.col("m"), "left").select("id", F.coalesce("nv", F.lit(0)).alias("votes"), F.coalesce("nm", F.lit(0)).alias("moved"))
 
 
-@query("joi03_full_outer", "SELECT COALESCE(a.id, b.id) AS id, a.n AS moved, b.n AS seconded FROM (SELECT mover_id AS id, COUNT(*) AS n FROM {motions} WHERE meeting_id < 60 GROUP BY 1) a FULL JOIN (SELECT seconder_id AS id, COUNT(*) AS n FROM {motions} WHERE meeting_id > 40 AND meeting_id < 90 GROUP BY 1) b ON a.id = b.id")
+@query("joi03_full_outer", "SELECT COALESCE(a.id, b.id) AS id, a.n AS moved, b.n AS seconded FROM (SELECT mover_id AS id, COUNT(*) AS n FROM {motions} WHERE meeting_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT seconder_id AS id, COUNT(*) AS n FROM {motions} WHERE meeting_id % 2 = 1 GROUP BY 1) b ON a.id = b.id")
 def joi03(c: Civic) -> DataFrame:
-    a = c.motions.where("meeting_id < 60").groupBy(F.col("mover_id").alias("a")).agg(F.count(F.lit(1)).alias("moved"))
-    b = c.motions.where("meeting_id > 40 and meeting_id < 90").groupBy(F.col("seconder_id").alias("b")).agg(F.count(F.lit(1)).alias("seconded"))
+    a = c.motions.where("meeting_id % 2 = 0").groupBy(F.col("mover_id").alias("a")).agg(F.count(F.lit(1)).alias("moved"))
+    b = c.motions.where("meeting_id % 2 = 1").groupBy(F.col("seconder_id").alias("b")).agg(F.count(F.lit(1)).alias("seconded"))
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("id"), "moved", "seconded")
 
 
@@ -75,10 +75,10 @@ def agg14(c: Civic) -> DataFrame:
 
 
 @query("agg17_attendance_groups", """
-    WITH r AS (SELECT meeting_id, person_id, lower(trim(speaker_name)) AS name FROM {segments} UNION ALL SELECT motion_id, person_id, NULL FROM {votes} WHERE motion_id < 50)
+    WITH r AS (SELECT meeting_id, person_id, lower(trim(speaker_name)) AS name FROM {segments} UNION ALL SELECT motion_id, person_id, NULL FROM {votes})
     SELECT meeting_id, CASE WHEN person_id IN (SELECT person_id FROM {memberships} WHERE organization_id = 1) THEN 'council' WHEN person_id IN (SELECT person_id FROM {memberships} WHERE organization_id = 2) THEN 'staff' ELSE 'other' END AS kind, COUNT(DISTINCT COALESCE('p' || CAST(person_id AS STRING), name)) AS people FROM r GROUP BY 1, 2""")
 def agg17(c: Civic) -> DataFrame:
-    recorded = c.votes.where("motion_id < 50").select(F.col("motion_id").alias("meeting_id"), "person_id")
+    recorded = c.votes.select(F.col("motion_id").alias("meeting_id"), "person_id")
     return ops.attendance_groups(c.segments, recorded, c.memberships.where("organization_id = 1"), c.memberships.where("organization_id = 2"))
 
 
@@ -93,9 +93,9 @@ def set02(c: Civic) -> DataFrame:
     return one.unionAll(c.meetings.agg(F.lit("all").alias("status"), F.count(F.lit(1)).alias("n")))
 
 
-@query("set03_one_schema", "SELECT 'motion' AS type, id, text AS content, meeting_id, NULL AS year FROM {motions} WHERE id < 100 UNION ALL SELECT 'matter', id, title, NULL, year FROM {matters} WHERE id < 100")
+@query("set03_one_schema", "SELECT 'motion' AS type, id, text AS content, meeting_id, NULL AS year FROM {motions} UNION ALL SELECT 'matter', id, title, NULL, year FROM {matters}")
 def set03(c: Civic) -> DataFrame:
-    return ops.unioned([c.motions.where("id < 100").select(F.lit("motion").alias("type"), "id", F.col("text").alias("content"), "meeting_id"), c.matters.where("id < 100").select(F.lit("matter").alias("type"), "id", F.col("title").alias("content"), "year")])
+    return ops.unioned([c.motions.select(F.lit("motion").alias("type"), "id", F.col("text").alias("content"), "meeting_id"), c.matters.select(F.lit("matter").alias("type"), "id", F.col("title").alias("content"), "year")])
 
 
 @query("set05_shared_keys", "SELECT a.motion_id FROM (SELECT DISTINCT motion_id FROM {votes} WHERE person_id = 4) a JOIN (SELECT DISTINCT motion_id FROM {votes} WHERE person_id = 8) b ON a.motion_id = b.motion_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators import joins, search as ops
+from agora.operators import joins, vectors
+from agora.operators import search as ops
 from agora.plans.registry import query
 from agora.sources.civic import Civic
 
@@ -49,10 +50,10 @@ def vec08(c: Civic) -> DataFrame:
     return joins.top_k(rows, vector(c), 15).select("vec_id", "vote", F.round("similarity", 5).alias("similarity"))
 
 
-@query("vec10_best_voice", f"SELECT q.vec_id, arg_max(e.vec_id, ({SIM}, -e.vec_id)) AS best FROM {{embeddings}} q JOIN {{embeddings}} e ON e.label = q.label AND e.vec_id % 4 = 0 AND q.vec_id % 4 = 1 WHERE {SIM} > 0.1 GROUP BY q.vec_id")
+@query("vec10_best_voice", f"SELECT q.vec_id, arg_max(e.vec_id, ({SIM}, -e.vec_id)) AS best FROM {{embeddings}} q JOIN {{embeddings}} e ON e.label = q.label AND e.vec_id % 2 = 0 AND q.vec_id % 2 = 1 WHERE {SIM} > 0.1 GROUP BY q.vec_id")
 def vec10(c: Civic) -> DataFrame:
-    found = joins.similar(c.embeddings.where("vec_id % 4 = 1"), c.embeddings.where("vec_id % 4 = 0"), "label", 0.1)
-    return found.groupBy(F.col("q_id")).agg(F.max_by("vec_id", F.struct("similarity", -F.col("vec_id"))).alias("best")).select(F.col("q_id").alias("vec_id"), "best")
+    found = vectors.similar(c.embeddings.where("vec_id % 2 = 1"), c.embeddings.where("vec_id % 2 = 0"), "label", 0.1, k=1)
+    return found.select(F.col("q_id").alias("vec_id"), F.col("vec_id").alias("best"))
 
 
 @query("vec11_centroid_audit")
@@ -67,13 +68,14 @@ def vec11(c: Civic) -> DataFrame:
     SELECT LEAST(q_id, vec_id) AS a, GREATEST(q_id, vec_id) AS b, ROUND(MAX(similarity), 5) AS similarity FROM b WHERE k <= 3 GROUP BY 1, 2""")
 def vec12(c: Civic) -> DataFrame:
     rows = c.embeddings.withColumn("year", (F.col("vec_id") % 12).cast("int"))
-    return ops.nearest_links(rows, "label", "year", 3, 0.1, 4).withColumn("similarity", F.round("similarity", 5))
+    return vectors.nearest_links(rows, "label", "year", 3, 0.1, 4).withColumn("similarity", F.round("similarity", 5))
 
 
-@query("vec13_max_pooling", f"SELECT e.vec_id % 50 AS item, q.vec_id % 7 AS matter, ROUND(MAX({SIM}), 5) AS similarity FROM {{embeddings}} e JOIN {{embeddings}} q ON e.label = q.label WHERE q.vec_id < 40 AND e.vec_id >= 40 GROUP BY 1, 2")
+@query("vec13_max_pooling", f"SELECT e.vec_id % 50 AS item, q.vec_id % 50 AS matter, ROUND(MAX({SIM}), 5) AS similarity FROM {{embeddings}} e JOIN {{embeddings}} q ON e.label = q.label WHERE q.vec_id % 2 = 1 AND e.vec_id % 2 = 0 GROUP BY 1, 2")
 def vec13(c: Civic) -> DataFrame:
-    found = joins.similar(c.embeddings.where("vec_id < 40"), c.embeddings.where("vec_id >= 40"), "label", -2.0)
-    return found.groupBy((F.col("vec_id") % 50).alias("item"), (F.col("q_id") % 7).alias("matter")).agg(F.round(F.max("similarity"), 5).alias("similarity"))
+    rows = c.embeddings.withColumn("part", F.col("vec_id") % 50)
+    found = vectors.pooled(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0"), "label", "part")
+    return found.select(F.col("group").alias("item"), F.col("q_group").alias("matter"), F.round("similarity", 5).alias("similarity"))
 
 
 HITS = "(length(lower(d.text)) - length(replace(lower(d.text), 'que', ''))) / 3"
@@ -158,3 +160,84 @@ def fts03(c: Civic) -> DataFrame:
 def fts04(c: Civic) -> DataFrame:
     words = ops.tokens(F.col("title"))
     return c.matters.where(F.array_contains(words, "small") & F.array_contains(words, "ring")).select("id")
+
+
+@query("vec04_match_agenda_items", f"SELECT i.id, i.title, ROUND({SIM}, 5) AS similarity FROM {{embeddings}} e JOIN {{agenda_items}} i ON i.id = e.vec_id, {Q0} WHERE {SIM} > 0.1 ORDER BY {SIM} DESC, i.id LIMIT 30")
+def vec04(c: Civic) -> DataFrame:
+    rows = c.embeddings.join(c.agenda_items.select("id"), F.col("vec_id") == F.col("id"), "left_semi")
+    best = ops.vector_match(rows, vector(c), 0.1, 50)
+    return best.join(c.agenda_items.select("id", "title"), F.col("vec_id") == F.col("id")).select("id", "title", F.round("similarity", 5).alias("similarity"))
+
+
+STATEMENT = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'transcript' ELSE 'minutes' END"
+
+
+@query("vec05_match_key_statements", f"SELECT s.id, ROUND({SIM}, 5) AS similarity FROM {{embeddings}} e JOIN (SELECT id FROM {{segments}} WHERE {STATEMENT} IS NULL OR {STATEMENT} = 'transcript') s ON s.id = e.vec_id, {Q0} WHERE {SIM} > 0.0 ORDER BY {SIM} DESC, s.id LIMIT 12")
+def vec05(c: Civic) -> DataFrame:
+    spoken = c.segments.where(f"{STATEMENT} is null or {STATEMENT} = 'transcript'").select("id")
+    rows = c.embeddings.join(spoken, F.col("vec_id") == F.col("id"), "left_semi")
+    return ops.vector_match(rows, vector(c), 0.0, 12).select(F.col("vec_id").alias("id"), F.round("similarity", 5).alias("similarity"))
+
+
+@query("vec07_match_document_sections", f"SELECT d.doc_id AS id, left(d.text, 500) AS content, ROUND({SIM}, 5) AS similarity FROM {{embeddings}} e JOIN {{documents}} d ON d.doc_id = e.vec_id, {Q0} WHERE {SIM} > 0.05 ORDER BY {SIM} DESC, d.doc_id LIMIT 10")
+def vec07(c: Civic) -> DataFrame:
+    rows = c.embeddings.join(c.documents.select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    best = ops.vector_match(rows, vector(c), 0.05, 10)
+    return best.join(c.documents.select("doc_id", "text"), F.col("vec_id") == F.col("doc_id")).select(F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("content"), F.round("similarity", 5).alias("similarity"))
+
+
+def arm_sql(table: str, key: str, limit: int, least: float) -> str:
+    return f"(SELECT '{table}' AS type, {key} AS id, {SIM} AS similarity FROM {{embeddings}} e JOIN {{{table}}} t ON t.{key} = e.vec_id, {Q0} WHERE {SIM} > {least} ORDER BY {SIM} DESC, {key} LIMIT {limit})"
+
+
+@query("vec09_search_all_types", "SELECT type, id, ROUND(similarity, 5) AS similarity FROM (" + " UNION ALL ".join(arm_sql(*x, 0.05) for x in (("motions", "id", 5), ("matters", "id", 5), ("agenda_items", "id", 8))) + ")")
+def vec09(c: Civic) -> DataFrame:
+    """A limit for each type; segments have no vectors to search."""
+    tables = [(name, getattr(c, name).select(F.col("id").alias("vec_id")), limit) for name, limit in (("motions", 5), ("matters", 5), ("agenda_items", 8))]
+    found = ops.vector_search_all(c.embeddings, tables, vector(c), 0.05)
+    return found.select("type", F.col("vec_id").alias("id"), F.round("similarity", 5).alias("similarity"))
+
+
+def hybrid_sql(rows: str, word: str, label: str) -> str:
+    """Reciprocal ranks of rows (id, content) by how often a word is in them, and of the vectors with a label."""
+    hits = f"(length(lower(content)) - length(replace(lower(content), '{word}', ''))) / {len(word)}"
+    return f"""
+    WITH d AS ({rows}),
+    t AS (SELECT id, ROW_NUMBER() OVER (ORDER BY {hits} DESC, id) AS r FROM d WHERE contains(lower(content), '{word}') ORDER BY {hits} DESC, id LIMIT 20),
+    v AS (SELECT e.vec_id AS id, ROW_NUMBER() OVER (ORDER BY ROUND({SIM}, 9) DESC, e.vec_id) AS r FROM {{embeddings}} e JOIN d ON d.id = e.vec_id, {Q0} WHERE {label} ORDER BY ROUND({SIM}, 9) DESC, e.vec_id LIMIT 20),
+    f AS (SELECT COALESCE(t.id, v.id) AS id, ROUND(COALESCE(1.0 / (50 + t.r), 0) + COALESCE(1.0 / (50 + v.r), 0), 9) AS score FROM t FULL JOIN v ON t.id = v.id ORDER BY 2 DESC, 1 LIMIT 10)
+    SELECT f.id, left(d.content, 500) AS content, f.score FROM f JOIN d ON d.id = f.id"""
+
+
+def hybrid(c: Civic, rows: DataFrame, word: str, kept: DataFrame) -> DataFrame:
+    low = F.lower("content")
+    hits = (F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)
+    text = rows.where(low.contains(word)).select("id", hits.alias("score"))
+    q = F.array(*[F.lit(float(x)) for x in vector(c)])
+    near = kept.join(rows.select("id"), F.col("vec_id") == F.col("id"), "left_semi").withColumn("q", q).select(F.col("vec_id").alias("id"), F.round(joins.cosine("embedding", "q"), 9).alias("score"))
+    best = ops.fused(text, near, k=10).withColumn("score", F.round("score", 9))
+    return best.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", F.substring("content", 1, 500).alias("content"), "score")
+
+
+@query("hyb02_key_statements", hybrid_sql(f"SELECT id, text AS content FROM {{segments}} WHERE {STATEMENT} IS NULL OR {STATEMENT} = 'transcript'", "view", "TRUE"))
+def hyb02(c: Civic) -> DataFrame:
+    return hybrid(c, c.segments.where(f"{STATEMENT} is null or {STATEMENT} = 'transcript'").select("id", F.col("text").alias("content")), "view", c.embeddings)
+
+
+@query("hyb03_document_sections", hybrid_sql("SELECT doc_id AS id, text AS content FROM {documents} WHERE lang IN ('fr', 'es')", "que", "TRUE"))
+def hyb03(c: Civic) -> DataFrame:
+    return hybrid(c, c.documents.where(F.col("lang").isin("fr", "es")).select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "que", c.embeddings)
+
+
+@query("hyb04_bylaw_chunks", hybrid_sql("SELECT id, title AS content FROM {matters} WHERE identifier IS NOT NULL", "ring", "e.label <> 3"))
+def hyb04(c: Civic) -> DataFrame:
+    return hybrid(c, c.matters.where("identifier is not null").select("id", F.col("title").alias("content")), "ring", c.embeddings.where("label <> 3"))
+
+
+PAGED = {"people": ("name", "supplier#00000000", "balance"), "matters": ("title", "ring", "year"), "agenda_items": ("title", "ring", "place"), "motions": ("text", "ring", "meeting_id"), "segments": ("text", "view", "start_time")}
+
+
+@query("hyb12_search_page", "WITH a AS (" + " UNION ALL ".join(f"SELECT '{k}' AS type, id, 0.1 - (ROW_NUMBER() OVER (ORDER BY {by} DESC, id) - 1) / COUNT(*) OVER () * 0.09 AS score FROM (SELECT * FROM {{{k}}} WHERE contains(lower({text}), '{word}') ORDER BY {by} DESC, id LIMIT 50)" for k, (text, word, by) in PAGED.items()) + ") SELECT type, id, ROUND(score, 9) AS score FROM a ORDER BY ROUND(score, 9) DESC, type, id LIMIT 20 OFFSET 20")
+def hyb12(c: Civic) -> DataFrame:
+    arms_ = [(k, getattr(c, k).where(F.lower(text).contains(word)).select("id", F.col(by).alias("by"))) for k, (text, word, by) in PAGED.items()]
+    return ops.search_page(arms_, page=2, size=20, most=50)
