@@ -161,23 +161,6 @@ def participation_chunks(segments: DataFrame, size: int = 24_000, opening: str =
     return segments.select("meeting_id", "id", "start_time", "text").groupBy("meeting_id").applyInPandas(cut, "meeting_id long, id long, chunk long")
 
 
-def word_turns(tokens: DataFrame, turns: DataFrame) -> DataFrame:
-    """parent_id, k, text, speaker: every token (parent_id, k, word, start, end) with the one turn that holds its middle.
-
-    Tokens that no turn or several speakers hold are kept without a speaker; neighbours of one speaker are joined. Each
-    token comes out exactly once.
-    """
-    t = turns.select(F.col("parent_id").alias("_p"), F.col("speaker").alias("_who"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    middle = (F.col("start") + F.col("end")) / 2
-    held = tokens.join(t, (F.col("parent_id") == F.col("_p")) & (middle >= F.col("_s")) & (middle < F.col("_e")), "left")
-    one = held.groupBy("parent_id", "k", "word").agg(F.when(F.countDistinct("_who") == 1, F.min("_who")).alias("speaker"))
-    order = Window.partitionBy("parent_id").orderBy("k")
-    new = (~F.lag("speaker").over(order).eqNullSafe(F.col("speaker")) | F.lag("k").over(order).isNull()).cast("int")
-    numbered = one.withColumn("_new", new).withColumn("_turn", F.sum("_new").over(order))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ")
-    return numbered.groupBy("parent_id", "_turn").agg(F.min("k").alias("k"), words.alias("text"), F.first("speaker").alias("speaker"), F.count(F.lit(1)).alias("tokens")).drop("_turn")
-
-
 def calendar_apply(meetings: DataFrame, events: DataFrame) -> DataFrame:
     """event_id, meeting_id, action of each calendar event: update its own meeting, bind the day's only free one of the
     organisation, hold where several are free, else create."""

@@ -88,14 +88,6 @@ def rem06(c: Civic) -> DataFrame:
     return ops.participation_chunks(c.segments.withColumn("text", text), size=120)
 
 
-@query("aln09_word_turns", None)
-def aln09(c: Civic) -> DataFrame:
-    k = F.col("id")
-    tokens = c.segments.select(F.col("meeting_id").alias("parent_id"), k.alias("k"), F.concat(F.lit("w"), k.cast("string")).alias("word"), F.col("start_time").alias("start"), (F.col("start_time") + 1).alias("end"))
-    turns = c.agenda_items.where("start_time is not null").select(F.col("meeting_id").alias("parent_id"), (F.col("id") % 3).cast("string").alias("speaker"), F.col("start_time").alias("start"), F.col("end_time").alias("end"))
-    return ops.word_turns(tokens, turns)
-
-
 @query("stm06_calendar_apply", """
     WITH e AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'cal-' || CAST(o_orderkey AS STRING) ELSE 'new-' || CAST(o_orderkey AS STRING) END AS event_id, o_custkey % 5 AS organization_id, CAST(o_orderdate AS DATE) AS event_date FROM {orders} WHERE o_orderkey % 3 = 0),
     f AS (SELECT organization_id, meeting_date, MIN(id) AS free, COUNT(*) AS n FROM {meetings} WHERE calendar_source_id IS NULL AND id % 13 = 2 GROUP BY 1, 2)

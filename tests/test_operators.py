@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from agora.functions import dates, matters, names, text
-from agora.operators import documents, entities, filters, incremental, joins, matching, search, windows
+from agora.operators import alignment, documents, entities, filters, incremental, joins, matching, search, windows
 from agora.operators import votes as voting
 
 
@@ -310,3 +310,43 @@ def test_best_titles_are_those_of_brute_force(spark):
 )
 def test_referenced_bylaws(t, wanted):
     assert matters.bylaws_referred_to(t, 2027)[0] == wanted
+
+
+# --- alignment ------------------------------------------------------------------------------------------------------
+
+
+def test_items_and_motions_in_a_transcript(spark):
+    said = [(0, "good evening everyone"), (60, "item 8.1 the Oak Street rezoning"), (120, "we come to 8.10 now"), (200, "the rezoning of oak street again"), (400, "who wants to speak about budget"), (500, "I move that the budget increase be approved"), (520, "moved and seconded"), (900, "motion to adjourn"), (910, "we adjourn")]
+    segments = spark.createDataFrame([(1, k, float(t), t + 20.0, x) for k, (t, x) in enumerate(said)], "meeting_id long, id long, start_time double, end_time double, text string")
+    items = [(1, 1, "1", "Call to Order", None), (1, 2, "8.1", "Rezoning Oak Street", 190.0), (1, 3, "8.2", "Nothing said of it", None), (1, 4, "9", "Budget increase 2024", None), (1, 5, "10", "Adjournment", None), (1, 6, "9.1", "", None)]
+    items = spark.createDataFrame(items, "meeting_id long, id long, number string, title string, start_time double")
+    markers = alignment.item_markers(items, segments)
+    assert {r.item_id: (r.at, round(r.score, 4)) for r in markers.collect()} == {1: (0.0, 2.0), 2: (60.0, 1.2), 4: (500.0, 0.5333), 5: (900.0, 2.0)}
+    placed = alignment.placed_items(items, markers, spark.createDataFrame([(1, 0.0, 930.0)], "meeting_id long, opens double, closes double"))
+    got = {r.id: (round(r.start_at, 3), round(r.end_at, 3)) for r in placed.collect()}
+    assert got == {1: (0.0, 60.0), 2: (60.0, 280.0), 3: (280.0, 500.0), 4: (500.0, 700.0), 6: (700.0, 900.0), 5: (900.0, 930.0)}
+    motions = [(1, 1, "THAT the budget increase be approved", 480.0, 600.0, False), (1, 2, "THAT nothing remarkable", 505.0, 530.0, False), (1, 3, "budget increase approved", 20.0, 30.0, False), (1, 4, "adjourn", 100.0, 110.0, False), (1, 5, "a b", 0.0, 1.0, False)]
+    motions = spark.createDataFrame(motions, "meeting_id long, id long, text string, start_at double, end_at double, closes boolean")
+    assert {r.motion_id: r.at for r in alignment.motion_markers(motions, segments).collect()} == {1: 500.0, 2: 520.0, 3: 500.0, 4: 910.0}
+
+
+def test_an_earlier_but_surer_marker_replaces_the_last_anchor(spark):
+    items = spark.createDataFrame([(1, k, str(k)) for k in range(1, 5)], "meeting_id long, id long, number string")
+    bounds = spark.createDataFrame([(1, 0.0, 100.0), (2, 0.0, 50.0)], "meeting_id long, opens double, closes double")
+    place = lambda rows: {r.id: r.start_at for r in alignment.placed_items(items, spark.createDataFrame(rows, "item_id long, at double, score double"), bounds).collect()}
+    assert place([(1, 10.0, 1.0), (2, 60.0, 0.5), (3, 40.0, 0.9)]) == {1: 10.0, 2: 25.0, 3: 40.0, 4: 90.0}
+    assert place([(1, 10.0, 1.0), (2, 60.0, 0.9), (3, 40.0, 0.5)]) == {1: 10.0, 2: 60.0, 3: 75.0, 4: 90.0}
+    assert place([(9, 1.0, 1.0)]) == {1: 0.0, 2: 30.0, 3: 60.0, 4: 90.0}
+
+
+def test_word_turns(spark):
+    words = [(0, "Good", 0.0, 1.0), (1, " even", 1.0, 1.5), (2, "ing", 1.5, 2.0), (3, " all", 2.0, 3.0), (4, ",", 3.0, 3.0), (5, " yes", 3.0, 4.0), (6, " no", 4.0, 5.0), (7, " x", 5.0, 5.0), (8, " far", 5.0, 6.0), (9, " off", 8.0, 9.0)]
+    tokens = spark.createDataFrame([(1, *w) for w in words], "parent_id long, k long, text string, start double, end double")
+    turns = spark.createDataFrame([(1, "A", 0.0, 3.0), (1, "B", 3.0, 4.5), (1, "B", 4.4, 7.0), (1, "A", 4.95, 5.0)], "parent_id long, speaker string, start double, end double")
+    parent = lambda text: spark.createDataFrame([(1, text, 0.0, 9.0)], "parent_id long, text string, start double, end double")
+    got = [tuple(r) for r in alignment.word_turns(parent("Good evening all, yes no x far off"), tokens, turns).orderBy("first").collect()]
+    ok = "alignment_candidate"
+    assert got == [(1, 0, 4, "A", "Good evening all,", None, ok), (1, 5, 5, "B", "yes", None, ok), (1, 6, 6, None, "no", "word_crosses_measured_voice_boundary", ok), (1, 7, 7, None, "x", "unmeasured_lexical_token", ok), (1, 8, 8, "B", "far", None, ok), (1, 9, 9, None, "off", "mixed_or_insufficient_temporal_support", ok)]
+    assert {r.status for r in alignment.word_turns(parent("other"), tokens, turns).collect()} == {"held_original_text_mismatch"}
+    early = tokens.withColumn("start", F.col("start") - 1)
+    assert [(r.first, r.last, r.status) for r in alignment.word_turns(parent("x"), early, turns).collect()] == [(0, 9, "held_invalid_input")]
