@@ -157,15 +157,15 @@ def supported(turns: list[tuple[float, float, str]], speaker: str, start: float,
     return own >= COVERED and other <= COMPETING
 
 
-def units(tokens: pd.DataFrame) -> list[dict]:
+def units(tokens: list[dict]) -> list[dict]:
     """Words of tokens: a token that doesn't begin with a space goes on with the word before it."""
     out: list[dict] = []
-    for t in tokens.itertuples():
-        if not out or t.text[:1].isspace():
-            out.append({"text": "", "start": t.start, "end": t.end, "first": t.k, "last": t.k, "reason": None})
+    for t in tokens:
+        if not out or t["text"][:1].isspace():
+            out.append({"text": "", "start": t["start"], "end": t["end"], "first": t["k"], "last": t["k"], "reason": None})
         w = out[-1]
-        w.update(text=w["text"] + t.text, start=min(w["start"], t.start), end=max(w["end"], t.end), last=t.k)
-        if t.start == t.end and any(c.isalnum() for c in t.text):
+        w.update(text=w["text"] + t["text"], start=min(w["start"], t["start"]), end=max(w["end"], t["end"]), last=t["k"])
+        if t["start"] == t["end"] and any(c.isalnum() for c in t["text"]):
             w["reason"] = "unmeasured_lexical_token"
     for w in out:
         if w["reason"] is None and w["end"] <= w["start"]:
@@ -173,6 +173,29 @@ def units(tokens: pd.DataFrame) -> list[dict]:
     return out
 
 
+def utterances(tokens: list[dict], voices: list[tuple[float, float, str]]) -> list[dict]:
+    """first, last, speaker, text, reason of a paragraph's tokens in order: words of one voice joined, others held alone."""
+    out: list[dict] = []
+    speaking = None
+    for w in units(tokens):
+        near = [v for v in voices if v[0] < w["end"] and v[1] > w["start"]]
+        reason, who = w["reason"], None
+        if reason is None:
+            able = [s for s in sorted({v[2] for v in near}) if supported(near, s, w["start"], w["end"])]
+            if len(able) != 1:
+                reason = "mixed_or_insufficient_temporal_support"
+            elif any(v[2] != able[0] for v in near):
+                reason = "word_crosses_measured_voice_boundary"
+            else:
+                who = able[0]
+        if who is not None and speaking is not None and out[-1]["speaker"] == who and supported(voices, who, speaking, w["end"]):
+            out[-1].update(last=w["last"], text=out[-1]["text"] + w["text"])
+            continue
+        out.append({"first": w["first"], "last": w["last"], "speaker": who, "text": w["text"], "reason": reason})
+        speaking = w["start"] if who is not None else None
+    return [x | {"text": x["text"].strip()} for x in out]
+
+
 def word_turns(parents: DataFrame, tokens: DataFrame, turns: DataFrame) -> DataFrame:
     """parent_id, first, last, speaker, text, reason, status: a paragraph's tokens as utterances of one voice, or held.
 
@@ -182,44 +205,23 @@ def word_turns(parents: DataFrame, tokens: DataFrame, turns: DataFrame) -> DataF
     whole is covered so, too. Every token is in exactly one row. status says whether the tokens make up the paragraph's
     text; a paragraph with tokens outside it or out of order is held as a whole. A paragraph is one ordered pass.
     """
-    p = parents.select("parent_id", F.col("text").alias("whole"), F.col("start").alias("opens"), F.col("end").alias("closes"))
-    rows = tokens.select("parent_id", "k", "text", "start", "end", F.lit(None).cast("string").alias("speaker")).unionByName(turns.select("parent_id", F.lit(None).cast("long").alias("k"), F.lit("").alias("text"), "start", "end", "speaker")).join(p, "parent_id")
-    names = ["parent_id", "first", "last", "speaker", "text", "reason", "status"]
-
-    def align(group: pd.DataFrame) -> pd.DataFrame:
-        parent, whole = int(group["parent_id"].iloc[0]), group["whole"].iloc[0]
-        opens, closes = float(group["opens"].iloc[0]), float(group["closes"].iloc[0])
-        own = group[group["k"].notna()].astype({"k": "int64"}).sort_values("k")
-        if own.empty:
-            return pd.DataFrame(columns=names)
-        joined = "".join(own["text"])
-        if not (0 <= opens < closes and own["start"].is_monotonic_increasing and (own["start"] >= opens).all() and (own["end"] <= closes).all() and (own["start"] <= own["end"]).all()):
-            return pd.DataFrame([(parent, int(own["k"].min()), int(own["k"].max()), None, joined, "invalid_input", "held_invalid_input")], columns=names)
-        voices = [(max(0.0, a), b, who) for a, b, who in zip(*(group.loc[group["k"].isna(), c] for c in ("start", "end", "speaker")), strict=True) if 0 <= a < b]
-        status = "alignment_candidate" if joined.strip() == whole.strip() else "held_original_text_mismatch"
-        out: list[list] = []
-        speaking = None
-        for w in units(own):
-            near = [v for v in voices if v[0] < w["end"] and v[1] > w["start"]]
-            reason, who = w["reason"], None
-            if reason is None:
-                able = [s for s in sorted({v[2] for v in near}) if supported(near, s, w["start"], w["end"])]
-                if len(able) != 1:
-                    reason = "mixed_or_insufficient_temporal_support"
-                elif any(v[2] != able[0] for v in near):
-                    reason = "word_crosses_measured_voice_boundary"
-                else:
-                    who = able[0]
-            if who is not None and speaking is not None and out[-1][3] == who and supported(voices, who, speaking, w["end"]):
-                out[-1][2], out[-1][4] = w["last"], out[-1][4] + w["text"]
-                continue
-            out.append([parent, w["first"], w["last"], who, w["text"], reason, status])
-            speaking = w["start"] if who is not None else None
-        for row in out:
-            row[4] = row[4].strip()
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy("parent_id").applyInPandas(align, "parent_id long, first long, last long, speaker string, text string, reason string, status string")
+    t = tokens.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("k", "text", "start", "end"))).alias("tokens"))
+    v = turns.where("0 <= start and start < end").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "speaker"))).alias("voices"))
+    rows = parents.join(t, "parent_id").join(v, "parent_id", "left")
+
+    @F.pandas_udf("array<struct<first: long, last: long, speaker: string, text: string, reason: string>>")
+    def align(tokens: pd.Series, voices: pd.Series) -> pd.Series:
+        return pd.Series([utterances(list(x), [] if y is None else [(z["start"], z["end"], z["speaker"]) for z in y]) for x, y in zip(tokens, voices, strict=True)])
+
+    start, end = F.col("start"), F.col("end")
+    inside = F.forall("tokens", lambda x: (start <= x["start"]) & (x["start"] <= x["end"]) & (x["end"] <= end))
+    starts = F.transform("tokens", lambda x: x["start"])
+    valid = (start >= 0) & (start < end) & inside & (starts == F.array_sort(starts))
+    joined = F.array_join(F.transform("tokens", lambda x: x["text"]), "")
+    held = rows.where(~valid).select("parent_id", F.col("tokens")[0]["k"].alias("first"), F.element_at("tokens", -1)["k"].alias("last"), F.lit(None).cast("string").alias("speaker"), joined.alias("text"), F.lit("invalid_input").alias("reason"), F.lit("held_invalid_input").alias("status"))
+    status = F.when(F.trim(joined) == F.trim("text"), "alignment_candidate").otherwise("held_original_text_mismatch")
+    aligned = rows.where(valid).select("parent_id", status.alias("status"), F.explode(align("tokens", "voices")).alias("u")).select("parent_id", "u.*", "status")
+    return aligned.unionByName(held)
 
 
 #: Announcements at a window's edge, and what makes them more than that.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import question_key
+from agora.functions.text import motion_words, polarity, question_key
 
 #: Sizes of overlapping chunks, of packed sections, and below which either is dropped.
 CHUNK, OVERLAP, LEAST_CHUNK = 1000, 200, 20
@@ -146,11 +146,37 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), 1)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity; null for a null side."""
+def ratio(a: Column, b: Column, junk: bool = True) -> Column:
+    """Ratcliff-Obershelp similarity; null for a null side. ``junk``: letters that are common in a long text don't count."""
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q, junk).ratio() for p, q in zip(x, y, strict=True)])
 
     return alike(a, b)
+
+
+#: Words of a motion that its source may lack.
+SMALL_WORDS = ["the", "a", "an", "that", "to", "of", "for", "and", "be", "is", "as", "by", "with", "it", "its", "on", "in", "at", "from", "this", "these", "those"]
+
+
+def motion_sources(motions: DataFrame, blocks: DataFrame, margin: float = 0.06) -> DataFrame:
+    """doc, id, place, how: the block of the minutes (doc, place, text) that has a motion (doc, id, text, quote) word for word.
+
+    It must be the only one, and no other block of the minutes may be within the margin of it. Where the motion's own text
+    has none, its quote is tried, if both have the same amounts and turning words and the quote has all other words of it.
+    """
+    b = blocks.select(F.col("doc").alias("_d"), "place", motion_words("text").alias("_words")).where("_words <> ''")
+
+    def matched(wanted: DataFrame) -> DataFrame:
+        same = wanted.join(b, (F.col("doc") == F.col("_d")) & (F.col("target") == F.col("_words"))).groupBy("doc", "id", "target").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).where("n = 1")
+        total = F.length("target") + F.length("_words")
+        others = same.select("doc", "id", "target").join(b, (F.col("doc") == F.col("_d")) & (F.col("target") != F.col("_words")) & (2 * F.least(F.length("target"), F.length("_words")) > (1 - margin) * total))
+        rivals = others.where(ratio(F.col("target"), F.col("_words"), junk=False) > 1 - margin).select("doc", "id").distinct()
+        return same.join(rivals, ["doc", "id"], "left_anti").select("doc", "id", "place")
+
+    own = matched(motions.select("doc", "id", motion_words("text").alias("target"))).withColumn("how", F.lit("exact_motion_text"))
+    told = F.array_except(F.split(motion_words("text"), " "), F.array(*[F.lit(w) for w in SMALL_WORDS], F.lit("")))
+    backed = (polarity("text") == polarity("quote")) & (F.size(told) > 0) & (F.size(F.array_except(told, F.split(motion_words("quote"), " "))) == 0)
+    quoted = motions.join(own, ["doc", "id"], "left_anti").where(F.col("quote").isNotNull() & backed).select("doc", "id", motion_words("quote").alias("target"))
+    return own.unionByName(matched(quoted).withColumn("how", F.lit("verbatim_quote_exact_identity")))

@@ -13,29 +13,41 @@ def complete_link(links: DataFrame, forbidden: DataFrame, component: str, least:
     """component, cluster, member: groups merged along links (a, b, confidence), the surest first, unless a pair of the two
     groups is forbidden. The order decides, so each connected component is one ordered pass.
     """
-    bad = forbidden.select(F.col(component).alias("_c"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(-1.0).alias("confidence"))
-    rows = links.where(F.col("confidence") >= least).select(F.col(component).alias("_c"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("confidence").cast("double").alias("confidence")).unionByName(bad)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        no = {(r.a, r.b) for r in group[group.confidence < 0].itertuples()}
-        owner: dict[int, int] = {}
-        members: dict[int, list[int]] = {}
-        ordered = group[group.confidence >= 0].sort_values(["confidence", "a", "b"], ascending=[False, True, True])
-        for r in ordered.itertuples():
-            for x in (r.a, r.b):
-                if x not in owner:
-                    owner[x], members[x] = x, [x]
-            p, q = owner[r.a], owner[r.b]
-            if p == q or any((min(x, y), max(x, y)) in no for x in members[p] for y in members[q]):
-                continue
-            keep, drop = min(p, q), max(p, q)
-            for x in members.pop(drop):
-                owner[x] = keep
-                members[keep].append(x)
-        out = [(group["_c"].iloc[0], k, x) for k, v in members.items() if len(v) > 1 for x in sorted(v)]
-        return pd.DataFrame(out, columns=[component, "cluster", "member"])
-
-    return rows.groupBy("_c").applyInPandas(merge, f"{component} long, cluster long, member long")
+    pairs = lambda df, c: df.select(F.col(component), F.struct((-c).alias("turn"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("pair"))
+    sure = pairs(links.where(F.col("confidence") >= least), F.col("confidence").cast("double"))
+    grouped = sure.groupBy(component).agg(F.array_sort(F.collect_list("pair")).alias("links")).join(pairs(forbidden, F.lit(0.0)).groupBy(component).agg(F.collect_set("pair").alias("no")), component, "left")
+
+    @F.pandas_udf("array<struct<cluster: long, member: long>>")
+    def merge(links: pd.Series, no: pd.Series) -> pd.Series:
+        return pd.Series([clusters([(x["a"], x["b"]) for x in a], set() if b is None else {(x["a"], x["b"]) for x in b}) for a, b in zip(links, no, strict=True)])
+
+    return grouped.select(component, F.explode(merge("links", "no")).alias("c")).select(component, "c.cluster", "c.member")
+
+
+def clusters(links: list[tuple[int, int]], forbidden: set[tuple[int, int]]) -> list[dict]:
+    """Members of each cluster of several, named by its least one; links come in the order in which they are tried.
+
+    Each cluster keeps the members that its own may not meet, so that a link is judged by the smaller of the two.
+    """
+    owner: dict[int, int] = {}
+    members: dict[int, set[int]] = {}
+    foes: dict[int, set[int]] = {}
+    for a, b in forbidden:
+        foes.setdefault(a, set()).add(b)
+        foes.setdefault(b, set()).add(a)
+    for a, b in links:
+        for x in (a, b):
+            if x not in owner:
+                owner[x], members[x] = x, {x}
+                foes.setdefault(x, set())
+        p, q = sorted((owner[a], owner[b]))
+        if p == q or not foes[p].isdisjoint(members[q]):
+            continue
+        for x in members[q]:
+            owner[x] = p
+        members[p] |= members.pop(q)
+        foes[p] = foes[p] | foes[q]
+    return [{"cluster": k, "member": x} for k, v in members.items() if len(v) > 1 for x in sorted(v)]
 
 
 def monotonic_chain(options: DataFrame, least: float = 2.0) -> DataFrame:

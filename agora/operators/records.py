@@ -186,3 +186,32 @@ def coverage_status(meetings: DataFrame, motions: DataFrame) -> DataFrame:
     none = ~(F.coalesce("has_agenda", F.lit(False)) | F.coalesce("has_minutes", F.lit(False)) | F.coalesce("has_transcript", F.lit(False)))
     status = F.when(none, "source unavailable").when(F.col("status") == "Cancelled", "held").when(F.col("_n").isNull(), "missing decisions").when(F.col("_open") > 0, "review required").otherwise("complete")
     return meetings.join(m, F.col("id") == F.col("_m"), "left").select("id", status.alias("status"))
+
+
+def arbitrated_number(own: Column, listed: Column, unconfirmed: Column, source: Column, text: Column) -> Column:
+    """number and note of a bylaw whose document and listing may say different numbers.
+
+    The document's own number wins, but in a directory whose document amends the listed bylaw.
+    """
+    amends = F.coalesce(F.regexp_like(F.substring(text, 1, 4000), F.concat(F.lit(r"(?is)\bamend[^.]{0,160}?\bBylaw\s+No\.?\s*0*"), listed, F.lit(r"\b"))), F.lit(False))
+    made = lambda number, *note: F.struct(number.alias("number"), F.concat(*note).alias("note"))
+    none, blank = F.lit(""), F.lit(None).cast("string")
+    has_own, has_listed = F.coalesce(own != "", F.lit(False)), F.coalesce(listed != "", F.lit(False))
+    differs = has_own & (own != listed)
+    return (
+        F.when(~has_listed, F.when(has_own, made(own, F.lit("number from the PDF"))).otherwise(made(blank, none)))
+        .when(unconfirmed & (own == listed), made(own, none))
+        .when(unconfirmed, F.when(has_own, made(own, F.lit("title read "), listed, F.lit(", PDF is Bylaw "), own)).otherwise(made(blank, none)))
+        .when(differs & (source == "directory") & amends, made(listed, F.lit("PDF is amending Bylaw "), own, F.lit("; listed as "), listed))
+        .when(differs, made(own, F.lit("listed as "), listed, F.lit(", PDF is Bylaw "), own))
+        .otherwise(made(listed, none))
+    )
+
+
+def seeded_memberships(roster: DataFrame, people: DataFrame, organizations: DataFrame, memberships: DataFrame) -> DataFrame:
+    """person_id, organization_id, role, start_date, end_date of a roster's rows (name, organization, role, dates) that aren't
+    there yet: names of people and organisations are looked up, and a role that a person has there already is left alone."""
+    p, o = people.select(F.col("id").alias("person_id"), F.col("name").alias("_p")), organizations.select(F.col("id").alias("organization_id"), F.col("name").alias("_o"))
+    rows = roster.join(p, F.col("name") == F.col("_p")).join(o, F.col("organization") == F.col("_o"))
+    known = memberships.select("person_id", "organization_id", "role").distinct()
+    return rows.join(known, ["person_id", "organization_id", "role"], "left_anti").select("person_id", "organization_id", "role", "start_date", "end_date")

@@ -297,3 +297,71 @@ def rem41(c: Civic) -> DataFrame:
 @query("stm13_participation_cas", "SELECT meeting_id, COUNT(*) AS rows, sha256('[' || string_agg('{{\"id\":' || CAST(id AS STRING) || ',\"text\":\"' || text || '\"}}', ',' ORDER BY id) || ']') AS digest FROM {segments} GROUP BY meeting_id")
 def stm13(c: Civic) -> DataFrame:
     return ops.fingerprint(c.segments, "meeting_id", ["id", "text"])
+
+
+ASKED = "CASE id % 8 WHEN 0 THEN 'June ' || CAST(1 + id % 40 AS STRING) WHEN 1 THEN 'on the 3rd sept 2024' WHEN 2 THEN '2026-06-' || CAST(1 + id % 30 AS STRING) WHEN 3 THEN 'parks 12' WHEN 4 THEN 'May. 2nd, 2021 agenda' WHEN 5 THEN 'trees' WHEN 6 THEN '31 october' ELSE title END"
+MONTH_LIST = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+
+
+@query("dat04_date_asked", f"""
+    WITH q AS (SELECT id, lower({ASKED}) AS t FROM {{matters}}),
+    e AS (SELECT id, t, regexp_extract(t, '\\b(20\\d{{{{2}}}})-(\\d{{{{1,2}}}})-(\\d{{{{1,2}}}})\\b', ['y', 'm', 'd']) AS i, regexp_extract(t, '\\b([a-z]{{{{3,9}}}})\\.?\\s+(\\d{{{{1,2}}}})(?:st|nd|rd|th)?(?:,?\\s+(20\\d{{{{2}}}}))?\\b', ['m', 'd', 'y']) AS a, regexp_extract(t, '\\b(\\d{{{{1,2}}}})(?:st|nd|rd|th)?\\s+([a-z]{{{{3,9}}}})(?:,?\\s+(20\\d{{{{2}}}}))?\\b', ['d', 'm', 'y']) AS b FROM q),
+    p AS (SELECT id, CASE WHEN i.y <> '' THEN TRY_CAST(i.m AS INT) WHEN a.m <> '' THEN list_position({MONTH_LIST}, left(a.m, 3)) WHEN b.m <> '' THEN list_position({MONTH_LIST}, left(b.m, 3)) END AS month, CASE WHEN i.y <> '' THEN TRY_CAST(i.d AS INT) WHEN a.m <> '' THEN TRY_CAST(a.d AS INT) ELSE TRY_CAST(b.d AS INT) END AS day, CASE WHEN i.y <> '' THEN TRY_CAST(i.y AS INT) WHEN a.m <> '' THEN TRY_CAST(a.y AS INT) ELSE TRY_CAST(b.y AS INT) END AS year, i.y <> '' AS iso FROM e),
+    g AS (SELECT *, iso OR (COALESCE(month, 0) > 0 AND day BETWEEN 1 AND 31) AS fit FROM p)
+    SELECT id, CASE WHEN fit THEN month END AS month, CASE WHEN fit THEN day END AS day, CASE WHEN fit THEN year END AS year FROM g""")
+def dat04(c: Civic) -> DataFrame:
+    from agora.functions.dates import date_asked
+
+    return c.matters.select("id", date_asked(F.expr(ASKED)).alias("d")).select("id", "d.month", "d.day", "d.year")
+
+
+@query("rem02_arbitrated_number", """
+    WITH b AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 300 AS STRING) END AS own, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(id % 300 AS STRING) ELSE CAST(id % 200 AS STRING) END AS listed, id % 3 = 0 AS loose, CASE WHEN id % 2 = 0 THEN 'directory' ELSE 'search' END AS source, id % 7 < 4 AS amends FROM {matters})
+    SELECT id, CASE WHEN listed = '' THEN own WHEN loose THEN own WHEN own IS NOT NULL AND own <> listed THEN CASE WHEN source = 'directory' AND amends THEN listed ELSE own END ELSE listed END AS number,
+      CASE WHEN listed = '' THEN CASE WHEN own IS NULL THEN '' ELSE 'number from the PDF' END WHEN loose THEN CASE WHEN own IS NULL OR own = listed THEN '' ELSE 'title read ' || listed || ', PDF is Bylaw ' || own END
+        WHEN own IS NOT NULL AND own <> listed THEN CASE WHEN source = 'directory' AND amends THEN 'PDF is amending Bylaw ' || own || '; listed as ' || listed ELSE 'listed as ' || listed || ', PDF is Bylaw ' || own END ELSE '' END AS note FROM b""")
+def rem02(c: Civic) -> DataFrame:
+    k = F.col("id")
+    own, listed = F.when(k % 5 != 0, (k % 300).cast("string")), F.when(k % 4 == 0, "").when(k % 4 == 1, (k % 300).cast("string")).otherwise((k % 200).cast("string"))
+    text = F.when(k % 7 < 4, F.concat(F.lit("A bylaw to\namend the Sign Bylaw No. 0"), listed, F.lit(", 2019"))).otherwise("To amend it. See Bylaw No. 1 and others")
+    found = c.matters.select("id", ops.arbitrated_number(own, listed, k % 3 == 0, F.when(k % 2 == 0, "directory").otherwise("search"), text).alias("f"))
+    return found.select("id", "f.number", "f.note")
+
+
+@query("rem33_meeting_period", """
+    WITH q AS (SELECT id, CASE id % 4 WHEN 0 THEN CAST(1990 + id % 40 AS STRING) WHEN 1 THEN '0999' WHEN 2 THEN NULL ELSE '2026' END AS y, CASE id % 5 WHEN 0 THEN CAST(id % 14 AS STRING) WHEN 1 THEN '012' ELSE NULL END AS m, CASE WHEN id % 2 = 0 THEN 'calendar' END AS v FROM {matters}),
+    r AS (SELECT id, m, v, CASE WHEN regexp_full_match(y, '[1-9]\\d{{3}}') THEN CAST(y AS INT) ELSE 2026 END AS year FROM q)
+    SELECT id, year, CASE WHEN regexp_full_match(m, '[1-9]|1[0-2]') THEN CAST(m AS INT) WHEN year = 2026 THEN 11 ELSE 12 END AS month, COALESCE(v = 'calendar', FALSE) AS monthly FROM r""")
+def rem33(c: Civic) -> DataFrame:
+    from agora.functions.dates import meeting_period
+
+    k = F.col("id")
+    year = F.when(k % 4 == 0, (1990 + k % 40).cast("string")).when(k % 4 == 1, "0999").when(k % 4 == 3, "2026")
+    month = F.when(k % 5 == 0, (k % 14).cast("string")).when(k % 5 == 1, "012")
+    return c.matters.select("id", meeting_period(year, month, F.when(k % 2 == 0, "calendar"), "2026-11-28").alias("p")).select("id", "p.*")
+
+
+@query("src10_seeded_memberships", """
+    WITH r AS (SELECT s_name AS name, 'Body ' || CAST(s_suppkey % 6 AS STRING) AS organization, CASE WHEN s_suppkey % 9 = 0 THEN 'Mayor' ELSE 'Councillor' END AS role, DATE '2022-11-07' AS s FROM {supplier} UNION ALL SELECT 'Nobody', 'Body 1', 'Mayor', DATE '2022-11-07')
+    SELECT p.id AS person_id, o.id AS organization_id, r.role, CAST(r.s AS STRING) AS start_date FROM r JOIN {people} p ON p.name = r.name JOIN (SELECT DISTINCT organization_id AS id, 'Body ' || CAST(organization_id AS STRING) AS name FROM {memberships}) o ON o.name = r.organization
+    WHERE NOT EXISTS (SELECT 1 FROM {memberships} m WHERE m.person_id = p.id AND m.organization_id = o.id AND r.role = 'Councillor' AND m.end_date IS NULL)""")
+def src10(c: Civic) -> DataFrame:
+    k = F.col("s_suppkey")
+    start = F.lit("2022-11-07").cast("date")
+    roster = c.supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("Body "), (k % 6).cast("string")).alias("organization"), F.when(k % 9 == 0, "Mayor").otherwise("Councillor").alias("role"), start.alias("start_date"), F.lit(None).cast("date").alias("end_date"))
+    roster = roster.unionByName(c.spark.range(1).select(F.lit("Nobody").alias("name"), F.lit("Body 1").alias("organization"), F.lit("Mayor").alias("role"), start.alias("start_date"), F.lit(None).cast("date").alias("end_date")))
+    bodies = c.memberships.select(F.col("organization_id").alias("id"), F.concat(F.lit("Body "), F.col("organization_id").cast("string")).alias("name")).distinct()
+    held = c.memberships.where("end_date is null").select("person_id", "organization_id", F.lit("Councillor").alias("role"))
+    return ops.seeded_memberships(roster, c.people, bodies, held).select("person_id", "organization_id", "role", F.col("start_date").cast("string").alias("start_date"))
+
+
+@query("doc09_motion_sources", """
+    WITH m AS (SELECT id, meeting_id AS doc, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS w FROM {motions}),
+    b AS (SELECT doc, id AS place, w FROM m WHERE id % 5 <> 1)
+    SELECT m.doc, m.id, MIN(b.place) AS place, 'exact_motion_text' AS how FROM m JOIN b ON b.doc = m.doc AND b.w = m.w GROUP BY m.doc, m.id HAVING COUNT(*) = 1""")
+def doc09(c: Civic) -> DataFrame:
+    from agora.operators.documents import motion_sources
+
+    motions = c.motions.select(F.col("meeting_id").alias("doc"), "id", "text", F.lit(None).cast("string").alias("quote"))
+    blocks = c.motions.where("id % 5 <> 1").select(F.col("meeting_id").alias("doc"), F.col("id").alias("place"), F.upper("text").alias("text"))
+    return motion_sources(motions, blocks)

@@ -350,3 +350,9 @@ def test_word_turns(spark):
     assert {r.status for r in alignment.word_turns(parent("other"), tokens, turns).collect()} == {"held_original_text_mismatch"}
     early = tokens.withColumn("start", F.col("start") - 1)
     assert [(r.first, r.last, r.status) for r in alignment.word_turns(parent("x"), early, turns).collect()] == [(0, 9, "held_invalid_input")]
+
+
+def test_motion_sources(spark):
+    blocks = spark.createDataFrame([(1, 1, "THATCouncil approve $5,000 for trees."), (1, 2, "That Council deny the permit"), (2, 1, "Approve the budget of 2024 as it was presented to the public"), (2, 2, "Approve the budget of 2025 as it was presented to the public"), (3, 1, "Adopt it"), (3, 2, "adopt it.")], "doc long, place long, text string")
+    motions = spark.createDataFrame([(1, 1, "that council approve $5,000 for trees", None), (1, 2, "deny permit", "That Council deny the permit"), (1, 3, "approve permit", "That Council deny the permit"), (2, 4, "Approve the budget of 2024 as it was presented to the public", None), (3, 5, "adopt it", None)], "doc long, id long, text string, quote string")
+    assert sorted(map(tuple, documents.motion_sources(motions, blocks).select("id", "place", "how").collect())) == [(1, 1, "exact_motion_text"), (2, 2, "verbatim_quote_exact_identity")]
