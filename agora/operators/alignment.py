@@ -137,6 +137,19 @@ def motion_markers(motions: DataFrame, segments: DataFrame) -> DataFrame:
     return best.select("motion_id", "b.at")
 
 
+def confident_windows(chosen: DataFrame) -> DataFrame:
+    """id, end_at, confidence of items (meeting_id, id, place, start_at, score, method, closes) with a start.
+
+    An item ends where the next one by place starts that doesn't start before it, else with the meeting. Starts that were
+    there before are sure; of others, scores of 3.5 and more are high, of 2.5 medium. A meeting's items are few.
+    """
+    after = Window.partitionBy("meeting_id").orderBy("place", "id").rowsBetween(1, Window.unboundedFollowing)
+    later = F.filter(F.collect_list("start_at").over(after), lambda t: t >= F.col("start_at"))
+    closes = F.when(F.col("closes") > F.col("start_at"), F.col("closes"))
+    level = F.when(F.col("method").isin("segment_link", "existing") | (F.col("score") >= 3.5), "high").when(F.col("score") >= 2.5, "medium").otherwise("low")
+    return chosen.where("start_at is not null").select("id", F.coalesce(F.get(later, F.lit(0)), closes).alias("end_at"), level.alias("confidence"))
+
+
 #: How far a speaker's turns must cover a word, and others may.
 COVERED, COMPETING = 0.90, 0.10
 

@@ -215,3 +215,9 @@ def seeded_memberships(roster: DataFrame, people: DataFrame, organizations: Data
     rows = roster.join(p, F.col("name") == F.col("_p")).join(o, F.col("organization") == F.col("_o"))
     known = memberships.select("person_id", "organization_id", "role").distinct()
     return rows.join(known, ["person_id", "organization_id", "role"], "left_anti").select("person_id", "organization_id", "role", "start_date", "end_date")
+
+
+def kept_links(decisions: DataFrame, least: Mapping[str, float]) -> DataFrame:
+    """The decisions (kind, probability) that are sure enough for their kind; kinds without a limit, and nulls, go."""
+    limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("kind")]
+    return decisions.where(F.coalesce(F.col("probability") >= limit, F.lit(False)))

@@ -172,6 +172,15 @@ def fused(text_arm: DataFrame, vector_arm: DataFrame, k: int, text_weight: float
     return both.select(F.coalesce("t_id", "v_id").alias("id"), (part("t_rank", text_weight) + part("v_rank", vector_weight)).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def speaker_search(segments: DataFrame, text: str, k: int) -> DataFrame:
+    """id, score (0.05) of the first k segments of a speaker asked for by first and last name: the name, with an initial for
+    the first, and both as they are listed of the public. Any other text finds nothing."""
+    name = re.fullmatch(r"\s*([A-Za-z]+)\s+([A-Za-z][A-Za-z'-]+)\s*", text)
+    forms = [f"{name[1]} {name[2]}", f"{name[1][0]}. {name[2]}"] if name else []
+    aliases = [*forms, *(f"{x} (public)" for x in forms)]
+    return segments.where(F.col("speaker_name").isin(aliases) if aliases else F.lit(False)).orderBy("start_time", "id").limit(k).select("id", F.lit(0.05).alias("score"))
+
+
 def relevance(score: Column, day: Column, now: str, title: Column, text: str) -> Column:
     """A score raised for recent dates (0.6, halving by e every two years) and for titles that hold the query."""
     years = F.datediff(F.lit(now).cast("date"), day) / 365.25

@@ -91,3 +91,13 @@ def rem07(c: Civic) -> DataFrame:
     times = F.when((F.col("item_id") % 5 == 1) & (F.col("n") == 1), 2).otherwise(1)
     cited = rows.select("item_id", F.when((F.col("item_id") % 7 == 1) & (F.col("n") == 2), F.col("chunk") + 7).otherwise(F.col("chunk")).alias("chunk"), "segment_id", F.explode(F.array_repeat(F.lit(1), times)).alias("_")).drop("_")
     return ops.merged_reviews(rows.select("item_id", "chunk", "segment_id"), rows.select("item_id", "chunk", "passed"), cited)
+
+
+@query("aln06_window_confidence", """
+    WITH t AS (SELECT id, meeting_id, place, CASE WHEN id % 11 = 3 THEN start_time - 90 ELSE start_time END AS s, (id % 50) / 10 AS score, id % 13 = 0 AS linked FROM {agenda_items} WHERE start_time IS NOT NULL),
+    n AS (SELECT a.id, arg_min(b.s, (b.place, b.id)) AS nxt FROM t a JOIN t b ON b.meeting_id = a.meeting_id AND (b.place, b.id) > (a.place, a.id) AND b.s >= a.s GROUP BY a.id)
+    SELECT t.id, COALESCE(n.nxt, CASE WHEN 400 > t.s THEN CAST(400 AS DOUBLE) END) AS end_at, CASE WHEN linked OR score >= 3.5 THEN 'high' WHEN score >= 2.5 THEN 'medium' ELSE 'low' END AS confidence FROM t LEFT JOIN n ON n.id = t.id""")
+def aln06(c: Civic) -> DataFrame:
+    k = F.col("id")
+    chosen = c.agenda_items.select("meeting_id", "id", "place", F.when(k % 11 == 3, F.col("start_time") - 90).otherwise(F.col("start_time")).alias("start_at"), ((k % 50) / 10).alias("score"), F.when(k % 13 == 0, "segment_link").otherwise("title_match").alias("method"), F.lit(400.0).alias("closes"))
+    return ops.confident_windows(chosen)

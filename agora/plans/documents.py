@@ -137,9 +137,3 @@ def aln05(c: Civic) -> DataFrame:
 def aln07(c: Civic) -> DataFrame:
     turns = c.segments.select("meeting_id", F.concat(F.lit("turn "), (F.col("id") % 5).cast("string")).alias("speaker"), "start_time", "end_time")
     return ent.best_speaker(c.segments, turns).withColumns({"coverage": F.round("coverage", 6), "competing": F.round("competing", 6)})
-
-
-@query("aln06_window_confidence", "SELECT id, CASE WHEN end_time - start_time >= 35 THEN 'high' WHEN end_time - start_time >= 25 THEN 'medium' ELSE 'low' END AS confidence FROM {segments}")
-def aln06(c: Civic) -> DataFrame:
-    s = F.col("end_time") - F.col("start_time")
-    return c.segments.select("id", F.when(s >= 35, "high").when(s >= 25, "medium").otherwise("low").alias("confidence"))

@@ -62,9 +62,12 @@ def flt09(c: Civic) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("flt10_named_participants", "SELECT id, speaker_name FROM {segments} WHERE NOT regexp_matches(lower(trim(speaker_name)), '^(unknown|anonymous|unidentified)\\b|^(speaker|participant|person)[ _-]*\\d+$')")
+NAMED = "CASE id % 5 WHEN 0 THEN speaker_name WHEN 1 THEN 'Ann Lee' WHEN 2 THEN ' Unknown caller' WHEN 3 THEN 'Speakers 4' ELSE 'Anonymously Yours' END"
+
+
+@query("flt10_named_participants", f"SELECT id, speaker_name FROM (SELECT id, {NAMED} AS speaker_name FROM {{segments}}) WHERE NOT regexp_matches(lower(trim(speaker_name)), '^(unknown|anonymous|unidentified)\\b|^(speaker|participant|person)[ _-]*\\d+$')")
 def flt10(c: Civic) -> DataFrame:
-    return c.segments.where(ops.named_participant("speaker_name")).select("id", "speaker_name")
+    return c.segments.withColumn("speaker_name", F.expr(NAMED)).where(ops.named_participant("speaker_name")).select("id", "speaker_name")
 
 
 @query("flt13_matter_list", "SELECT id, title, status FROM {matters} WHERE category = 'ECONOMY' AND status IN ('Adopted', 'Completed') AND contains(lower(title || ' ' || COALESCE(identifier, '') || ' ' || address), 'widget')")
@@ -111,9 +114,9 @@ def flt17(c: Civic) -> DataFrame:
     return one.crossJoin(n(c.motions, "motions")).crossJoin(n(c.matters, "matters")).crossJoin(n(c.people, "people")).select("meetings", "motions", "matters", "people", "hours")  # single rows
 
 
-@query("flt18_api_bylaws", "SELECT id, title, year FROM {matters} WHERE year = 1995 AND identifier IS NOT NULL AND status = 'Adopted'")
+@query("flt18_api_bylaws", "SELECT id, title, year FROM {matters} WHERE year = 1991 AND identifier IS NOT NULL AND status = 'Adopted'")
 def flt18(c: Civic) -> DataFrame:
-    return c.matters.where("year = 1995 and identifier is not null and status = 'Adopted'").select("id", "title", "year")
+    return c.matters.where("year = 1991 and identifier is not null and status = 'Adopted'").select("id", "title", "year")
 
 
 @query("flt20_unexpired", "SELECT id FROM {usage} WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-15 00:00:00'")

@@ -138,7 +138,7 @@ def matter_table(c: Civic) -> DataFrame:
     return c.matters.select(
         "id",
         F.when(F.col("id") % 40 == 1, F.concat("identifier", F.lit("; Bylaw 77"))).otherwise(F.col("identifier")).alias("identifier"),
-        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Final "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease of "), "title")).otherwise(F.concat("title", F.lit(" permit"))).alias("title"),
+        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Final "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease of "), "title")).otherwise(F.concat("title", F.lit(" rezoning"))).alias("title"),
         F.array("address").alias("addresses"),
         F.make_date("year", F.lit(1), F.lit(1)).alias("first_seen"),
         F.when(F.col("id") % 5 != 0, F.make_date(F.col("year") + 2, F.lit(1), F.lit(1))).alias("last_seen"),
@@ -154,7 +154,7 @@ def item_table(c: Civic) -> DataFrame:
     return c.matters.select(
         "id",
         F.when(F.col("id") % 4 == 0, F.col("identifier")).when(F.col("id") % 40 == 1, F.concat(F.lit("Bylaws Nos. 77 & "), (F.col("id") % 300).cast("string"))).alias("identifier"),
-        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Adoption of the "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease, "), "title")).otherwise(F.concat("title", F.lit(" permit - second reading"))).alias("title"),
+        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Adoption of the "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease, "), "title")).otherwise(F.concat("title", F.lit(" rezoning - second reading"))).alias("title"),
         F.when(F.col("id") % 3 == 0, F.array("address")).alias("addresses"),
         F.make_date(F.col("year") + (F.col("id") % 4).cast("int"), F.lit(6), F.lit(1)).alias("day"),
     )
@@ -204,7 +204,7 @@ def ent05(c: Civic) -> DataFrame:
 
 
 @query("ent16_policy_stage", f"""
-    WITH raw AS (SELECT id, CASE WHEN id % 12 = 1 THEN 'Final ' || title || ' Plan' ELSE title || ' permit' END AS title, identifier, year, canonical_id, COALESCE(hidden, FALSE) AS hidden FROM {{matters}}),
+    WITH raw AS (SELECT id, CASE WHEN id % 12 = 1 THEN 'Final ' || title || ' Plan' ELSE title || ' rezoning' END AS title, identifier, year, canonical_id, COALESCE(hidden, FALSE) AS hidden FROM {{matters}}),
     k AS (SELECT id, lower(title) AS p, year AS low, CASE WHEN id % 5 <> 0 THEN year + 2 END AS high, identifier IS NOT NULL AS numbered FROM (SELECT id, year, identifier, canonical_id, hidden, regexp_replace(title, '^Final ', '') AS title FROM raw WHERE id % 12 = 1) WHERE canonical_id IS NULL AND NOT hidden),
     i AS (SELECT m.id, lower(m.title || ' Plan') AS p, m.year + m.id % 4 AS y FROM {{matters}} m WHERE m.id % 12 = 1 AND NOT (m.id % 40 = 1)),
     j AS (SELECT i.id, i.y, k.id AS kid, k.low, k.high, k.numbered, k.id IS NOT NULL AND (k.low IS NULL OR k.high IS NULL OR i.y BETWEEN k.low AND k.high) AS fits FROM i LEFT JOIN k ON k.p = i.p),

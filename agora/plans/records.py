@@ -193,9 +193,12 @@ def ent14(c: Civic) -> DataFrame:
     return ops.streets(c.people.select(F.col("id").alias("row_id"), street.alias("street")), known, {"the oak": "oak street"})
 
 
-@query("ent15_probable_links", "SELECT id FROM {segments} WHERE (id % 100) / 100.0 >= 0.85")
+@query("ent15_probable_links", "SELECT id, kind FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'suggested' WHEN 1 THEN 'automatic' WHEN 2 THEN 'relinked' ELSE 'other' END AS kind, CASE WHEN id % 9 = 0 THEN NULL ELSE (end_time - start_time) / 40 END AS p FROM {segments}) WHERE (kind = 'suggested' AND p >= 0.7) OR (kind = 'automatic' AND p >= 0.85) OR (kind = 'relinked' AND p >= 0.75)")
 def ent15(c: Civic) -> DataFrame:
-    return c.segments.where((F.col("id") % 100) / 100.0 >= 0.85).select("id")
+    k = F.col("id")
+    kind = F.when(k % 4 == 0, "suggested").when(k % 4 == 1, "automatic").when(k % 4 == 2, "relinked").otherwise("other")
+    rows = c.segments.select("id", kind.alias("kind"), F.when(k % 9 != 0, (F.col("end_time") - F.col("start_time")) / 40).alias("probability"))
+    return ops.kept_links(rows, {"suggested": 0.7, "automatic": 0.85, "relinked": 0.75}).select("id", "kind")
 
 
 @query("aln08_supported", "SELECT id, (id % 20) / 20.0 >= 0.9 AND (id % 7) / 20.0 <= 0.1 AS supported FROM {segments}")

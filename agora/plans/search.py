@@ -125,9 +125,12 @@ def hyb09(c: Civic) -> DataFrame:
     return rows.withColumn("score", score).orderBy(F.col("score").desc(), "type", "id").limit(30).select("type", "id", "score")
 
 
-@query("hyb08_speaker_search", "SELECT id, CAST(0.05 AS DOUBLE) AS score FROM {segments} WHERE lower(speaker_name) IN ('person 12', 'person 13', 'person 14')")
+CALLED = "CASE speaker_id % 6 WHEN 0 THEN 'Ann O''Lee' WHEN 1 THEN 'A. O''Lee (public)' WHEN 2 THEN 'Ann O''Lees' WHEN 3 THEN 'Ann O''Lee (public)' WHEN 4 THEN 'A. O''Lee' ELSE 'ann o''lee' END"
+
+
+@query("hyb08_speaker_search", f"SELECT id, CAST(0.05 AS DOUBLE) AS score FROM (SELECT id, start_time, {CALLED} AS speaker_name FROM {{segments}}) WHERE regexp_full_match(speaker_name, '(Ann|A\\.) O''Lee( \\(public\\))?') ORDER BY start_time, id LIMIT 40")
 def hyb08(c: Civic) -> DataFrame:
-    return c.segments.where(F.lower("speaker_name").isin("person 12", "person 13", "person 14")).select("id", F.lit(0.05).alias("score"))
+    return ops.speaker_search(c.segments.withColumn("speaker_name", F.expr(CALLED.replace("''", "\\'"))), " Ann  O'Lee", 40)
 
 
 @query("hyb11_rerank", "SELECT id, place FROM (SELECT id, id % 6 AS score, ROW_NUMBER() OVER (PARTITION BY meeting_id ORDER BY id % 6 DESC, id) AS place FROM {segments}) WHERE score >= 3 OR place <= 3")

@@ -42,5 +42,5 @@ def test_same_rows_as_sql(spark, tables, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(PLANS) - set(SQL)))
-def test_runs(spark, name):
-    assert PLANS[name](spark, DATA).count() >= 0
+def test_gives_rows(spark, name):
+    assert PLANS[name](spark, DATA).count() > 0
