@@ -25,8 +25,8 @@ from agora.llm.textkernel import Words, mix, stretch_hashes, words
 TOXIC_ROWS, OTHER_ROWS, ROW_CHARS = 2000, 3000, 60_000
 #: Words of a block: what the field learns from, and the steps between which messages are carried through a text.
 BLOCK = 64
-#: Blocks that the field learns from at most, and its passes over them.
-BLOCKS, PASSES = 16_000, 6
+#: Blocks that the field learns from at most, and its passes over them and steps at least.
+BLOCKS, PASSES, STEPS = 16_000, 6, 300
 #: Share of words that it learns from by their place alone, so that it knows how seldom an unknown word is toxic.
 UNKNOWN = 0.15
 FEATURES = 1 << 18
@@ -164,8 +164,9 @@ def learn_field(features: np.ndarray, y: np.ndarray, counts: np.ndarray, seed: i
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, np.zeros(5))
     model.weights[-1] = -2.0
     past, past_moves, past_start = np.full(FEATURES, 1e-6), np.full((2, 2), 1e-6), 1e-6
-    for _ in range(PASSES):
-        for part in np.array_split(rng.permutation(picked), max(1, len(picked) // 256)):
+    parts = max(1, len(picked) // 256)
+    for _ in range(max(PASSES, -(-STEPS // parts))):
+        for part in np.array_split(rng.permutation(picked), parts):
             own = length[part]
             rows = np.repeat(np.arange(len(part)), own)
             cols = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
