@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from agora.llm.textkernel import Rolling, Words, mix, spread, words
 
 #: Words of the shortest candidates at least, if the window isn't shorter than twice that.
 SHORTEST = 6
+#: Keys that most windows have, so many, which are told to all tasks instead of drawing their windows to one: any other key
+#: has at most this part of all windows.
+HOTTEST = 1000
 KEY = "id long, row_key int"
 
 
@@ -135,8 +139,17 @@ def full_windows(texts: DataFrame, short: int, length: int) -> DataFrame:
 
 def shared(windows: DataFrame, *keys: str) -> DataFrame:
     """The keys (suffixed with an underscore) that two documents have, with the lesser id of those that have them."""
-    found = windows.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return found.select(*(F.col(k).alias(f"{k}_") for k in keys), "least")
+    found = windows.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    return found.select(*(F.col(k).alias(f"{k}_") for k in keys), "least", "n")
+
+
+def of_keys(windows: DataFrame, found: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The windows that have one of the keys (suffixed with an underscore, with n, in a table), with what the keys come
+    with, and the table of the hottest keys, which the result reads."""
+    hot = table(found.orderBy(F.col("n").desc()).limit(HOTTEST), "hot")
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"{k}_") for k in keys))
+    few = F.broadcast(hot)  # HOTTEST rows at most
+    return windows.join(few, same).unionByName(windows.join(few, same, "left_anti").join(found, same)), hot
 
 
 def with_spots(known: DataFrame, spots: DataFrame) -> DataFrame:
@@ -146,17 +159,23 @@ def with_spots(known: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def gathered(windows: DataFrame) -> DataFrame:
-    """id, row_key, spots of the windows (id, row_key, pos, h) that two documents share."""
-    return windows.join(shared(windows, "h"), F.col("h") == F.col("h_"), "left_semi").groupBy("id", "row_key").agg(F.collect_set("pos").alias("spots"))
+    """A table of id, row_key, spots of the windows (id, row_key, pos, h) that two documents share."""
+    found = table(shared(windows, "h"), "shared")
+    rows, hot = of_keys(windows, found, "h")
+    spots = table(rows.groupBy("id", "row_key").agg(F.collect_set("pos").alias("spots")), "spots")
+    release(found, hot)
+    return spots
 
 
 def survivors(known: DataFrame, length: int, short: int, longer: int) -> DataFrame:
     """id, row_key, spots of the second level: extensions that two documents share of candidates that they share."""
     named = table(first_candidates(known, length, short, longer), "windows")
-    alive = table(named.join(shared(named, "h"), F.col("h") == F.col("h_"), "left_semi").select("id", "row_key", "pos", "right", "left"), "alive")
+    found = table(shared(named, "h"), "shared")
+    rows, hot = of_keys(named, found, "h")
+    alive = table(rows.select("id", "row_key", "pos", "right", "left"), "alive")
     sides = F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.col("right").alias("h")), F.struct((F.col("pos") + short - longer).alias("pos"), F.col("left").alias("h"))))
-    spots = table(gathered(alive.select("id", "row_key", sides.alias("s")).select("id", "row_key", "s.pos", "s.h").where("h is not null")), "spots")
-    release(named, alive)
+    spots = gathered(alive.select("id", "row_key", sides.alias("s")).select("id", "row_key", "s.pos", "s.h").where("h is not null"))
+    release(named, alive, found, hot)
     return spots
 
 
@@ -174,15 +193,15 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
         release(spots)
         at = longer
         if longer != below[-1]:
-            spots = table(gathered(windows), "spots")
+            spots = gathered(windows)
             release(windows)
-    around = table(windows.groupBy("h", "around", "again").agg(F.min("id").alias("least"), F.max("id").alias("most")), "around")
+    around = table(windows.groupBy("h", "around", "again").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")), "around")
     both = around.groupBy("h").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select(F.col("h").alias("shared"))
-    alive = table(around.join(both, F.col("h") == F.col("shared"), "left_semi").select(F.col("h").alias("h_"), F.col("around").alias("around_"), F.col("again").alias("again_"), "least"), "alive")
-    spots = windows.join(alive, (F.col("h") == F.col("h_")) & (F.col("around") == F.col("around_")) & (F.col("again") == F.col("again_")))
+    alive = table(around.join(both, F.col("h") == F.col("shared"), "left_semi").select(F.col("h").alias("h_"), F.col("around").alias("around_"), F.col("again").alias("again_"), "least", "n"), "alive")
+    rows, hot = of_keys(windows, alive, "h", "around", "again")
     first = F.col("least") == F.col("id")
-    spots = table(spots.groupBy("id", "row_key").agg(F.collect_set(F.when(first, F.col("pos"))).alias("spots"), F.collect_set(F.when(~first, F.col("pos"))).alias("covered")), "spots")
-    release(windows, around, alive)
+    spots = table(rows.groupBy("id", "row_key").agg(F.collect_set(F.when(first, F.col("pos"))).alias("spots"), F.collect_set(F.when(~first, F.col("pos"))).alias("covered")), "spots")
+    release(windows, around, alive, hot)
     full = table(full_windows(with_spots(known, spots), at, length), "full")
     least = table(shared(full, "h", "g"), "least")
     starts = full.join(least, (F.col("h") == F.col("h_")) & (F.col("g") == F.col("g_")) & (F.col("id") > F.col("least"))).groupBy("id", "row_key").agg(F.collect_set("start").alias("starts"))
