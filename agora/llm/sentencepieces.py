@@ -24,7 +24,7 @@ from agora.llm.runtime import chunks, in_rows, offsets_of, text_of
 from agora.llm.textkernel import Memo
 
 #: Slots of a worker's table of parts, half of which fill before it starts anew (only speed depends on it).
-PART_SLOTS = 1 << 20
+PART_SLOTS = 1 << 19
 MARK = "▁"
 #: Stands for that character where a text has it itself, which no text can contain.
 LITERAL = "\ud800"
@@ -61,9 +61,10 @@ class Pieces:
         self.memo = Memo(PART_SLOTS, np.uint32, self.clear)
 
     def clear(self, memo: Memo) -> None:
-        self.best: list[bytes] = []
-        self.others: list[list[tuple[float, bytes]]] = []
-        self.score, self.loss = (np.zeros(memo.room // 2) for _ in range(2))
+        # Of each part the ids of its best segmentations, best first, and what each loses against the best.
+        self.ways: list[bytes] = []
+        self.score = np.zeros(memo.room // 2)
+        self.losses = np.full((memo.room // 2, self.n), np.inf)
 
     def search(self, part: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of a part with their scores, best first."""
@@ -141,25 +142,25 @@ class Pieces:
             text = cp.tobytes().decode("utf-32-le", "surrogatepass")
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 found = self.search(text[a:b])
-                self.score[len(self.best)] = found[0][0]
-                self.loss[len(self.best)] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-                self.best.append(found[0][1])
-                self.others.append(found[1:])
+                k = len(self.ways) // self.n
+                self.score[k] = found[0][0]
+                self.losses[k, : len(found)] = [found[0][0] - s for s, _ in found]
+                self.ways += [x for _, x in found] + [b""] * (self.n - len(found))
 
         return self.memo.find(cp, edges[:-1], edges[1:], learn), first
 
     def segment(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
         """The N best of each text: score and ids, as little-endian unsigned 32-bit numbers."""
         entry, first = self.find(texts)
-        score, loss = self.score[entry], self.loss[entry]
+        score, loss = self.score[entry], self.losses[entry, min(1, self.n - 1)]
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            ids = [self.best[k] for k in entry[a:b].tolist()]
+            ids = [self.ways[k * self.n] for k in entry[a:b].tolist()]
             total = float(score[a:b].sum())
             own = loss[a:b]
             few = min(self.n - 1, b - a)
             open_ = np.argsort(own, kind="stable")[:few] if b - a <= 4 * self.n else few_least(own, few)
             open_ = [k for k in sorted(open_.tolist()) if own[k] < np.inf]
-            ways = [[(0.0, ids[k])] + [(float(score[a + k]) - s, x) for s, x in self.others[entry[a + k]]] for k in open_]
+            ways = [[(lost, self.ways[int(entry[a + k]) * self.n + c]) for c, lost in enumerate(self.losses[entry[a + k]].tolist()) if lost < np.inf] for k in open_]
             picks = heapq.nsmallest(self.n, product(*(range(len(w)) for w in ways)), key=lambda pick: (sum(w[c][0] for w, c in zip(ways, pick, strict=True)), pick))
             out = []
             for pick in picks:
