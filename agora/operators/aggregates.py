@@ -37,18 +37,25 @@ def speaking_time(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.groupBy(*by).agg(F.round(seconds, 1).cast("double").alias("seconds"), F.countDistinct("meeting_id").alias("meetings"), F.count(F.lit(1)).alias("segments"), seconds.alias("raw_seconds"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and exact interpolated percentiles, each named. Values are counted before they meet, and a group's distinct values
+    are run through in order, never held at once."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    totals = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_all"))
+    ranked = counts.withColumn("_upto", upto).join(totals, F.col(key) == F.col("_key"))
+    at = lambda share: share * (F.col("_all") - 1)
+    first = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
+    bounds = ranked.groupBy(key, "_all").agg(*(f(F.floor(at(x)) if k == "low" else F.ceil(at(x))).alias(f"_{k}_{name}") for name, x in shares.items() for k, f in (("low", first), ("high", first))))
+    between = lambda name, x: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (at(x) - F.floor(at(x)))
+    return bounds.select(key, *(between(name, x).alias(name) for name, x in shares.items()))
+
+
 def usage_summary(usage: DataFrame) -> DataFrame:
     """Per stage: calls, failures, tokens, exact interpolated latency percentiles, and its models with their calls."""
     models = usage.groupBy("stage", "model").agg(F.count(F.lit(1)).alias("calls")).groupBy(F.col("stage").alias("_s")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("model", "calls")))).alias("by_model"))
-    total = usage.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("calls"),
-        n(~F.col("ok")).alias("failed"),
-        F.sum("tokens_in").alias("tokens_in"),
-        F.sum("tokens_out").alias("tokens_out"),
-        F.percentile("latency", 0.5).alias("p50"),
-        F.percentile("latency", 0.95).alias("p95"),
-    )
-    return total.join(models, F.col("stage") == F.col("_s")).drop("_s")
+    total = usage.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), n(~F.col("ok")).alias("failed"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    return total.join(percentiles(usage, "stage", "latency", {"p50": 0.5, "p95": 0.95}), "stage", "left").join(models, F.col("stage") == F.col("_s")).drop("_s")
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:

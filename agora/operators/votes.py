@@ -71,10 +71,12 @@ def key_votes(votes: DataFrame, motions: DataFrame) -> DataFrame:
     """
     cast = complete(votes, motions)
     tally = cast.groupBy("motion_id").agg(n(F.col("vote") == "Yes").alias("yes"), n(F.col("vote") == "No").alias("no"))
-    allies = mirrored(shared(cast).where((F.col("shared") >= LEAST_SHARED) & (F.col("matching") / F.col("shared") >= ALLY)).withColumn("usual", F.round(F.col("matching") / F.col("shared"), 2)))
+    allies = mirrored(shared(cast).where((F.col("shared") >= LEAST_SHARED) & (F.col("matching") / F.col("shared") >= ALLY)))
     mine = cast.select("motion_id", "person_id", "vote")
     theirs = cast.select(F.col("motion_id").alias("_m"), F.col("person_id").alias("_q"), F.col("vote").alias("_v"))
-    against = mine.join(allies.select("a", "b", "usual"), F.col("person_id") == F.col("a")).join(theirs, (F.col("motion_id") == F.col("_m")) & (F.col("b") == F.col("_q")) & (F.col("vote") != F.col("_v")))
+    # Those who disagree on one motion are few; whether they are allies is looked up by pair.
+    apart = mine.join(theirs, (F.col("motion_id") == F.col("_m")) & (F.col("vote") != F.col("_v")))
+    against = apart.join(allies.select("a", "b"), (F.col("person_id") == F.col("a")) & (F.col("_q") == F.col("b")))
     breaks = against.groupBy(F.col("motion_id").alias("_bm"), F.col("person_id").alias("_bp")).agg(F.count(F.lit(1)).alias("breaks"))
     result = F.upper("result")
     rows = mine.join(tally.withColumnRenamed("motion_id", "_t"), F.col("motion_id") == F.col("_t")).join(motions.select(F.col("id").alias("_i"), "result"), F.col("motion_id") == F.col("_i"))
