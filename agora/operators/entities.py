@@ -21,7 +21,7 @@ def complete_link(links: DataFrame, forbidden: DataFrame, component: str, least:
     def merge(links: pd.Series, no: pd.Series) -> pd.Series:
         return pd.Series([clusters([(x["a"], x["b"]) for x in a], set() if b is None else {(x["a"], x["b"]) for x in b}) for a, b in zip(links, no, strict=True)])
 
-    return grouped.select(component, F.explode(merge("links", "no")).alias("c")).select(component, "c.cluster", "c.member")
+    return grouped.select(component, F.explode(merge("links", "no")).alias("_made")).select(component, "_made.cluster", "_made.member")
 
 
 def clusters(links: list[tuple[int, int]], forbidden: set[tuple[int, int]]) -> list[dict]:

@@ -56,7 +56,13 @@ def vec10(c: Civic) -> DataFrame:
     return found.select(F.col("q_id").alias("vec_id"), F.col("vec_id").alias("best"))
 
 
-@query("vec11_centroid_audit")
+@query("vec11_centroid_audit", """
+    WITH x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS d FROM {embeddings}),
+    s AS (SELECT label, d, SUM(v) AS s, COUNT(*) AS n FROM x GROUP BY 1, 2),
+    p AS (SELECT x.vec_id, x.label AS mine, s.label AS c, CASE WHEN x.label = s.label THEN s.s - x.v ELSE s.s END AS r, x.v, s.n FROM x JOIN s ON s.d = x.d),
+    q AS (SELECT vec_id, mine, c, SUM(r * v) / (SQRT(SUM(r * r)) * SQRT(SUM(v * v))) AS sim FROM p WHERE NOT (mine = c AND n < 2) GROUP BY 1, 2, 3),
+    m AS (SELECT vec_id, MAX(sim) FILTER (mine = c) AS own, MAX(sim) FILTER (mine <> c) AS other FROM q GROUP BY 1)
+    SELECT vec_id, ROUND(own, 5) AS own, ROUND(other, 5) AS other, own < other AS closer_elsewhere FROM m""")
 def vec11(c: Civic) -> DataFrame:
     return ops.centroid_audit(c.embeddings, "label").select("vec_id", F.round("own", 5).alias("own"), F.round("other", 5).alias("other"), (F.col("own") < F.col("other")).alias("closer_elsewhere"))
 
