@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from bisect import insort
 from collections.abc import Iterator
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agora.llm.runtime import chunks, in_rows, offsets_of, text_of
-from agora.llm.textkernel import Memo
+from agora.llm.textkernel import Memo, spread
 
 #: Slots of a worker's table of parts, half of which fill before it starts anew (only speed depends on it).
-PART_SLOTS = 1 << 19
+PART_SLOTS = 1 << 18
 MARK = "▁"
 #: Stands for that character where a text has it itself, which no text can contain.
 LITERAL = "\ud800"
@@ -32,15 +33,31 @@ LITERAL = "\ud800"
 UNKNOWN = 10.0
 
 
-class Pieces:
-    """A model's pieces and scores, and the table of parts already searched."""
+class Spellings:
+    """The bytes that each piece of a model stands for."""
 
-    def __init__(self, path: str, n: int):
+    def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.n = n
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+        raw = [b"" if model.is_control(k) or model.is_unknown(k) else bytes([int(x[3:5], 16)]) if model.is_byte(k) else x.replace(MARK, " ").encode() for k, x in enumerate(self.names)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """Decodes ids: pieces side by side, without the space that encoding put in front."""
+        raw = self.raw[spread(self.raw_at[ids], self.raw_size[ids])].tobytes()
+        return raw[1:] if raw[:1] == b" " else raw
+
+
+class Pieces(Spellings):
+    """A model's pieces and scores, and the table of parts already searched."""
+
+    def __init__(self, path: str, n: int):
+        super().__init__(path)
+        self.n, model = n, self.model
         plain = [k for k in range(len(self.names)) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
         self.ids = {self.names[k]: k for k in plain}
         self.scores = {self.names[k]: model.get_score(k) for k in plain}
@@ -54,10 +71,6 @@ class Pieces:
         self.tree |= {x: (self.scores[x], self.packed[k]) for x, k in self.ids.items()}
         pairs = {(ord(x[k]) << 21) | ord(x[k + 1]) for x in self.ids for k in range(len(x) - 1)}
         self.pairs = np.array(sorted(pairs), np.int64)
-        raw = [b"" if model.is_control(k) or model.is_unknown(k) else bytes([int(x[3:5], 16)]) if model.is_byte(k) else x.replace(MARK, " ").encode() for k, x in enumerate(self.names)]
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_size = np.array([len(x) for x in raw], np.int64)
-        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.memo = Memo(PART_SLOTS, np.uint32, self.clear)
 
     def clear(self, memo: Memo) -> None:
@@ -171,14 +184,6 @@ class Pieces:
                 out.append((total - lost, b"".join(ids)))
             yield out
 
-    def text(self, ids: np.ndarray) -> bytes:
-        """Decodes ids: pieces side by side, without the space that encoding put in front."""
-        size = self.raw_size[ids]
-        ends = np.cumsum(size)
-        at = np.repeat(self.raw_at[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ids) else 0)
-        raw = self.raw[at].tobytes()
-        return raw[1:] if raw[:1] == b" " else raw
-
 
 def few_least(values: np.ndarray, n: int) -> np.ndarray:
     """Places of the n least values, the earlier of equal ones."""
@@ -189,14 +194,15 @@ def few_least(values: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([below, np.flatnonzero(values == limit)[: n - len(below)]])
 
 
-_loaded: dict[tuple[str, int], Pieces] = {}
-
-
+@cache
 def pieces(path: str, n: int) -> Pieces:
     """One per Python worker, file and N."""
-    if (path, n) not in _loaded:
-        _loaded[path, n] = Pieces(path, n)
-    return _loaded[path, n]
+    return Pieces(path, n)
+
+
+@cache
+def spellings(path: str) -> Spellings:
+    return Spellings(path)
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
@@ -230,7 +236,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(model_path, 1)
+        model = spellings(model_path)
         for batch in batches:
             texts = [None if x is None else model.text(np.frombuffer(x, "<u4")).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
