@@ -103,6 +103,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.merkle import fold, hex_of, leaf_digest, manifest, proof_digest
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf_digest("doc_id", "source", "lang", "n_chars", lower))
+    leaf = leaf_digest("doc_id", "source", "lang", "n_chars", "text")
+    found = manifest(docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("order"), leaf.alias("node"), F.struct("doc_id", tampered.alias("tampered")).alias("row")))
+    root = hex_of("root")
+    folded = fold(F.coalesce("row.tampered", "node"), F.col("path"))
+    return found.select("row.doc_id", hex_of("node").alias("leaf"), hex_of("subroot").alias("subroot"), root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

