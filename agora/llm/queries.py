@@ -103,6 +103,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.filter_audit import audit
+
+    return audit(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.merkle import fold, hex_of, leaf_digest, manifest, proof_digest
 

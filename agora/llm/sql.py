@@ -67,3 +67,19 @@ SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_s
 FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang CROSS JOIN (SELECT h FROM crown WHERE n = 1) t CROSS JOIN (SELECT MAX(level) AS level FROM crown) m WHERE w.over AND w.level = m.level"""
 
 ORACLE["op13_merkle_manifest"] = MERKLE
+
+AUDIT = f"""
+WITH d AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t, {WORDS} AS ws FROM documents),
+m AS (SELECT d.doc_id, part, COALESCE(l.good, 0) AS good, COALESCE(l.toxic, 0) AS toxic,
+    [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), MIN(d.doc_id) OVER (PARTITION BY t) < d.doc_id] AS fails
+    FROM d LEFT JOIN (SELECT doc_id, MAX(CAST(quality = 1 AS INT)) AS good, MAX(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+each AS (SELECT part, good, toxic, o, k AS step, fails, o[k] AS own, COALESCE(fails[ascii(o[k]) - 64], false) AS failing, list_filter(range(1, k), lambda j: COALESCE(fails[ascii(o[j]) - 64], false)) <> [] AS gone
+    FROM m, orders, range(1, 6) AS s(k)),
+sums AS (SELECT part, o AS filter_order, step, own, COUNT(*) FILTER (NOT failing AND NOT gone) AS kept, COUNT(*) FILTER (failing AND NOT gone) AS removed, COUNT(*) FILTER (failing AND gone) AS redundant,
+    COUNT(*) FILTER (failing AND len(list_filter(fails, lambda x: COALESCE(x, false))) = 1) AS unique_fails, COUNT(*) FILTER (failing AND NOT gone AND good = 1) AS good_lost, COUNT(*) FILTER (failing AND NOT gone AND toxic = 1) AS toxic_lost
+    FROM each GROUP BY part, o, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums"""
+
+ORACLE["op11_filter_audit"] = AUDIT
