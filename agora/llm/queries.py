@@ -109,6 +109,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agora.llm.lm_scoring import fit, held_out, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agora.llm.merkle import fold, hex_of, leaf_digest, manifest, proof_digest
 
