@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -60,7 +59,7 @@ def most_alike(left: pd.DataFrame, right: pd.DataFrame, least: float) -> list[tu
     return out
 
 
-def best_titles(items: DataFrame, matters: DataFrame, least: float = 0.75, shortest: int = 10, piece: int = PIECE) -> DataFrame:
+def best_titles(items: DataFrame, matters: DataFrame, entities: m.Entities, least: float = 0.75, shortest: int = 10, piece: int = PIECE) -> DataFrame:
     """item_id, matter_id, similarity: of each item (id, title) the matter (id, title) with the most alike title, if alike.
 
     Titles are compared without stages and case, if both are long enough, are both policies or none is, and don't hold
@@ -71,7 +70,7 @@ def best_titles(items: DataFrame, matters: DataFrame, least: float = 0.75, short
 
     def titles(rows: DataFrame, raw_length: Column) -> DataFrame:
         text = F.lower(strip_stage("title"))
-        return rows.where(raw_length).select("id", text.alias("text"), F.array_join(m.numbers_in("title"), ",").alias("digits"), m.policy_identity("title").isNotNull().alias("scope")).where(F.length("text") >= 1)
+        return rows.where(raw_length).select("id", text.alias("text"), F.array_join(m.numbers_in("title"), ",").alias("digits"), m.policy_identity("title", entities).isNotNull().alias("scope")).where(F.length("text") >= 1)
 
     mine = titles(items, F.length("title") >= shortest)
     every = titles(matters, F.lit(True)).where(F.length("text") >= shortest)
@@ -102,7 +101,7 @@ def best_titles(items: DataFrame, matters: DataFrame, least: float = 0.75, short
     return keyed.join(best, F.col("of_key") == F.col("key")).select("item_id", "b.matter_id", "b.similarity")
 
 
-def prepared(rows: DataFrame, entities: Mapping[str, tuple[list[str], list[str]]]) -> DataFrame:
+def prepared(rows: DataFrame, entities: m.Entities) -> DataFrame:
     """Adds to items or matters (id, identifier, title, addresses) what the stages compare."""
     none = F.array().cast("array<string>")
     places = F.filter(F.transform(F.coalesce("addresses", none), m.plain_address), lambda x: x != "")
@@ -113,7 +112,7 @@ def prepared(rows: DataFrame, entities: Mapping[str, tuple[list[str], list[str]]
         m.categories_in("title").alias("categories"),
         m.numbers_in("title").alias("numbers"),
         m.entity_in("title", entities).alias("entity"),
-        m.policy_identity("title").alias("policy"),
+        m.policy_identity("title", entities).alias("policy"),
         F.lower("title").alias("low"),
         F.lower(strip_stage("title")).alias("stripped"),
         m.streets_in("title").alias("streets"),
@@ -225,7 +224,7 @@ def by_entity(items: DataFrame, matters: DataFrame) -> DataFrame:
     return one.unionByName(only).unionByName(best.select(*verdict("i_id", reason, F.col("m_id"), F.lit(0.82))))
 
 
-def match_cascade(items: DataFrame, matters: DataFrame, entities: Mapping[str, tuple[list[str], list[str]]] = m.ENTITIES) -> DataFrame:
+def match_cascade(items: DataFrame, matters: DataFrame, entities: m.Entities) -> DataFrame:
     """item_id, matter_id, reason, confidence of every item (id, identifier, title, addresses, day).
 
     matters: id, identifier, title, addresses, first_seen, last_seen, canonical_id (of one merged into another, which is
@@ -243,7 +242,7 @@ def match_cascade(items: DataFrame, matters: DataFrame, entities: Mapping[str, t
     bylaw = F.size(m.bylaws_among(F.col("parts_raw"))) > 0
     settled = own.select(F.col("id").alias("_id"), bylaw.alias("stops"))
     stages = [first, by_policy(own.where(~bylaw), open_), by_place(own.where(~bylaw), open_), by_entity(own.where(~bylaw), open_)]
-    titled = best_titles(items.join(settled.where("not stops"), F.col("id") == F.col("_id"), "left_semi").select("id", "title"), open_.select("id", "title"))
+    titled = best_titles(items.join(settled.where("not stops"), F.col("id") == F.col("_id"), "left_semi").select("id", "title"), open_.select("id", "title"), entities)
     stages.append(titled.select(F.col("item_id"), "matter_id", F.concat(F.lit("title_similarity:"), to_percent(F.col("similarity"))).alias("reason"), F.col("similarity").alias("confidence")))
     found = stages[0].withColumn("stage", F.lit(0))
     for k, stage in enumerate(stages[1:], 1):

@@ -11,10 +11,16 @@ from agora.operators import matching as ops
 from agora.plans.registry import query
 from agora.sources.civic import Civic
 
+#: Entities of the town that the matters are about: invented, like the titles below that name them.
+ENTITIES: m.Entities = {
+    "harbour_pool": (["harbour pool", "seaside baths", "swimmers' society"], ["lease", "operating", "agreement", "rent", "reserve fund"]),
+    "north_arena": (["north arena", "old ice hall", "arena field"], ["lease", "naming", "budget", "capital", "event"]),
+    "mill_lane": (["mill lane corridor", "mill lane works"], ["award", "sidewalk", "traffic", "frontage"]),
+}
 #: Spellings of identifiers, titles and addresses that the matters of the tables don't have themselves.
 IDENT = """CASE id % 8 WHEN 0 THEN 'Bylaws Nos. ' || CAST(id AS STRING) || ', ' || CAST(id + 1 AS STRING) || ' & ' || CAST(id + 2 AS STRING) WHEN 1 THEN CAST(1000 + id % 2000 AS STRING) || '; 12 ; x'
   WHEN 2 THEN 'TUP16-00' || CAST(10 + id % 90 AS STRING) || ' (Renewal); Rezoning Application No. 2025/0' || CAST(id % 9 AS STRING) WHEN 3 THEN 'Amendment Bylaw No. ' || CAST(id AS STRING) WHEN 4 THEN 'Development  Permit  No. 2024-02;;A  b' ELSE identifier END"""
-TITLE = """CASE id % 12 WHEN 0 THEN 'Draft ' || title || ' Strategy 2024 (approx. 20 min)' WHEN 1 THEN 'Adoption of the ' || title || ' Plan' WHEN 2 THEN title || ' Plan - procurement' WHEN 3 THEN '8.1 Starlight Stadium lease of ' || title
+TITLE = """CASE id % 12 WHEN 0 THEN 'Draft ' || title || ' Strategy 2024 (approx. 20 min)' WHEN 1 THEN 'Adoption of the ' || title || ' Plan' WHEN 2 THEN title || ' Plan - procurement' WHEN 3 THEN '8.1 North Arena lease of ' || title
   WHEN 4 THEN 'Rezoning for ' || CAST(id AS STRING) || ' Oak Ave and 12 Low Hill Rd' WHEN 5 THEN 'Presentations:' WHEN 6 THEN 'Bylaw No. ' || CAST(id AS STRING) || ' and Bylaws Nos. 7, 8' WHEN 7 THEN 'Permit to vary Bylaw No. ' || CAST(id AS STRING) WHEN 8 THEN 'Update' ELSE title END"""
 
 
@@ -54,7 +60,7 @@ def any_sql(x: str, words: list[str]) -> str:
 
 
 def entity_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {any_sql(f'lower({x})', a)} AND {any_sql(f'lower({x})', b)} THEN '{k}'" for k, (a, b) in m.ENTITIES.items()) + " END"
+    return "CASE " + " ".join(f"WHEN {any_sql(f'lower({x})', a)} AND {any_sql(f'lower({x})', b)} THEN '{k}'" for k, (a, b) in ENTITIES.items()) + " END"
 
 
 def stage_sql(x: str) -> str:
@@ -99,7 +105,7 @@ def str13(c: Civic) -> DataFrame:
       array_to_string(list_filter([{", ".join(f"CASE WHEN {any_sql('lower(title)', words)} THEN '{k}' END" for k, words in m.CATEGORIES.items())}], lambda x: x IS NOT NULL), '|') AS categories FROM b""")
 def str15(c: Civic) -> DataFrame:
     rows = c.matters.select("id", F.expr(TITLE).alias("title"), F.when(F.col("id") % 50 == 0, " Consent Agenda").otherwise(F.col("category")).alias("category"))
-    return rows.select("id", m.is_generic("title", "category").alias("generic"), m.entity_in("title").alias("entity"), F.array_join(m.categories_in("title"), "|").alias("categories"))
+    return rows.select("id", m.is_generic("title", "category").alias("generic"), m.entity_in("title", ENTITIES).alias("entity"), F.array_join(m.categories_in("title"), "|").alias("categories"))
 
 
 def dressed_sql(x: str) -> str:
@@ -116,18 +122,37 @@ def dressed_sql(x: str) -> str:
       AND (regexp_matches(lower(regexp_replace(regexp_replace(bare, {lit(m.INSTRUMENT)}, ' ', 'g'), {lit(m.NO_SUBJECT)}, ' ', 'g')), '[a-z]{{{{3,}}}}') OR {entity_sql('x')} IS NOT NULL OR ({any_sql('lower(bare)', m.SUBSTANTIVE)} AND len(string_split(bare, ' ')) >= 3))
       THEN array_to_string(regexp_extract_all(replace(lower(x), '&', ' and '), '\\w+'), ' ') END AS policy FROM b""")
 def str16(c: Civic) -> DataFrame:
-    return c.matters.select("id", m.policy_identity(F.expr(TITLE)).alias("policy"))
-
-
-#: Numbered references among addresses, years and other numbers.
-REFERENCE = """CASE id % 7 WHEN 0 THEN 'Zoning Bylaw ' || CAST(id AS STRING) || ' Oak Hill Avenue' WHEN 1 THEN 'Tax Rate Bylaw 2016' WHEN 2 THEN 'Bylaw No. 2016, 2019 and Bylaw No. 0' || CAST(id % 900 AS STRING) WHEN 3 THEN 'Bylaw Nos. ' || CAST(id % 900 + 1 AS STRING) || ', 12 & 12 and 77'
-  WHEN 4 THEN 'Omnibus No. 68 of Standards Bylaw (No. 2255)' WHEN 5 THEN 'Amendment No. 12' ELSE 'by-law #' || CAST(id % 900 + 1 AS STRING) || '.5 or by-law ' || CAST(id % 900 + 1 AS STRING) END"""
+    return c.matters.select("id", m.policy_identity(F.expr(TITLE), ENTITIES).alias("policy"))
+
+
+#: Numbered references among addresses, years, fractions and other numbers, around the matter's own title.
+REFERENCE = """title || CASE id % 13 WHEN 0 THEN ' Zoning Bylaw ' || CAST(id % 3000 AS STRING) || ' Oak Hill Avenue' WHEN 1 THEN ' Tax Rate Bylaw ' || CAST(1980 + id % 70 AS STRING) WHEN 2 THEN ' Bylaw No. ' || CAST(id % 2500 AS STRING) || ', ' || CAST(1890 + id % 140 AS STRING) || ' and Bylaw No. 0' || CAST(id % 900 AS STRING)
+  WHEN 3 THEN ' Bylaw Nos. ' || CAST(id % 900 + 1 AS STRING) || ', 12 & 12 and ' || CAST(id % 77 AS STRING) || ' of No. 4' WHEN 4 THEN ' Omnibus No. 68 of Standards Bylaw (No. ' || CAST(id % 3000 AS STRING) || ')' WHEN 5 THEN ' Amendment No. ' || CAST(id AS STRING)
+  WHEN 6 THEN ' by-law #' || CAST(id % 900 + 1 AS STRING) || '.5 or by-law ' || CAST(id % 900 + 1 AS STRING) WHEN 7 THEN ' BYLAW NOS ' || CAST(id % 90 AS STRING) || ' and no. ' || CAST(id % 91 AS STRING) || ', 14 Low Mill Rd' WHEN 8 THEN ' Bylaw' || CAST(id AS STRING) || ' & bylaw numbers ' || CAST(id % 1000 AS STRING) || ', 7'
+  WHEN 9 THEN ' (Nos. ' || CAST(id % 400 AS STRING) || ', 8) bylaw no' || CAST(id % 40 AS STRING) WHEN 10 THEN ' bylaws ' || CAST(id % 50 AS STRING) || ', bylaw ' || CAST(id % 60 AS STRING) || ' - ' || CAST(id % 9 AS STRING) || 'b  St. Elm High Street' WHEN 11 THEN ' By-law 000 by-law No. ' || CAST(10000 + id AS STRING) ELSE ' and no bylaw' END"""
+#: The same marks in SQL without looking around: fractions get a tilde, other numbers of four digits at most brackets.
+MARK = r"<\d+>"
+LISTED = rf"(?i)\bby-?law\s*nos\.?\s*{MARK}(?:\s*(?:,|&|and)\s*(?:no\.?\s*)?{MARK})*"
+MENTIONED = rf"{LISTED}|\bby-?law\s*(?:nos?\.?|numbers?|#)?\s*{MARK}|(?:by-?law\s*\(?|\()\s*nos?\.\s*{MARK}"
+DATED = rf"(?i)(?:\bby-?law\s*(?:nos?\.?|numbers?|#)?|\bnos?\.)\s*{MARK}\s*,\s*<((?:19|20)\d{{2}})>"
+
+
+def marked_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(\\d)[.,](\\d)', '\\1~\\2', 'g')"
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(^|[^\\d~<])(\\d{{{{1,4}}}})([^\\d~>]|$)', '\\1<\\2>\\3', 'g')"
+    return x
 
 
 @query("str17_referenced_bylaws", f"""
-    SELECT id, CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN id % 900 = 0 THEN '2016' ELSE '2016|' || CAST(id % 900 AS STRING) END
-      WHEN 3 THEN CASE CAST(id % 900 + 1 AS STRING) WHEN '12' THEN '12|77' WHEN '77' THEN '77|12' ELSE CAST(id % 900 + 1 AS STRING) || '|12|77' END WHEN 4 THEN '2255' WHEN 5 THEN '' ELSE CAST(id % 900 + 1 AS STRING) END AS numbers,
-      CASE WHEN id % 7 = 2 THEN 2019 END AS enacted FROM {{matters}}""")
+    WITH raw AS (SELECT id, {REFERENCE} AS x FROM {{matters}}), marked AS (SELECT id, {marked_sql("x")} AS whole, {marked_sql(f"regexp_replace(x, {lit(m.HOUSES.replace('(?<!' + chr(92) + 'd)', '(^|' + chr(92) + 'D)'))}, '{chr(92)}1 ', 'g')")} AS t FROM raw),
+    mention AS (SELECT id, whole, unnest(regexp_extract_all(t, {lit(MENTIONED)})) AS y FROM marked),
+    found AS (SELECT id, regexp_extract_all(y, '<([0-9]+)>', 1) AS ns, regexp_matches(y, '(?i)^by-?law *nos') AS many, NOT regexp_matches(y, '(?i)no|#|number') AS bare FROM mention),
+    each AS (SELECT id, row_number() OVER () AS k, CASE WHEN many THEN ns WHEN bare AND length(ns[1]) = 4 AND CAST(ns[1] AS INT) BETWEEN 1990 AND 2027 THEN [] ELSE ns[1:1] END AS ns FROM found),
+    flat AS (SELECT id, k, unnest(ns) AS n, unnest(range(len(ns))) AS j FROM each), firsts AS (SELECT id, CAST(n AS INT) AS n, MIN((k, j)) AS first FROM flat WHERE CAST(n AS INT) <> 0 GROUP BY id, CAST(n AS INT)),
+    lists AS (SELECT id, string_agg(CAST(n AS VARCHAR), '|' ORDER BY first) AS numbers FROM firsts GROUP BY id)
+    SELECT w.id, COALESCE(l.numbers, '') AS numbers, TRY_CAST(regexp_extract(w.whole, {lit(DATED)}, 1) AS INT) AS enacted FROM marked w LEFT JOIN lists l ON l.id = w.id""")
 def str17(c: Civic) -> DataFrame:
     found = c.matters.withColumn("x", F.expr(REFERENCE)).select("id", m.referenced_bylaws("x", 2027).alias("f"))
     return found.select("id", F.array_join("f.numbers", "|").alias("numbers"), F.col("f.enacted").alias("enacted"))
@@ -138,7 +163,7 @@ def matter_table(c: Civic) -> DataFrame:
     return c.matters.select(
         "id",
         F.when(F.col("id") % 40 == 1, F.concat("identifier", F.lit("; Bylaw 77"))).otherwise(F.col("identifier")).alias("identifier"),
-        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Final "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease of "), "title")).otherwise(F.concat("title", F.lit(" rezoning"))).alias("title"),
+        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Final "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("North Arena lease of "), "title")).otherwise(F.concat("title", F.lit(" rezoning"))).alias("title"),
         F.array("address").alias("addresses"),
         F.make_date("year", F.lit(1), F.lit(1)).alias("first_seen"),
         F.when(F.col("id") % 5 != 0, F.make_date(F.col("year") + 2, F.lit(1), F.lit(1))).alias("last_seen"),
@@ -154,7 +179,7 @@ def item_table(c: Civic) -> DataFrame:
     return c.matters.select(
         "id",
         F.when(F.col("id") % 4 == 0, F.col("identifier")).when(F.col("id") % 40 == 1, F.concat(F.lit("Bylaws Nos. 77 & "), (F.col("id") % 300).cast("string"))).alias("identifier"),
-        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Adoption of the "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("Starlight Stadium lease, "), "title")).otherwise(F.concat("title", F.lit(" rezoning - second reading"))).alias("title"),
+        F.when(F.col("id") % 12 == 1, F.concat(F.lit("Adoption of the "), "title", F.lit(" Plan"))).when(F.col("id") % 12 == 3, F.concat(F.lit("North Arena lease, "), "title")).otherwise(F.concat("title", F.lit(" rezoning - second reading"))).alias("title"),
         F.when(F.col("id") % 3 == 0, F.array("address")).alias("addresses"),
         F.make_date(F.col("year") + (F.col("id") % 4).cast("int"), F.lit(6), F.lit(1)).alias("day"),
     )
@@ -175,12 +200,12 @@ def joi23(c: Civic) -> DataFrame:
 
 @query("ent01_match_cascade", None)
 def ent01(c: Civic) -> DataFrame:
-    return ops.match_cascade(item_table(c), matter_table(c)).withColumn("confidence", F.round("confidence", 6))
+    return ops.match_cascade(item_table(c), matter_table(c), ENTITIES).withColumn("confidence", F.round("confidence", 6))
 
 
 def staged(c: Civic) -> tuple[DataFrame, DataFrame]:
-    items = ops.prepared(item_table(c), m.ENTITIES).withColumn("parts_raw", m.identifiers("identifier"))
-    return items, ops.prepared(matter_table(c).where("canonical_id is null"), m.ENTITIES)
+    items = ops.prepared(item_table(c), ENTITIES).withColumn("parts_raw", m.identifiers("identifier"))
+    return items, ops.prepared(matter_table(c).where("canonical_id is null"), ENTITIES)
 
 
 @query("ent02_identifier_stage", None)
@@ -200,7 +225,7 @@ def ent04(c: Civic) -> DataFrame:
 
 @query("ent05_title_similarity", None)
 def ent05(c: Civic) -> DataFrame:
-    return ops.best_titles(item_table(c), matter_table(c)).withColumn("similarity", F.round("similarity", 6))
+    return ops.best_titles(item_table(c), matter_table(c), ENTITIES).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("ent16_policy_stage", f"""
