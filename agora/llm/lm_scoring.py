@@ -33,40 +33,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.runtime import chunks, release, table, text_of
-from agora.llm.textkernel import HashSlots, all_equal, exact_ids, spread, stretch_hashes, words
+from agora.llm.textkernel import SPACE, HashSlots, Words, all_equal, stretch_hashes, words
 
 #: Words whose counts every task knows: those with at least one in HOT of the training tokens, so HOT at most.
 HOT = 1 << 20
 #: Of these the most frequent ones that the network tells apart, and the number of their classes.
-MODELLED, CLASSES = 4096, 63
+MODELLED, CLASSES = 4096, 31
 #: Units of the network.
-UNITS = 24
+UNITS = 16
 #: In each of ROUNDS rounds, one document in SHARE trains the network (counts are those of all), TOKENS tokens a trainer.
-ROUNDS, SHARE, TOKENS = 2, 16, 1 << 20
+ROUNDS, SHARE, TOKENS = 2, 32, 1 << 19
 #: A trainer's lanes, steps of a window, least number of windows (few documents are passed through again), learning rate.
-LANES, WINDOW, LEAST, RATE = 64, 16, 400, 0.05
+LANES, WINDOW, LEAST, RATE = 64, 32, 200, 0.05
 #: Of a trainer's documents, one in HELD judges the weights instead of changing them.
 HELD = 8
 #: Tokens that a scoring task holds at once, lanes and steps of its windows.
-BUFFER, WIDE, LONG = 1 << 21, 512, 32
+BUFFER, WIDE, LONG = 1 << 22, 1024, 48
 #: Models that are added up in one task.
 ADDENDS = 32
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def lowered(texts: pa.Array):
+def lowered(texts: pa.Array) -> Words:
     found = words(texts)
     found.data = LOWER[found.data]
     return found
 
 
 def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The stretches as an Arrow array."""
-    size = ends - starts
-    offsets = np.zeros(len(size) + 1, np.int32)
-    np.cumsum(size, out=offsets[1:])
-    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[spread(starts, size)]))])
+    """The stretches, which are all of ``data`` but its spaces, as an Arrow array."""
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])])
 
 
 class Lexicon:
@@ -91,6 +90,13 @@ class Lexicon:
         h[h == 0] = 1
         return h
 
+    def number(self, found: Words) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Each word's number, and the words, each different one once. Only those are looked up."""
+        each = strings(found.data, found.starts, found.ends).dictionary_encode()
+        ends = np.frombuffer(each.dictionary.buffers()[1], np.int32)[: len(each.dictionary) + 1].astype(np.int64)
+        data = np.frombuffer(each.dictionary.buffers()[2] or b"", np.uint8)
+        return self.find(data, ends[:-1], ends[1:])[each.indices.to_numpy()], each
+
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = self.place[self.slots.find(self.hashes(data, starts, ends))].astype(np.int64)
         hit = np.flatnonzero(at >= 0)
@@ -146,10 +152,19 @@ class Net:
         """The state after the input x, and the gates: keep (z), reset (r), new (n), recurrent part of new (q)."""
         u = self.units
         g = h @ self.weights["gates"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * u] + g[:, : 2 * u])))
-        z, r, q = zr[:, :u], zr[:, u:], g[:, 2 * u :]
-        n = np.tanh(x[:, 2 * u :] + r * q)
-        return n + z * (h - n), z, r, n, q
+        zr, q = g[:, : 2 * u] + x[:, : 2 * u], g[:, 2 * u :]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr[:, :u], zr[:, u:]
+        n = r * q
+        n += x[:, 2 * u :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, q
 
     def log_probabilities(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log P of each token after its state: of its class, and of the word in it (all other words: of their class alone).
@@ -157,39 +172,30 @@ class Net:
         With ``grads``, adds the gradients of the mean negative log P to it and returns those by the states, too.
         """
         w, of = self.weights, self.class_of[tokens]
-        logits = states @ w["classes"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
         every = np.arange(len(tokens))
-        out = logits[every, of] - np.log(total)
+        out, share = softmax(states @ w["classes"] + w["class_bias"], every, of, grads is not None)
         back = None
-        if grads is not None:
-            d = e / total[:, None]
-            d[every, of] -= 1
-            d /= len(tokens)
-            back = d @ w["classes"].T
-            grads["classes"] += states.T @ d
-            grads["class_bias"] += d.sum(0)
-        order = np.argsort(of, kind="stable")
+        if share is not None:
+            share[every, of] -= 1
+            share /= len(tokens)
+            back = share @ w["classes"].T
+            grads["classes"] += states.T @ share
+            grads["class_bias"] += share.sum(0)
+        order = np.argsort(of.astype(np.int16), kind="stable")
         ends = np.searchsorted(of[order], np.arange(len(self.edges)))
+        order = order[: ends[-1]]
+        inner, inside = states[order], tokens[order]
         for k in range(len(self.edges) - 1):
-            rows = order[ends[k] : ends[k + 1]]
-            a, b = self.edges[k], self.edges[k + 1]
-            if not len(rows) or b == a + 1:
+            rows, (a, b) = slice(ends[k], ends[k + 1]), self.edges[k : k + 2]
+            if rows.start == rows.stop or b == a + 1:
                 continue
-            s, t = states[rows], tokens[rows] - a
-            logits = s @ w["words"][a:b].T + w["word_bias"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            here = np.arange(len(rows))
-            out[rows] += logits[here, t] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[here, t] -= 1
+            s, t = inner[rows], inside[rows] - a
+            logs, d = softmax(s @ w["words"][a:b].T + w["word_bias"][a:b], every[: len(s)], t, grads is not None)
+            out[order[rows]] += logs
+            if d is not None:
+                d[every[: len(s)], t] -= 1
                 d /= len(tokens)
-                back[rows] += d @ w["words"][a:b]
+                back[order[rows]] += d @ w["words"][a:b]
                 grads["words"][a:b] += d.T @ s
                 grads["word_bias"][a:b] += d.sum(0)
         return out, back
@@ -197,7 +203,10 @@ class Net:
     # --- truncated backpropagation
 
     def window(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-        """Mean negative log P of a window (steps x lanes; -1: nothing there), the state after it, the gradients within it."""
+        """Mean negative log P of a window (steps x lanes; -1: nothing there), the state after it, the gradients within it.
+
+        Those of the inputs are the tokens that occur, and a row for each.
+        """
         w, u = self.weights, self.units
         steps, lanes = tokens.shape
         here, safe = tokens >= 0, np.maximum(tokens, 0)
@@ -206,7 +215,7 @@ class Net:
             states[t] = np.where(begins[t][:, None], np.float32(0), h)
             h, *gates = self.step(states[t], w["inputs"][safe[t]])
             past.append(gates)
-        grads = {k: np.zeros_like(x) for k, x in w.items()}
+        grads = {k: np.zeros_like(x) for k, x in w.items() if k != "inputs"}
         d_states = np.zeros_like(states)
         logs, d_states[here] = self.log_probabilities(states[here], tokens[here], grads)
         dh = np.zeros((lanes, u), np.float32)
@@ -222,7 +231,7 @@ class Net:
             dh[begins[t]] = 0
         flat, order = safe.ravel(), np.argsort(safe.ravel(), kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["inputs"][flat[order][first]] = np.add.reduceat(d_inputs.reshape(-1, 3 * u)[order], first)
+        grads["inputs"] = flat[order][first], np.add.reduceat(d_inputs.reshape(-1, 3 * u)[order], first)
         return -float(logs.mean()), h, grads
 
     def train(self, texts: list[np.ndarray], memory: np.ndarray | None = None) -> np.ndarray:
@@ -242,6 +251,9 @@ class Net:
                 part, new = tokens[lo : lo + WINDOW], begins[lo : lo + WINDOW]
                 live = int((part >= 0).any(0).sum())  # lanes are in order of length
                 _, h, grads = self.window(h[:live], part[:, :live], new[:, :live])
+                some, g = grads.pop("inputs")
+                squares["inputs"][some] += g * g
+                self.weights["inputs"][some] -= np.float32(RATE) * g / np.sqrt(squares["inputs"][some])
                 for k, g in grads.items():
                     squares[k] += g * g
                     self.weights[k] -= np.float32(RATE) * g / np.sqrt(squares[k])
@@ -276,6 +288,24 @@ class Net:
         return out
 
 
+def softmax(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The logarithms of the chosen columns' shares, and with ``shares`` all of them. Changes ``logits``."""
+    own = logits[rows, chosen]
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = e.sum(1)
+    if not np.isfinite(total).all():  # beyond the range of numbers: once more, below the largest
+        top = logits.max(1)
+        logits -= top[:, None]
+        own, e = own - top, np.exp(logits)
+        total = e.sum(1)
+    out = own - np.log(total)
+    if not shares:
+        return out, None
+    e /= total[:, None]
+    return out, e
+
+
 def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     ends = np.cumsum([x.size for x in like.values()])
     return {k: part.reshape(x.shape).astype(np.float32) for (k, x), part in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
@@ -311,10 +341,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             found = lowered(text_of(chunk, "text"))
-            ids = exact_ids(found.data, found.starts, found.ends)
-            _, first, n = np.unique(ids, return_index=True, return_counts=True)
-            words_ = pa.concat_arrays([strings(found.data, found.starts[first], found.ends[first]), pa.array([""])])
-            yield pa.RecordBatch.from_arrays([words_, pa.array(np.append(n, chunk.num_rows), pa.int64())], names=["word", "c"])
+            counted = strings(found.data, found.starts, found.ends).value_counts()
+            columns = [pa.concat_arrays([counted.field(0), pa.array([""])]), pa.concat_arrays([counted.field(1), pa.array([chunk.num_rows], pa.int64())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "c"])
 
     return docs.select(docs["text"].alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -346,7 +375,7 @@ def numbered(hot: list[bytes]) -> Lexicon:
     return _lexicons[key]
 
 
-def documents_of(found, ids: np.ndarray, modelled: int, end: int) -> list[np.ndarray]:
+def documents_of(found: Words, ids: np.ndarray, modelled: int, end: int) -> list[np.ndarray]:
     """Each text's tokens as the network numbers them: words that aren't modelled are number ``modelled``; the end is added."""
     ids = np.where((ids < 0) | (ids >= modelled), modelled, ids).astype(np.int32)
     return [np.append(ids[a:b], np.int32(end)) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
@@ -423,7 +452,7 @@ def trainer(net: Net, known: list[bytes], end: int, memory: np.ndarray | None) -
         own, state, weight, held, size = copy.deepcopy(net), memory, 0, [], 0
         for chunk in chunks(batches, "text"):
             found = lowered(text_of(chunk, "text"))
-            held += documents_of(found, numbered(known).find(found.data, found.starts, found.ends), len(known), end)
+            held += documents_of(found, numbered(known).number(found)[0], len(known), end)
             size += len(found.starts) + chunk.num_rows
             if size >= BUFFER:
                 state, weight, held, size = own.train(held, state), weight + size, [], 0
@@ -458,12 +487,12 @@ def scorer(model: Model) -> Callable:
         held, size = [], 0
         for chunk in chunks(batches, "text"):
             found, rows = lowered(text_of(chunk, "text")), chunk.num_rows
-            ids, doc = numbered(hot).find(found.data, found.starts, found.ends), found.doc()
+            (ids, each), doc = numbered(hot).number(found), found.doc()
             by_doc = lambda flags, values=None: np.bincount(doc[flags], values, rows)
             is_hot, other = ids >= 0, (ids < 0) | (ids >= modelled)
             both = is_hot & other
             ends = logs[end] if end >= 0 else 0.0
-            tail = tails(found, np.flatnonzero(~is_hot), doc, rows)
+            tail = tails(each, np.flatnonzero(~is_hot), doc, rows)
             numbers = [found.counts + 1, by_doc(is_hot) + (end >= 0), by_doc(is_hot, logs[ids[is_hot]]) + ends, by_doc(other), by_doc(both, logs[ids[both]])]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
             held.append((documents_of(found, ids, modelled, end), [chunk.column(0), chunk.column(1), *[pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(numbers, kinds, strict=True)], tail]))
@@ -477,14 +506,13 @@ def scorer(model: Model) -> Callable:
     return run
 
 
-def tails(found, places: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
+def tails(each: pa.DictionaryArray, places: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
     """For each text the words at ``places``, each once with its number there."""
-    starts, ends = found.starts[places], found.ends[places]
-    ids = exact_ids(found.data, starts, ends) if len(places) else np.zeros(0, np.int64)
-    _, first, n = np.unique(doc[places] * (len(places) + 1) + ids, return_index=True, return_counts=True)
-    offsets = np.searchsorted(doc[places][first], np.arange(rows + 1)).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([strings(found.data, starts[first], ends[first]), pa.array(n.astype(np.int32))], names=["word", "n"])
-    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+    codes, kinds = each.indices.to_numpy()[places].astype(np.int64), max(1, len(each.dictionary))
+    pairs, n = np.unique(doc[places] * kinds + codes, return_counts=True)
+    offsets = np.searchsorted(pairs // kinds, np.arange(rows + 1)).astype(np.int32)
+    listed = pa.StructArray.from_arrays([each.dictionary.take(pa.array(pairs % kinds)), pa.array(n.astype(np.int32))], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets), listed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -120,6 +120,9 @@ def test_gradients():
     part, _, begins = lm.lanes(texts, 3)
     h = rng.standard_normal((part.shape[1], 5))
     _, _, grads = net.window(h, part, begins)
+    some, rows = grads["inputs"]
+    grads["inputs"] = np.zeros_like(net.weights["inputs"])
+    grads["inputs"][some] = rows
     for k, x in net.weights.items():
         for at in [tuple(rng.integers(0, s) for s in x.shape) for _ in range(12)]:
             kept, loss = x[at], []
@@ -130,6 +133,12 @@ def test_gradients():
             assert abs((loss[0] - loss[1]) / 2e-3 - grads[k][at]) < 2e-3, (k, at)
 
 
+def test_shares_beyond_the_range_of_numbers():
+    logits = np.array([[1000, 999, -1000], [-2000, -2001, -2002], [0, 1, 2]], np.float32)
+    logs, shares = lm.softmax(logits.copy(), np.arange(3), np.array([0, 1, 2]), True)
+    assert np.allclose(shares.sum(1), 1) and np.allclose(logs, [np.log(1 / (1 + np.exp(-1))), np.log(np.exp(-1) / (1 + np.exp(-1) + np.exp(-2))), np.log(1 / (1 + np.exp(-1) + np.exp(-2)))], atol=1e-4)
+
+
 def test_state_is_carried_from_window_to_window(monkeypatch):
     net = lm.Net(np.arange(50.0, 0, -1), 10.0)
     rng = np.random.default_rng(5)
