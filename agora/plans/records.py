@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions import names as nm
+from agora.functions.text import AMOUNT, TURNING
 from agora.operators import records as ops
+from agora.operators.documents import SMALL_WORDS, motion_sources
 from agora.plans.registry import query
 from agora.sources.civic import Civic
 
@@ -358,13 +360,25 @@ def src10(c: Civic) -> DataFrame:
     return ops.seeded_memberships(roster, c.people, bodies, held).select("person_id", "organization_id", "role", F.col("start_date").cast("string").alias("start_date"))
 
 
-@query("doc09_motion_sources", """
-    WITH m AS (SELECT id, meeting_id AS doc, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS w FROM {motions}),
-    b AS (SELECT doc, id AS place, w FROM m WHERE id % 5 <> 1)
-    SELECT m.doc, m.id, MIN(b.place) AS place, 'exact_motion_text' AS how FROM m JOIN b ON b.doc = m.doc AND b.w = m.w GROUP BY m.doc, m.id HAVING COUNT(*) = 1""")
+#: A motion's wording, long enough that two differ by far, and what becomes of it in the minutes and in its quote.
+WORDING = "text || ' ' || md5(CAST(id AS STRING)) || ' ' || md5(CAST(id + 7 AS STRING)) || ' ' || md5(CAST(id * 3 AS STRING))"
+#: As it is; beside one that differs by a word; twice; not at all but in the quote; in a quote that turns it, or lacks a word.
+BLOCKS = f"""SELECT id, meeting_id, upper(x) AS t, CASE id % 8 WHEN 3 THEN 'To ' || x || ' as is.' WHEN 4 THEN 'Not ' || x WHEN 5 THEN x || '; 2 trees' END AS quote, 0 AS copy FROM (SELECT id, meeting_id, {WORDING} AS x FROM {{motions}})"""
+PLACED = """SELECT meeting_id AS doc, id * 10 AS place, COALESCE(quote, t) AS t FROM w WHERE id % 8 <> 6 UNION ALL SELECT meeting_id, id * 10 + 1, t || ' NOW' FROM w WHERE id % 8 = 1 UNION ALL SELECT meeting_id, id * 10 + 2, t FROM w WHERE id % 8 = 2
+  UNION ALL SELECT meeting_id, id * 10 + 3, quote || ' so' FROM w WHERE id % 16 = 3"""
+
+
+@query("doc09_motion_sources", rf"""
+    WITH w AS ({BLOCKS}), b0 AS ({PLACED}), b AS (SELECT doc, place, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS words FROM b0),
+    m AS (SELECT meeting_id AS doc, id, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS own, quote, t, trim(regexp_replace(lower(quote), '[^a-z0-9]+', ' ', 'g')) AS quoted FROM w),
+    wanted AS (SELECT doc, id, own AS target, 1 AS arm FROM m UNION ALL SELECT doc, id, quoted, 2 FROM m WHERE quote IS NOT NULL
+      AND regexp_extract_all(lower(quote), '{AMOUNT.replace("{", "{{").replace("}", "}}")}') = regexp_extract_all(lower(t), '{AMOUNT.replace("{", "{{").replace("}", "}}")}')
+      AND list_sort(list_filter(string_split(quoted, ' '), lambda y: list_contains({TURNING}, y))) = list_sort(list_filter(string_split(own, ' '), lambda y: list_contains({TURNING}, y)))
+      AND list_has_all(string_split(quoted, ' '), list_filter(string_split(own, ' '), lambda y: NOT list_contains({SMALL_WORDS}, y)))),
+    one AS (SELECT w.doc, w.id, w.arm, w.target, MIN(b.place) AS place FROM wanted w JOIN b ON b.doc = w.doc AND b.words = w.target GROUP BY w.doc, w.id, w.arm, w.target HAVING COUNT(*) = 1),
+    sure AS (SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc = one.doc AND b.words <> one.target AND levenshtein(b.words, one.target) <= 6))
+    SELECT doc, id, place, CASE arm WHEN 1 THEN 'exact_motion_text' ELSE 'verbatim_quote_exact_identity' END AS how FROM sure WHERE arm = 1 OR NOT EXISTS (SELECT 1 FROM sure s WHERE s.doc = sure.doc AND s.id = sure.id AND s.arm = 1)""")
 def doc09(c: Civic) -> DataFrame:
-    from agora.operators.documents import motion_sources
-
-    motions = c.motions.select(F.col("meeting_id").alias("doc"), "id", "text", F.lit(None).cast("string").alias("quote"))
-    blocks = c.motions.where("id % 5 <> 1").select(F.col("meeting_id").alias("doc"), F.col("id").alias("place"), F.upper("text").alias("text"))
-    return motion_sources(motions, blocks)
+    w = c.spark.sql(BLOCKS, motions=c.motions)
+    blocks = c.spark.sql(f"WITH w AS (SELECT * FROM {{w}}) {PLACED}", w=w).select("doc", F.col("place").cast("long").alias("place"), F.col("t").alias("text"))
+    return motion_sources(w.select(F.col("meeting_id").alias("doc"), "id", F.col("t").alias("text"), "quote"), blocks)
