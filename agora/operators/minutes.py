@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.functions.matters import PARENT, bylaws_among, identifiers, named_bylaws, plain_address, streets_in
 from agora.functions.text import question_key
 from agora.operators.aggregates import n
 from agora.operators.documents import ratio
+from agora.operators.evidence import stripped
 
 
 def unique_slugs(rows: DataFrame, scope: str, rounds: int = 20) -> DataFrame:
@@ -32,9 +34,12 @@ def unique_slugs(rows: DataFrame, scope: str, rounds: int = 20) -> DataFrame:
 
 
 def bullets(text: Column) -> Column:
-    """Lines of a summary as "- " bullets: marks and blank lines out, a plain text one bullet per line."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "^\\s*(?:[-*•–]|\\d+[.)])\\s+", "")))
-    return F.array_join(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+    """A summary as it is stored: code fences and bold marks off, blank lines out, every list mark as "- "; other lines as they are."""
+    out = stripped(F.coalesce(text, F.lit("")))
+    out = stripped(F.regexp_replace(out, r"\A```(?:markdown|md|text)?\s*\n?|\n?```\z", ""))
+    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1")
+    lines = F.filter(F.transform(F.split(out, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), stripped), lambda x: x != "")
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^(?:[-*•]|\d+[.)])\s+", "- ")), "\n")
 
 
 def minutes_blocks(minutes: DataFrame) -> DataFrame:
@@ -99,23 +104,91 @@ def inferred_ballots(motions: DataFrame, voters: DataFrame, opposed: DataFrame)
     return rows.select(F.col("id").alias("motion_id"), status.alias("status"), F.when(status == "inferred", yes).alias("yes"), F.when(status == "inferred", no).alias("no"))
 
 
-def pair_verdicts(pairs: DataFrame) -> DataFrame:
-    """a, b, verdict of candidate pairs with what both sides are: same, different, or judge.
+#: Titles of proceedings, houses before a street, numbers of amendments; how alike is alike.
+PROCEEDINGS = r"(?i)\b(minutes|committee\s*(?:meeting|report|recommendations|[-–—:]\s*\w+ \d)|receipt of|correspondence|in camera|adjourn|multiple bylaws|bylaws for consideration)"
+HOUSE = r"\b(\d{2,5})(?=\s*(?:[-–&,]\s*\d{2,5}\s*)*\s+[A-Z][a-z])"
+AMENDMENT = r"(?i)amendment\s+no\.?\s*(\d+)"
+ALIKE_VECTORS, SURE_VECTORS, ALIKE_TITLES = 0.86, 0.9, 0.72
 
-    The same identifier, or address and title, is the same; other identifiers of one kind, municipalities, or years more
-    than four apart are different; the rest needs judgement.
-    """
-    same = (F.col("ident_a") == F.col("ident_b")) | ((F.col("address_a") == F.col("address_b")) & (F.lower("title_a") == F.lower("title_b")))
-    different = (F.col("muni_a") != F.col("muni_b")) | (F.col("ident_a").isNotNull() & F.col("ident_b").isNotNull() & (F.col("ident_a") != F.col("ident_b"))) | (F.abs(F.col("year_a") - F.col("year_b")) > 4)
-    return pairs.select("a", "b", F.when(F.coalesce(different, F.lit(False)), "different").when(F.coalesce(same, F.lit(False)), "same").otherwise("judge").alias("verdict"))
 
+def pair_facts(matters: DataFrame, side: str) -> DataFrame:
+    """What ``pair_verdicts`` asks of a matter (id, identifier, title, addresses), its columns ending in ``side``."""
+    known = r"^(Bylaw|TUP|DVP|DP|Z|OCP|ALR|LLP|REZ|SUB) "
+    given = F.filter(identifiers("identifier"), lambda x: x.rlike(known))
+    cites = F.coalesce(F.col("title").rlike(PARENT), F.lit(False))
+    keys = F.when((F.size(bylaws_among(given)) == 0) & ~cites, F.concat(given, named_bylaws("title"))).otherwise(given)
+    spoken = F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce("addresses", F.array().cast("array<string>")))
+    facts = {
+        "id": F.col("id"), "title": F.coalesce("title", F.lit("")), "keys": F.array_distinct(F.transform(keys, F.upper)), "places": F.array_distinct(F.transform(F.coalesce("addresses", F.array().cast("array<string>")), plain_address)),
+        "streets": streets_in("title"), "houses": F.array_distinct(F.flatten(F.transform(spoken, lambda x: F.regexp_extract_all(x, F.lit(HOUSE), 1)))), "amends": F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(AMENDMENT), 1),
+    }
+    return matters.select(*[v.alias(f"{k}_{side}") for k, v in facts.items()])
 
-def lifecycle(motions: DataFrame) -> DataFrame:
-    """matter_id, state of the latest carried motion to adopt or repeal, conditions excepted."""
-    low = F.lower("text")
-    kind = F.when(low.rlike("\\brepeal"), "Repealed").when(low.rlike("\\badopt"), "Adopted")
-    fit = F.upper("result").isin("CARRIED", "CARRIED AS AMENDED") & ~low.rlike("subject to|conditional|if required")
-    return motions.withColumn("_kind", kind).where(fit & F.col("_kind").isNotNull()).groupBy("matter_id").agg(F.max_by("_kind", F.struct("meeting_date", "id")).alias("state"))
+
+def pair_verdicts(pairs: DataFrame) -> DataFrame:
+    """a, b, verdict of pairs of matters with the facts of both sides (``pair_facts`` "a" and "b"), vectors and titles.
+
+    vectors: the cosine of their vectors, titles: how alike their titles are (null: not known). The same single bylaw or
+    permit, or a permit in common of two keys at most, is same_matter. Proceedings, other amendments, bylaws elsewhere,
+    permits or houses are different. What shares a key or an address, has alike titles in one street, or vectors that are
+    close (in one street less close), needs judgement; the rest is unrelated.
+    """
+    law = lambda s: F.filter(f"keys_{s}", lambda k: k.startswith("BYLAW "))
+    permit = lambda s: F.filter(f"keys_{s}", lambda k: ~k.startswith("BYLAW "))
+    meet = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    apart = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & ~meet(x, y)
+    keys, places, streets = (meet(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in ("keys", "places", "streets"))
+    one = (F.size("keys_a") == 1) & (F.array_sort("keys_a") == F.array_sort("keys_b"))
+    same = one | (meet(permit("a"), permit("b")) & (F.size("keys_a") <= 2) & (F.size("keys_b") <= 2))
+    different = (
+        F.col("title_a").rlike(PROCEEDINGS) | F.col("title_b").rlike(PROCEEDINGS) | apart(F.col("amends_a"), F.col("amends_b")) | (apart(law("a"), law("b")) & ~places)
+        | apart(permit("a"), permit("b")) | (apart(F.col("houses_a"), F.col("houses_b")) & ~keys)
+    )
+    vectors, titles = F.coalesce("vectors", F.lit(0.0)), streets & (F.coalesce("titles", F.lit(0.0)) >= ALIKE_TITLES)
+    judge = keys | places | titles | (vectors >= SURE_VECTORS) | ((vectors >= ALIKE_VECTORS) & streets)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.when(same, "same_matter").when(different, "different").when(judge, "judge").otherwise("unrelated").alias("verdict"))
+
+
+#: Outcomes that decide, dispositions that don't; words that make an action no final one; where a clause and its object
+#: end; words before a bylaw that make it no direct object; a second verb that may have a bylaw of its own.
+DECIDED = ["CARRIED", "PASSED", "ADOPTED"]
+UNDECIDED = ["procedural", "amended", "amendment"]
+NOT_FINAL = r"(?i)\b(recommend\w*|subject to|if|once|prior to|upon|after|not adopt|not be adopted)\b"
+CLAUSE = r"(?i);|\bAND THAT\b"
+ACTION = r"(?i)\bCouncil\s+(adopt|repeal)\s+(.+)"
+OBJECT_END = r"(?i)\b(?:and (?:further )?that|and direct|and authorize|and approve)\b"
+INDIRECT = r"(?i)\b(report|resolution|recommendation|pursuant|under|regarding|concerning|direct|prepare|draft|consider|refer|authorize|approve|with respect|in accordance|in relation)\b"
+SECOND_VERB = r"(?i)\b(?:and|to)\s+(?:direct|prepare|draft|consider|refer|authorize|approve|adopt|repeal)\b"
+
+
+def final_actions(text: Column) -> Column:
+    """state (Adopted, Repealed) and bylaws of each clause in which Council adopts or repeals bylaws as such."""
+
+    def action(clause: Column) -> Column:
+        object_ = F.split(F.regexp_extract(clause, ACTION, 2), OBJECT_END, 2)[0]
+        before = F.split(object_, r"(?i)\bBylaws?\b", 2)
+        direct = (F.size(before) > 1) & ~before[0].rlike(INDIRECT) & ~object_.rlike(SECOND_VERB)
+        state = F.when(F.lower(F.regexp_extract(clause, ACTION, 1)) == "repeal", "Repealed").otherwise("Adopted")
+        return F.when(clause.rlike(ACTION) & direct, F.struct(state.alias("state"), named_bylaws(object_).alias("bylaws")))
+
+    return F.filter(F.transform(F.split(text, CLAUSE), action), lambda x: x.isNotNull())
+
+
+def lifecycle(matters: DataFrame, motions: DataFrame) -> DataFrame:
+    """matter_id, state, motion_id: the last final action on all bylaws of a matter (id, identifier, title), of its motions.
+
+    motions: id, matter_id, result, disposition, text, meeting_date. An action is final if its motion carried, isn't procedural
+    or an amendment, and recommends or waits for nothing; its clauses must agree, and their direct objects hold every bylaw
+    of the matter (of its identifier, or else of its title).
+    """
+    own = F.array_distinct(bylaws_among(identifiers("identifier")))
+    m = matters.select(F.col("id").alias("_m"), F.when(F.size(own) > 0, own).otherwise(named_bylaws("title")).alias("_own")).where(F.size("_own") > 0)
+    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
+    fit = F.upper(F.trim("result")).isin(DECIDED) & ~F.coalesce(F.lower("disposition").isin(UNDECIDED), F.lit(False)) & ~plain.rlike(NOT_FINAL)
+    acts = motions.where(fit).withColumn("_acts", final_actions(plain)).where(F.size(F.array_distinct("_acts.state")) == 1)
+    met = acts.join(m, F.col("matter_id") == F.col("_m")).where(F.size(F.array_except("_own", F.flatten("_acts.bylaws"))) == 0)
+    last = F.max(F.struct(F.coalesce(F.col("meeting_date").cast("string"), F.lit("")).alias("d"), "id", F.col("_acts")[0]["state"].alias("state"))).alias("x")
+    return met.groupBy("matter_id").agg(last).select("matter_id", "x.state", F.col("x.id").alias("motion_id"))
 
 
 def open_adoptions(items: DataFrame, motions: DataFrame) -> DataFrame:

@@ -7,25 +7,59 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.operators.documents import ratio
 from agora.functions.names import clean_name, name_score
 from agora.operators.aggregates import n
 
 
-def match_people(names: DataFrame, people: DataFrame) -> DataFrame:
-    """row_id, person_id, how of each name: the same name, else the only person of that surname, else the best alike one.
+def alike_surnames(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
+    """_a, _b of distinct surnames (left _a, right _b) that are alike: by Ratcliff-Obershelp's ratio, or one within the other.
+
+    Two that are so alike share two neighbouring letters and have lengths not far apart, and a contained one's first two
+    letters are in the other; only such pairs are compared. Surnames of one letter are compared by that letter.
+    """
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda k: F.substr(x, k, F.lit(2))))
+    letters = lambda x: F.array_distinct(F.split(x, ""))
+    a, b = left.where("_a <> ''").distinct(), right.where("_b <> ''").distinct()
+    band = lambda x: F.floor(F.length(x) / 8).cast("int")
+    near = a.select("_a", F.explode(grams(F.col("_a"))).alias("g"), band(F.col("_a")).alias("w")).join(b.select("_b", F.explode(grams(F.col("_b"))).alias("g"), F.explode(F.sequence(band(F.col("_b")) - 1, band(F.col("_b")) + 1)).alias("w")), ["g", "w"])
+    near = near.where(F.abs(F.length("_a") - F.length("_b")) <= (1 - least) * (F.length("_a") + F.length("_b")))
+    keys = lambda x: F.when(F.length(x) == 1, x).otherwise(F.substr(x, F.lit(1), F.lit(2)))
+    parts = lambda x: F.concat(grams(x), letters(x))
+    within = a.select("_a", keys(F.col("_a")).alias("g")).join(b.select("_b", F.explode(F.array_distinct(parts(F.col("_b")))).alias("g")), "g").where(F.contains("_b", F.col("_a")))
+    around = b.select("_b", keys(F.col("_b")).alias("g")).join(a.select("_a", F.explode(F.array_distinct(parts(F.col("_a")))).alias("g")), "g").where(F.contains("_a", F.col("_b")))
+    sure = within.select("_a", "_b").unionByName(around.select("_a", "_b")).distinct()
+    close = near.select("_a", "_b").distinct().join(sure, ["_a", "_b"], "left_anti").where(ratio(F.col("_a"), F.col("_b")) >= least)
+    return sure.unionByName(close)
 
-    Alike pairs are sought among surnames of one first letter, so that no name meets every person.
+
+def match_people(names: DataFrame, people: DataFrame) -> DataFrame:
+    """row_id, person_id, how of each name: the same name (exact), else the only person of that surname (surname), else the
+    first person, by id, who may be the same (alike): surnames are alike, and first names are (0.8), or one is an initial that
+    the other begins with, or one side has none. Different spellings are compared once, however many rows have them.
     """
-    p = people.select(F.col("id").alias("person_id"), F.lower(clean_name("name")).alias("_name"))
+    spelt = F.lower(clean_name("name"))
+    p = people.select(F.col("id").alias("person_id"), spelt.alias("_name")).where("_name <> ''").groupBy("_name").agg(F.min("person_id").alias("person_id"), F.count("*").alias("_n"))
     p = p.withColumn("_last", F.substring_index("_name", " ", -1))
-    own = names.withColumn("_own", F.lower(clean_name("name"))).withColumn("_own_last", F.substring_index(F.lower(clean_name("name")), " ", -1))
-    exact = own.join(p, F.col("_own") == F.col("_name")).groupBy("row_id").agg(F.min("person_id").alias("person_id")).select("row_id", "person_id", F.lit("exact").alias("how"), F.lit(1).alias("_s"))
-    single = p.groupBy("_last").agg(F.min("person_id").alias("person_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
-    surname = own.join(single, F.col("_own_last") == F.col("_last")).select("row_id", "person_id", F.lit("surname").alias("how"), F.lit(2).alias("_s"))
-    near = own.join(p, F.substring("_own_last", 1, 1) == F.substring("_last", 1, 1)).withColumn("_score", name_score("_own", "_name")).where("_score > 0")
-    fuzzy = near.groupBy("row_id").agg(F.min(F.struct((-F.col("_score")).alias("s"), "person_id")).alias("b")).select("row_id", F.col("b.person_id").alias("person_id"), F.lit("alike").alias("how"), F.lit(3).alias("_s"))
-    best = exact.unionByName(surname).unionByName(fuzzy).groupBy("row_id").agg(F.min(F.struct("_s", "person_id", "how")).alias("b"))
-    return best.select("row_id", "b.person_id", "b.how")
+    rows = names.select("row_id", spelt.alias("_own")).where("_own <> ''")
+    own = rows.select("_own").distinct().withColumn("_own_last", F.substring_index("_own", " ", -1))
+    exact = own.join(p, F.col("_own") == F.col("_name")).select("_own", "person_id", F.lit("exact").alias("how"))
+    left = own.join(exact.select("_own"), "_own", "left_anti")
+    single = p.groupBy("_last").agg(F.min("person_id").alias("person_id"), F.sum("_n").alias("_n")).where("_n = 1")
+    surname = left.join(single, F.col("_own_last") == F.col("_last")).select("_own", "person_id", F.lit("surname").alias("how"))
+    left = left.join(surname.select("_own"), "_own", "left_anti")
+    pairs = alike_surnames(left.select(F.col("_own_last").alias("_a")), p.select(F.col("_last").alias("_b")))
+    met = left.join(pairs, F.col("_own_last") == F.col("_a")).join(p, F.col("_b") == F.col("_last"))
+    first = lambda x: F.when(F.contains(x, F.lit(" ")), F.substring_index(x, " ", 1)).otherwise(F.lit(""))
+    met = met.withColumn("_f", first(F.col("_own"))).withColumn("_g", first(F.col("_name")))
+    initial = lambda x: (F.length(x) == 1) | ((F.length(x) == 2) & x.endswith("."))
+    either = initial(F.col("_f")) | initial(F.col("_g"))
+    same_start = F.substring("_f", 1, 1) == F.substring("_g", 1, 1)
+    simple = met.withColumn("_ok", F.when((F.col("_f") == "") | (F.col("_g") == "") | (F.col("_f") == F.col("_g")), True).when(either, same_start))
+    doubtful = simple.where("_ok is null").select("_f", "_g").distinct().where(ratio(F.col("_f"), F.col("_g")) >= 0.8).withColumn("_near", F.lit(True))
+    fits = simple.join(doubtful, ["_f", "_g"], "left").where(F.coalesce("_ok", "_near", F.lit(False)))
+    alike = fits.groupBy("_own").agg(F.min("person_id").alias("person_id")).select("_own", "person_id", F.lit("alike").alias("how"))
+    return rows.join(exact.unionByName(surname).unionByName(alike), "_own").select("row_id", "person_id", "how")
 
 
 def resolved(candidates: DataFrame, key: str, score: str, margin: float = 0.06) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators import minutes as ops
+from agora.functions.matters import PARENT, STREET
+from agora.plans.matching import address_sql, bylaws_sql, identifiers_sql, lit
 from agora.plans.registry import query
 from agora.sources.civic import Civic
 
@@ -16,9 +18,18 @@ def str05(c: Civic) -> DataFrame:
     return ops.unique_slugs(rows, "municipality_id")
 
 
-@query("str24_bullets", "SELECT id, '- ' || name || chr(10) || '- second' AS text FROM {people}")
+#: Summaries with fences, bold words, every mark, blank and plain lines around a matter's title.
+SUMMARY = """CASE id % 4 WHEN 0 THEN concat('```markdown', chr(10)) WHEN 1 THEN concat('``` ', chr(10), chr(10)) WHEN 2 THEN concat('  ', chr(9)) ELSE '' END || concat('* **', title, '** and ', CAST(id AS STRING), chr(10), '   ', chr(10), CASE id % 7 WHEN 0 THEN '- ' WHEN 1 THEN '• ' WHEN 2 THEN CAST(id AS STRING) || ') ' WHEN 3 THEN '12.  '
+  WHEN 4 THEN '– ' WHEN 5 THEN '-' ELSE '' END, title, chr(13), chr(10), '  *  second **a*b** ** c **', chr(12), 'plain ') || CASE id % 3 WHEN 0 THEN concat(chr(10), '```') WHEN 1 THEN '```' ELSE concat(chr(10), '``` x') END"""
+
+
+@query("str24_bullets", rf"""
+    WITH x AS (SELECT id, {SUMMARY} AS t FROM {{matters}}), a AS (SELECT id, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS t FROM x),
+    b AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^```(?:markdown|md|text)?\s*\n?', ''), '\n?```$', ''), '^\s+', ''), '\s+$', ''), '\*\*([^*]+)\*\*', '\1', 'g') AS t FROM a),
+    l AS (SELECT id, list_filter(list_transform(string_split_regex(t, '\r\n|[\n\r\f]'), lambda y: trim(y, concat(' ', chr(9)))), lambda y: y <> '') AS ls FROM b)
+    SELECT id, array_to_string(list_transform(ls, lambda y: regexp_replace(y, '^(?:[-*•]|\d+[.)])\s+', '- ')), chr(10)) AS text FROM l""")
 def str24(c: Civic) -> DataFrame:
-    return c.people.select("id", ops.bullets(F.concat(F.lit(" * "), "name", F.lit("\n\n2) second\n"))).alias("text"))
+    return c.matters.select("id", ops.bullets(F.expr(SUMMARY)).alias("text"))
 
 
 @query("doc11_minutes_blocks", "SELECT id AS doc, place, kind FROM {motions}, (VALUES (0, 'header'), (1, 'spacer'), (2, 'motion_meta'), (3, 'list_item'), (4, 'paragraph'), (5, 'result'), (6, 'divider')) t(place, kind)")
@@ -55,19 +66,50 @@ def bal03(c: Civic) -> DataFrame:
     return out.withColumns({k: F.col(k).cast("long") for k in ("yes", "no")})
 
 
-@query("ent06_pair_verdicts", """
-    SELECT x.id AS a, y.id AS b, CASE WHEN x.municipality_id <> y.municipality_id OR (x.identifier IS NOT NULL AND y.identifier IS NOT NULL AND x.identifier <> y.identifier) OR ABS(x.year - y.year) > 4 THEN 'different'
-      WHEN x.identifier = y.identifier OR (x.address = y.address AND lower(x.title) = lower(y.title)) THEN 'same' ELSE 'judge' END AS verdict FROM {matters} x JOIN {matters} y ON x.address = y.address AND x.id < y.id""")
-def ent06(c: Civic) -> DataFrame:
-    side = lambda s: c.matters.select(F.col("id").alias("a" if s == "a" else "b"), F.col("identifier").alias(f"ident_{s}"), F.col("address").alias(f"address_{s}"), F.col("title").alias(f"title_{s}"), F.col("municipality_id").alias(f"muni_{s}"), F.col("year").alias(f"year_{s}"))
-    pairs = side("a").join(side("b"), (F.col("address_a") == F.col("address_b")) & (F.col("a") < F.col("b")))
-    return ops.pair_verdicts(pairs)
+#: Matters with permits, amendments, proceedings and houses in streets, for pairs at one address.
+PAIRED = """SELECT id, title || CASE id % 11 WHEN 0 THEN ' Amendment No. ' || CAST(id % 3 AS STRING) WHEN 1 THEN ' - committee report' WHEN 2 THEN ' at 12 & ' || CAST(14 + id % 4 AS STRING) || ' Oak Road' WHEN 3 THEN ' of Oak Road' WHEN 4 THEN ' Bylaw No. ' || CAST(id % 40 AS STRING) || ' amendment no 2' WHEN 5 THEN ' variance from Bylaw 7' ELSE '' END AS title,
+  CASE id % 5 WHEN 0 THEN identifier WHEN 1 THEN 'TUP16-00' || CAST(10 + id % 3 AS STRING) || '; DVP17-0001' WHEN 2 THEN 'x' WHEN 3 THEN 'Bylaw 5; REZ20-1000; Z20-1000' ELSE NULL END AS identifier, CASE WHEN id % 3 = 0 THEN address ELSE address || ' W' END AS address, address AS block, id % 100 AS v FROM {matters}"""
+PAIR_KEYS_SQL = f"""list_distinct(list_transform(list_concat(given, CASE WHEN len(list_filter(given, lambda x: starts_with(x, 'Bylaw '))) = 0 AND NOT regexp_matches(title, '{PARENT}') THEN {bylaws_sql('title')} ELSE [] END), lambda x: upper(x)))"""
 
 
-@query("ent11_lifecycle", "SELECT id % 90 AS matter_id, arg_max(CASE WHEN id % 3 = 0 THEN 'Repealed' ELSE 'Adopted' END, id) AS state FROM {motions} WHERE upper(result) IN ('CARRIED', 'CARRIED AS AMENDED') AND id % 5 > 0 GROUP BY 1")
+@query("ent06_pair_verdicts", rf"""
+    WITH p AS ({PAIRED}), g AS (SELECT *, list_filter({identifiers_sql('identifier')}, lambda x: regexp_matches(x, '^(Bylaw|TUP|DVP|DP|Z|OCP|ALR|LLP|REZ|SUB) ')) AS given FROM p),
+    f AS (SELECT id, title, block, v, {address_sql('address')} AS place, {PAIR_KEYS_SQL} AS keys, list_distinct(list_transform(regexp_extract_all(title, {lit(STREET)}, 1), lambda x: lower(trim(x)))) AS streets,
+      list_distinct(list_concat(CASE WHEN id % 11 = 2 THEN ['12', CAST(14 + id % 4 AS VARCHAR)] ELSE [] END, regexp_extract_all(address, '^(\d{{{{2,5}}}}) [A-Z][a-z]', 1))) AS houses, regexp_extract_all(title, '(?i)amendment\s+no\.?\s*(\d+)', 1) AS amends FROM g),
+    x AS (SELECT a.id AS a, b.id AS b, a.keys AS ka, b.keys AS kb, list_filter(a.keys, lambda k: starts_with(k, 'BYLAW ')) AS la, list_filter(b.keys, lambda k: starts_with(k, 'BYLAW ')) AS lb, list_filter(a.keys, lambda k: NOT starts_with(k, 'BYLAW ')) AS pa, list_filter(b.keys, lambda k: NOT starts_with(k, 'BYLAW ')) AS pb,
+      a.place = b.place AS placed, list_has_any(a.streets, b.streets) AS street, a.houses AS ha, b.houses AS hb, a.amends AS ma, b.amends AS mb, a.title AS ta, b.title AS tb, 1 - (a.v + b.v) % 40 / 100.0 AS vectors, (a.v * b.v) % 10 / 10.0 AS titles FROM f a JOIN f b ON a.block = b.block AND a.id < b.id)
+    SELECT a, b, CASE WHEN (len(ka) = 1 AND ka = kb) OR (list_has_any(pa, pb) AND len(ka) <= 2 AND len(kb) <= 2) THEN 'same_matter'
+      WHEN regexp_matches(ta, '{ops.PROCEEDINGS}') OR regexp_matches(tb, '{ops.PROCEEDINGS}') OR (len(ma) > 0 AND len(mb) > 0 AND NOT list_has_any(ma, mb)) OR (len(la) > 0 AND len(lb) > 0 AND NOT list_has_any(la, lb) AND NOT placed)
+        OR (len(pa) > 0 AND len(pb) > 0 AND NOT list_has_any(pa, pb)) OR (len(ha) > 0 AND len(hb) > 0 AND NOT list_has_any(ha, hb) AND NOT list_has_any(ka, kb)) THEN 'different'
+      WHEN list_has_any(ka, kb) OR placed OR (street AND titles >= 0.72) OR vectors >= 0.9 OR (vectors >= 0.86 AND street) THEN 'judge' ELSE 'unrelated' END AS verdict FROM x""")
+def ent06(c: Civic) -> DataFrame:
+    rows = c.spark.sql(PAIRED, matters=c.matters).withColumn("addresses", F.array("address"))
+    side = lambda s: ops.pair_facts(rows, s).join(rows.select(F.col("id").alias(f"id_{s}"), F.col("block").alias(f"block_{s}"), F.col("v").alias(f"v_{s}")), f"id_{s}")
+    pairs = side("a").join(side("b"), (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")))
+    near = F.lit(1) - ((F.col("v_a") + F.col("v_b")) % 40) / 100.0
+    return ops.pair_verdicts(pairs.withColumns({"vectors": near, "titles": (F.col("v_a") * F.col("v_b")) % 10 / 10.0}))
+
+
+#: Resolutions in every form that a final action has or hasn't. The matter of a motion is 40 ids away.
+RESOLVED = """SELECT id, (id * 7) % 90 AS matter_id, CASE WHEN id % 6 = 0 THEN ' passed' WHEN id % 6 = 1 THEN 'Adopted' ELSE upper(result) END AS result, CASE WHEN id % 13 = 0 THEN 'Amendment' ELSE disposition END AS disposition, meeting_id,
+  CASE id % 15 WHEN 0 THEN 'THAT Council adopt Bylaw No. ' WHEN 1 THEN 'That  Council Repeal Bylaw ' WHEN 2 THEN 'THAT Council adopt the report on Bylaw No. ' WHEN 3 THEN 'THAT Council adopt, once funded, Bylaw No. ' WHEN 4 THEN 'THAT the clerk adopt Bylaw No. ' WHEN 5 THEN 'THAT Council adopt Bylaws Nos. 5, 6 and '
+    WHEN 6 THEN 'THAT Council repeal Bylaw No. 1; AND THAT Council adopt Bylaw No. ' WHEN 7 THEN 'THAT staff be thanked and that Council adopt Bylaw ' WHEN 8 THEN 'THAT Council adopt the minutes and authorize Bylaw ' WHEN 9 THEN 'THAT Council adopt Bylaw 3 and direct staff to file Bylaw '
+    WHEN 10 THEN 'THAT Council adopt Bylaw 4 and refer Bylaw ' WHEN 11 THEN 'THAT Council not adopt Bylaw ' WHEN 12 THEN 'Council adopts Bylaw ' WHEN 13 THEN 'THAT Council adopt Bylaw 5; Council adopt Bylaw ' ELSE 'I recommend that Council adopt Bylaw ' END || CAST((id * 7) % 90 % CASE WHEN id % 4 = 0 THEN 3000 ELSE 300 END AS STRING) || CASE WHEN id % 10 = 9 THEN ' and further that all be well' ELSE '' END AS text FROM {motions}"""
+STATED = "SELECT id, CASE WHEN id % 4 = 1 THEN identifier || '; Bylaw 5' WHEN id % 4 = 2 THEN NULL ELSE identifier END AS identifier, CASE WHEN id % 8 < 4 THEN title || ' Bylaw No. ' || CAST(id AS STRING) ELSE title END AS title FROM {matters} WHERE id < 90"
+
+
+@query("ent11_lifecycle", rf"""
+    WITH r AS ({RESOLVED}), s AS ({STATED}), k0 AS (SELECT id, title, list_distinct(list_filter({identifiers_sql('identifier')}, lambda x: starts_with(x, 'Bylaw '))) AS own FROM s), k AS (SELECT id, CASE WHEN len(own) > 0 THEN own ELSE {bylaws_sql('title')} END AS own FROM k0),
+    f AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM r WHERE upper(trim(result)) IN ('CARRIED', 'PASSED', 'ADOPTED') AND NOT COALESCE(lower(disposition) IN ('procedural', 'amended', 'amendment'), false)),
+    c AS (SELECT id, unnest(string_split_regex(x, '{ops.CLAUSE}')) AS clause FROM f WHERE NOT regexp_matches(x, '{ops.NOT_FINAL}')),
+    o AS (SELECT id, lower(regexp_extract(clause, '{ops.ACTION}', 1)) AS verb, string_split_regex(regexp_extract(clause, '{ops.ACTION}', 2), '{ops.OBJECT_END}')[1] AS object_ FROM c WHERE regexp_matches(clause, '{ops.ACTION}')),
+    a AS (SELECT id, verb, {bylaws_sql('object_')} AS laws FROM o WHERE regexp_matches(object_, '(?i)\bBylaws?\b') AND NOT regexp_matches(string_split_regex(object_, '(?i)\bBylaws?\b')[1], '{ops.INDIRECT}') AND NOT regexp_matches(object_, '{ops.SECOND_VERB}')),
+    g AS (SELECT id, MIN(verb) AS verb, flatten(list(laws)) AS laws FROM a GROUP BY id HAVING COUNT(DISTINCT verb) = 1),
+    e AS (SELECT f.matter_id, g.verb, f.id, f.meeting_id FROM g JOIN f ON f.id = g.id JOIN k ON k.id = f.matter_id WHERE len(k.own) > 0 AND list_has_all(g.laws, k.own))
+    SELECT matter_id, CASE arg_max(verb, meeting_id * 1000000 + id) WHEN 'repeal' THEN 'Repealed' ELSE 'Adopted' END AS state, arg_max(id, meeting_id * 1000000 + id) AS motion_id FROM e GROUP BY matter_id""")
 def ent11(c: Civic) -> DataFrame:
-    text = F.concat(F.when(F.col("id") % 3 == 0, "That the bylaw be repealed").otherwise("THAT Bylaw 5 be adopted"), F.when(F.col("id") % 5 == 0, " subject to funding").otherwise(""))
-    return ops.lifecycle(c.motions.select("id", (F.col("id") % 90).alias("matter_id"), "result", text.alias("text"), F.lit("2020-01-01").cast("date").alias("meeting_date")))
+    motions = c.spark.sql(RESOLVED, motions=c.motions).withColumn("meeting_date", F.lpad(F.col("meeting_id").cast("string"), 12, "0"))
+    return ops.lifecycle(c.spark.sql(STATED, matters=c.matters), motions)
 
 
 @query("ent10_open_adoptions", "SELECT i.id FROM {agenda_items} i WHERE i.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {motions} m WHERE m.agenda_item_id = i.id AND m.result IS NOT NULL)")

@@ -141,14 +141,41 @@ def str22(c: Civic) -> DataFrame:
     return c.segments.select("id", nm.glossary("text", {"click": "press", "press": "tap"}).alias("text"))
 
 
-@query("str23_spoken_numbers", "SELECT id, 'item 10.1 of 23' AS text FROM {people}")
+#: Speech with numbers: tens and units, runs of digits, decimals, hyphens, number words inside other words. {n}: the words.
+SPOKEN = """concat('Item ', array_element, CASE id % 6 WHEN 0 THEN ' point one point ' WHEN 1 THEN '-' WHEN 2 THEN ' . ' WHEN 3 THEN ', or ' WHEN 4 THEN ' someone said ' ELSE '  ' END, second_element, CASE id % 5 WHEN 0 THEN ' zero' WHEN 1 THEN '-way, twofold; bone' WHEN 2 THEN ' point oh point nine, it''s' WHEN 3 THEN ' Five Two!' ELSE ' 3. 4' END, ' ', third_element, ' of ', title)"""
+SAID = list(nm.NUMBERS)
+
+
+def said_sql(k: str, index: str) -> str:
+    return "CASE " + k + " " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(SAID)) + " END"
+
+
+SPOKEN_SQL = SPOKEN.replace("array_element", said_sql(f"id % {len(SAID)}", "")).replace("second_element", said_sql(f"(id * 7) % {len(SAID)}", "")).replace("third_element", said_sql(f"CAST(FLOOR(id / 25) AS BIGINT) % {len(SAID)}", ""))
+VALUE_SQL = "CASE w " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in nm.NUMBERS.items()) + " END"
+
+
+@query("str23_spoken_numbers", rf"""
+    WITH t AS (SELECT id, lower({SPOKEN_SQL}) AS x FROM {{matters}}), p AS (SELECT id, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM (SELECT id, regexp_extract_all(x, '{nm.PIECE}') AS ps FROM t)),
+    v AS (SELECT id, k, piece, list_transform(string_split_regex(piece, '[\s-]+'), lambda w: {VALUE_SQL}) AS vs, regexp_full_match(piece, '{nm.NUMBER_WORD}(?:[\s-]+{nm.NUMBER_WORD})*') AS run FROM p),
+    f AS (SELECT id, k, CASE WHEN NOT run THEN piece WHEN len(vs) > 1 AND len(list_filter(vs, lambda n: n >= 10)) = 0 THEN array_to_string(vs, '')
+      ELSE list_reduce(list_transform(vs, lambda n: CAST(n AS VARCHAR)), lambda a, n: CASE WHEN CAST(n AS INT) < 10 AND CAST(regexp_extract(a, '(\d+)$', 1) AS INT) >= 20 AND CAST(regexp_extract(a, '(\d+)$', 1) AS INT) % 10 = 0 THEN regexp_replace(a, '\d+$', CAST(CAST(regexp_extract(a, '(\d+)$', 1) AS INT) + CAST(n AS INT) AS VARCHAR)) ELSE a || ' ' || n END) END AS y FROM v),
+    j AS (SELECT id, string_agg(y, '' ORDER BY k) AS x FROM f GROUP BY id),
+    d AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(x, '\b(\d+)\s+point\s+(\d+)\b', '\1.\2', 'g'), '\b(\d+)\s+point\s+(\d+)\b', '\1.\2', 'g'), '\b(\d+(?:\.\d+)+)\s+point\s+(\d+)\b', '\1.\2', 'g') AS x FROM j)
+    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(x, '(\d)\s*\.\s+(\d)', '\1.\2', 'g'), '[^a-z0-9.''\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM d""")
 def str23(c: Civic) -> DataFrame:
-    return c.people.select("id", nm.spoken_numbers(F.lit("item ten point one of twenty three")).alias("text"))
+    return c.matters.select("id", nm.spoken_numbers(F.expr(SPOKEN_SQL)).alias("text"))
+
 
+#: Two texts that share runs of words of a matter and the next one, some in other capitals.
+SHARED = """SELECT id, concat(title, ' of ', address, ' and ', COALESCE(following, '')) AS a, CASE id % 5 WHEN 0 THEN concat('about ', title, ' of ', address) WHEN 1 THEN concat(COALESCE(following, ''), ' and ', title) WHEN 2 THEN upper(title) WHEN 3 THEN concat('x ', address, ' and ', COALESCE(following, ''), 's of ', title) ELSE NULL END AS b
+  FROM (SELECT id, title, address, lead(title) OVER (PARTITION BY municipality_id ORDER BY id) AS following FROM {matters})"""
 
-@query("str26_common_sequence", None)
+
+@query("str26_common_sequence", f"""
+    WITH s AS (SELECT id, string_split(a, ' ') AS ws, ' ' || COALESCE(b, '') || ' ' AS b FROM ({SHARED})), i AS (SELECT id, ws, b, unnest(range(1, len(ws) + 1)) AS i FROM s), j AS (SELECT id, b, ws, i, unnest(range(i + 2, len(ws) + 1)) AS j FROM i)
+    SELECT s.id, COALESCE(MAX(length(array_to_string(j.ws[i:j], ' '))) FILTER (contains(j.b, ' ' || array_to_string(j.ws[i:j], ' ') || ' ')), 0)::INT AS chars FROM s LEFT JOIN j ON j.id = s.id GROUP BY s.id""")
 def str26(c: Civic) -> DataFrame:
-    return c.matters.select("id", nm.common_sequence(F.concat_ws(" ", "title", "address"), F.concat_ws(" ", F.lit("about"), "title", "address", F.lit("again"))).alias("chars"))
+    return c.spark.sql(SHARED, matters=c.matters).select("id", nm.common_sequence("a", "b").alias("chars"))
 
 
 @query("str27_key_vote_sentence", "SELECT id, name || ' voted No on ' || 'the budget against the majority (5-2)' AS sentence FROM {people}")
@@ -165,10 +192,34 @@ def jsn02(c: Civic) -> DataFrame:
     return c.meetings.select("id", found.alias("e")).select("id", "e.state", "e.verified")
 
 
-@query("ent08_match_people", "SELECT id AS row_id, id AS person_id, 'exact' AS how FROM {people}")
+#: Names of people, some with an initial or twice, and how the minutes spell them.
+FIRST_NAMES = ["Amelia", "Bertram", "Cordula", "Dietrich", "Evangeline", "Florian", "Gwendolyn", "Hubert"]
+LAST_NAMES = ["Ashdowne", "Brockwell", "Cartmille", "Dunstable", "Eglinton", "Fairhurst", "Grimsditch", "Holloway", "Inskipper", "Jocelynd", "Kirkbride"]
+PICK = "element_at(array({0}), CAST({1} % {2} + 1 AS INT))"
+PEOPLED = """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 6 THEN substring({first}, 1, 1) || '.' WHEN c_custkey % 31 = 30 THEN '' ELSE {first} END || ' ' || {last} || CASE WHEN c_custkey % 17 = 16 THEN 'son' ELSE '' END AS name FROM {customer} WHERE c_custkey % 88 <= 9"""
+SPELT = """SELECT c_custkey AS row_id, CASE c_custkey % 8 WHEN 0 THEN 'Mayor ' || {first} WHEN 1 THEN substring({first}, 1, 1) WHEN 2 THEN '' WHEN 3 THEN substring({first}, 1, 1) || '.' WHEN 4 THEN substring({first}, 2) WHEN 5 THEN {first} || 'a' WHEN 6 THEN 'Xerxes' ELSE {first} END || ' ' ||
+  CASE c_custkey % 5 WHEN 0 THEN {last} WHEN 1 THEN upper({last}) || ' (chair)' WHEN 2 THEN substring({last}, 1, 4) || 'x' || substring({last}, 6) WHEN 3 THEN {last} || 's' ELSE 'Van' || {last} END AS name FROM {customer}"""
+
+
+def picked(sql: str, spark: bool) -> str:
+    def one(names: list[str], k: str) -> str:
+        if spark:
+            return PICK.format(", ".join(f"'{n}'" for n in names), k, len(names))
+        return f"[{', '.join(repr(n) for n in names)}][CAST({k} % {len(names)} + 1 AS INT)]"
+
+    return sql.replace("{first}", one(FIRST_NAMES, "c_custkey")).replace("{last}", one(LAST_NAMES, "CAST(FLOOR(c_custkey / 8) AS BIGINT)"))
+
+
+@query("ent08_match_people", rf"""
+    WITH p0 AS ({picked(PEOPLED, False)}), n0 AS ({picked(SPELT, False)}), p AS (SELECT id, lower(trim(name)) AS name FROM p0), n AS (SELECT row_id, lower(trim(regexp_replace(regexp_replace(name, '^Mayor ', ''), ' \(chair\)', ''))) AS name FROM n0),
+    q AS (SELECT id, name, regexp_extract(name, '([^ ]+)$', 1) AS last, CASE WHEN contains(name, ' ') THEN regexp_extract(name, '^([^ ]+)', 1) ELSE '' END AS first FROM p), m AS (SELECT row_id, name, regexp_extract(name, '([^ ]+)$', 1) AS last, CASE WHEN contains(name, ' ') THEN regexp_extract(name, '^([^ ]+)', 1) ELSE '' END AS first FROM n),
+    one AS (SELECT last, MIN(id) AS id FROM q GROUP BY last HAVING COUNT(*) = 1), same AS (SELECT m.row_id, MIN(q.id) AS id FROM m JOIN q ON q.name = m.name GROUP BY m.row_id),
+    kinds AS (SELECT DISTINCT last, first, name FROM m), near AS (SELECT k.name, MIN(q.id) AS id FROM kinds k JOIN q ON (levenshtein(k.last, q.last) <= 1 OR contains(k.last, q.last) OR contains(q.last, k.last))
+      AND (k.first = '' OR q.first = '' OR k.first = q.first OR CASE WHEN length(replace(k.first, '.', '')) = 1 OR length(replace(q.first, '.', '')) = 1 THEN k.first[1] = q.first[1] ELSE levenshtein(k.first, q.first) <= 1 END) GROUP BY k.name)
+    SELECT m.row_id, COALESCE(s.id, o.id, near.id) AS person_id, CASE WHEN s.id IS NOT NULL THEN 'exact' WHEN o.id IS NOT NULL THEN 'surname' ELSE 'alike' END AS how FROM m LEFT JOIN same s ON s.row_id = m.row_id LEFT JOIN one o ON o.last = m.last LEFT JOIN near ON near.name = m.name WHERE COALESCE(s.id, o.id, near.id) IS NOT NULL""")
 def ent08(c: Civic) -> DataFrame:
-    names = c.people.select(F.col("id").alias("row_id"), F.concat(F.lit("Mr. "), "name").alias("name"))
-    return ops.match_people(names, c.people)
+    people, names = (c.spark.sql(picked(x, True), customer=c.customer) for x in (PEOPLED, SPELT))
+    return ops.match_people(names, people)
 
 
 @query("ent12_bylaw_links", """
