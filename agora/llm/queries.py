@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.runtime import read_table
+from agora.llm.runtime import read_table, undone
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -130,8 +131,19 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", hex_of("node").alias("leaf"), hex_of("subroot").alias("subroot"), root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
 
 
+def guarded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, which leaves no table in the shared folder if it fails."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with undone(spark):
+            return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: guarded(f) for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

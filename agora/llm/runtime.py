@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds at once in numpy form (a longer single text is held alone).
 CHUNK_BYTES = 500_000
-#: Tables of the shared folder that this process wrote and hasn't deleted.
-_live: set[str] = set()
+#: The tables written and not yet deleted in each ``scratch`` that is open in this context, the innermost last.
+_open: ContextVar[tuple[set[str], ...]] = ContextVar("open scratches", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +44,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table of the shared folder and read back: columnar, compressed, pruned on reading."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/agora-{name}-{uuid.uuid4().hex}"
-    _live.add(path)
+    for tables in _open.get():
+        tables.add(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.agora_path = path
@@ -60,15 +62,37 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _live.discard(name)
+        for tables in _open.get():
+            tables.discard(name)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables written in it: what is made of them must be written by then."""
-    before = set(_live)
-    yield
-    remove(spark, *(_live - before))
+    """Deletes at its end, however it ends, the tables written in it: what is made of them must be written by then.
+
+    Only those that this caller's thread or task wrote: others that run meanwhile keep theirs.
+    """
+    written: set[str] = set()
+    token = _open.set((*_open.get(), written))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        remove(spark, *written)
+
+
+@contextmanager
+def undone(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written in it if it fails; else they stay, since the result may read them."""
+    written: set[str] = set()
+    token = _open.set((*_open.get(), written))
+    try:
+        yield
+    except BaseException:
+        remove(spark, *written)
+        raise
+    finally:
+        _open.reset(token)
 
 
 def release(*tables: DataFrame) -> None:
