@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["filters", "aggregates", "joins", "windows", "votes", "search", "scalars", "documents", "incremental", "sources", "records", "minutes", "matching", "alignment", "evidence"]
+MODULES: list[str] = ["filters", "aggregates", "joins", "windows", "votes", "search", "scalars", "documents", "incremental", "sources", "records", "minutes", "matching", "alignment", "evidence", "ballots", "research"]
 
 
 def load() -> None:
