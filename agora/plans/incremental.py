@@ -164,3 +164,20 @@ def ext02(c: Civic) -> DataFrame:
     from agora.streaming.usage import hourly
 
     return hourly(c.events).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Workers' messages about jobs: claims, heartbeats and ends of five workers, some of them long silent.
+MESSAGES = "SELECT event_id, event_id % 211 AS job_id, ts, CASE CAST(FLOOR(event_id / 211) AS BIGINT) % 4 WHEN 0 THEN 'claim' WHEN 1 THEN 'heartbeat' WHEN 2 THEN CASE WHEN user_id % 3 = 0 THEN 'claim' ELSE 'heartbeat' END ELSE CASE user_id % 7 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'claim' ELSE 'heartbeat' END END AS event, 'w' || CAST(CASE WHEN user_id % 4 = 0 THEN user_id % 5 ELSE event_id % 211 % 5 END AS STRING) AS worker FROM {events}"
+
+
+@query("stm01_leases", f"""
+    WITH RECURSIVE m AS (SELECT *, epoch(ts) AS tm, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM ({MESSAGES})),
+    f AS (SELECT job_id, CAST(0 AS BIGINT) AS k, 'queued' AS status, CAST(NULL AS VARCHAR) AS holder, CAST(0 AS DOUBLE) AS until, 0 AS attempts, CAST(0 AS DOUBLE) AS tm, '' AS event, CAST(NULL AS VARCHAR) AS worker, '' AS outcome, false AS ran_out, '' AS left_as, CAST(NULL AS VARCHAR) AS lost, CAST(0 AS DOUBLE) AS ended FROM (SELECT DISTINCT job_id FROM m)
+      UNION ALL SELECT job_id, k, CASE outcome WHEN 'claimed' THEN 'running' WHEN 'succeeded' THEN 'succeeded' WHEN 'failed' THEN 'failed' ELSE s END, CASE WHEN outcome = 'claimed' THEN w WHEN s <> 'running' AND outcome = 'refused' THEN NULL ELSE h END, CASE WHEN outcome IN ('claimed', 'kept') THEN tm + 86400 ELSE until END, attempts + CASE WHEN outcome = 'claimed' THEN 1 ELSE 0 END, tm, event, w, outcome, ran_out, s, lost, until
+        FROM (SELECT x.*, CASE WHEN event = 'claim' THEN CASE WHEN s = 'queued' THEN 'claimed' ELSE 'refused' END WHEN s <> 'running' OR h <> w THEN 'refused' WHEN event = 'heartbeat' THEN 'kept' ELSE event END AS outcome
+          FROM (SELECT m.job_id, m.k, m.tm, m.event, m.worker AS w, f.until, f.attempts, f.holder AS lost, f.status = 'running' AND m.tm > f.until AS ran_out, CASE WHEN f.status = 'running' AND m.tm > f.until THEN CASE WHEN f.attempts < 6 THEN 'queued' ELSE 'failed' END ELSE f.status END AS s, CASE WHEN f.status = 'running' AND m.tm > f.until THEN NULL ELSE f.holder END AS h FROM f JOIN m ON m.job_id = f.job_id AND m.k = f.k + 1) x))
+    SELECT job_id, tm AS "at", event, worker, outcome, attempts FROM f WHERE k > 0 UNION ALL SELECT job_id, ended, 'expiry', lost, left_as, attempts - CASE WHEN outcome = 'claimed' THEN 1 ELSE 0 END FROM f WHERE ran_out""")
+def stm01(c: Civic) -> DataFrame:
+    from agora.streaming.leases import leases
+
+    return leases(c.spark.sql(MESSAGES, events=c.events), length=86_400.0, most=6)
