@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.functions.names import common_sequence
 from agora.functions.text import motion_words, polarity, question_key
 
 #: Sizes of overlapping chunks, of packed sections, and below which either is dropped.
@@ -88,16 +89,56 @@ def merged_headings(sections: DataFrame, often: int = 5) -> DataFrame:
     return counted.groupBy("doc", "title", F.col("_group").alias("place")).agg(texts.alias("text"), F.max("last_page").alias("last_page"), F.count(F.lit(1)).alias("parts"))
 
 
+#: A title is long enough to compare beyond this, an item's plain title from this; characters of words in common
+#: that link; an item with more sections than this keeps its first ones.
+LONG_TITLE, LONG_ITEM, COMMON, OVERLINKED, KEPT = 10, 10, 15, 10, 3
+#: Characters by which titles that lie in each other are found.
+GRAM = 8
+
+
 def linked_items(sections: DataFrame, items: DataFrame) -> DataFrame:
-    """doc, place, item_id, how: each section's agenda item of the same meeting by number, else by title in title."""
-    i = items.select(F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.col("number").alias("_n"), question_key("title").alias("_t"))
-    number = F.regexp_extract("title", r"^\s*(\d+(?:\.\d+)*)", 1)
-    bare = question_key(F.regexp_replace("title", r"^\s*\d+(?:\.\d+)*[.)]?\s*", ""))
-    rows = sections.withColumn("_number", number).withColumn("_title", bare).join(i, F.col("meeting_id") == F.col("_m"))
-    held = (F.length("_t") >= 5) & (F.length("_title") >= 5) & (F.col("_t").contains(F.col("_title")) | F.col("_title").contains(F.col("_t")))
-    how = F.when((F.col("_number") != "") & (F.col("_number") == F.col("_n")), 1).when(held, 2)
-    best = rows.withColumn("_how", how).where("_how is not null").groupBy("doc", "place").agg(F.min(F.struct("_how", "item_id")).alias("b"))
-    return best.select("doc", "place", "b.item_id", F.when(F.col("b._how") == 1, "number").otherwise("title").alias("how"))
+    """doc, place, item_id, how: each section's agenda item (id, meeting_id, number, title) of the same meeting.
+
+    By the number that its title (meeting_id, doc, place, title) begins with; else by a title that lies in the other, whatever
+    the case, if both are long enough, the first item; else by the longest sequence of three words or more in common, of 15
+    characters or more. An item with more than ten sections keeps its first three. Titles that can't be linked don't meet:
+    those in each other share the shorter one's first characters, those with words in common three words in a row.
+    """
+    i = items.select(F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.rtrim(F.trim("number"), F.lit(".")).alias("_n"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("_t"))
+    s = sections.where(F.coalesce("title", F.lit("")) != "").select("meeting_id", "doc", "place", F.regexp_extract(F.trim("title"), r"^(\d+(?:\.\d+)*)", 1).alias("_number"), F.lower(F.trim("title")).alias("_title"), (F.length("title") > LONG_TITLE).alias("_long"))
+    at = ["doc", "place"]
+    by_number = s.where("_number <> ''").join(i, (F.col("meeting_id") == F.col("_m")) & (F.col("_number") == F.col("_n"))).groupBy(*at).agg(F.max("item_id").alias("item_id")).select(*at, "item_id", F.lit(1).alias("_how"), F.lit(0).alias("_size"))
+
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - GRAM + 1, F.lit(1))), lambda k: F.substr(x, k, F.lit(GRAM))))
+    head = lambda x: F.array(F.substr(x, F.lit(1), F.lit(GRAM)))
+    long_s, long_i = s.where(F.col("_long")), i.where(F.length("_t") > LONG_TITLE)
+
+    def held(of_s, of_i, inside: Column) -> DataFrame:
+        a = long_s.select("meeting_id", *at, "_title", F.explode(of_s(F.col("_title"))).alias("_g"))
+        b = long_i.select("_m", "item_id", "_t", F.explode(of_i(F.col("_t"))).alias("_h"))
+        return a.join(b, (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).where(inside).select(*at, "item_id")
+
+    within = held(head, grams, F.contains("_t", F.col("_title"))).unionByName(held(grams, head, F.contains("_title", F.col("_t"))))
+    by_title = within.groupBy(*at).agg(F.min("item_id").alias("item_id")).select(*at, "item_id", F.lit(2).alias("_how"), F.lit(0).alias("_size"))
+
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)[^\w\s]", " "), r"\s+", " "))
+    threes = lambda x: word_triples(F.split(x, " "))
+    a = long_s.select("meeting_id", *at, plain(F.col("_title")).alias("_a"))
+    b = i.select("_m", "item_id", plain(F.col("_t")).alias("_b")).where(F.length("_b") >= LONG_ITEM)
+    met = a.withColumn("_g", F.explode(threes(F.col("_a")))).join(b.withColumn("_h", F.explode(threes(F.col("_b")))), (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).select(*at, "item_id", "_a", "_b").distinct()
+    by_words = met.withColumn("_size", common_sequence("_a", "_b")).where(F.col("_size") >= COMMON).select(*at, "item_id", F.lit(3).alias("_how"), "_size")
+
+    best = by_number.unionByName(by_title).unionByName(by_words).groupBy(*at).agg(F.min(F.struct("_how", (-F.col("_size")).alias("z"), "item_id")).alias("b"))
+    linked = best.select(*at, "b.item_id", F.element_at(F.array(*map(F.lit, ("number", "title", "words"))), F.col("b._how")).alias("how"))
+    of_item = Window.partitionBy("item_id")
+    ranked = linked.withColumn("_turn", F.row_number().over(of_item.orderBy(*at))).withColumn("_n", F.count("*").over(of_item))
+    return ranked.where((F.col("_n") <= OVERLINKED) | (F.col("_turn") <= KEPT)).select(*at, "item_id", "how")
+
+
+def word_triples(words: Column) -> Column:
+    """Three words in a row, as they are, each once."""
+    starts = F.sequence(F.lit(1), F.size(words) - 2)
+    return F.when(F.size(words) >= 3, F.array_distinct(F.transform(starts, lambda k: F.array_join(F.slice(words, k, 3), " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(segments: DataFrame) -> DataFrame:

@@ -15,22 +15,34 @@ from agora.operators.documents import ratio
 from agora.operators.evidence import stripped
 
 
-def unique_slugs(rows: DataFrame, scope: str, rounds: int = 20) -> DataFrame:
-    """id, slug unique in a scope: the least id keeps its base, others get the least free suffix from 2.
+def unique_slugs(rows: DataFrame, scope: str) -> DataFrame:
+    """id, slug of rows (id, scope, base), unique in a scope: in order of ids each takes its base if it is free, else the least
+    free suffix from 2.
 
-    A base that ends in a number may be another's suffixed form; so suffixes are given out anew until none collide.
+    Only bases that are alike but for numbers at their ends can clash. Where none of such a family ends in a number, a row's
+    suffix is its rank; else the family's rows are one ordered pass, which keeps a counter for each base.
     """
-    order = Window.partitionBy(scope, "base").orderBy("id")
-    out = rows.select("id", scope, "base", F.row_number().over(order).alias("_k")).withColumn("slug", F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_k").cast("string"))))
-    for _ in range(rounds):
-        same = Window.partitionBy(scope, "slug").orderBy((F.col("slug") != F.col("base")).cast("int"), "id")
-        ranked = out.withColumn("_dup", F.row_number().over(same) - 1)
-        if ranked.where("_dup > 0").isEmpty():
-            break
-        most = F.max("_k").over(Window.partitionBy(scope, "base"))
-        moved = ranked.withColumn("_k", F.when(F.col("_dup") > 0, most + F.col("_dup")).otherwise(F.col("_k")))
-        out = moved.select("id", scope, "base", "_k", F.when(F.col("_dup") > 0, F.concat_ws("-", "base", F.col("_k").cast("string"))).otherwise(F.col("slug")).alias("slug"))
-    return out.select("id", "slug")
+    family = rows.select("id", scope, "base", F.regexp_replace("base", r"(-\d+)+$", "").alias("_root"))
+    of_family = Window.partitionBy(scope, "_root")
+    family = family.withColumn("_mixed", F.max((F.col("base") != F.col("_root")).cast("int")).over(of_family) == 1)
+    rank = F.row_number().over(Window.partitionBy(scope, "base").orderBy("id"))
+    plain = family.where(~F.col("_mixed")).select("id", "base", rank.alias("_k")).select("id", F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_k").cast("string"))).alias("slug"))
+
+    def give(group: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        slugs = []
+        ordered = group.sort_values("id", kind="stable")
+        for base in ordered["base"]:
+            slug, k = base, following.get(base, 2)
+            while slug in taken:
+                slug, k = f"{base}-{k}", k + 1
+            following[base] = k
+            taken.add(slug)
+            slugs.append(slug)
+        return pd.DataFrame({"id": ordered["id"], "slug": slugs})
+
+    return plain.unionByName(family.where("_mixed").groupBy(scope, "_root").applyInPandas(give, f"id {rows.schema['id'].dataType.simpleString()}, slug string"))
 
 
 def bullets(text: Column) -> Column:

@@ -59,11 +59,31 @@ def doc03(c: Civic) -> DataFrame:
     return docs.merged_headings(s).withColumn("text", F.md5("text"))
 
 
-@query("doc04_linked_items", None)
+#: Items of meetings with numbers and longer titles; sections that have a number, hold a title or lie in one, or share words with one.
+NUMBERED_ITEMS = "SELECT id, meeting_id, CAST(place + 1 AS STRING) || '.' || CAST(id % 3 AS STRING) || CASE WHEN id % 4 = 0 THEN '. ' ELSE '' END AS number, CASE WHEN id % 13 = 5 THEN 'Item' ELSE title || ', Phase ' || CAST(id % 10 AS STRING) END AS title FROM {agenda_items}"
+SECTIONS = """SELECT meeting_id, meeting_id AS doc, id AS place, CASE id % 7 WHEN 0 THEN CAST(place + 1 AS STRING) || '.' || CAST(id % 3 AS STRING) || ' Report' WHEN 1 THEN 'On the ' || upper(title) || ', phase ' || CAST(id % 10 AS STRING) || ' again' WHEN 2 THEN ' ' || substring(title, 3) WHEN 3 THEN 'Report: ' || title || ' - phase ' || CAST(id % 10 AS STRING) || '!'
+  WHEN 4 THEN '99.9 ' || title WHEN 5 THEN 'It' ELSE 'of ' || regexp_replace(title, ' ', ' and the ') END AS title FROM {agenda_items} UNION ALL SELECT meeting_id, meeting_id, id + 1000000 + k, title || ', Phase ' || CAST(id % 10 AS STRING) FROM (SELECT *, unnest_k AS k FROM {agenda_items} {twelve}) WHERE id % 50 = 1"""
+
+
+def sections_of(twelve: str, column: str) -> str:
+    return SECTIONS.replace("{twelve}", twelve).replace("unnest_k", column)
+
+
+PLAIN_SQL = "trim(regexp_replace(regexp_replace(trim(lower({0})), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("doc04_linked_items", rf"""
+    WITH i AS ({NUMBERED_ITEMS}), s AS ({sections_of(', range(12) r(k)', 'r.k')}), p AS (SELECT s.doc, s.place, s.title, i.id, i.number, i.title AS item, {PLAIN_SQL.format('s.title')} AS a, {PLAIN_SQL.format('i.title')} AS b FROM s JOIN i ON i.meeting_id = s.meeting_id WHERE s.title <> ''),
+    w AS (SELECT doc, place, id, b, string_split(a, ' ') AS ws FROM p WHERE length(title) > 10 AND length(b) >= 10), r1 AS (SELECT *, unnest(range(1, len(ws) + 1)) AS x FROM w), r2 AS (SELECT *, unnest(range(x + 2, len(ws) + 1)) AS y FROM r1),
+    run AS (SELECT doc, place, id, MAX(length(array_to_string(ws[x:y], ' '))) AS n FROM r2 WHERE contains(' ' || b || ' ', ' ' || array_to_string(ws[x:y], ' ') || ' ') GROUP BY ALL),
+    c AS (SELECT doc, place, 1 AS how, -MAX(id) AS k, 0 AS n FROM p WHERE regexp_extract(trim(title), '^(\d+(?:\.\d+)*)', 1) = rtrim(trim(number), '.') GROUP BY doc, place
+      UNION ALL SELECT doc, place, 2, MIN(id), 0 FROM p WHERE length(title) > 10 AND length(trim(item)) > 10 AND (contains(lower(trim(item)), lower(trim(title))) OR contains(lower(trim(title)), lower(trim(item)))) GROUP BY doc, place
+      UNION ALL SELECT doc, place, 3, id, -n FROM run WHERE n >= 15),
+    best AS (SELECT doc, place, arg_min({{{{'h': how, 'k': k}}}}, (how, n, k)) AS b FROM c GROUP BY doc, place), l AS (SELECT doc, place, ABS(b.k) AS item_id, b.h AS h, row_number() OVER (PARTITION BY ABS(b.k) ORDER BY doc, place) AS t, COUNT(*) OVER (PARTITION BY ABS(b.k)) AS m FROM best)
+    SELECT doc, place, item_id, CASE h WHEN 1 THEN 'number' WHEN 2 THEN 'title' ELSE 'words' END AS how FROM l WHERE m <= 10 OR t <= 3""")
 def doc04(c: Civic) -> DataFrame:
-    items = c.agenda_items.withColumn("number", F.concat_ws(".", (F.col("place") + 1).cast("string"), (F.col("id") % 3).cast("string")))
-    sections = c.agenda_items.select("meeting_id", F.col("meeting_id").alias("doc"), F.col("id").alias("place"), F.concat(F.when(F.col("id") % 2 == 0, F.concat((F.col("place") + 1).cast("string"), F.lit("."), (F.col("id") % 3).cast("string"), F.lit(" "))).otherwise(F.lit("")), F.col("title"), F.lit(" report")).alias("title"))
-    return docs.linked_items(sections, items)
+    sections = c.spark.sql(sections_of("LATERAL VIEW explode(sequence(0, 11)) AS k12", "k12"), agenda_items=c.agenda_items)
+    return docs.linked_items(sections, c.spark.sql(NUMBERED_ITEMS, agenda_items=c.agenda_items))
 
 
 @query("doc12_sentence_times", "SELECT id, place, sentence, ROUND(t, 6) AS t FROM (SELECT id, 0 AS place, text || '.' AS sentence, start_time AS t FROM {segments} UNION ALL SELECT id, 1, 'It ended!', start_time + (end_time - start_time) * (length(text) + 2) / (length(text) + 2 + 10) FROM {segments})")
@@ -111,9 +131,14 @@ def ent07(c: Civic) -> DataFrame:
     return ent.complete_link(pair(pairs.where("l_returnflag <> 'A'")), pair(pairs.where("l_returnflag = 'A'")), "component", 0.85)
 
 
-@query("ent09_unique_matches", "SELECT l.left_id, r.right_id FROM (SELECT title, MIN(id) AS left_id FROM {agenda_items} GROUP BY title HAVING COUNT(*) = 1) l JOIN (SELECT p_name AS title, MIN(p_partkey) AS right_id FROM {part} GROUP BY p_name HAVING COUNT(*) = 1) r ON r.title = l.title")
+#: Titles that come once, twice or not at all on a side.
+LEFT = "SELECT id, title || ' ' || CAST(id % 1900 AS STRING) AS title FROM {agenda_items}"
+RIGHT = "SELECT p_partkey AS id, p_name || ' ' || CAST(CASE WHEN p_partkey % 7 = 3 THEN p_partkey % 900 ELSE p_partkey % 1900 END AS STRING) AS title FROM {part} WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey + 1000000, p_name || ' ' || CAST(p_partkey % 1900 AS STRING) FROM {part} WHERE p_partkey % 5 = 2"
+
+
+@query("ent09_unique_matches", f"SELECT l.left_id, r.right_id FROM (SELECT title, MIN(id) AS left_id FROM ({LEFT}) GROUP BY title HAVING COUNT(*) = 1) l JOIN (SELECT title, MIN(id) AS right_id FROM ({RIGHT}) GROUP BY title HAVING COUNT(*) = 1) r ON r.title = l.title")
 def ent09(c: Civic) -> DataFrame:
-    return ent.unique_matches(c.agenda_items.select("id", "title"), c.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["title"])
+    return ent.unique_matches(c.spark.sql(LEFT, agenda_items=c.agenda_items), c.spark.sql(RIGHT, part=c.part), ["title"])
 
 
 @query("rem20_merged_matters", "SELECT canonical_root AS cluster, arg_min(id, (year, id)) AS canonical, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS merged, MIN(year) AS first_year, MAX(year) AS last_year FROM (SELECT *, id % 60 AS canonical_root FROM {matters}) GROUP BY 1")

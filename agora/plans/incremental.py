@@ -57,13 +57,19 @@ def stm04(c: Civic) -> DataFrame:
     return ops.reasons(c.meetings, tests).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("stm07_reconcile_calendar", """
-    WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 5 AS organization_id, CAST(o_orderdate AS DATE) AS event_date FROM {orders})
+#: Calendar events on and off the days of meetings, of many bodies.
+CALENDAR = "SELECT o_orderkey AS event_id, o_custkey % 997 AS organization_id, CAST(o_orderdate AS DATE) AS event_date, o_orderkey % 4 AS moved FROM {orders}"
+BODIES = "SELECT o_orderkey AS id, o_custkey % 997 AS organization_id, CAST(o_orderdate AS DATE) AS meeting_date FROM {orders} WHERE o_orderkey % 9 <> 2"
+
+
+@query("stm07_reconcile_calendar", f"""
+    WITH e AS (SELECT event_id, organization_id, event_date + CAST(CASE moved WHEN 1 THEN 14 WHEN 2 THEN 15 WHEN 3 THEN 40 ELSE 0 END AS INT) AS event_date FROM ({CALENDAR})), m AS ({BODIES})
     SELECT e.event_id, CASE WHEN COUNT(m.id) = 1 THEN MIN(m.id) END AS meeting_id, CASE WHEN COUNT(m.id) = 1 THEN 'bound' WHEN COUNT(m.id) > 1 THEN 'held' ELSE 'created' END AS status
-    FROM e LEFT JOIN {meetings} m ON m.organization_id = e.organization_id AND ABS(e.event_date - m.meeting_date) <= 14 GROUP BY e.event_id""")
+    FROM e LEFT JOIN m ON m.organization_id = e.organization_id AND ABS(e.event_date - m.meeting_date) <= 14 GROUP BY e.event_id""")
 def stm07(c: Civic) -> DataFrame:
-    events = c.orders.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 5).alias("organization_id"), F.to_date("o_orderdate").alias("event_date"))
-    return ops.reconciled(events, c.meetings, 14)
+    shift = F.when(F.col("moved") == 1, 14).when(F.col("moved") == 2, 15).when(F.col("moved") == 3, 40).otherwise(0)
+    events = c.spark.sql(CALENDAR, orders=c.orders).withColumn("event_date", F.date_add("event_date", shift))
+    return ops.reconciled(events, c.spark.sql(BODIES, orders=c.orders), 14)
 
 
 @query("stm08_compare_and_swap", """

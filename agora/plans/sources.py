@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +18,30 @@ def src01(c: Civic) -> DataFrame:
     return c.nation.join(r, F.col("n_regionkey") == F.col("k")).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("region.r_name").alias("region"))
 
 
-@query("src03_meeting_connector", "SELECT CAST(n_nationkey AS STRING) AS source_id, n_name AS title, '2024-01-02' AS date, CAST(NULL AS STRING) AS url FROM {nation}")
+#: Responses of sources, one a nation's customers: meetings with and without a date or an id.
+MEETING_ROWS = "SELECT c_nationkey AS k, c_custkey, CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE CAST(c_custkey AS STRING) END AS ident, c_name AS title, CASE WHEN c_custkey % 7 = 2 THEN NULL WHEN c_custkey % 2 = 0 THEN '2024/01/' || CAST(10 + c_custkey % 15 AS STRING) ELSE '2024-02-' || CAST(10 + c_custkey % 15 AS STRING) || 'T09:00:00' END AS day, CASE WHEN c_custkey % 3 = 0 THEN 'https://example.org/' || c_name END AS url FROM {customer}"
+
+
+@query("src03_meeting_connector", f"SELECT CASE k % 3 WHEN 0 THEN 'legistar' WHEN 1 THEN 'escribe' ELSE 'civicweb' END AS kind, ident AS source_id, title, replace(substring(day, 1, 10), '/', '-') AS date, url FROM ({MEETING_ROWS}) WHERE ident IS NOT NULL AND day IS NOT NULL")
 def src03(c: Civic) -> DataFrame:
-    c.spark.dataSource.register(con.MeetingSource)
-    names = [(r.n_nationkey, r.n_name) for r in c.nation.collect()]  # 25 nations stand for a source's responses
-    dumps = [json.dumps([{"EventId": k, "EventBodyName": n, "EventDate": "2024-01-02T00:00:00"}]) for k, n in names]
-    return c.spark.read.format("civic_meetings").option("kind", "legistar").option("dumps", json.dumps(dumps)).load()
+    rows = c.spark.sql(MEETING_ROWS, customer=c.customer)
+    found = None
+    for n, (kind, names) in enumerate(con.FIELDS.items()):
+        entry = F.struct(*[F.col(a).alias(b) for a, b in zip(("ident", "title", "day", "url"), names, strict=True)])
+        dumps = rows.where(F.col("k") % 3 == n).groupBy("k").agg(F.to_json(F.collect_list(entry)).alias("raw"))
+        one = dumps.select(F.lit(kind).alias("kind"), F.inline(con.meetings_in(F.col("raw"), kind)))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("src03_meeting_pages", f"SELECT k AS page, title, strftime(CAST(replace(substring(day, 1, 10), '/', '-') AS DATE), '%Y-%m-%d') AS date, CASE WHEN url IS NOT NULL THEN url || '.pdf' END AS url FROM ({MEETING_ROWS}) WHERE day IS NOT NULL")
+def src03_pages(c: Civic) -> DataFrame:
+    rows = c.spark.sql(MEETING_ROWS, customer=c.customer)
+    day = F.date_format(F.to_date(F.replace(F.substring("day", 1, 10), F.lit("/"), F.lit("-"))), "MMMM d, yyyy")
+    link = F.when(F.col("url").isNotNull(), F.concat(F.lit('<a href="x.doc">a</a><a class="f" href="'), "url", F.lit('.pdf">b</a>'))).otherwise(F.lit(""))
+    entry = F.concat(F.lit('<li class="row meeting-item">\n<b class="meeting-date"> '), F.coalesce(day, F.lit("soon")), F.lit('</b><span class="meeting-title x"><i>'), "title", F.lit("</i> </span>"), link, F.lit("</li>"))
+    pages = rows.groupBy("k").agg(F.concat(F.lit("<html><ul>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</ul></html>")).alias("html"))
+    return pages.select(F.col("k").alias("page"), F.inline(con.meetings_on_page(F.col("html"), "meeting-item", "meeting-date", "meeting-title"))).drop("source_id")
 
 
 @query("src04_preferred_rows", "SELECT COALESCE(d.id, m.id) AS id, COALESCE(d.number, m.number) AS number FROM (SELECT MIN(p_partkey) AS id, p_partkey % 90 AS number FROM {part} WHERE p_size < 5 GROUP BY 2) d FULL JOIN (SELECT arg_max(p_partkey, (p_retailprice, -p_partkey)) AS id, p_partkey % 90 AS number FROM {part} WHERE p_size >= 5 GROUP BY 2) m ON m.number = d.number")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes that Windows-1252 leaves undefined; where it differs from Latin-1, character by character.
 UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
@@ -75,43 +71,47 @@ def preferred(directory: DataFrame, media: DataFrame, key: str, order: list[Colu
     return first.unionByName(rest, allowMissingColumns=True).unionByName(directory.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
-class Dump(InputPartition):
-    def __init__(self, line: str):
-        self.line = line
+#: A source's names for a meeting's id, title, date and address, in its responses.
+FIELDS = {
+    "legistar": ("EventId", "EventBodyName", "EventDate", "EventInSiteURL"),
+    "escribe": ("ID", "MeetingName", "StartDate", "Url"),
+    "civicweb": ("Id", "Name", "MeetingDateTime", "Link"),
+}
 
 
-class MeetingReader(DataSourceReader):
-    """Reads one dump per partition, so that executors share them out."""
+def meetings_in(raw: Column, kind: str) -> Column:
+    """The meetings of a source's response in JSON, as structs of source_id, title, date and url; null for other text.
 
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+    A meeting without an id or a date is none.
+    """
+    ident, title, date, url = FIELDS[kind]
+    rows = F.from_json(raw, f"array<struct<`{ident}`: string, `{title}`: string, `{date}`: string, `{url}`: string>>")
+    made = F.transform(rows, lambda m: F.struct(m[ident].alias("source_id"), m[title].alias("title"), F.replace(F.substring(m[date], 1, 10), F.lit("/"), F.lit("-")).alias("date"), m[url].alias("url")))
+    return F.filter(made, lambda m: m["source_id"].isNotNull() & (F.coalesce(m["date"], F.lit("")) != ""))
 
-    def partitions(self) -> list[InputPartition]:
-        return [Dump(x) for x in json.loads(self.options["dumps"])]
 
-    def read(self, partition: Dump) -> Iterator[tuple]:
-        for meeting in parse_dump(self.options["kind"], partition.line):
-            yield meeting
+#: Characters that pages spell out; the ampersand last, since it begins the others.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def parse_dump(kind: str, raw: str) -> Iterator[tuple]:
-    """Meetings of one response of a source, in its own field names: id, title, date, url."""
-    fields = {"legistar": ("EventId", "EventBodyName", "EventDate", "EventInSiteURL"), "escribe": ("ID", "MeetingName", "StartDate", "Url"), "civicweb": ("Id", "Name", "MeetingDateTime", "Link")}[kind]
-    for m in json.loads(raw):
-        ident, title, date, url = (m.get(f) for f in fields)
-        if ident is not None and date:
-            yield str(ident), title, str(date)[:10].replace("/", "-"), url
+def meetings_on_page(html: Column, entry: str, date: str, title: str, date_format: str = "MMMM d, yyyy") -> Column:
+    """The meetings of a page that lists them, as structs of source_id (null), title, date and url (of the first PDF).
 
+    entry, date and title: classes of the elements that hold a meeting, its date and its title; an entry ends where the next
+    begins. One without a date in the format is none.
+    """
 
-class MeetingSource(DataSource):
-    """``spark.read.format("civic_meetings").option("kind", ...).option("dumps", json list of responses)``."""
+    def inner(part: Column, name: str) -> Column:
+        out = F.regexp_replace(F.regexp_extract(part, rf'(?s)<\w+[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</', 1), "<[^>]*>", " ")
+        for entity, letter in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(letter))
+        return F.trim(F.regexp_replace(out, r"\s+", " "))
 
-    @classmethod
-    def name(cls) -> str:
-        return "civic_meetings"
+    parts = F.slice(F.split(html, rf'(?=<\w+[^>]*class="[^"]*\b{entry}\b)'), 2, 1_000_000_000)
+    made = F.transform(parts, lambda p: F.struct(F.lit(None).cast("string").alias("source_id"), inner(p, title).alias("title"), F.try_to_date(inner(p, date), date_format).cast("string").alias("date"), F.regexp_extract(p, r'href="([^"]+\.pdf)"', 1).alias("url")))
+    return F.transform(F.filter(made, lambda m: m["date"].isNotNull()), lambda m: F.struct(m["source_id"].alias("source_id"), m["title"].alias("title"), m["date"].alias("date"), F.when(m["url"] != "", m["url"]).alias("url")))
 
-    def schema(self) -> str:
-        return "source_id string, title string, date string, url string"
 
-    def reader(self, schema) -> MeetingReader:
-        return MeetingReader(dict(self.options))
+def meeting_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """path, source_id, title, date, url of the meetings in a folder's files, each a response of a source; files are shared out."""
+    return text_files(spark, path).select("path", F.inline(meetings_in(F.col("text"), kind)))
