@@ -8,26 +8,21 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agora.functions.stems import english_stem, stem
 from agora.operators.joins import cosine, top_k
 
 #: Words that the index leaves out.
-STOP = "a about after all also an and any are as at be because been but by can do for from had has have he her his how if in into is it its more no not of on or our she so some such than that the their them then there these they this to was we were what when which who will with would you your".split()
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 RRF_K, MOST = 50, 30
 
 
-def stem(word: Column) -> Column:
-    """A light English stem: plural and participle endings off, doubled consonants single, final y as i.
-
-    It merges the common inflections; it is not the Snowball stemmer, from which rarer forms differ.
-    """
-    w = F.when(word.rlike("sses$|ies$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
-    w = F.when(w.rlike("[aeiouy].*(ed|ing)$") & (F.length(w) > 5), F.regexp_replace(F.regexp_replace(w, "(ed|ing)$", ""), "([b-df-hj-np-tv-z])\\1$", "$1")).otherwise(w)
-    return F.when((F.length(w) > 2) & w.rlike("[^aeiou]y$"), F.regexp_replace(w, "y$", "i")).otherwise(w)
-
-
 def tokens(text: Column) -> Column:
     """Lower-case words, in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), 1)
@@ -40,6 +35,18 @@ def postings(docs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return each.groupBy(key, stem(F.col("_word")).alias("term")).agg(F.array_sort(F.collect_list(F.col("_at") + 1)).alias("positions"))
 
 
+def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings as a table whose folders are buckets of terms, written once for all searches."""
+    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    bucketed.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = 64) -> DataFrame:
+    """The postings of some terms: of the folders only theirs are read, of those only the row groups that can have them."""
+    wanted = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()
+    return spark.read.parquet(path).where(F.col("bucket").isin([r[0] for r in wanted]) & F.col("term").isin(list(terms))).drop("bucket")
+
+
 @dataclass
 class Query:
     """A disjunction of conjunctions; each part is a phrase of one or more terms, wanted or not."""
@@ -51,17 +58,6 @@ class Query:
         return sorted({t for option in self.options for phrase, _ in option for t in phrase})
 
 
-def light_stem(word: str) -> str:
-    """``stem`` for the few words of a query."""
-    if re.search("sses$|ies$", word):
-        word = re.sub("es$", "", word)
-    elif re.search("[^s]s$", word) and len(word) > 3:
-        word = word[:-1]
-    if re.search("[aeiouy].*(ed|ing)$", word) and len(word) > 5:
-        word = re.sub(r"([b-df-hj-np-tv-z])\1$", r"\1", re.sub("(ed|ing)$", "", word))
-    return word[:-1] + "i" if len(word) > 2 and re.search("[^aeiou]y$", word) else word
-
-
 def web_query(text: str) -> Query:
     """Words are all wanted, "phrases" in order, or between alternatives, - before what isn't wanted."""
     options: list[list[tuple[list[str], bool]]] = [[]]
@@ -69,7 +65,7 @@ def web_query(text: str) -> Query:
         if word == "or" and not minus:
             options.append([])
             continue
-        terms = [light_stem(w) for w in re.findall(r"[^\W_]+", phrase or word) if w not in STOP]
+        terms = [english_stem(w) for w in re.findall(r"[^\W_]+", phrase or word) if w not in STOP]
         if terms:
             options[-1].append((terms, not minus))
     return Query([o for o in options if any(wanted for _, wanted in o)])
@@ -104,18 +100,25 @@ def matches(index: DataFrame, key: str, query: Query) -> DataFrame:
     return own.where(any_)
 
 
+#: Fixed value: the weight of a word in a text without marked parts.
+WEIGHT = 0.1
+
+
 def cover_density(positions: list[list[int]]) -> float:
-    """Sum of 1 / length over the minimal stretches that hold every term (lists of positions)."""
+    """The sum over all minimal stretches that hold every term (lists of positions): less the more other words they hold.
+
+    A stretch counts a word's weight, divided by one more than the number of its words that are no terms.
+    """
     events = sorted((p, k) for k, ps in enumerate(positions) for p in ps)
     last: dict[int, int] = {}
     total, before = 0.0, -1
-    for p, k in events:
-        last[k] = p
+    for n, (p, k) in enumerate(events):
+        last[k] = n
         if len(last) == len(positions):
-            start = min(last.values())
-            if start > before:  # a stretch within which no shorter one ends
-                total += 1.0 / (p - start + 1)
-                before = start
+            first = min(last.values())
+            if first > before:  # a stretch within which no shorter one ends
+                total += WEIGHT / (1 + p - events[first][0] - (n - first))
+                before = first
     return total
 
 

@@ -152,13 +152,18 @@ def fts01(c: Civic) -> DataFrame:
     return ops.postings(c.matters, "id", ["title", "identifier"])
 
 
-@query("fts02_web_search", None)
+@query("fts02_web_search", """
+    WITH w AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, identifier)), '[a-z0-9]+'), ' ') || ' ' AS x FROM {matters})
+    SELECT id FROM w WHERE contains(x, ' small ring ') OR contains(x, ' small rings ') OR (regexp_matches(x, ' widgets? ') AND NOT regexp_matches(x, ' econom(y|ies) '))""")
 def fts02(c: Civic) -> DataFrame:
     q = ops.web_query('"small ring" or widgets -economy')
     return ops.matches(ops.postings(c.matters, "id", ["title", "identifier"]), "id", q).select("id")
 
 
-@query("fts03_text_rank", None)
+@query("fts03_text_rank", """
+    WITH w AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', title, address)), '[a-z0-9]+') AS ws FROM {matters}), e AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    h AS (SELECT id, p, word IN ('small', 'smalls') AS first, lag(p) OVER o AS before, lag(word IN ('small', 'smalls')) OVER o AS first_before FROM e WHERE word IN ('small', 'smalls', 'promo', 'promos') WINDOW o AS (PARTITION BY id ORDER BY p))
+    SELECT id, SUM(0.1 / (p - before)) AS rank FROM h WHERE first <> first_before GROUP BY id""")
 def fts03(c: Civic) -> DataFrame:
     q = ops.web_query("small promo")
     found = ops.matches(ops.postings(c.matters, "id", ["title", "address"]), "id", q)

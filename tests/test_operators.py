@@ -76,8 +76,8 @@ def test_packed_paragraphs():
 
 
 def test_cover_density_counts_minimal_stretches():
-    assert search.cover_density([[1, 10], [2]]) == pytest.approx(1 / 2 + 1 / 9)
-    assert search.cover_density([[5]]) == 1.0 and search.cover_density([[1], []]) == 0.0
+    assert search.cover_density([[1, 10], [2]]) == pytest.approx(0.1 + 0.1 / 8)
+    assert search.cover_density([[5]]) == 0.1 and search.cover_density([[1], []]) == 0.0
 
 
 def test_web_query(spark):
