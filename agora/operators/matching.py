@@ -15,6 +15,8 @@ from agora.operators.documents import ratio
 
 #: Texts of a piece of a length band on average; two pieces are compared in one task.
 PIECE = 1024
+#: Fixed value: how alike titles must be to bear out a bylaw in common.
+ALIKE_ENOUGH = 0.55
 #: Slots that pairs of letters are counted in, to bound how alike two texts can be.
 SLOTS = 512
 
@@ -132,18 +134,29 @@ def to_percent(x: Column) -> Column:
     return F.format_number(x, 2)
 
 
+def borne_out(pairs: DataFrame) -> DataFrame:
+    """Of pairs of items (i_) and matters (m_) with bylaws, addresses, streets and titles without stages those that are about
+    one thing: the item has no bylaw, or their sets of bylaws are the same, or small and one in the other with an address or a
+    street in common, or titles that are alike. Titles are compared only where nothing else decides."""
+    a, b = F.col("i_bylaws"), F.col("m_bylaws")
+    small = (F.size(b) > 0) & (m.within(a, b) | m.within(b, a)) & (F.greatest(F.size(a), F.size(b)) <= 2)
+    meets = F.coalesce(F.arrays_overlap("i_places", "m_places"), F.lit(False)) | F.coalesce(F.arrays_overlap("i_streets", "m_streets"), F.lit(False))
+    free = (F.size(a) == 0) | (a == b)
+    doubtful = pairs.where(~free & small & ~meets & (F.col("i_stripped") != "") & (F.col("m_stripped") != ""))
+    return pairs.where(free | (small & meets)).unionByName(doubtful.where(ratio(F.col("i_stripped"), F.col("m_stripped")) >= ALIKE_ENOUGH))
+
+
 def corroborated(items: DataFrame, matters: DataFrame) -> DataFrame:
-    """item_id, matter_id, same of items and matters (id, identifier, addresses) that share a bylaw: their sets of bylaws are
-    the same, or small and one in the other with an address in common."""
+    """item_id, matter_id, same of items and matters (id, identifier, title, addresses) that share a bylaw and are ``borne_out``."""
     none = F.array().cast("array<string>")
-    laws = m.bylaws_among(m.identifiers("identifier"))
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), laws.alias(f"{p}_laws"), F.transform(F.coalesce("addresses", none), m.plain_address).alias(f"{p}_places"))
-    i, k = side(items, "item"), side(matters, "matter")
-    met = i.select("item_id", F.explode("item_laws").alias("law")).join(k.select("matter_id", F.explode("matter_laws").alias("_law")), F.col("law") == F.col("_law")).select("item_id", "matter_id").distinct()
-    pairs = met.join(i, "item_id").join(k, "matter_id")
-    a, b = F.col("item_laws"), F.col("matter_laws")
-    small = (F.greatest(F.size(a), F.size(b)) <= 2) & (m.within(a, b) | m.within(b, a))
-    return pairs.where((a == b) | (small & F.arrays_overlap("item_places", "matter_places"))).select("item_id", "matter_id", (a == b).alias("same"))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        laws, places = m.bylaws_among(m.identifiers("identifier")), F.transform(F.coalesce("addresses", none), m.plain_address)
+        return prefixed(df.select("id", laws.alias("bylaws"), places.alias("places"), m.streets_in("title").alias("streets"), F.lower(strip_stage("title")).alias("stripped")), p)
+
+    i, k = side(items, "i_"), side(matters, "m_")
+    met = i.select("i_id", F.explode("i_bylaws").alias("law")).join(k.select("m_id", F.explode("m_bylaws").alias("_law")), F.col("law") == F.col("_law")).select("i_id", "m_id").distinct()
+    return borne_out(met.join(i, "i_id").join(k, "m_id")).select(F.col("i_id").alias("item_id"), F.col("m_id").alias("matter_id"), (F.col("i_bylaws") == F.col("m_bylaws")).alias("same"))
 
 
 def by_identifier(items: DataFrame, matters: DataFrame) -> DataFrame:
@@ -157,12 +170,7 @@ def by_identifier(items: DataFrame, matters: DataFrame) -> DataFrame:
     k = prefixed(matters.withColumn("idents", F.transform(m.matter_identifiers("identifier", "title"), F.lower)).withColumn("bylaws", m.bylaws_among(m.matter_identifiers("identifier", "title"))), "m_")
     met = i.select("i_id", F.explode("i_parts").alias("part")).join(k.select("m_id", F.explode("m_idents").alias("_part")), F.col("part") == F.col("_part")).select("i_id", "m_id").distinct()
     pairs = met.join(i, "i_id").join(k, "m_id")
-    a, b = F.col("i_bylaws"), F.col("m_bylaws")
-    same, shared_place = a == b, F.arrays_overlap("i_places", "m_places")
-    small = (F.size(b) > 0) & (m.within(a, b) | m.within(b, a)) & (F.greatest(F.size(a), F.size(b)) <= 2)
-    sure = pairs.where((F.size(a) == 0) | same | (small & (F.coalesce(shared_place, F.lit(False)) | F.coalesce(F.arrays_overlap("i_streets", "m_streets"), F.lit(False)))))
-    doubtful = pairs.where((F.size(a) > 0) & ~same & small & ~F.coalesce(shared_place, F.lit(False)) & ~F.coalesce(F.arrays_overlap("i_streets", "m_streets"), F.lit(False)) & (F.col("i_stripped") != "") & (F.col("m_stripped") != ""))
-    pairs = sure.unionByName(doubtful.where(ratio(F.col("i_stripped"), F.col("m_stripped")) >= 0.55))
+    pairs = borne_out(pairs)
     of_item = Window.partitionBy("i_id")
     pairs = pairs.withColumn("same", (F.size("i_bylaws") > 0) & (F.col("i_bylaws") == F.col("m_bylaws"))).withColumn("sames", F.sum(F.col("same").cast("int")).over(of_item)).where((F.col("sames") != 1) | F.col("same"))
     pairs = pairs.withColumn("n", F.count(F.lit(1)).over(of_item)).withColumn("shares", F.size(F.array_intersect("i_parts", "m_parts"))).withColumn("meets", F.coalesce(F.arrays_overlap("i_places", "m_places"), F.lit(False)))
