@@ -197,7 +197,7 @@ FIRST_NAMES = ["Amelia", "Bertram", "Cordula", "Dietrich", "Evangeline", "Floria
 LAST_NAMES = ["Ashdowne", "Brockwell", "Cartmille", "Dunstable", "Eglinton", "Fairhurst", "Grimsditch", "Holloway", "Inskipper", "Jocelynd", "Kirkbride"]
 PICK = "element_at(array({0}), CAST({1} % {2} + 1 AS INT))"
 PEOPLED = """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 6 THEN substring({first}, 1, 1) || '.' WHEN c_custkey % 31 = 30 THEN '' ELSE {first} END || ' ' || {last} || CASE WHEN c_custkey % 17 = 16 THEN 'son' ELSE '' END AS name FROM {customer} WHERE c_custkey % 88 <= 9"""
-SPELT = """SELECT c_custkey AS row_id, CASE c_custkey % 8 WHEN 0 THEN 'Mayor ' || {first} WHEN 1 THEN substring({first}, 1, 1) WHEN 2 THEN '' WHEN 3 THEN substring({first}, 1, 1) || '.' WHEN 4 THEN substring({first}, 2) WHEN 5 THEN {first} || 'a' WHEN 6 THEN 'Xerxes' ELSE {first} END || ' ' ||
+ROLL = """SELECT c_custkey AS row_id, CASE c_custkey % 8 WHEN 0 THEN 'Mayor ' || {first} WHEN 1 THEN substring({first}, 1, 1) WHEN 2 THEN '' WHEN 3 THEN substring({first}, 1, 1) || '.' WHEN 4 THEN substring({first}, 2) WHEN 5 THEN {first} || 'a' WHEN 6 THEN 'Xerxes' ELSE {first} END || ' ' ||
   CASE c_custkey % 5 WHEN 0 THEN {last} WHEN 1 THEN upper({last}) || ' (chair)' WHEN 2 THEN substring({last}, 1, 4) || 'x' || substring({last}, 6) WHEN 3 THEN {last} || 's' ELSE 'Van' || {last} END AS name FROM {customer}"""
 
 
@@ -211,14 +211,14 @@ def picked(sql: str, spark: bool) -> str:
 
 
 @query("ent08_match_people", rf"""
-    WITH p0 AS ({picked(PEOPLED, False)}), n0 AS ({picked(SPELT, False)}), p AS (SELECT id, lower(trim(name)) AS name FROM p0), n AS (SELECT row_id, lower(trim(regexp_replace(regexp_replace(name, '^Mayor ', ''), ' \(chair\)', ''))) AS name FROM n0),
+    WITH p0 AS ({picked(PEOPLED, False)}), n0 AS ({picked(ROLL, False)}), p AS (SELECT id, lower(trim(name)) AS name FROM p0), n AS (SELECT row_id, lower(trim(regexp_replace(regexp_replace(name, '^Mayor ', ''), ' \(chair\)', ''))) AS name FROM n0),
     q AS (SELECT id, name, regexp_extract(name, '([^ ]+)$', 1) AS last, CASE WHEN contains(name, ' ') THEN regexp_extract(name, '^([^ ]+)', 1) ELSE '' END AS first FROM p), m AS (SELECT row_id, name, regexp_extract(name, '([^ ]+)$', 1) AS last, CASE WHEN contains(name, ' ') THEN regexp_extract(name, '^([^ ]+)', 1) ELSE '' END AS first FROM n),
     one AS (SELECT last, MIN(id) AS id FROM q GROUP BY last HAVING COUNT(*) = 1), same AS (SELECT m.row_id, MIN(q.id) AS id FROM m JOIN q ON q.name = m.name GROUP BY m.row_id),
     kinds AS (SELECT DISTINCT last, first, name FROM m), near AS (SELECT k.name, MIN(q.id) AS id FROM kinds k JOIN q ON (levenshtein(k.last, q.last) <= 1 OR contains(k.last, q.last) OR contains(q.last, k.last))
       AND (k.first = '' OR q.first = '' OR k.first = q.first OR CASE WHEN length(replace(k.first, '.', '')) = 1 OR length(replace(q.first, '.', '')) = 1 THEN k.first[1] = q.first[1] ELSE levenshtein(k.first, q.first) <= 1 END) GROUP BY k.name)
     SELECT m.row_id, COALESCE(s.id, o.id, near.id) AS person_id, CASE WHEN s.id IS NOT NULL THEN 'exact' WHEN o.id IS NOT NULL THEN 'surname' ELSE 'alike' END AS how FROM m LEFT JOIN same s ON s.row_id = m.row_id LEFT JOIN one o ON o.last = m.last LEFT JOIN near ON near.name = m.name WHERE COALESCE(s.id, o.id, near.id) IS NOT NULL""")
 def ent08(c: Civic) -> DataFrame:
-    people, names = (c.spark.sql(picked(x, True), customer=c.customer) for x in (PEOPLED, SPELT))
+    people, names = (c.spark.sql(picked(x, True), customer=c.customer) for x in (PEOPLED, ROLL))
     return ops.match_people(names, people)
 
 
