@@ -247,8 +247,9 @@ def manifest(rows: DataFrame) -> DataFrame:
     upper, root = rise(tops, many)
     release(tops)
     top = root.select("tree", F.array().cast(PATH).alias("path"), F.col("node").alias("root"))
-    subroots = descend(upper, top).select(F.col("row.tree").alias("tree"), "path", F.col("row.node").alias("subroot"), "root")
-    return descend(made, table(subroots, "subroots"))
+    subroots = table(descend(upper, top).select(F.col("row.tree").alias("tree"), "path", F.col("row.node").alias("subroot"), "root"), "subroots")
+    release(roots, *upper)
+    return descend(made, subroots)
 
 
 def hex_of(digest: Column | str) -> Column:
