@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.text import natural_key
+from agora.operators.joins import overlapping, point_in_window
 
 #: Words of titles and motions that say nothing about them; what recognisers hear instead of motions' words.
 TITLE_JUNK = ["report", "dated", "council", "meeting", "recommendation", "attachment"]
@@ -249,8 +250,8 @@ def source_windows(items: DataFrame, segments: DataFrame, most_chars: int = 60_0
     window, without segments, or with too much for one review.
     """
     timed = items.withColumn("_fit", F.coalesce((F.col("start_time") >= 0) & (F.col("start_time") < F.col("end_time")), F.lit(False)))
-    i = timed.where("_fit").select(F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.col("start_time").alias("_s"), F.col("end_time").alias("_e"))
-    met = segments.join(i, (F.col("meeting_id") == F.col("_m")) & (F.col("start_time") < F.col("_e")) & (F.col("end_time") > F.col("_s")))
+    i = timed.where("_fit").select("meeting_id", F.col("id").alias("item_id"), "start_time", "end_time")
+    met = overlapping(segments.select("meeting_id", "id", "start_time", "end_time", "text"), i, ["meeting_id"]).withColumnsRenamed({"b_item_id": "item_id", "b_start_time": "_s", "b_end_time": "_e"})
     text = F.coalesce("text", F.lit(""))
     cut = (F.col("start_time") < F.col("_s") - 0.01) | (F.col("end_time") > F.col("_e") + 0.01)
     aside = cut & (F.length(text) <= 350) & text.rlike(CUE) & ~text.rlike(CONTENT)
