@@ -103,33 +103,40 @@ def linked_items(sections: DataFrame, items: DataFrame) -> DataFrame:
     By the number that its title (meeting_id, doc, place, title) begins with; else by a title that lies in the other, whatever
     the case, if both are long enough, the first item; else by the longest sequence of three words or more in common, of 15
     characters or more. An item with more than ten sections keeps its first three. Titles that can't be linked don't meet:
-    those in each other share the shorter one's first characters, those with words in common three words in a row.
+    those in each other share the shorter one's first characters, those with words in common three words in a row. Equal
+    titles of a meeting meet once, on either side.
     """
     i = items.select(F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.rtrim(F.trim("number"), F.lit(".")).alias("_n"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("_t"))
     s = sections.where(F.coalesce("title", F.lit("")) != "").select("meeting_id", "doc", "place", F.regexp_extract(F.trim("title"), r"^(\d+(?:\.\d+)*)", 1).alias("_number"), F.lower(F.trim("title")).alias("_title"), (F.length("title") > LONG_TITLE).alias("_long"))
     at = ["doc", "place"]
-    by_number = s.where("_number <> ''").join(i, (F.col("meeting_id") == F.col("_m")) & (F.col("_number") == F.col("_n"))).groupBy(*at).agg(F.max("item_id").alias("item_id")).select(*at, "item_id", F.lit(1).alias("_how"), F.lit(0).alias("_size"))
+    numbers = i.groupBy("_m", "_n").agg(F.max("item_id").alias("item_id"))
+    by_number = s.where("_number <> ''").join(numbers, (F.col("meeting_id") == F.col("_m")) & (F.col("_number") == F.col("_n"))).select(*at, F.struct(F.lit(1).alias("_how"), F.lit(0).alias("z"), "item_id").alias("b"))
 
     grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - GRAM + 1, F.lit(1))), lambda k: F.substr(x, k, F.lit(GRAM))))
     head = lambda x: F.array(F.substr(x, F.lit(1), F.lit(GRAM)))
-    long_s, long_i = s.where(F.col("_long")), i.where(F.length("_t") > LONG_TITLE)
+    of = ["meeting_id", "_title"]
+    long_s = s.where(F.col("_long"))
+    titles, names = long_s.select(*of).distinct(), i.groupBy("_m", "_t").agg(F.min("item_id").alias("item_id"))
 
     def held(of_s, of_i, inside: Column) -> DataFrame:
-        a = long_s.select("meeting_id", *at, "_title", F.explode(of_s(F.col("_title"))).alias("_g"))
-        b = long_i.select("_m", "item_id", "_t", F.explode(of_i(F.col("_t"))).alias("_h"))
-        return a.join(b, (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).where(inside).select(*at, "item_id")
+        a = titles.select(*of, F.explode(of_s(F.col("_title"))).alias("_g"))
+        b = names.where(F.length("_t") > LONG_TITLE).select("_m", "item_id", "_t", F.explode(of_i(F.col("_t"))).alias("_h"))
+        return a.join(b.hint("merge"), (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).where(inside).select(*of, "item_id")
 
     within = held(head, grams, F.contains("_t", F.col("_title"))).unionByName(held(grams, head, F.contains("_title", F.col("_t"))))
-    by_title = within.groupBy(*at).agg(F.min("item_id").alias("item_id")).select(*at, "item_id", F.lit(2).alias("_how"), F.lit(0).alias("_size"))
+    by_title = within.groupBy(*of).agg(F.min("item_id").alias("item_id")).select(*of, "item_id", F.lit(2).alias("_how"), F.lit(0).alias("_size"))
 
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)[^\w\s]", " "), r"\s+", " "))
     threes = lambda x: word_triples(F.split(x, " "))
-    a = long_s.select("meeting_id", *at, plain(F.col("_title")).alias("_a"))
-    b = i.select("_m", "item_id", plain(F.col("_t")).alias("_b")).where(F.length("_b") >= LONG_ITEM)
-    met = a.withColumn("_g", F.explode(threes(F.col("_a")))).join(b.withColumn("_h", F.explode(threes(F.col("_b")))), (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).select(*at, "item_id", "_a", "_b").distinct()
-    by_words = met.withColumn("_size", common_sequence("_a", "_b")).where(F.col("_size") >= COMMON).select(*at, "item_id", F.lit(3).alias("_how"), "_size")
-
-    best = by_number.unionByName(by_title).unionByName(by_words).groupBy(*at).agg(F.min(F.struct("_how", (-F.col("_size")).alias("z"), "item_id")).alias("b"))
+    a = titles.select(*of, plain(F.col("_title")).alias("_a"))
+    b = names.select("_m", "item_id", plain(F.col("_t")).alias("_b")).where(F.length("_b") >= LONG_ITEM).groupBy("_m", "_b").agg(F.min("item_id").alias("item_id"))
+    met = a.withColumn("_g", F.explode(threes(F.col("_a")))).join(b.withColumn("_h", F.explode(threes(F.col("_b")))).hint("merge"), (F.col("meeting_id") == F.col("_m")) & (F.col("_g") == F.col("_h"))).select(*of, "item_id", "_a", "_b").distinct()
+    by_words = met.withColumn("_size", common_sequence("_a", "_b")).where(F.col("_size") >= COMMON).select(*of, "item_id", F.lit(3).alias("_how"), "_size")
+
+    told = by_title.unionByName(by_words).groupBy(*of).agg(F.min(F.struct("_how", (-F.col("_size")).alias("z"), "item_id")).alias("b"))
+    told = told.select(F.col("meeting_id").alias("_of"), F.col("_title").alias("_as"), "b")
+    by_text = long_s.join(told, (F.col("meeting_id") == F.col("_of")) & (F.col("_title") == F.col("_as"))).select(*at, "b")
+    best = by_number.unionByName(by_text).groupBy(*at).agg(F.min("b").alias("b"))
     linked = best.select(*at, "b.item_id", F.element_at(F.array(*map(F.lit, ("number", "title", "words"))), F.col("b._how")).alias("how"))
     of_item = Window.partitionBy("item_id")
     ranked = linked.withColumn("_turn", F.row_number().over(of_item.orderBy(*at))).withColumn("_n", F.count("*").over(of_item))
@@ -189,11 +196,18 @@ def links(html: Column) -> Column:
 
 
 def ratio(a: Column, b: Column, junk: bool = True) -> Column:
-    """Ratcliff-Obershelp similarity; null for a null side. ``junk``: letters that are common in a long text don't count."""
+    """Ratcliff-Obershelp similarity; null for a null side. ``junk``: letters that are common in a long text don't count.
+
+    Equal pairs of texts of a batch are compared once.
+    """
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q, junk).ratio() for p, q in zip(x, y, strict=True)])
+        made: dict[tuple[str, str], float] = {}
+        for pair in zip(x, y, strict=True):
+            if None not in pair and pair not in made:
+                made[pair] = SequenceMatcher(None, *pair, junk).ratio()
+        return pd.Series([made.get(pair) for pair in zip(x, y, strict=True)], dtype="float64")
 
     return alike(a, b)
 
