@@ -111,7 +111,8 @@ def motion_markers(motions: DataFrame, segments: DataFrame) -> DataFrame:
 
     The most of the motion's longer words, by their first five letters, in a segment around the item's window; else the
     window's last segment that speaks of a motion at all; else the best segment anywhere, half as good if it is early and
-    the item isn't. Motions to adjourn, or of an item that closes the meeting, take the latest of equals.
+    the item isn't. Motions to adjourn, or of an item that closes the meeting, take the latest of equals. Segments around a
+    window are found by time, others by text.
     """
     long_words = F.transform(F.filter(words_of(plain_words(F.col("text"))), lambda w: F.length(w) > 4), lambda w: F.substring(w, 1, 5))
     telling = F.filter(long_words, lambda w: ~w.isin(MOTION_JUNK))
@@ -123,19 +124,34 @@ def motion_markers(motions: DataFrame, segments: DataFrame) -> DataFrame:
         heard = F.replace(heard, F.lit(wrong), F.lit(right))
     s = segments.select("meeting_id", F.col("start_time").alias("at"), "id", heard.alias("_text")).withColumn("_starts", F.transform(F.filter(words_of(F.col("_text")), lambda w: F.length(w) >= 5), lambda w: F.substring(w, 1, 5)))
     ends = F.col("_text").contains("termi") | F.col("_text").contains("adjou")
-    pairs = s.join(m, F.col("meeting_id") == F.col("_m"))
     hits = F.size(F.filter("_keys", lambda k: F.array_contains("_starts", k))) + F.when(F.col("_late") & ends, 2).otherwise(0)
     score = hits / F.size("_keys")
-    local = F.col("at").between(F.greatest(F.lit(0.0), F.col("start_at") - AROUND), F.col("end_at") + AROUND)
     generic = F.lit(False)
     for word in GENERIC_MOTION:
         generic |= F.col("_text").contains(word)
     fits = (score > 0.4) | (F.col("_late") & (score > 0.2))
-    rank = F.when(local & fits, 1).when(local & generic, 2).when(fits, 3)
-    weight = F.when(rank == 1, score).when(rank == 3, score * F.when((F.col("at") < EARLY) & (F.col("start_at") >= EARLY), 0.5).otherwise(1.0)).otherwise(0.0)
-    turn = F.when((rank == 2) | F.col("_late"), -F.col("at")).otherwise(F.col("at"))
-    best = pairs.select("motion_id", "at", rank.alias("rank"), weight.alias("weight"), turn.alias("turn")).where("rank is not null").groupBy("motion_id").agg(F.min(F.struct("rank", (-F.col("weight")).alias("w"), "turn", "at")).alias("b"))
-    return best.select("motion_id", "b.at")
+    order = lambda rank, weight, turn: F.struct(rank.alias("rank"), (-weight).alias("w"), turn.alias("turn"), "at").alias("b")
+
+    windows = m.select(F.col("_m").alias("meeting_id"), F.greatest(F.lit(0.0), F.col("start_at") - AROUND).alias("start"), (F.col("end_at") + AROUND).alias("end"), "motion_id", "_keys", "_late")
+    local = point_in_window(s, windows, ["meeting_id"], at="at", closed="both").withColumnsRenamed({"w_motion_id": "motion_id", "w__keys": "_keys", "w__late": "_late"})
+    rank = F.when(fits, 1).when(generic, 2)
+    near = local.where(fits | generic).select("motion_id", order(rank, F.when(rank == 1, score).otherwise(0.0), F.when((rank == 2) | F.col("_late"), -F.col("at")).otherwise(F.col("at"))))
+
+    # Anywhere: equal texts of a meeting and motions with equal words meet once, and only if they share a word or an end.
+    texts = s.groupBy("meeting_id", "_text", (F.col("at") < EARLY).alias("_early")).agg(F.first("_starts").alias("_starts"), F.min("at").alias("_first"), F.max("at").alias("_last"))
+    m = m.withColumn("_key", F.array_join("_keys", " "))
+    kinds = m.groupBy("_m", "_key", "_late").agg(F.first("_keys").alias("_keys"))
+    same = F.col("meeting_id") == F.col("_m")
+    pair = ["meeting_id", "_text", "_early", "_key", "_late"]
+    shared = texts.select("meeting_id", "_text", "_early", F.explode(F.array_distinct("_starts")).alias("_x")).join(kinds.select("_m", "_key", "_late", F.explode(F.array_distinct("_keys")).alias("_y")), same & (F.col("_x") == F.col("_y"))).select(*pair)
+    ended = texts.where(ends).join(kinds.where("_late"), same).select(*pair)
+    met = shared.unionByName(ended).distinct().withColumnRenamed("meeting_id", "_of").withColumnsRenamed({"_text": "_said", "_early": "_soon", "_key": "_words", "_late": "_closing"})
+    found = met.join(texts, (F.col("_of") == F.col("meeting_id")) & (F.col("_said") == F.col("_text")) & (F.col("_soon") == F.col("_early"))).withColumn("_keys", F.split("_words", " ")).withColumn("_late", F.col("_closing")).where(fits)
+    found = found.withColumn("at", F.when(F.col("_late"), F.col("_last")).otherwise(F.col("_first")))
+    turn = F.when(F.col("_late"), -F.col("at")).otherwise(F.col("at"))
+    best = found.groupBy("_of", "_words", "_closing").agg(F.min(order(F.lit(3), score * F.lit(1.0), turn)).alias("whole"), F.min(order(F.lit(3), score * F.when(F.col("_early"), 0.5).otherwise(1.0), turn)).alias("halved"))
+    far = m.join(best, (F.col("_m") == F.col("_of")) & (F.col("_key") == F.col("_words")) & (F.col("_late") == F.col("_closing"))).select("motion_id", F.when(F.col("start_at") >= EARLY, F.col("halved")).otherwise(F.col("whole")).alias("b"))
+    return near.unionByName(far).groupBy("motion_id").agg(F.min("b").alias("b")).select("motion_id", "b.at")
 
 
 def confident_windows(chosen: DataFrame) -> DataFrame:

@@ -136,3 +136,11 @@ def test_windows_of_items_hold_their_segments(spark):
     assert {r.item_id: r.text for r in documents.discussion_text(items, segments).collect()} == {7: "T\n---\nx: s10\nx: s11\nx: s12", 8: "U\n---\nx: s29"}
     found = {r.item_id: (r.status, r.segments) for r in alignment.source_windows(items, segments).collect()}
     assert found == {7: ("ready", [10, 11]), 8: ("held", []), 9: ("held", [])}
+
+
+def test_motions_are_marked_without_all_pairs(spark):
+    """Four million pairs of motions and segments of one meeting; words said anywhere are looked up by text."""
+    segments = spark.range(2000).select(F.lit(1).alias("meeting_id"), "id", (F.col("id") * 12.0).alias("start_time"), F.when(F.col("id") % 500 == 7, "the harbour lease").when(F.col("id") == 40, "so moved").otherwise("nothing here").alias("text"))
+    motions = spark.range(2000).select(F.lit(1).alias("meeting_id"), "id", F.when(F.col("id") == 5, "Motion to adjourn harbour lease").otherwise("Harbour lease").alias("text"), F.when(F.col("id") == 3, 480.0).otherwise(3000.0).alias("start_at"), F.when(F.col("id") == 3, 500.0).otherwise(3010.0).alias("end_at"), F.lit(False).alias("closes"))
+    got = {r.motion_id: r.at for r in alignment.motion_markers(motions, segments).collect()}
+    assert len(got) == 2000 and got[3] == 480.0 and got[5] == 1507 * 12.0 and {v for k, v in got.items() if k not in (3, 5)} == {507 * 12.0}
