@@ -35,6 +35,42 @@ def numbered(segments: DataFrame) -> DataFrame:
     return segments.withColumn("_at", F.row_number().over(order)).withColumn("_left", F.count(F.lit(1)).over(Window.partitionBy("meeting_id")) - F.col("_at"))
 
 
+#: How many numbers in a row, and how many first characters of a word, a text and an item must share to be compared.
+RUNS, GRAMS = 4, (4, 6, 8, 12, 16, 24)
+
+
+def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """text, word for every word (of four letters and digits or more) that lies in a text; each of both comes once.
+
+    A word lies within one run of letters and digits. Runs and words that share the word's first characters meet once.
+    """
+    runs = texts.select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9]{4,})"), 1))).alias("run"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda k: F.substr("run", k, F.lit(n)))
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.array(*[F.when(F.length("run") >= n, grams(n)).otherwise(none) for n in GRAMS]))
+    size = F.length("word")
+    head = F.coalesce(*[F.when(size >= n, F.substring("word", 1, n)) for n in reversed(GRAMS)])
+    a = runs.select("run").distinct().select("run", F.explode(F.array_distinct(every)).alias("_g"))
+    known = a.join(words.select("word", head.alias("_h")), F.col("_g") == F.col("_h")).where(F.contains("run", F.col("word"))).select(F.col("run").alias("_run"), "word")
+    return runs.join(known, F.col("run") == F.col("_run")).select("text", "word").distinct()
+
+
+def nearest_said(asked: DataFrame, segments: DataFrame) -> DataFrame:
+    """item_id, score, at, d for asked texts (meeting_id, text, item_id, score, expected): when a text was said last before the
+    expected time and first after it (its first time without one), and how far from it; the times of a text are one sweep.
+    """
+    first = F.lit(float("-inf"))
+    times = segments.select("meeting_id", "text", F.col("start_time").alias("at"), F.col("start_time").cast("double").alias("_when"), F.lit(0).alias("_turn"))
+    both = times.unionByName(asked.withColumns({"_when": F.coalesce(F.col("expected").cast("double"), first), "_turn": F.lit(1)}), allowMissingColumns=True)
+    of = Window.partitionBy("meeting_id", "text")
+    up, down = of.orderBy("_when", "_turn"), of.orderBy(F.desc("_when"), F.desc("_turn"))
+    near = lambda order: F.last("at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_before": near(up), "_after": near(down), "_untimed": F.max((F.col("_turn") == 0) & F.col("at").isNull()).over(of)}).where("_turn = 1")
+    places = F.when(F.col("_untimed"), F.array(F.lit(None).cast(times.schema["at"].dataType))).otherwise(F.array_compact(F.array("_before", "_after")))
+    said = met.select("item_id", "score", "expected", F.explode(places).alias("at"))
+    return said.select("item_id", "score", "at", F.when(F.col("expected").isNull(), F.col("at")).otherwise(F.abs(F.col("at") - F.col("expected"))).alias("d"))
+
+
 def item_markers(items: DataFrame, segments: DataFrame) -> DataFrame:
     """item_id, at, score: where a transcript (meeting_id, id, start_time, text) most surely names an item.
 
@@ -42,6 +78,9 @@ def item_markers(items: DataFrame, segments: DataFrame) -> DataFrame:
     counts most, more with a word like item before it; a number of one part under 100 counts only so. Else two of the
     title's words, or its only one. Ties go to the nearest to the expected start, else to the earliest. A call to order is
     at the meeting's start; an adjournment at the earliest of the last 30 segments that mentions one.
+
+    Equal texts of a meeting, equal numbers and equal titles are compared once, and only if they share numbers in a row or a
+    word; of an item's best texts the nearest times are looked up, so that no segments are tried one by one.
     """
     digits = F.regexp_extract_all(F.coalesce("number", F.lit("")), F.lit(r"(\d+)"), 1)
     parts = F.array_join(digits, r"[\s.\-]+")
@@ -51,22 +90,43 @@ def item_markers(items: DataFrame, segments: DataFrame) -> DataFrame:
     said = F.when(F.size(digits) == 0, None).when(small, F.concat(named, F.lit(r"(?!\.\d)\b"))).otherwise(F.concat(F.lit(kinds + r"?\s*(?<!\.)\b"), parts, F.lit(r"(?!\.\d)\b")))
     title = F.lower(F.coalesce("title", F.lit("")))
     wanted = F.filter(words_of(plain_words(F.col("title"))), lambda w: (F.length(w) > 3) & ~w.isin(TITLE_JUNK))
-    i = items.select(F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.col("start_time").alias("_expected"), said.alias("_said"), named.alias("_named"), wanted.alias("_words"), title.contains("call to order").alias("_opens"), (title.contains("termination") | title.contains("adjournment")).alias("_closes"))
-    s = numbered(segments).withColumn("_low", F.lower("text"))
-    pairs = s.join(i, F.col("meeting_id") == F.col("_m"))
-    hits = F.size(F.filter("_words", lambda w: F.contains(F.col("_low"), w)))
-    spoken = F.coalesce(F.expr("regexp_like(_low, _said)"), F.lit(False))
-    score = (
-        F.when(F.col("_opens"), F.when(F.col("_at") == 1, SURE))
-        .when(F.col("_closes") & (F.col("_left") < 30) & F.col("_low").rlike("terminate|adjourn"), SURE)
-        .when(spoken, F.when(F.expr("regexp_like(_low, _named)"), NAMED).otherwise(BARE))
-        .when((hits >= 2) | ((F.size("_words") == 1) & (hits == 1)), hits / F.size("_words") * WORDS)
-    )
+    i = items.select(
+        F.col("meeting_id").alias("_m"), F.col("id").alias("item_id"), F.col("start_time").alias("expected"), said.alias("_said"), named.alias("_named"), F.array_join(F.slice(digits, 1, RUNS), " ").alias("_runs"),
+        F.array_sort(wanted).alias("_words"), title.contains("call to order").alias("_opens"), (title.contains("termination") | title.contains("adjournment")).alias("_closes"),
+    )
+    s = numbered(segments.withColumn("text", F.lower("text")))
+    same = F.col("meeting_id") == F.col("_m")
     # An adjournment's own mention comes before all else, and its earliest one; so it goes by time, not by the expected start.
-    own = F.col("_closes") & (F.col("_left") < 30) & F.col("_low").rlike("terminate|adjourn")
-    distance = F.when(own | F.col("_expected").isNull(), F.col("start_time")).otherwise(F.abs(F.col("start_time") - F.col("_expected")))
-    found = pairs.select("item_id", F.col("start_time").alias("at"), score.alias("score"), distance.alias("_d"), own.alias("_own")).where("score is not null")
-    best = found.groupBy("item_id").agg(F.min(F.struct((~F.col("_own")).alias("o"), (-F.col("score")).alias("s"), "_d", "at", "score")).alias("b"))
+    ends = s.where((F.col("_left") < 30) & F.col("text").rlike("terminate|adjourn")).groupBy("meeting_id").agg(F.min(F.struct("start_time")).alias("_end"))
+    sure = lambda at: [F.col("item_id"), F.lit(False).alias("o"), F.lit(SURE).alias("score"), F.col(at).alias("at"), F.col(at).alias("d")]
+    opened = i.where("_opens").join(s.where("_at = 1"), same).select(*sure("start_time"))
+    closed = i.where("_closes and not _opens").join(ends, same).select(*sure("_end.start_time"))
+
+    i = i.where("not _opens")
+    texts = s.where("text is not null").select("meeting_id", "text").distinct()
+    runs = F.regexp_extract_all("text", F.lit(r"(\d+)"), 1)
+    in_row = lambda n: F.transform(F.sequence(F.lit(1), F.size("_all") - n + 1), lambda k: F.array_join(F.slice("_all", k, n), " "))
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.array(*[F.when(F.size("_all") >= n, in_row(n)).otherwise(none) for n in range(1, RUNS + 1)]))
+    numbers = i.where("_said is not null").select("_m", "_said", "_named", "_runs").distinct()
+    numbered_texts = texts.withColumn("_all", runs).select("meeting_id", "text", F.explode(F.array_distinct(every)).alias("_g"))
+    spoken = numbered_texts.join(numbers, same & (F.col("_g") == F.col("_runs"))).where("regexp_like(text, _said)").select("meeting_id", "text", "_said", F.when(F.expr("regexp_like(text, _named)"), NAMED).otherwise(BARE).alias("score"))
+
+    titles = i.where(F.size("_words") > 0).select("_m", "_words").distinct()
+    each = titles.select("_m", "_words", F.explode("_words").alias("_word")).groupBy("_m", "_words", "_word").agg(F.count(F.lit(1)).alias("_copies"))
+    held = holding(texts.select("text").distinct(), each.select(F.col("_word").alias("word")).distinct()).withColumnRenamed("text", "_text")
+    hits = texts.join(held, F.col("text") == F.col("_text")).join(each, same & (F.col("word") == F.col("_word"))).groupBy("meeting_id", "text", "_words").agg(F.sum("_copies").alias("_hits"))
+    worded = hits.where((F.col("_hits") >= 2) | (F.size("_words") == 1)).select("meeting_id", "text", "_words", (F.col("_hits") / F.size("_words") * WORDS).alias("score"))
+
+    def asked(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+        top = found.withColumn("_top", F.max("score").over(Window.partitionBy("meeting_id", key))).where("score = _top").withColumnRenamed(key, "_key")
+        return rows.join(top, same & (F.col(key) == F.col("_key"))).select("meeting_id", "text", "item_id", "score", "expected")
+
+    numbers_heard = spoken.select(F.col("meeting_id").alias("_of"), F.col("_said").alias("_heard")).distinct()
+    rest = i.join(numbers_heard, (F.col("_m") == F.col("_of")) & (F.col("_said") == F.col("_heard")), "left_anti")
+    others = nearest_said(asked(i, spoken, "_said").unionByName(asked(rest, worded, "_words")), s).withColumn("o", F.lit(True))
+    found = opened.unionByName(closed).unionByName(others)
+    best = found.groupBy("item_id").agg(F.min(F.struct("o", (-F.col("score")).alias("s"), "d", "at", "score")).alias("b"))
     return best.select("item_id", "b.at", "b.score")
 
 
