@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.functions.names import common_sequence
 from agora.functions.text import motion_words, polarity, question_key
@@ -56,14 +61,33 @@ def packed_paragraphs(text: str, size: int = SECTION, least: int = LEAST_SECTION
     return [x for x in map("\n\n".join, packs) if len(x) >= least]
 
 
+#: Bytes of text that a task splits at once (a longer single text is split alone).
+SPLIT_BYTES = 1_000_000
+
+
 def exploded(docs: DataFrame, key: str, column: str, split) -> DataFrame:
-    """key, place, chunk for the list of strings that ``split`` makes of each text."""
+    """key, place, chunk for the list of strings that ``split`` makes of each text.
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t or ""))
+    A task holds the pieces of a bounded stretch of a batch, whatever the texts' lengths.
+    """
 
-    return docs.select(F.col(key), F.posexplode(cut(F.col(column))).alias("place", "chunk"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at] - sizes[at]
+                stop = max(int(np.searchsorted(ends, done + SPLIT_BYTES, side="right")), at + 1)
+                part = batch.slice(at, stop - at)
+                pieces = [split(t or "") for t in part.column(1).to_pylist()]
+                counts = [len(x) for x in pieces]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(pieces)), counts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([k for n in counts for k in range(n)], pa.int32()), pa.array([x for p in pieces for x in p], pa.string())], names=[key, "place", "chunk"])
+                at = stop
+
+    rows = docs.select(F.col(key), F.col(column))
+    return rows.mapInArrow(cut, T.StructType([rows.schema[key], T.StructField("place", T.IntegerType(), False), T.StructField("chunk", T.StringType())]))
 
 
 def markdown_sections(text: Column) -> Column:

@@ -66,6 +66,22 @@ def test_chunks_end_at_breaks():
     assert [len(x) for x in documents.chunk_text("a" * 800 + "\n" + "b" * 600)] == [800, 800]
 
 
+def test_texts_are_split_by_stretches_of_a_batch(spark):
+    """Long texts of one batch: the pieces of those split before aren't held while the last ones are split."""
+
+    def held(text: str) -> list[str]:
+        with open("/proc/self/statm") as f:
+            pages = f.read().split()[1]
+        return [text + ".", pages] if text else []
+
+    rows = spark.range(1500).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("some words\n\n"), 8000)).alias("text"))
+    found = documents.exploded(rows, "id", "text", held)
+    assert [f.name for f in found.schema] == ["id", "place", "chunk"]
+    pages = [int(r.chunk) for r in found.where("place = 1").select("chunk").collect()]
+    assert len(pages) == sum(k % 7 > 0 for k in range(1500))
+    assert (max(pages) - min(pages)) * 4096 < 60e6
+
+
 def test_packed_paragraphs():
     pack = documents.packed_paragraphs
     assert [len(x) for x in pack("a" * 9000 + "\n\n" + "b" * 200)] == [9000, 200]
