@@ -6,8 +6,8 @@ over its words. All other words make one class more, in which a word's share fol
 with N' tokens and V' words of that kind, the 1 being what is left for words never seen. So the probabilities of all words
 that there can be add up to one, and what the model knows grows with the corpus, though the network doesn't.
 
-Training is truncated backpropagation in numpy, spread over the cluster: each trainer takes about ``TOKENS`` tokens of the
-round's share of the training documents, starts from the present weights, and carries the state of each lane of documents from
+Training is truncated backpropagation in numpy, spread over the cluster: each document trains in one round, each trainer takes
+about ``TOKENS`` tokens of the round's training documents, starts from the present weights, and carries the state of each lane of documents from
 one window to the next; the trainers' weights are averaged in a tree of bounded sums. Biases start as logarithms of counts,
 so that the untrained network is the unigram model already.
 
@@ -41,11 +41,12 @@ HOT = 1 << 20
 MODELLED, CLASSES = 4096, 31
 #: Units of the network.
 UNITS = 16
-#: In each of ROUNDS rounds, one document in SHARE trains the network (counts are those of all), TOKENS tokens a trainer.
-ROUNDS, SHARE, TOKENS = 2, 32, 1 << 19
-#: A trainer's lanes, steps of a window, least number of windows (few documents are passed through again), learning rate.
-LANES, WINDOW, LEAST, RATE = 64, 32, 200, 0.05
-#: Of a trainer's documents, one in HELD judges the weights instead of changing them.
+#: Every training document trains the network in one of ROUNDS rounds, TOKENS tokens a trainer.
+ROUNDS, TOKENS = 2, 1 << 21
+#: A trainer's lanes, at least and at most, steps of a window, least number of windows (few documents are passed through
+#: again), learning rate with the fewest lanes.
+LANES, MOST_LANES, WINDOW, LEAST, RATE = 64, 256, 32, 200, 0.05
+#: Of a trainer's documents, one in HELD judges the passes over the others, and is learned from after them.
 HELD = 8
 #: Tokens that a scoring task holds at once, lanes and steps of its windows.
 BUFFER, WIDE, LONG = 1 << 22, 1024, 48
@@ -237,33 +238,45 @@ class Net:
     def train(self, texts: list[np.ndarray], memory: np.ndarray | None = None) -> np.ndarray:
         """Learns from documents (token arrays) by Adagrad; the sums of squares at the end. Changes the weights.
 
-        One document in HELD only judges: the weights after the pass that it likes best stay, be it none. A pass is repeated
-        until LEAST windows are done or the judgement is worse.
+        One document in HELD judges first: the weights after the pass that it likes best stay, be it none. A pass is repeated
+        until LEAST windows are done or the judgement is worse. Then the judges are learned from, if a pass stayed.
         """
         squares = unflatten(np.full(sum(x.size for x in self.weights.values()), 1e-6, np.float32) if memory is None else memory, self.weights)
-        judges = texts[::HELD]
-        tokens, _, begins = lanes([x for k, x in enumerate(texts) if k % HELD], LANES)
-        best, kept, done = self.score(judges).sum(), (self.flat(), squares), 0
-        while done < LEAST and len(tokens):
-            squares = {k: x.copy() for k, x in squares.items()}
-            h = np.zeros((tokens.shape[1], self.units), np.float32)
-            for lo in range(0, len(tokens), WINDOW):
-                part, new = tokens[lo : lo + WINDOW], begins[lo : lo + WINDOW]
-                live = int((part >= 0).any(0).sum())  # lanes are in order of length
-                _, h, grads = self.window(h[:live], part[:, :live], new[:, :live])
-                some, g = grads.pop("inputs")
-                squares["inputs"][some] += g * g
-                self.weights["inputs"][some] -= np.float32(RATE) * g / np.sqrt(squares["inputs"][some])
-                for k, g in grads.items():
-                    squares[k] += g * g
-                    self.weights[k] -= np.float32(RATE) * g / np.sqrt(squares[k])
-                done += 1
+        judges, others = texts[::HELD], [x for k, x in enumerate(texts) if k % HELD]
+        best, kept, done, liked = self.score(judges).sum(), (self.flat(), squares), 0, False
+        while done < LEAST and others:
+            squares, windows = self.learn(others, squares)
+            done += windows
             found = self.score(judges).sum()
             if found <= best:
                 break
-            best, kept = found, (self.flat(), squares)
+            best, kept, liked = found, (self.flat(), squares), True
         self.load(kept[0])
-        return np.concatenate([x.ravel() for x in kept[1].values()])
+        squares = self.learn(judges, kept[1])[0] if liked else kept[1]
+        return np.concatenate([x.ravel() for x in squares.values()])
+
+    def learn(self, texts: list[np.ndarray], squares: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+        """One pass over documents: the sums of squares after it, and the number of windows. Changes the weights.
+
+        Many tokens are spread over more lanes, which take longer steps, as long as LEAST windows are left.
+        """
+        size = sum(map(len, texts))
+        wide = min(MOST_LANES, max(LANES, size // (LEAST * WINDOW)))
+        rate = np.float32(RATE * np.sqrt(wide / LANES))
+        tokens, _, begins = lanes(texts, wide)
+        squares = {k: x.copy() for k, x in squares.items()}
+        h = np.zeros((tokens.shape[1], self.units), np.float32)
+        for lo in range(0, len(tokens), WINDOW):
+            part, new = tokens[lo : lo + WINDOW], begins[lo : lo + WINDOW]
+            live = int((part >= 0).any(0).sum())  # lanes are in order of length
+            _, h, grads = self.window(h[:live], part[:, :live], new[:, :live])
+            some, g = grads.pop("inputs")
+            squares["inputs"][some] += g * g
+            self.weights["inputs"][some] -= rate * g / np.sqrt(squares["inputs"][some])
+            for k, g in grads.items():
+                squares[k] += g * g
+                self.weights[k] -= rate * g / np.sqrt(squares[k])
+        return squares, -(-len(tokens) // WINDOW)
 
     # --- scoring
 
@@ -411,7 +424,7 @@ def summed(models: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Counts of all training rows of docs (doc_id, text), and the network trained on a share of them that grows with them."""
+    """Counts of all training rows of docs (doc_id, text), and the network trained on all of them."""
     train = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(learns(docs["doc_id"]))
     counts = table(word_counts(train), "words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -429,10 +442,10 @@ def fit(docs: DataFrame) -> Model:
     if not chosen:
         return model
     end, memory = hot.index(b""), None
-    trainers = max(1, -(-sums["n"] // (SHARE * TOKENS)))
+    trainers = max(1, -(-sums["n"] // (ROUNDS * TOKENS)))
     known = hot[:chosen]
     for turn in range(ROUNDS):
-        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == turn).select("text").repartition(trainers)
+        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text").repartition(trainers)
         models = table(part.mapInArrow(trainer(net, known, end, memory), "weight double, sums binary"), "models")
         total = summed(models)
         row = total.first()

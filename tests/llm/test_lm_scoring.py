@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -178,3 +180,38 @@ def test_sums_of_models(spark):
 def test_learning_rule(spark):
     ids = spark.range(200).select(lm.learns(F.col("id")).alias("a"), lm.held_out(F.col("id")).alias("b"), "id").collect()
     assert all(r.a == (crc(r.id) != 2) and r.b == (crc(r.id) == 2) for r in ids)
+
+
+def test_every_training_document_trains_the_network(spark, monkeypatch, tmp_path):
+    """The trainers' documents of all rounds together are the training documents, each once, the judges among them."""
+    seen = str(tmp_path)
+    learn = lm.Net.learn
+
+    def noted(net, texts, squares):
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(str(len(x)) for x in texts))
+        return learn(net, texts, squares)
+
+    rows = [(k, "so it goes " * k) for k in range(1, 300)]
+    texts = [np.full(3 * k + 1, 1, np.int32) for k, _ in rows]
+    monkeypatch.setattr(lm.Net, "learn", noted)
+    net = lm.Net(np.array([50.0, 40.0, 30.0]), 10.0)
+    net.train(texts)
+    read = [x for name in os.listdir(seen) for x in open(f"{seen}/{name}").read().split("\n")]
+    assert {int(x) for x in read} == {len(x) for x in texts}
+
+    def trainer(net, known, end, memory):
+        def run(batches):
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    with open(f"{seen}/taken-{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(len(t.split()) // 3))
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm, "trainer", trainer)
+    model = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    taken = sorted(int(open(f"{seen}/{x}").read()) for x in os.listdir(seen) if x.startswith("taken-"))
+    assert taken == [k for k, _ in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    model.counts.count()
