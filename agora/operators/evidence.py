@@ -195,28 +195,31 @@ def canonical_plan(blocks: DataFrame, existing: DataFrame, meetings: DataFrame,
     is not one to one is held, on both sides. While a meeting has motions that belong to no block, no new one is made.
     Statuses: source_date_not_bound, source_voting_body_not_bound, original_formal_occurrence_not_unique,
     ambiguous_legacy_or_source_body, unmapped_legacy_records, kept, new.
+
+    All sides grow with the minutes, and digests take far more room than Spark expects of them: every join is sort-merged.
     """
-    words = lambda c: motion_words(c)
+    words = motion_words
+    by_sort = lambda df: df.hint("merge")
     b = blocks.select("meeting_id", "ord", "unique", "own", words("text").alias("words"), source_key(F.col("meeting_id"), F.col("sha"), F.col("at"), F.col("ord")).alias("key"))
-    b = b.join(b.groupBy("meeting_id", "words").agg(F.count("*").alias("_bodies")), ["meeting_id", "words"])
+    b = b.withColumn("_bodies", F.count("*").over(Window.partitionBy("meeting_id", "words")))
     e = existing.select(F.col("id").alias("motion_id"), "meeting_id", words("text").alias("e_words"), F.col("key").alias("e_key"), F.coalesce("previous", F.array().cast("array<string>")).alias("previous"))
     current = b.select("meeting_id", F.col("words").alias("c_words"), F.col("key").alias("c_key"), (F.col("own") == 1).alias("c_own"))
-    bound = e.join(current, (e["meeting_id"] == current["meeting_id"]) & (F.col("e_key") == F.col("c_key")) & (F.col("e_words") == F.col("c_words")) & F.col("c_own"))
+    bound = e.join(by_sort(current), (e["meeting_id"] == current["meeting_id"]) & (F.col("e_key") == F.col("c_key")) & (F.col("e_words") == F.col("c_words")) & F.col("c_own"))
     bound = bound.select("motion_id", F.col("c_key").alias("bound_to"))
-    e = e.join(bound, "motion_id", "left")
+    e = e.join(by_sort(bound), "motion_id", "left")
     by_key = e.select("*", F.explode(F.array_distinct(F.filter(F.concat(F.array("e_key"), "previous"), lambda x: x.isNotNull()))).alias("_k"))
     slim = ["motion_id", "e_words", "e_key", "previous", "bound_to"]
-    keyed = b.join(by_key.drop("meeting_id"), F.col("key") == F.col("_k")).select("meeting_id", "ord", "key", "words", "_bodies", *slim)
+    keyed = b.join(by_sort(by_key.drop("meeting_id")), F.col("key") == F.col("_k")).select("meeting_id", "ord", "key", "words", "_bodies", *slim)
     with_key = keyed.select("key").distinct()
-    alike = b.join(with_key, "key", "left_anti").join(e.select(F.col("meeting_id").alias("_m"), *slim), (F.col("meeting_id") == F.col("_m")) & (F.col("words") == F.col("e_words"))).select("meeting_id", "ord", "key", "words", "_bodies", *slim)
+    alike = b.join(by_sort(with_key), "key", "left_anti").join(by_sort(e.select(F.col("meeting_id").alias("_m"), *slim)), (F.col("meeting_id") == F.col("_m")) & (F.col("words") == F.col("e_words"))).select("meeting_id", "ord", "key", "words", "_bodies", *slim)
     fits = F.coalesce(F.col("bound_to") == F.col("key"), F.lit(False)) | ((F.col("_bodies") == 1) & (F.col("e_words") == F.col("words")))
     choices = keyed.unionByName(alike).where(fits).groupBy("meeting_id", "ord", "key").agg(F.count("*").alias("n"), F.min(F.struct(*slim)).alias("old"))
-    rows = b.join(choices.drop("meeting_id", "ord"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = b.join(by_sort(choices.drop("meeting_id", "ord")), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     taken = rows.where("n = 1").groupBy(F.col("old.motion_id").alias("motion_id")).agg(F.count("*").alias("_takers"))
-    state = e.join(taken, "motion_id", "left").groupBy("meeting_id").agg(F.sum(F.col("_takers").isNull().cast("int")).alias("_left"), F.min(F.col("bound_to").isNotNull()).alias("_all_bound"))
-    rows = rows.join(state, "meeting_id", "left").join(taken.withColumnRenamed("motion_id", "_taken"), (F.col("n") == 1) & (F.col("old.motion_id") == F.col("_taken")), "left")
+    state = e.join(by_sort(taken), "motion_id", "left").groupBy("meeting_id").agg(F.sum(F.col("_takers").isNull().cast("int")).alias("_left"), F.min(F.col("bound_to").isNotNull()).alias("_all_bound"))
+    rows = rows.join(by_sort(state), "meeting_id", "left").join(by_sort(taken.withColumnRenamed("motion_id", "_taken")), (F.col("n") == 1) & (F.col("old.motion_id") == F.col("_taken")), "left")
     m = meetings.select(F.col("id").alias("meeting_id"), "day", "body", "source_day", "source_body")
-    rows = rows.join(m, "meeting_id", "left")
+    rows = rows.join(by_sort(m), "meeting_id", "left")
     unresolved = F.coalesce("_left", F.lit(0)) > 0
     fresh = (F.col("n") == 0) & ~unresolved & F.coalesce("_all_bound", F.lit(True))
     is_bound = (F.col("n") == 1) & F.coalesce(F.col("old.bound_to") == F.col("key"), F.lit(False))

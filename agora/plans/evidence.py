@@ -145,7 +145,7 @@ def rem16(c: Civic) -> DataFrame:
     k = b.select("id", "meeting_id", "text", ops.source_key(F.col("meeting_id"), F.col("sha"), F.col("spot"), F.col("ord")).alias("key"))
     known = c.spark.sql(KNOWN.replace("FROM k", "FROM {k}"), k=k).select("id", "meeting_id", "text", "key", F.when(F.col("past").isNotNull(), F.array("past")).alias("previous"))
     again = b.groupBy(F.col("meeting_id").alias("_m"), F.lower("text").alias("_t")).agg(F.count("*").alias("_n"))
-    blocks = b.join(again, (F.col("meeting_id") == F.col("_m")) & (F.lower("text") == F.col("_t"))).select("meeting_id", "sha", F.col("spot").alias("at"), "ord", "text", (F.col("_n") == 1).alias("unique"), F.col("own").cast("int").alias("own"))
+    blocks = b.join(again.hint("merge"), (F.col("meeting_id") == F.col("_m")) & (F.lower("text") == F.col("_t"))).select("meeting_id", "sha", F.col("spot").alias("at"), "ord", "text", (F.col("_n") == 1).alias("unique"), F.col("own").cast("int").alias("own"))
     meetings = c.spark.sql(DATED, motions=c.motions).withColumn("source_day", F.expr("date_add(day, CAST(greatest(shift - 20, -1) AS INT))"))
     return ops.canonical_plan(blocks, known, meetings).withColumn("previous_keys", F.array_join("previous_keys", "|"))
 
