@@ -247,16 +247,28 @@ def motion_sources(motions: DataFrame, blocks: DataFrame, margin: float = 0.06)
     has none, its quote is tried, if both have the same amounts and turning words and the quote has all other words of it.
     """
     b = blocks.select(F.col("doc").alias("_d"), "place", motion_words("text").alias("_words")).where("_words <> ''")
-
-    def matched(wanted: DataFrame) -> DataFrame:
-        same = wanted.join(b, (F.col("doc") == F.col("_d")) & (F.col("target") == F.col("_words"))).groupBy("doc", "id", "target").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).where("n = 1")
-        total = F.length("target") + F.length("_words")
-        others = same.select("doc", "id", "target").join(b, (F.col("doc") == F.col("_d")) & (F.col("target") != F.col("_words")) & (2 * F.least(F.length("target"), F.length("_words")) > (1 - margin) * total))
-        rivals = others.where(ratio(F.col("target"), F.col("_words"), junk=False) > 1 - margin).select("doc", "id").distinct()
-        return same.join(rivals, ["doc", "id"], "left_anti").select("doc", "id", "place")
-
-    own = matched(motions.select("doc", "id", motion_words("text").alias("target"))).withColumn("how", F.lit("exact_motion_text"))
     told = F.array_except(F.split(motion_words("text"), " "), F.array(*[F.lit(w) for w in SMALL_WORDS], F.lit("")))
     backed = (polarity("text") == polarity("quote")) & (F.size(told) > 0) & (F.size(F.array_except(told, F.split(motion_words("quote"), " "))) == 0)
-    quoted = motions.join(own, ["doc", "id"], "left_anti").where(F.col("quote").isNotNull() & backed).select("doc", "id", motion_words("quote").alias("target"))
-    return own.unionByName(matched(quoted).withColumn("how", F.lit("verbatim_quote_exact_identity")))
+    own = motions.select("doc", "id", motion_words("text").alias("target"), F.lit(1).alias("arm"))
+    quoted = motions.where(F.col("quote").isNotNull() & backed).select("doc", "id", motion_words("quote").alias("target"), F.lit(2).alias("arm"))
+    wanted = own.unionByName(quoted).where("target <> ''")
+    same = wanted.join(b.hint("merge"), (F.col("doc") == F.col("_d")) & (F.col("target") == F.col("_words"))).groupBy("doc", "id", "arm", "target").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    near = rivals(same.select("doc", "target").distinct(), b.select("_d", "_words").distinct(), margin)
+    alone = same.join(near.hint("merge"), ["doc", "target"], "left_anti").withColumn("first", F.min("arm").over(Window.partitionBy("doc", "id"))).where("arm = first")
+    return alone.select("doc", "id", "place", F.when(F.col("arm") == 1, "exact_motion_text").otherwise("verbatim_quote_exact_identity").alias("how"))
+
+
+def rivals(targets: DataFrame, blocks: DataFrame, margin: float) -> DataFrame:
+    """The (doc, target) that another text of their document (_d, _words) is like, with a ``ratio`` of more than 1 - margin.
+
+    The blocks of a ratio are a common subsequence, so that no more edits than what it lacks of 1, times both lengths, lie between
+    the texts: most pairs have more, which costs far less to find than the ratio. One text within the other is one block.
+    """
+    total = F.length("target") + F.length("_words")
+    met = targets.join(blocks.hint("merge"), (F.col("doc") == F.col("_d")) & (F.col("target") != F.col("_words")) & (2 * F.least(F.length("target"), F.length("_words")) > (1 - margin) * total))
+    most = F.floor(margin * total).cast("int") + 1
+    edits = F.when(F.contains("target", F.col("_words")) | F.contains("_words", F.col("target")), -2).otherwise(F.expr("levenshtein(target, _words, most)"))
+    close = met.withColumn("most", most).select("doc", "target", "_words", edits.alias("edits"))
+    sure = close.where("edits = -2").select("doc", "target")
+    like = close.where("edits >= 0").where(ratio(F.col("target"), F.col("_words"), junk=False) > 1 - margin).select("doc", "target")
+    return sure.unionByName(like)
