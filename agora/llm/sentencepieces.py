@@ -75,7 +75,9 @@ class Pieces(Spellings):
 
     def clear(self, memo: Memo) -> None:
         # Of each part the ids of its best segmentations, best first, and what each loses against the best.
-        self.ways: list[bytes] = []
+        # They lie one after the other in ``pool``: a list of small objects would take several times the room.
+        self.parts_known, self.pool, self.used = 0, np.zeros(1 << 16, "<u4"), 0
+        self.way_at, self.way_size = np.zeros(memo.room // 2 * self.n, np.int64), np.zeros(memo.room // 2 * self.n, np.int32)
         self.score = np.zeros(memo.room // 2)
         self.losses = np.full((memo.room // 2, self.n), np.inf)
 
@@ -152,36 +154,52 @@ class Pieces(Spellings):
         cp, edges, first = self.parts(texts)
 
         def learn(starts: np.ndarray, ends: np.ndarray) -> None:
-            text = cp.tobytes().decode("utf-32-le", "surrogatepass")
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            text, ways = cp.tobytes().decode("utf-32-le", "surrogatepass"), []
+            for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True), self.parts_known):
                 found = self.search(text[a:b])
-                k = len(self.ways) // self.n
                 self.score[k] = found[0][0]
                 self.losses[k, : len(found)] = [found[0][0] - s for s, _ in found]
-                self.ways += [x for _, x in found] + [b""] * (self.n - len(found))
+                ways += [x for _, x in found] + [b""] * (self.n - len(found))
+            self.keep(ways)
 
         return self.memo.find(cp, edges[:-1], edges[1:], learn), first
 
+    def keep(self, ways: list[bytes]) -> None:
+        size, ids = np.array([len(x) // 4 for x in ways], np.int64), np.frombuffer(b"".join(ways), "<u4")
+        new = slice(self.parts_known * self.n, self.parts_known * self.n + len(ways))
+        self.way_at[new], self.way_size[new] = self.used + np.cumsum(size) - size, size
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(ids), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used, self.parts_known = self.used + len(ids), self.parts_known + len(ways) // self.n
+
+    def way(self, k: int) -> bytes:
+        return self.pool[self.way_at[k] : self.way_at[k] + self.way_size[k]].tobytes()
+
     def segment(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
         """The N best of each text: score and ids, as little-endian unsigned 32-bit numbers."""
         entry, first = self.find(texts)
         score, loss = self.score[entry], self.losses[entry, min(1, self.n - 1)]
+        size = self.way_size[entry * self.n].astype(np.int64)
+        best = self.pool[spread(self.way_at[entry * self.n], size)]
+        edges = np.concatenate([[0], np.cumsum(size)])
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            ids = [self.ways[k * self.n] for k in entry[a:b].tolist()]
+            at, plain = int(edges[a]), best[edges[a] : edges[b]].tobytes()
             total = float(score[a:b].sum())
             own = loss[a:b]
             few = min(self.n - 1, b - a)
             open_ = np.argsort(own, kind="stable")[:few] if b - a <= 4 * self.n else few_least(own, few)
             open_ = [k for k in sorted(open_.tolist()) if own[k] < np.inf]
-            ways = [[(lost, self.ways[int(entry[a + k]) * self.n + c]) for c, lost in enumerate(self.losses[entry[a + k]].tolist()) if lost < np.inf] for k in open_]
+            ways = [[(lost, self.way(int(entry[a + k]) * self.n + c)) for c, lost in enumerate(self.losses[entry[a + k]].tolist()) if lost < np.inf] for k in open_]
             picks = heapq.nsmallest(self.n, product(*(range(len(w)) for w in ways)), key=lambda pick: (sum(w[c][0] for w, c in zip(ways, pick, strict=True)), pick))
             out = []
             for pick in picks:
-                lost = 0.0
+                lost, done, ids = 0.0, 0, []
                 for k, w, c in zip(open_, ways, pick, strict=True):
-                    ids[k] = w[c][1]
+                    ids += [plain[done : 4 * (int(edges[a + k]) - at)], w[c][1]]
+                    done = 4 * (int(edges[a + k + 1]) - at)
                     lost += w[c][0]
-                out.append((total - lost, b"".join(ids)))
+                out.append((total - lost, b"".join([*ids, plain[done:]])))
             yield out
 
 
