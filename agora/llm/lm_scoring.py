@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ LANES, MOST_LANES, WINDOW, LEAST, RATE = 64, 256, 32, 200, 0.05
 HELD = 8
 #: Tokens that a scoring task holds at once, lanes and steps of its windows.
 BUFFER, WIDE, LONG = 1 << 22, 1024, 48
+#: Tokens whose probabilities are worked on at once.
+PIECE = 1 << 13
 #: Models that are added up in one task.
 ADDENDS = 32
 LOWER = np.arange(256, dtype=np.uint8)
@@ -147,93 +150,136 @@ class Net:
     def load(self, flat: np.ndarray) -> None:
         self.weights = unflatten(flat, self.weights)
 
-    # --- forward
-
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after the input x, and the gates: keep (z), reset (r), new (n), recurrent part of new (q)."""
-        u = self.units
-        g = h @ self.weights["gates"]
-        zr, q = g[:, : 2 * u] + x[:, : 2 * u], g[:, 2 * u :]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r = zr[:, :u], zr[:, u:]
-        n = r * q
-        n += x[:, 2 * u :]
-        np.tanh(n, out=n)
-        after = h - n
-        after *= z
-        after += n
-        return after, z, r, n, q
+    # --- forward: a column for each lane, so that the gates lie in one piece each
+
+    def steps(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the state h (units x lanes) on over a window (steps x lanes; -1: nothing there).
+
+        The states before each step and after the last (steps + 1, units, lanes); of each step the gates keep (z), reset (r)
+        and the recurrent part of new (q), one below the other (3 units); and new (n).
+        """
+        u, kind = self.units, self.weights["gates"].dtype
+        inputs, gates = self.weights["inputs"], self.weights["gates"].T.copy()
+        gates[: 2 * u] *= -1  # exp(-x) is what the gates z and r take
+        safe, fresh = np.maximum(tokens, 0), begins.any(1)
+        shape = (u, tokens.shape[1])
+        states, news = np.empty((len(tokens) + 1, *shape), kind), np.empty((len(tokens), *shape), kind)
+        zrqs = np.empty((len(tokens), 3 * u, shape[1]), kind)
+        states[0] = h
+        zs, rs, qs, zrs = zrqs[:, :u], zrqs[:, u : 2 * u], zrqs[:, 2 * u :], zrqs[:, : 2 * u]
+        for s, after, zrq, zr, z, r, q, n, at, new, some in zip(states[:-1], states[1:], zrqs, zrs, zs, rs, qs, news, safe, begins, fresh.tolist(), strict=True):
+            if some:
+                s[:, new] = 0
+            x = inputs.take(at, 0).T
+            np.matmul(gates, s, out=zrq)
+            np.subtract(zr, x[: 2 * u], out=zr)
+            np.exp(zr, out=zr)
+            np.add(zr, 1, out=zr)
+            np.reciprocal(zr, out=zr)
+            np.multiply(r, q, out=n)
+            np.add(n, x[2 * u :], out=n)
+            np.tanh(n, out=n)
+            np.subtract(s, n, out=after)
+            np.multiply(after, z, out=after)
+            np.add(after, n, out=after)
+        return states, zrqs, news
 
     def log_probabilities(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log P of each token after its state: of its class, and of the word in it (all other words: of their class alone).
+        """log P of each token after its state (a row): of its class, and of the word in it (all other words: of their class alone).
 
         With ``grads``, adds the gradients of the mean negative log P to it and returns those by the states, too.
         """
-        w, of = self.weights, self.class_of[tokens]
-        every = np.arange(len(tokens))
-        out, share = softmax(states @ w["classes"] + w["class_bias"], every, of, grads is not None)
-        back = None
-        if share is not None:
-            share[every, of] -= 1
-            share /= len(tokens)
-            back = share @ w["classes"].T
-            grads["classes"] += states.T @ share
-            grads["class_bias"] += share.sum(0)
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        ends = np.searchsorted(of[order], np.arange(len(self.edges)))
-        order = order[: ends[-1]]
-        inner, inside = states[order], tokens[order]
-        for k in range(len(self.edges) - 1):
-            rows, (a, b) = slice(ends[k], ends[k + 1]), self.edges[k : k + 2]
-            if rows.start == rows.stop or b == a + 1:
+        order = in_order(tokens)
+        out, back = self.sorted_logs(taken(states.T, order), tokens[order], grads)
+        place = np.argsort(order)
+        return out[place], None if back is None else back[place]
+
+    def sorted_logs(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The same for rising tokens, so that those of a class follow each other, and states that are columns, with a one below each."""
+        w, of, n, u = self.weights, self.class_of[tokens], len(tokens), self.units
+        classes, words = np.vstack([w["classes"], w["class_bias"]]).T, np.hstack([w["words"], w["word_bias"][:, None]])
+        every, out, back = np.arange(min(n, PIECE)), np.empty(n, states.dtype), None
+        if grads is not None:
+            back, mean = np.empty((n, u), states.dtype), (states / np.asarray(n, states.dtype)).T
+            by_class, by_word = np.zeros_like(classes), np.zeros_like(words)
+        for lo in range(0, n, PIECE):
+            at = slice(lo, min(n, lo + PIECE))
+            k, places = of[at], every[: at.stop - lo]
+            out[at], share = softmax((classes @ states[:, at]).T, places, k, grads is not None)
+            if share is not None:
+                less_one(share, places, k)
+                np.matmul(share, w["classes"].T, out=back[at])
+                by_class += share.T @ mean[at]
+        ends = np.searchsorted(of, np.arange(len(self.edges))).tolist()
+        for a, b, begin, end in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), ends[:-1], ends[1:], strict=True):
+            if b == a + 1:
                 continue
-            s, t = inner[rows], inside[rows] - a
-            logs, d = softmax(s @ w["words"][a:b].T + w["word_bias"][a:b], every[: len(s)], t, grads is not None)
-            out[order[rows]] += logs
-            if d is not None:
-                d[every[: len(s)], t] -= 1
-                d /= len(tokens)
-                back[order[rows]] += d @ w["words"][a:b]
-                grads["words"][a:b] += d.T @ s
-                grads["word_bias"][a:b] += d.sum(0)
+            for lo in range(begin, end, PIECE):
+                at = slice(lo, min(end, lo + PIECE))
+                t, places = tokens[at] - a, every[: at.stop - lo]
+                logs, share = softmax((words[a:b] @ states[:, at]).T, places, t, grads is not None)
+                out[at] += logs
+                if share is not None:
+                    less_one(share, places, t)
+                    back[at] += share @ w["words"][a:b]
+                    by_word[a:b] += share.T @ mean[at]
+        if grads is None:
+            return out, None
+        back /= n
+        grads["classes"] += by_class[:, :u].T
+        grads["class_bias"] += by_class[:, u]
+        grads["words"] += by_word[:, :u]
+        grads["word_bias"] += by_word[:, u]
         return out, back
 
     # --- truncated backpropagation
 
     def window(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-        """Mean negative log P of a window (steps x lanes; -1: nothing there), the state after it, the gradients within it.
+        """Mean negative log P of a window (steps x lanes; -1: nothing there), the state after it (lanes x units), the gradients within it.
 
         Those of the inputs are the tokens that occur, and a row for each.
         """
         w, u = self.weights, self.units
-        steps, lanes = tokens.shape
-        here, safe = tokens >= 0, np.maximum(tokens, 0)
-        states, past = np.zeros((steps, lanes, u), np.float32), []
-        for t in range(steps):
-            states[t] = np.where(begins[t][:, None], np.float32(0), h)
-            h, *gates = self.step(states[t], w["inputs"][safe[t]])
-            past.append(gates)
+        states, zrqs, news = self.steps(h.T, tokens, begins)
+        flat = tokens.ravel()
+        order = in_order(flat)
+        order = order[int((flat < 0).sum()) :]
+        found = flat[order]
+        before = by_unit(states[:-1])
         grads = {k: np.zeros_like(x) for k, x in w.items() if k != "inputs"}
-        d_states = np.zeros_like(states)
-        logs, d_states[here] = self.log_probabilities(states[here], tokens[here], grads)
-        dh = np.zeros((lanes, u), np.float32)
-        d_inputs = np.zeros((steps, lanes, 3 * u), np.float32)
-        for t in range(steps - 1, -1, -1):
-            (z, r, n, q), s = past[t], states[t]
-            dz, da = dh * (s - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-            dr, dq = da * q * r * (1 - r), da * r
-            d_inputs[t] = np.concatenate([dz, dr, da], 1)
-            dg = np.concatenate([dz, dr, dq], 1)
-            grads["gates"] += s.T @ dg
-            dh = dh * z + dg @ w["gates"].T + d_states[t]
-            dh[begins[t]] = 0
-        flat, order = safe.ravel(), np.argsort(safe.ravel(), kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["inputs"] = flat[order][first], np.add.reduceat(d_inputs.reshape(-1, 3 * u)[order], first)
-        return -float(logs.mean()), h, grads
+        logs, back = self.sorted_logs(taken(before, order), found, grads)
+        d_states = np.zeros((len(flat), u), before.dtype)
+        d_states[order] = back
+        d_states = d_states.reshape(*tokens.shape, u).transpose(0, 2, 1)
+        # what of the state's gradient goes to the gates, for all steps at once
+        z, r, q = zrqs[:, :u], zrqs[:, u : 2 * u], zrqs[:, 2 * u :]
+        to_new = 1 - z
+        to_keep = states[:-1] - news
+        to_keep *= z
+        to_keep *= to_new
+        news *= news
+        to_new *= np.subtract(1, news, out=news)
+        to_reset = 1 - r
+        to_reset *= r
+        to_reset *= q
+        fresh, dh = begins.any(1), np.zeros_like(states[0])
+        dg, da = np.empty_like(zrqs), news
+        each = (dg, dg[:, :u], dg[:, u : 2 * u], dg[:, 2 * u :], da, to_keep, to_new, to_reset, z, r, d_states, begins)
+        for some, g, dz, dr, dq, a, keep, new, reset, zt, rt, d, start in zip(fresh[::-1].tolist(), *(x[::-1] for x in each), strict=True):
+            np.multiply(dh, keep, out=dz)
+            np.multiply(dh, new, out=a)
+            np.multiply(a, reset, out=dr)
+            np.multiply(a, rt, out=dq)
+            np.multiply(dh, zt, out=dh)
+            np.add(dh, w["gates"] @ g, out=dh)
+            np.add(dh, d, out=dh)
+            if some:
+                dh[:, start] = 0
+        grads["gates"] += np.matmul(states[:-1], dg.transpose(0, 2, 1)).sum(0)
+        dg[:, 2 * u :] = da
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        grads["inputs"] = found[first], np.add.reduceat(by_unit(dg).take(order, 1), first, 1).T
+        return -float(logs.mean()), states[-1].T, grads
 
     def train(self, texts: list[np.ndarray], memory: np.ndarray | None = None) -> np.ndarray:
         """Learns from documents (token arrays) by Adagrad; the sums of squares at the end. Changes the weights.
@@ -283,31 +329,54 @@ class Net:
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The sum of log P (natural) of each document's tokens, all other words as one."""
         tokens, doc, begins = lanes(texts, WIDE)
-        out, h = np.zeros(len(texts)), np.zeros((tokens.shape[1], self.units), np.float32)
-        inputs = self.weights["inputs"]
-        for lo in range(0, len(tokens), LONG):
-            part = tokens[lo : lo + LONG]
-            live = int((part >= 0).any(0).sum())
-            part, new, h = part[:, :live], begins[lo : lo + LONG, :live], h[:live]
-            x = inputs[np.maximum(part, 0)]
-            states = np.empty((*part.shape, self.units), np.float32)
-            for t in range(len(part)):
-                states[t] = h
-                states[t][new[t]] = 0
-                h = self.step(states[t], x[t])[0]
-            here = part >= 0
-            logs, _ = self.log_probabilities(states[here], part[here])
-            out += np.bincount(doc[lo : lo + LONG, :live][here], logs.astype(np.float64), len(texts))
+        out, h = np.zeros(len(texts)), np.zeros((self.units, tokens.shape[1]), np.float32)
+        ends = (tokens >= 0).sum(0)  # falling
+        lo = 0
+        while lo < len(tokens):
+            live = int(np.searchsorted(-ends, -lo))
+            hi = lo + max(LONG, LONG * WIDE // live)  # where few lanes are left, more steps
+            part = tokens[lo:hi, :live]
+            states = self.steps(h[:, :live], part, begins[lo:hi, :live])[0]
+            h = states[-1]
+            flat = part.ravel()
+            order = in_order(flat)
+            order = order[int((flat < 0).sum()) :]
+            logs, _ = self.sorted_logs(taken(by_unit(states[:-1]), order), flat[order])
+            out += np.bincount(doc[lo:hi, :live].ravel()[order], logs.astype(np.float64), len(texts))
+            lo = hi
         return out
 
 
+def in_order(tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens in rising order; numbers of 16 bits are sorted by their digits."""
+    small = not len(tokens) or tokens.max() < 1 << 15
+    return np.argsort(tokens.astype(np.int16) if small else tokens, kind="stable")
+
+
+def taken(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """These columns, and a one below each, for the bias."""
+    out = np.ones((len(states) + 1, len(order)), states.dtype)
+    np.take(states, order, 1, out=out[:-1], mode="clip")
+    return out
+
+
+def less_one(share: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
+    """Takes one from the chosen columns' shares, which are stored column by column."""
+    share.T.reshape(-1)[chosen * len(rows) + rows] -= 1
+
+
+def by_unit(states: np.ndarray) -> np.ndarray:
+    """(steps, units, lanes) as a row for each unit."""
+    return states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+
+
+@np.errstate(over="ignore")
 def softmax(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """The logarithms of the chosen columns' shares, and with ``shares`` all of them. Changes ``logits``."""
-    own = logits[rows, chosen]
-    with np.errstate(over="ignore"):
-        e = np.exp(logits)
-        total = e.sum(1)
-    if not np.isfinite(total).all():  # beyond the range of numbers: once more, below the largest
+    own = logits.T.reshape(-1).take(chosen * len(rows) + rows)
+    e = np.exp(logits)
+    total = e.sum(1)
+    if not np.isfinite(total.sum()):  # beyond the range of numbers: once more, below the largest
         top = logits.max(1)
         logits -= top[:, None]
         own, e = own - top, np.exp(logits)
@@ -463,9 +532,12 @@ def trainer(net: Net, known: list[bytes], end: int, memory: np.ndarray | None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state, weight, held, size = copy.deepcopy(net), memory, 0, [], 0
+        listed = pa.array(known, pa.binary()).cast(pa.string())
         for chunk in chunks(batches, "text"):
             found = lowered(text_of(chunk, "text"))
-            held += documents_of(found, numbered(known).number(found)[0], len(known), end)
+            each = strings(found.data, found.starts, found.ends).dictionary_encode()
+            numbers = pc.fill_null(pc.index_in(each.dictionary, value_set=listed), -1).to_numpy()
+            held += documents_of(found, numbers[each.indices.to_numpy()], len(known), end)
             size += len(found.starts) + chunk.num_rows
             if size >= BUFFER:
                 state, weight, held, size = own.train(held, state), weight + size, [], 0

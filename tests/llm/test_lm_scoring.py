@@ -215,3 +215,84 @@ def test_every_training_document_trains_the_network(spark, monkeypatch, tmp_path
     taken = sorted(int(open(f"{seen}/{x}").read()) for x in os.listdir(seen) if x.startswith("taken-"))
     assert taken == [k for k, _ in rows if zlib.crc32(str(k).encode()) % 7 != 2]
     model.counts.count()
+
+
+def test_a_long_text_is_scored_in_few_windows(monkeypatch):
+    """Where few lanes are left, a window has more steps: the work beside the recurrence is done for many tokens at once."""
+    calls, softmax = [], lm.softmax
+    monkeypatch.setattr(lm, "softmax", lambda *args: calls.append(1) or softmax(*args))
+    net = lm.Net(np.arange(50.0, 0, -1), 10.0)
+    texts = [np.random.default_rng(3).integers(0, 51, n).astype(np.int32) for n in (20_000, 300, 5)]
+    whole = net.score(texts)
+    assert len(calls) < 300  # 417 windows of 48 steps took thousands
+    monkeypatch.setattr(lm, "PIECE", 100)
+    assert np.allclose(net.score(texts), whole, rtol=1e-4)
+
+
+def stepwise(net, h, tokens, begins):
+    """Loss, state and gradients of a window, lane by lane and token by token, in plain loops."""
+    w, u, n = net.weights, net.units, int((tokens >= 0).sum())
+    grads, loss, after = {k: np.zeros_like(x) for k, x in w.items()}, 0.0, h.copy()
+    for lane in range(tokens.shape[1]):
+        past = []
+        for t in range(len(tokens)):
+            s = np.zeros(u) if begins[t, lane] else after[lane].copy()
+            x, g = w["inputs"][max(0, tokens[t, lane])], s @ w["gates"]
+            z, r = (1 / (1 + np.exp(-x[a : a + u] - g[a : a + u])) for a in (0, u))
+            new = np.tanh(x[2 * u :] + r * g[2 * u :])
+            past.append((s, z, r, new, g[2 * u :]))
+            after[lane] = (1 - z) * new + z * s
+        dh = np.zeros(u)
+        for t in range(len(tokens) - 1, -1, -1):
+            s, z, r, new, q = past[t]
+            da = dh * (1 - z) * (1 - new * new)
+            dz, dr = dh * (s - new) * z * (1 - z), da * q * r * (1 - r)
+            dg, back = np.concatenate([dz, dr, da * r]), np.zeros(u)
+            grads["gates"] += np.outer(s, dg)
+            if (k := tokens[t, lane]) >= 0:
+                grads["inputs"][k] += np.concatenate([dz, dr, da])
+                a, b = (*net.edges, len(net.counts))[net.class_of[k] :][:2]
+                for name, bias, columns, chosen in (("classes", "class_bias", slice(None), net.class_of[k]), ("words", "word_bias", slice(a, b), k - a)):
+                    if name == "words" and k == len(net.counts):
+                        continue
+                    rows = w["classes"].T if name == "classes" else w["words"][columns]
+                    share = np.exp(rows @ s + w[bias][columns])
+                    share /= share.sum()
+                    loss -= np.log(share[chosen]) / n
+                    share[chosen] -= 1
+                    back += share @ rows / n
+                    grads[bias][columns] += share / n
+                    part = np.outer(share, s) / n
+                    grads[name][columns] += part.T if name == "classes" else part
+            dh = dh * z + w["gates"] @ dg + back
+            if begins[t, lane]:
+                dh[:] = 0
+    return loss, after, grads
+
+
+def test_window_is_that_of_plain_loops(monkeypatch):
+    """Lanes that end early, texts that begin inside, tokens that occur often, pieces that end inside classes."""
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    rng = np.random.default_rng(9)
+    net = lm.Net(np.array([90.0, 50, 30, 20, 10, 9, 8, 7, 6, 5, 4, 2]), 40.0, units=3)
+    net.weights = {k: rng.standard_normal(x.shape) * 0.7 for k, x in net.weights.items()}
+    tokens, _, begins = lm.lanes([rng.integers(0, 13, n).astype(np.int32) for n in (7, 12, 1, 5, 3, 9)], 4)
+    h = rng.standard_normal((tokens.shape[1], 3))
+    wanted = stepwise(net, h, tokens, begins)
+    for piece in (lm.PIECE, 4):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        loss, after, grads = net.window(h, tokens, begins)
+        some, rows = grads["inputs"]
+        grads["inputs"] = np.zeros_like(net.weights["inputs"])
+        grads["inputs"][some] = rows
+        assert abs(loss - wanted[0]) < 1e-9 and np.allclose(after, wanted[1])
+        assert all(np.allclose(grads[k], x, atol=1e-9) for k, x in wanted[2].items())
+
+
+def test_trainers_know_the_modelled_words(monkeypatch):
+    """Numbers of words are looked up in their list; all others have the next number, the end its own."""
+    known, seen = [b"so", b"", "Ä".encode(), b"it"], []
+    monkeypatch.setattr(lm.Net, "train", lambda net, texts, memory=None: seen.extend(texts) or np.zeros(1, np.float32))
+    texts = pa.array(["So IT goes\tÄ ä", None, "", "it"])
+    list(lm.trainer(lm.Net(np.array([4.0, 3, 2, 1]), 5.0), known, 1, None)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    assert [x.tolist() for x in seen] == [[0, 3, 4, 2, 4, 1], [1], [1], [3, 1]]
