@@ -34,6 +34,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stays(df: DataFrame, name: str) -> DataFrame:
+    """A table that is left in the folder, as what a query returns reads it."""
+    return written(df, name)[0]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
