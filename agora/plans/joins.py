@@ -83,7 +83,7 @@ def joi16(c: Civic) -> DataFrame:
     points = c.customer.select(F.col("c_custkey").alias("id"), (48.0 + (F.col("c_custkey") % 37) / 20.0).alias("lat"), (-124.0 + (F.col("c_custkey") % 41) / 15.0).alias("lon"))
     s = F.col("s_suppkey")
     centres = c.supplier.select(s.alias("id"), (48.2 + (s % 11) / 8.0).alias("lat"), (-123.5 + (s % 13) / 9.0).alias("lon"), (5.0 + s % 20).alias("radius_km"))
-    return ops.within_radius(points, centres, cell=0.25).withColumn("km", F.round("km", 6))
+    return ops.within_radius(points, centres, cell=0.25, digits=6)
 
 
 @query("joi18_candidate_pairs", """
