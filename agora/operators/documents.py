@@ -183,11 +183,11 @@ def sentences(segments: DataFrame) -> DataFrame:
 
 
 def discussion_text(items: DataFrame, segments: DataFrame) -> DataFrame:
-    """item_id, text: title, a rule, and "speaker: words" of the segments in the item's window (both ends), by start."""
+    """item_id, text: title, a rule, and "speaker: words" of all segments in the item's window (both ends), by start."""
     w = items.where("start_time is not null").select("meeting_id", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("id").alias("item_id"), "title")
     rows = point_in_window(segments.select("meeting_id", "id", "start_time", "speaker_name", "text"), w, ["meeting_id"], closed="both").withColumnsRenamed({"w_item_id": "item_id", "w_title": "title"})
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_time", "id", F.concat_ws(": ", "speaker_name", "text").alias("line")))), lambda x: x["line"]), "\n")
-    return rows.groupBy("item_id", "title").agg(lines.alias("_lines")).select("item_id", F.substring(F.concat_ws("\n---\n", "title", "_lines"), 1, 8000).alias("text"))
+    return rows.groupBy("item_id", "title").agg(lines.alias("_lines")).select("item_id", F.concat_ws("\n---\n", "title", "_lines").alias("text"))
 
 
 def motion_blocks(minutes: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def doc12(c: Civic) -> DataFrame:
     return docs.sentences(rows).select("id", "place", "sentence", F.round("at", 6).alias("t"))
 
 
-@query("vec15_discussion_text", "SELECT i.id AS item_id, md5(left(i.title || chr(10) || '---' || chr(10) || string_agg(s.speaker_name || ': ' || s.text, chr(10) ORDER BY s.start_time, s.id), 8000)) AS digest FROM {segments} s JOIN {agenda_items} i ON i.meeting_id = s.meeting_id AND s.start_time BETWEEN i.start_time AND i.end_time GROUP BY i.id, i.title")
+@query("vec15_discussion_text", "SELECT i.id AS item_id, md5(i.title || chr(10) || '---' || chr(10) || string_agg(s.speaker_name || ': ' || s.text, chr(10) ORDER BY s.start_time, s.id)) AS digest FROM {segments} s JOIN {agenda_items} i ON i.meeting_id = s.meeting_id AND s.start_time BETWEEN i.start_time AND i.end_time GROUP BY i.id, i.title")
 def vec15(c: Civic) -> DataFrame:
     return docs.discussion_text(c.agenda_items, c.segments).select("item_id", F.md5("text").alias("digest"))
 

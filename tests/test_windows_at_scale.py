@@ -144,3 +144,11 @@ def test_motions_are_marked_without_all_pairs(spark):
     motions = spark.range(2000).select(F.lit(1).alias("meeting_id"), "id", F.when(F.col("id") == 5, "Motion to adjourn harbour lease").otherwise("Harbour lease").alias("text"), F.when(F.col("id") == 3, 480.0).otherwise(3000.0).alias("start_at"), F.when(F.col("id") == 3, 500.0).otherwise(3010.0).alias("end_at"), F.lit(False).alias("closes"))
     got = {r.motion_id: r.at for r in alignment.motion_markers(motions, segments).collect()}
     assert len(got) == 2000 and got[3] == 480.0 and got[5] == 1507 * 12.0 and {v for k, v in got.items() if k not in (3, 5)} == {507 * 12.0}
+
+
+def test_discussion_text_is_whole(spark):
+    """A discussion of far more than eight thousand characters keeps its last words."""
+    segments = spark.createDataFrame([(1, k, float(k), float(k + 1), "x", f"s{k} " + "word " * 100) for k in range(90)], "meeting_id long, id long, start_time double, end_time double, speaker_name string, text string")
+    items = spark.createDataFrame([(7, 1, 0.0, 80.0, "T")], "id long, meeting_id long, start_time double, end_time double, title string")
+    text = documents.discussion_text(items, segments).first().text
+    assert text == "T\n---\n" + "\n".join(f"x: s{k} " + "word " * 100 for k in range(81)) and len(text) > 40_000
